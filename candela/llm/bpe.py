@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -184,8 +185,9 @@ class ByteBPE:
 
     SLOTS, POOL, WIDE, CHUNK = 1 << 19, 1 << 22, 32, 1 << 20
 
-    def __init__(self, token_bytes: dict[int, bytes], pairs: tuple, whole_pieces: bool):
-        """pairs: left, right, rank, merged id; whole_pieces: a piece that is a token is never split."""
+    def __init__(self, token_bytes: dict[int, bytes], pairs: tuple, whole_pieces: bool, added: dict[str, int] | None = None):
+        """pairs: left, right, rank, merged id; whole_pieces: a piece that is a token is never split;
+        added: strings of the vocabulary file that are ids of their own wherever a text holds them."""
         n = max(token_bytes) + 1
         parts = [token_bytes.get(i, b"") for i in range(n)]
         self.size = np.array([len(p) for p in parts], np.int64)
@@ -195,7 +197,8 @@ class ByteBPE:
         self.id_of = {p: i for i, p in token_bytes.items()}
         for b in range(256):
             self.byte_id[b] = self.id_of[bytes([b])]
-        self.pairs, self.whole_pieces = PairTable(*pairs), whole_pieces
+        self.pairs, self.whole_pieces, self.added = PairTable(*pairs), whole_pieces, added or {}
+        self.added_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pre = PreTokenizer()
         self._clear()
 
@@ -219,14 +222,16 @@ class ByteBPE:
     def from_json(cls, path: str) -> ByteBPE:
         """Vocabulary with a list of merges, bytes written as printable characters."""
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model, added = whole["model"], {t["content"]: t["id"] for t in whole.get("added_tokens", [])}
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
         vocab = model["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        tokens = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items() if all(c in byte_of for c in t)}
+        tokens = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items() if t not in added and all(c in byte_of for c in t)}
+        tokens |= {i: t.encode() for t, i in added.items()}
         rows = [(vocab[a], vocab[b], r, vocab[a + b]) for r, (a, b) in enumerate(merges)]
-        return cls(tokens, tuple(zip(*rows, strict=True)), False)
+        return cls(tokens, tuple(zip(*rows, strict=True)), False, added)
 
     # -- merging
 
@@ -332,6 +337,10 @@ class ByteBPE:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (uint32) of each text, in order."""
+        if self.added and any(a in t for a in self.added for t in texts):
+            parts = [self.added_pattern.split(t) for t in texts]
+            done = iter(self.encode([p for ps in parts for p in ps if p not in self.added]))
+            return [np.concatenate([np.array([self.added[p]], np.uint32) if p in self.added else next(done) for p in ps]) for ps in parts]
         out: list[np.ndarray] = []
         lo = size = 0
         for i, t in enumerate(texts):
