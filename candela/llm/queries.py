@@ -17,6 +17,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substrings
+
+    return substrings.chunk_dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
 
@@ -47,13 +53,21 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substrings
+
+    return substrings.suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chunk_dedup": op1_chunk_dedup,
         "op2_sharding": op2_sharding,
         "op3_lz_fingerprint": op3_lz_fingerprint,
         "op7_packing": op7_packing,
         "op8_toxicity": op8_toxicity,
         "op9_byte_bpe": op9_byte_bpe,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
