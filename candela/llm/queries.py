@@ -35,6 +35,12 @@ def op3_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -64,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chunk_dedup": op1_chunk_dedup,
         "op2_sharding": op2_sharding,
         "op3_lz_fingerprint": op3_lz_fingerprint,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_packing": op7_packing,
         "op8_toxicity": op8_toxicity,
         "op9_byte_bpe": op9_byte_bpe,
