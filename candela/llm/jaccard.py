@@ -110,10 +110,10 @@ def _pairs(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(a, len(b)), np.tile(b, len(a))
 
 
-def meet_in_chunks(rows: DataFrame, group: str, size: str, member: str, small_groups: int) -> DataFrame:
+def meet_in_chunks(rows: DataFrame, group: str, size: str, member: str, small_groups: int, chunk: int = CHUNK) -> DataFrame:
     """Adds task, chunk, ca and cb: rows of a group of `size` members meet in tasks, every two chunks in one of theirs
     and all members of a small group in one; small groups share tasks."""
-    n = F.ceil(F.col(size) / CHUNK).cast("int")
+    n = F.ceil(F.col(size) / chunk).cast("int")
     with_chunk = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), F.col(member)), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     met = with_chunk.withColumns({"ca": F.least("chunk", "other"), "cb": F.greatest("chunk", "other")}).drop("other")
     # A task's key is dealt out as a whole, so equal ids keep chunk pairs and small groups apart.
