@@ -35,6 +35,12 @@ def op3_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op4_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import wrappers
+
+    return wrappers.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import embeddings
 
@@ -76,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chunk_dedup": op1_chunk_dedup,
         "op2_sharding": op2_sharding,
         "op3_lz_fingerprint": op3_lz_fingerprint,
+        "op4_html_wrappers": op4_html_wrappers,
         "op5_embedding_dedup": op5_embedding_dedup,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_packing": op7_packing,
