@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, n_blocks, ranges, scratch_path, text_or_empty, total_bytes
+from .common import mix64, n_blocks, ranges, scratch_path, stored, text_or_empty, total_bytes
 
 BLOCK_BYTES = 4 << 20
 MOST_BUCKETS = 50_000
@@ -31,22 +31,24 @@ EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 # -- blocks ---------------------------------------------------------------------------------------
 
 
-def blocks_of(docs: DataFrame, name: str) -> tuple[DataFrame, int]:
+def blocks_of(docs: DataFrame, name: str, carry: list[str] | None = None) -> tuple[DataFrame, int]:
     """(block, ids, keys, texts, reps), number of buckets. ids, keys and texts are arrays with an element for each
-    row of docs; reps are the keys of those rows whose text no smaller doc_id has."""
+    row of docs; reps are the keys of those rows whose text no smaller doc_id has. Columns to carry come along as
+    an array of structs named carried."""
+    others = F.struct(*carry) if carry else F.lit(None).cast("int")
     spark = docs.sparkSession
     n = n_blocks(total_bytes(docs), BLOCK_BYTES)
     buckets = min(n, MOST_BUCKETS)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty().cast("binary").alias("t"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty().cast("binary").alias("t"), others.alias("o"))
     rows = rows.withColumn("digest", F.md5("t"))
     key = F.xxhash64("doc_id", "digest")
     packed = (
-        rows.select(key.alias("key"), "doc_id", "t")
+        rows.select(key.alias("key"), "doc_id", "t", "o")
         .withColumn("block", F.pmod("key", F.lit(n)))
         .repartition(buckets, "block")
         .groupBy("block")
-        .agg(F.collect_list(F.struct("doc_id", "key", "t")).alias("d"))
-        .select("block", F.col("d.doc_id").alias("ids"), F.col("d.key").alias("keys"), F.col("d.t").alias("texts"))
+        .agg(F.collect_list(F.struct("doc_id", "key", "t", "o") if carry else F.struct("doc_id", "key", "t")).alias("d"))
+        .select("block", F.col("d.doc_id").alias("ids"), F.col("d.key").alias("keys"), F.col("d.t").alias("texts"), *([F.col("d.o").alias("carried")] if carry else []))
     )
     table = f"{name}_{uuid.uuid4().hex}"
     packed.write.format("parquet").option("path", scratch_path(spark, name)).option("compression", "zstd").bucketBy(buckets, "block").sortBy("block").saveAsTable(table)
@@ -63,7 +65,7 @@ class Block:
     """Documents of one row of the table in ascending doc_id; the distinct texts joined into one array."""
 
     def __init__(self, ids, keys, texts, reps):
-        order = np.lexsort((np.asarray(keys), np.asarray(ids)))
+        self.order = order = np.lexsort((np.asarray(keys), np.asarray(ids)))
         self.ids = np.asarray(ids, np.int64)[order]
         self.texts = [bytes(texts[i]) for i in order]
         reps = np.zeros(0, np.int64) if reps is None else np.asarray(reps, np.int64)
@@ -468,7 +470,7 @@ def answer_segments(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["block", "spans"])
 
 
-def cut_strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def strings_cut(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[Block, dict, list[tuple]]]:
     for _, b, r in each_block(frames):
         segs, _, owner, seg, first = segments(b, np.frombuffer(joined(r["shared"]), "<u8"), np.frombuffer(joined(r["hot"]), "<u8"))
         size = np.fromiter(map(len, segs), np.int64, len(segs))
@@ -483,7 +485,11 @@ def cut_strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             row, at = np.repeat(mine, hi - lo), ranges(lo, hi - lo)
             start.append(first[row] + spans[at, 1])
             end.append(first[row] + spans[at, 2])
-        rows = b.cut(np.concatenate(start), np.concatenate(end), LENGTH)
+        yield b, r, b.cut(np.concatenate(start), np.concatenate(end), LENGTH)
+
+
+def cut_strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for _, _, rows in strings_cut(frames):
         yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
 
 
@@ -495,13 +501,39 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     at once, the others are refined by bucket pointers at later offsets until LENGTH bytes are told apart, all on the
     bytes themselves. Rows with the same doc_id never remove each other's bytes; a null doc_id counts as smaller than
     all others; null text counts as empty; texts shorter than LENGTH bytes lose nothing."""
-    blocks, buckets = blocks_of(docs, "suffixes")
-    grams = blocks.mapInPandas(send_grams(buckets), "bucket int, block long, grams binary")
-    shared = grams.groupBy("bucket").applyInPandas(answer_grams, "block long, shared binary, hot binary")
-    from .common import stored
+    return _with_spans(docs).mapInPandas(cut_strings, f"{SPANS}, kept binary")
+
 
+def _with_spans(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Blocks with all that their documents must be told."""
+    blocks, buckets = blocks_of(docs, "suffixes", carry)
+    grams = blocks.select("block", "ids", "keys", "texts", "reps").mapInPandas(send_grams(buckets), "bucket int, block long, grams binary")
+    shared = grams.groupBy("bucket").applyInPandas(answer_grams, "block long, shared binary, hot binary")
     shared = stored(shared.groupBy("block").agg(F.collect_list("shared").alias("shared"), F.collect_list("hot").alias("hot")), "suffixes-shared")
     blocks = told(blocks, shared)
-    sent = blocks.mapInPandas(send_segments(buckets), "bucket int, block long, number binary, key binary, owner binary, size binary, bytes binary")
+    sent = blocks.select("block", "ids", "keys", "texts", "reps", "shared", "hot").mapInPandas(send_segments(buckets), "bucket int, block long, number binary, key binary, owner binary, size binary, bytes binary")
     spans = sent.groupBy("bucket").applyInPandas(answer_segments, "block long, spans binary").groupBy("block").agg(F.collect_list("spans").alias("spans"))
-    return told(blocks, spans).mapInPandas(cut_strings, f"{SPANS}, kept binary")
+    return told(blocks, spans)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs, all columns and rows, with the repeated bytes of suffix_dedup taken out of text. Where that leaves part
+    of a character, the part goes too. n_chars, if there, is counted anew for texts that changed; other texts, null
+    ones among them, stay as they are."""
+    schema, names = docs.schema, docs.columns
+    carry = [c for c in names if c not in ("doc_id", "text")]
+    marked = docs.withColumn("text_is_null", F.col("text").isNull())
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b, r, rows in strings_cut(frames):
+            carried = [r["carried"][i] for i in b.order]
+            texts = [x[5].decode(errors="ignore") if x[2] else None if c["text_is_null"] else x[5].decode() for x, c in zip(rows, carried, strict=True)]
+            out = {"doc_id": pd.array([x[0] for x in rows], "Int64"), "text": texts}
+            for c in carry:
+                values = [v[c] for v in carried]
+                if c == "n_chars":
+                    values = pd.array([len(t) if x[2] else v for x, t, v in zip(rows, texts, values, strict=True)], "Int64")
+                out[c] = values
+            yield pd.DataFrame({c: out[c] for c in names})
+
+    return _with_spans(marked, [*carry, "text_is_null"]).mapInPandas(run, schema)
