@@ -1,15 +1,627 @@
-"""Registered queries over the tables of a folder, each with SQL that gives the same rows."""
+"""Registered queries over the tables of a folder, each with SQL that gives the same rows.
+
+Ticks come from events: price 100 + value / 50, quantity from props; F1 is one symbol, F2 one for each event type.
+Daily series come from orders (F3) and line items (F4), class probabilities (F5) from the 15-minute bars.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from candela.functions.columns import argmax, confidence, cyclical_time, dist_from_ema, interaction, pct_of_close, session_mask, softmax
+from candela.operators import align, indicators, labels, metrics, portfolio, samples, scan, trades
+from candela.operators.bars import bars_from_ticks, drop_empty_bars, multi_timeframe, resample_ohlcv
+from candela.plans import dataset
+from candela.sources.tables import date_range, rounded
+
+Query = Callable[[SparkSession, str], DataFrame]
+DIGITS = 6
+QTY = F.get_json_object("props", "$.k").cast("double")
+PRICE = F.lit(100.0) + F.col("value") / 50
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def bars(spark: SparkSession, sf: str, every: str = "15 minutes") -> DataFrame:
+    return bars_from_ticks(_table(spark, sf, "events"), PRICE, QTY, every, tie=["event_id"])
+
+
+def bars_by_type(spark: SparkSession, sf: str, every: str = "1 hour") -> DataFrame:
+    return bars_from_ticks(_table(spark, sf, "events"), PRICE, QTY, every, symbol=F.col("event_type"), tie=["event_id"])
+
+
+def probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    """symbol, bar_ts, close, probs of five classes by a fixed formula of close and time."""
+    b = bars(spark, sf)
+    pc, mi = F.floor(F.col("close") * 100).cast("long"), F.expr("unix_seconds(cast(bar_ts as timestamp)) div 900")
+    w = F.array(*[F.pow((1 + F.pmod(pc * (k + 3) + mi * (k * k + 1), F.lit(97))).cast("double"), F.lit(6.0)) for k in range(5)])
+    return b.withColumn("_w", w).withColumn("probs", F.transform("_w", lambda x: x / F.aggregate("_w", F.lit(0.0), lambda a, y: a + y))).drop("_w")
+
+
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.label_5class(bars(spark, sf), use_atr=False, fixed=0.05)
+
+
+def truth_and_probs(spark: SparkSession, sf: str) -> DataFrame:
+    y = labelled(spark, sf).select("symbol", "bar_ts", F.col("label").alias("y"))
+    p = probabilities(spark, sf).select("symbol", "bar_ts", "probs")
+    return y.join(p, ["symbol", "bar_ts"]).withColumn("p", argmax(F.col("probs")))
+
+
+def signalled(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars with signal and atr, as the backtest wants them."""
+    b = samples.gate_signal(probabilities(spark, sf)).drop("probs", "confidence")
+    return align.fill_const(align.bfill(indicators.atr(b, 14, "atr"), ["atr"]), "atr", 0.0)
+
+
+def shown(df: DataFrame, *cols: str | Column, digits: int = DIGITS) -> DataFrame:
+    """Times as text and doubles rounded, for comparison."""
+    out = df.select(*cols) if cols else df
+    kinds = dict(out.dtypes)
+
+    def one(c: str) -> Column:
+        if kinds[c].startswith("timestamp"):
+            return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+        return F.round(F.col(c) + 0.0, digits).alias(c) if kinds[c] == "double" else F.col(c)
+
+    return out.select([one(c) for c in out.columns])
+
+
+# -- SQL pieces
+
+
+def _sql_bars(every: str = "15 minutes", symbol: str = "'ALL'") -> str:
+    return f"""SELECT {symbol} AS symbol, time_bucket(INTERVAL '{every}', ts) AS bar_ts, arg_min(100.0 + value / 50, ts) AS open, max(100.0 + value / 50) AS high,
+        min(100.0 + value / 50) AS low, arg_max(100.0 + value / 50, ts) AS close, sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS volume
+        FROM events GROUP BY ALL"""
+
+
+B15 = f"b AS ({_sql_bars()})"
+NUM = "n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) - 1 AS i FROM b)"
+W = "OVER (PARTITION BY symbol ORDER BY bar_ts)"
+TS = "strftime(bar_ts, '%Y-%m-%d %H:%M:%S') AS bar_ts"
+
+
+def _r(expr: str, name: str) -> str:
+    return f"round({expr}, {DIGITS}) AS {name}"
+
+
+def _sql_ewm(x: str, n: int, skip: int = 0, src: str = "n") -> str:
+    """Adjusted exponential mean with weight 1/n, null for the first n - 1 values."""
+    d = 1 - 1 / n
+    return f"CASE WHEN i - {skip} >= {n - 1} THEN sum(CASE WHEN i >= {skip} THEN {x} * pow({d!r}, -(i - {skip})) ELSE 0 END) {W} * pow({d!r}, i - {skip}) / ((1 - pow({d!r}, i - {skip} + 1)) / (1 - {d!r})) END"
+
+
+def _sql_ema(x: str, n: int) -> str:
+    """Exponential mean with weight 2/(n+1) that begins with the mean of the first n values."""
+    d = 1 - 2 / (n + 1)
+    seed = f"(avg(CASE WHEN i < {n} THEN {x} END) OVER (PARTITION BY symbol))"
+    return f"CASE WHEN i >= {n - 1} THEN pow({d!r}, i - {n - 1}) * {seed} + (1 - {d!r}) * pow({d!r}, i - {n - 1}) * coalesce(sum(CASE WHEN i >= {n} THEN {x} * pow({d!r}, -(i - {n - 1})) ELSE 0 END) {W}, 0) END"
+
+
+LABEL_PARTS = f"""l0 AS (SELECT *, (lead(close, 20) {W} - close) / close AS r,
+    (max(high) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) - close) / close AS up,
+    (close - min(low) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)) / close AS down FROM b)"""
+
+
+def _sql_label(stop: str = "0.05") -> str:
+    return f"""{LABEL_PARTS}, l1 AS (SELECT *, coalesce((r > 0 AND down > {stop}) OR (r < 0 AND up > {stop}), false) AS neutralized FROM l0),
+    l AS (SELECT *, CASE WHEN neutralized OR r IS NULL THEN 2 WHEN r > 0.02 THEN 4 WHEN r > 0.005 THEN 3 WHEN r >= -0.005 THEN 2 WHEN r >= -0.02 THEN 1 ELSE 0 END AS label FROM l1)"""
+
+
+PROBS = """w AS (SELECT *, CAST(floor(close * 100) AS BIGINT) AS pc, CAST(epoch(bar_ts) AS BIGINT) // 900 AS mi FROM b),
+    w2 AS (SELECT symbol, bar_ts, close, high, low, [pow(CAST(1 + (pc * (k + 3) + mi * (k * k + 1)) % 97 AS DOUBLE), 6) FOR k IN [0, 1, 2, 3, 4]] AS ws FROM w),
+    p AS (SELECT symbol, bar_ts, close, high, low, [x / list_sum(ws) FOR x IN ws] AS probs FROM w2)"""
+BEST = "list_position(probs, list_max(probs)) - 1"
+TRUTH = f"{_sql_label()}, {PROBS}, t AS (SELECT symbol, bar_ts, l.label AS y, p.probs, CAST({BEST} AS INTEGER) AS p FROM l JOIN p USING (symbol, bar_ts))"
+COUNTS = "g AS (SELECT y.c AS y, p.c AS p FROM (SELECT unnest([0,1,2,3,4]) AS c) y, (SELECT unnest([0,1,2,3,4]) AS c) p), m AS (SELECT g.y, g.p, count(t.y) AS n FROM g LEFT JOIN t ON g.y = t.y AND g.p = t.p GROUP BY ALL)"
+PER_CLASS = """c0 AS (SELECT a.y AS class, a.support, a.ok, b.predicted FROM (SELECT y, sum(n) AS support, sum(CASE WHEN y = p THEN n ELSE 0 END) AS ok FROM m GROUP BY y) a JOIN (SELECT p, sum(n) AS predicted FROM m GROUP BY p) b ON a.y = b.p),
+    c1 AS (SELECT class, support, coalesce(ok / nullif(predicted, 0), 0) AS precision, coalesce(ok / nullif(support, 0), 0) AS recall FROM c0),
+    c AS (SELECT class, CAST(support AS BIGINT) AS support, precision, recall, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM c1)"""
+AUC = """s AS (SELECT y, unnest([0,1,2,3,4]) AS class, unnest(probs) AS score FROM t),
+    s1 AS (SELECT class, score, count(*) FILTER (y = class) AS pos, count(*) FILTER (y <> class) AS neg FROM s GROUP BY ALL)"""
+
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def register(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- sources and bars
+
+_BAR_COLS = f"symbol, {TS}, {_r('open', 'open')}, {_r('high', 'high')}, {_r('low', 'low')}, {_r('close', 'close')}, {_r('volume', 'volume')}"
+
+
+@register(f"WITH {B15} SELECT {_BAR_COLS} FROM b")
+def bars_15m(spark, sf):
+    return shown(bars(spark, sf))
+
+
+@register(f"WITH b AS ({_sql_bars('1 hour')}) SELECT {_BAR_COLS} FROM b")
+def bars_1h(spark, sf):
+    return shown(bars(spark, sf, "1 hour"))
+
+
+@register(f"WITH b AS ({_sql_bars('4 hours')}) SELECT {_BAR_COLS} FROM b")
+def bars_4h(spark, sf):
+    """Rolled up from 15-minute bars: first, last, extremes and sums compose."""
+    return shown(drop_empty_bars(resample_ohlcv(bars(spark, sf), "4 hours")))
+
+
+@register(f"WITH b AS ({_sql_bars('1 day')}) SELECT {_BAR_COLS} FROM b")
+def bars_1d(spark, sf):
+    ticks = _table(spark, sf, "events").select(F.lit("ALL").alias("symbol"), F.col("ts").alias("bar_ts"), *[PRICE.alias(c) for c in ("open", "high", "low", "close")], QTY.alias("volume"))
+    return shown(multi_timeframe(ticks, dataset.SIZES)["daily"])
+
+
+@register(f"WITH b AS ({_sql_bars('1 hour', 'event_type')}) SELECT {_BAR_COLS} FROM b")
+def bars_by_symbol(spark, sf):
+    return shown(bars_by_type(spark, sf))
+
+
+@register(f"""WITH b AS (SELECT o_orderpriority AS symbol, CAST(o_orderdate AS TIMESTAMP) AS bar_ts, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low,
+    arg_max(o_totalprice, o_orderkey) AS close, CAST(count(*) AS DOUBLE) AS volume FROM orders GROUP BY ALL) SELECT {_BAR_COLS} FROM b""")
+def bars_with_ties(spark, sf):
+    """Many ticks of one time, ordered by their key."""
+    orders = _table(spark, sf, "orders").withColumn("ts", F.col("o_orderdate").cast("timestamp_ntz"))
+    return shown(bars_from_ticks(orders, F.col("o_totalprice").cast("double"), F.lit(1.0), "1 day", symbol=F.col("o_orderpriority"), tie=["o_orderkey"]))
+
+
+@register("""SELECT l_returnflag AS symbol, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS bar_ts, round(max(l_extendedprice / l_quantity), 9) AS high, round(min(l_extendedprice / l_quantity), 9) AS low, round(sum(l_quantity), 6) AS volume
+    FROM lineitem GROUP BY l_returnflag, l_shipdate""")
+def bars_daily_large(spark, sf):
+    items = _table(spark, sf, "lineitem").withColumn("ts", F.col("l_shipdate").cast("timestamp_ntz"))
+    price, qty = F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double"), F.col("l_quantity").cast("double")
+    return shown(bars_from_ticks(items, price, qty, "1 day", symbol=F.col("l_returnflag"), tie=["l_orderkey", "l_linenumber"]), "symbol", "bar_ts", "high", "low", "volume", digits=9)
+
+
+@register(f"WITH {B15} SELECT {_BAR_COLS} FROM b WHERE bar_ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'")
+def date_range_bars(spark, sf):
+    return shown(date_range(bars(spark, sf), "2024-01-05", "2024-01-12"))
+
+
+@register(f"WITH {B15} SELECT symbol, {TS}, round_even(close, 5) AS close FROM b")
+def rounded_close(spark, sf):
+    """As data sets are written: half to even."""
+    return rounded(bars(spark, sf).select("symbol", F.date_format("bar_ts", "yyyy-MM-dd HH:mm:ss").alias("bar_ts"), "close"))
+
+
+# -- indicators
+
+
+def _indicator(name: str, f: Callable[[DataFrame], DataFrame], sql: str, cols: str = "", every: str = "15 minutes", src: str = "n") -> None:
+    _queries[name] = lambda spark, sf: shown(f(scan.indexed(bars(spark, sf, every))), "symbol", "bar_ts", *(cols.split() or [name]))
+    _sql[name] = f"WITH b AS ({_sql_bars(every)}), {NUM}{sql}"
+
+
+def _ind_select(parts: str, exprs: dict[str, str], src: str = "n") -> str:
+    return f"{parts} SELECT symbol, {TS}, {', '.join(_r(e, n) for n, e in exprs.items())} FROM {src}"
+
+
+_DELTA = f", d AS (SELECT *, close - lag(close) {W} AS d FROM n)"
+_UPDOWN = _DELTA + f", ud AS (SELECT *, {_sql_ewm('greatest(d, 0)', 14, 1)} AS u, {_sql_ewm('greatest(-d, 0)', 14, 1)} AS v FROM d)"
+_TR = f", tr AS (SELECT *, greatest(high - low, abs(high - coalesce(lag(close) {W}, high)), abs(low - coalesce(lag(close) {W}, low))) AS tr FROM n)"
+_DM = f""", dm0 AS (SELECT *, high - lag(high) {W} AS du, lag(low) {W} - low AS dd FROM tr),
+    dm AS (SELECT *, CASE WHEN du > dd AND du > 0 THEN du ELSE 0 END AS pdm, CASE WHEN dd > du AND dd > 0 THEN dd ELSE 0 END AS mdm FROM dm0),
+    di AS (SELECT *, {_sql_ewm('tr', 14, 1)} AS a, {_sql_ewm('pdm', 14, 1)} AS p, {_sql_ewm('mdm', 14, 1)} AS m FROM dm),
+    dx AS (SELECT *, CASE WHEN p IS NOT NULL THEN coalesce(100 * abs(100 * p / nullif(a, 0) - 100 * m / nullif(a, 0)) / nullif(100 * p / nullif(a, 0) + 100 * m / nullif(a, 0), 0), 0) END AS dx FROM di)"""
+
+_indicator("ema", lambda b: indicators.ema(b, "close", 10, "ema"), _ind_select("", {"ema": _sql_ema("close", 10)}))
+_indicator("wilder", lambda b: indicators.wilder(b, "close", 14, "wilder"), _ind_select("", {"wilder": _sql_ewm("close", 14)}))
+_indicator("rsi", lambda b: indicators.rsi(b, 14, "rsi"), _ind_select(_UPDOWN, {"rsi": "100 * u / nullif(u + v, 0)"}, "ud"))
+_indicator("true_range", lambda b: indicators.true_range(b, "true_range"), _ind_select(_TR, {"true_range": "tr"}, "tr"))
+_indicator("atr", lambda b: indicators.atr(b, 5, "atr"), _ind_select(_TR, {"atr": _sql_ewm("tr", 5)}, "tr"))
+_indicator("adx", lambda b: indicators.adx(b, 14, "adx"), _ind_select(_TR + _DM, {"adx": _sql_ewm("dx", 14, 14)}, "dx"), every="1 hour")
+_indicator("pvo", lambda b: indicators.pvo(b, 12, 26, "pvo"), _ind_select(f", f AS (SELECT *, {_sql_ema('volume', 12)} AS f, {_sql_ema('volume', 26)} AS s FROM n)", {"pvo": "100 * (f - s) / nullif(s, 0)"}, "f"))
+_indicator("obv", lambda b: indicators.obv(b, "obv"), _ind_select(_DELTA, {"obv": f"sum(coalesce(sign(d), 1) * volume) {W}"}, "d"))
+_indicator("log_return", lambda b: indicators.log_return(b, "log_return"), _ind_select("", {"log_return": f"CASE WHEN close / nullif(lag(close) {W}, 0) <= 0 THEN 0 ELSE ln(close / nullif(lag(close) {W}, 0)) END"}))
+_indicator("ema_slope", lambda b: indicators.diff(indicators.ema(b, "close", 10, "_e"), "_e", 1, "ema_slope"), _ind_select(f", e AS (SELECT *, {_sql_ema('close', 10)} AS e FROM n)", {"ema_slope": f"e - lag(e) {W}"}, "e"))
+_indicator("diff_4", lambda b: indicators.diff(b, "close", 4, "diff_4"), _ind_select("", {"diff_4": f"close - lag(close, 4) {W}"}))
+_indicator("ema_distance", lambda b: indicators.ema(b, "close", 21, "_e").withColumn("ema_distance", dist_from_ema(F.col("close"), F.col("_e"))), _ind_select(f", e AS (SELECT *, {_sql_ema('close', 21)} AS e FROM n)", {"ema_distance": "(close - e) / nullif(close, 0)"}, "e"), every="4 hours")
+_indicator("atr_pct", lambda b: indicators.atr(b, 5, "_a").withColumn("atr_pct", pct_of_close(F.col("_a"), F.col("close"))), _ind_select(_TR, {"atr_pct": f"({_sql_ewm('tr', 5)}) / nullif(close, 0)"}, "tr"))
+_indicator("h4_rsi", lambda b: indicators.rsi(b, 14, "h4_rsi"), _ind_select(_UPDOWN, {"h4_rsi": "100 * u / nullif(u + v, 0)"}, "ud"), every="4 hours")
+_indicator("h4_adx", lambda b: indicators.adx(b, 14, "h4_adx"), _ind_select(_TR + _DM, {"h4_adx": _sql_ewm("dx", 14, 14)}, "dx"), every="4 hours")
+_indicator("daily_rsi", lambda b: indicators.rsi(b, 14, "daily_rsi"), _ind_select(_UPDOWN, {"daily_rsi": "100 * u / nullif(u + v, 0)"}, "ud"), every="1 day")
+_ROLL = f", q AS (SELECT *, count(*) OVER f AS k, list(volume) OVER f AS v FROM n WINDOW f AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))"
+_indicator("rolling_range", lambda b: indicators.rolling_apply(b, "volume", 24, lambda w: F.array_max(w) - F.array_min(w), "rolling_range"), _ind_select(_ROLL, {"rolling_range": "CASE WHEN k = 24 THEN list_max(v) - list_min(v) END"}, "q"))
+_RET = f", r AS (SELECT *, CASE WHEN close / lag(close) {W} <= 0 THEN 0 ELSE ln(close / lag(close) {W}) END AS ret FROM n)"
+_EW = "sum(CASE WHEN i >= 1 THEN ret * ret * pow(0.94, -(i - 1)) ELSE 0 END) {w} * pow(0.94, i - 1) / ((1 - pow(0.94, i)) / (1 - 0.94))".replace("{w}", W)
+_indicator("ewma_volatility", lambda b: indicators.ewma_volatility(indicators.log_return(b, "_r"), "_r", "ewma_volatility"), _ind_select(_RET, {"ewma_volatility": f"CASE WHEN i >= 1 THEN sqrt({_EW}) END"}, "r"))
+
+_GRID = ", ".join(f"({a!r}, {b!r})" for a, b in indicators.garch_grid())
+_GARCH = _RET + f""", x AS (SELECT symbol, bar_ts, i, count(ret) OVER f AS k, list(100 * ret) OVER f AS w FROM r WINDOW f AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+    x1 AS (SELECT *, list_sum(w) / 60 AS mean FROM x WHERE k = 60), x2 AS (SELECT symbol, bar_ts, [(z - mean) * (z - mean) FOR z IN w] AS e FROM x1), x3 AS (SELECT *, list_sum(e) / 60 AS s2 FROM x2),
+    grid(a, b) AS (VALUES {_GRID}),
+    walk AS (SELECT symbol, bar_ts, a, b, s2, list_reduce(list_prepend({{'h': s2, 'll': CAST(0 AS DOUBLE), 'e': CAST(0 AS DOUBLE)}}, [{{'h': CAST(0 AS DOUBLE), 'll': CAST(0 AS DOUBLE), 'e': z}} FOR z IN e]),
+        lambda s, x: {{'h': s2 * (1 - a - b) + a * x.e + b * s.h, 'll': s.ll - 0.5 * (ln(s.h) + x.e / s.h), 'e': CAST(0 AS DOUBLE)}}) AS f FROM x3, grid WHERE s2 > 0),
+    best AS (SELECT symbol, bar_ts, arg_max(sqrt(f.h), [f.ll, -a, -b]) AS v FROM walk GROUP BY ALL), z AS (SELECT n.symbol, n.bar_ts, v FROM n LEFT JOIN best USING (symbol, bar_ts))"""
+_indicator("conditional_volatility", lambda b: indicators.conditional_volatility(indicators.log_return(b, "_r"), "_r", "conditional_volatility", 60), _ind_select(_GARCH, {"conditional_volatility": "v"}, "z"), every="1 hour")
+
+
+@register(f"WITH {B15} SELECT symbol, {TS}, {_r('sin(2 * pi() * hour(bar_ts) / 24)', 'hour_sin')}, {_r('cos(2 * pi() * hour(bar_ts) / 24)', 'hour_cos')} FROM b")
+def cyclical_hours(spark, sf):
+    sin, cos = cyclical_time(F.col("bar_ts"))
+    return shown(bars(spark, sf), "symbol", "bar_ts", sin.alias("hour_sin"), cos.alias("hour_cos"))
+
+
+@register(f"WITH {B15} SELECT symbol, {TS}, CAST(hour(bar_ts) BETWEEN 13 AND 17 AS INTEGER) AS in_session, {_r('close * CAST(hour(bar_ts) BETWEEN 13 AND 17 AS INTEGER)', 'session_close')} FROM b")
+def session_interaction(spark, sf):
+    mask = session_mask(F.hour("bar_ts"))
+    return shown(bars(spark, sf), "symbol", "bar_ts", mask.alias("in_session"), interaction(F.col("close"), mask).alias("session_close"))
+
+
+# -- alignment
+
+_H1 = f"h AS (SELECT symbol, bar_ts, CASE WHEN volume > 200 THEN close END AS h1_close FROM ({_sql_bars('1 hour')}))"
+_FILLED = f"j AS (SELECT b.symbol, b.bar_ts, h.h1_close FROM b LEFT JOIN h USING (symbol, bar_ts)), f AS (SELECT *, last_value(h1_close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM j)"
+
+
+def _hours(spark, sf):
+    return bars(spark, sf, "1 hour").select("symbol", "bar_ts", F.when(F.col("volume") > 200, F.col("close")).alias("h1_close"))
+
+
+@register(f"WITH {B15}, {_H1}, {_FILLED} SELECT symbol, {TS}, {_r('v', 'h1_close')} FROM f")
+def ffill_hours(spark, sf):
+    b = bars(spark, sf).select("symbol", "bar_ts")
+    return shown(align.ffill(b.join(_hours(spark, sf), ["symbol", "bar_ts"], "left"), ["h1_close"]), "symbol", "bar_ts", "h1_close")
+
+
+@register(f"WITH {B15}, {_H1}, {_FILLED} SELECT symbol, {TS}, {_r('coalesce(v, arg_min(h1_close, bar_ts) OVER (PARTITION BY symbol))', 'h1_close')} FROM f")
+def align_hours(spark, sf):
+    return shown(align.align_to_base(bars(spark, sf).select("symbol", "bar_ts"), _hours(spark, sf), ["h1_close"]), "symbol", "bar_ts", "h1_close")
+
+
+@register(f"WITH {B15}, h0 AS ({_H1[6:-1]}), h AS (SELECT symbol, bar_ts + INTERVAL 1 HOUR AS bar_ts, h1_close FROM h0), {_FILLED} SELECT symbol, {TS}, {_r('v', 'h1_close')} FROM f")
+def align_hours_point_in_time(spark, sf):
+    return shown(align.align_point_in_time(bars(spark, sf).select("symbol", "bar_ts"), _hours(spark, sf), ["h1_close"], "1 HOUR"), "symbol", "bar_ts", "h1_close")
+
+
+@register(f"""WITH h AS ({_sql_bars('1 hour')}), d AS ({_sql_bars('1 day')}), q AS ({_sql_bars('4 hours')}),
+    j AS (SELECT h.symbol, h.bar_ts, h.close, q.close AS h4, d.close AS day FROM h LEFT JOIN q USING (symbol, bar_ts) LEFT JOIN d USING (symbol, bar_ts))
+    SELECT symbol, {TS}, {_r('close', 'close')}, {_r("last_value(h4 IGNORE NULLS) OVER w", "h4_close")}, {_r("last_value(day IGNORE NULLS) OVER w", "day_close")} FROM j WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def join_timeframes(spark, sf):
+    part = lambda every, name: bars(spark, sf, every).select("symbol", "bar_ts", F.col("close").alias(name))
+    return shown(align.join_timeframes(part("1 hour", "close"), (part("4 hours", "h4_close"), ["h4_close"]), (part("1 day", "day_close"), ["day_close"])))
+
+
+@register(f"WITH {B15}, {_H1}, j AS (SELECT h1_close FROM b LEFT JOIN h USING (symbol, bar_ts)) SELECT count(*) AS rows_before, count(h1_close) AS rows_after FROM j")
+def complete_rows(spark, sf):
+    return align.completeness(bars(spark, sf).join(_hours(spark, sf), ["symbol", "bar_ts"], "left"), ["h1_close"], "close")
+
+
+# -- labels and scaling
+
+
+@register(f"WITH {B15}, {_sql_label()} SELECT symbol, {TS}, label, neutralized FROM l")
+def label_5class(spark, sf):
+    return shown(labelled(spark, sf), "symbol", "bar_ts", "label", "neutralized")
+
+
+@register(f"""WITH {B15}, {NUM}{_TR}, a AS (SELECT *, {_sql_ewm('tr', 14)} AS atr FROM tr), a1 AS (SELECT *, coalesce(atr, arg_min(atr, bar_ts) OVER (PARTITION BY symbol), 0.003) / close * 1.4 AS stop FROM a),
+    {_sql_label('stop').replace('FROM b)', 'FROM a1)')} SELECT symbol, {TS}, label, neutralized FROM l""")
+def label_5class_atr(spark, sf):
+    return shown(labels.label_5class(bars(spark, sf)), "symbol", "bar_ts", "label", "neutralized")
+
+
+@register(f"WITH {B15}, {LABEL_PARTS} SELECT symbol, {TS}, {_r('r', 'forward_return')} FROM l0")
+def forward_return(spark, sf):
+    return shown(labels.forward_return(bars(spark, sf)), "symbol", "bar_ts", "forward_return")
+
+
+@register(f"WITH {B15}, {LABEL_PARTS} SELECT symbol, {TS}, {_r('up', 'up_excursion')}, {_r('down', 'down_excursion')} FROM l0")
+def forward_excursion(spark, sf):
+    return shown(labels.forward_excursion(bars(spark, sf)), "symbol", "bar_ts", "up_excursion", "down_excursion")
+
+
+@register(f"WITH {B15}, {_sql_label()} SELECT count(*) FILTER (neutralized) AS neutralized FROM l")
+def neutralized_count(spark, sf):
+    return labels.neutralized_count(labelled(spark, sf))
+
+
+@register(f"WITH {B15}, {_sql_label()} SELECT CAST(c AS INTEGER) AS class, count(l.label) AS n, round(100.0 * count(l.label) / (SELECT count(*) FROM l), 6) AS percent FROM (SELECT unnest([0,1,2,3,4]) AS c) LEFT JOIN l ON c = l.label GROUP BY c")
+def class_distribution(spark, sf):
+    return shown(labels.class_distribution(labelled(spark, sf), "label"))
+
+
+_MINMAX = "SELECT 'close' AS feature, min(close) AS lo, max(close) AS hi FROM b UNION ALL SELECT 'volume', min(volume), max(volume) FROM b"
+
+
+@register(f"WITH {B15}, s AS ({_MINMAX}) SELECT feature, {_r('lo', 'min')}, {_r('hi', 'max')} FROM s")
+def fit_minmax(spark, sf):
+    return shown(labels.fit_minmax(bars(spark, sf), ["close", "volume"]))
+
+
+@register(f"WITH {B15} SELECT symbol, {TS}, {_r('(close - min(close) OVER ()) / (max(close) OVER () - min(close) OVER ()) * 2 - 1', 'close')}, {_r('(volume - min(volume) OVER ()) / (max(volume) OVER () - min(volume) OVER ()) * 2 - 1', 'volume')} FROM b")
+def apply_minmax(spark, sf):
+    b = bars(spark, sf).select("symbol", "bar_ts", "close", "volume")
+    return shown(labels.apply_minmax(b, labels.fit_minmax(b, ["close", "volume"]), ["close", "volume"]))
+
+
+@register()
+def build_dataset(spark, sf):
+    """The whole chain with a volatility window of 60 hours, as there are few bars."""
+    ticks = _table(spark, sf, "events").select(F.lit("ALL").alias("symbol"), F.col("ts").alias("bar_ts"), *[PRICE.alias(c) for c in ("open", "high", "low", "close")], QTY.alias("volume"))
+    out, _ = dataset.build_dataset(multi_timeframe(ticks, dataset.SIZES), dataset.Settings(volatility_window=60), must_exist=False)
+    return shown(out)
+
+
+# -- samples, split, signals
+
+_SAMPLE = f"q AS (SELECT symbol, bar_ts, i - 63 AS sample, label AS target, list(close) OVER f AS w FROM (SELECT *, row_number() {W} - 1 AS i FROM l) WINDOW f AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 63 PRECEDING AND CURRENT ROW))"
+
+
+def _samples(spark, sf, features=("close", "volume")):
+    return samples.sliding_windows(labelled(spark, sf), list(features), "label")
+
+
+@register(f"WITH {B15}, {_sql_label()}, {_SAMPLE} SELECT symbol, {TS}, sample, target, len(w) AS window_length, {_r('w[1]', 'first_close')}, {_r('list_sum(w)', 'sum_close')} FROM q WHERE sample >= 0")
+def sliding_windows(spark, sf):
+    closes = F.transform("window", lambda r: r[0])
+    return shown(_samples(spark, sf), "symbol", "bar_ts", "sample", "target", F.size("window").cast("long").alias("window_length"), F.element_at(closes, 1).alias("first_close"), F.aggregate(closes, F.lit(0.0), lambda a, x: a + x).alias("sum_close"))
+
+
+@register(f"""WITH {B15}, {_sql_label()}, {_SAMPLE}, k AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM q WHERE sample >= 0)
+    SELECT symbol, {TS}, sample, CASE WHEN sample < floor(n * CAST(0.7 AS DOUBLE)) THEN 'train' WHEN sample < floor(n * (CAST(0.7 AS DOUBLE) + CAST(0.15 AS DOUBLE))) THEN 'validation' ELSE 'test' END AS split FROM k""")
+def chrono_split(spark, sf):
+    return shown(samples.chrono_split(_samples(spark, sf).drop("window"), index="sample"), "symbol", "bar_ts", "sample", "split")
+
+
+@register(f"WITH {B15}, {_sql_label()}, {_SAMPLE} SELECT count(*) AS samples, CAST(max(len(w)) AS INTEGER) AS window_length, 2 AS features, count(DISTINCT target) AS classes FROM q WHERE sample >= 0")
+def dataset_info(spark, sf):
+    return samples.dataset_info(_samples(spark, sf))
+
+
+@register()
+def shuffled_training_rows(spark, sf):
+    split = samples.chrono_split(_samples(spark, sf).drop("window"), index="sample")
+    return shown(samples.shuffle_train(split), "symbol", "bar_ts", "sample", "target")
+
+
+@register()
+def trend_classifier(spark, sf):
+    """Fitted on the training samples, scored on the test samples."""
+    data = labels.apply_minmax(labelled(spark, sf), labels.fit_minmax(labelled(spark, sf), ["close", "volume"]), ["close", "volume"])
+    split = samples.chrono_split(samples.sliding_windows(data, ["close", "volume"], "label"), index="sample")
+    model = samples.fit_trend_classifier(split.filter("split = 'train'"), max_iter=5)
+    scored = samples.score_windows(split.filter("split = 'test'"), model)
+    return shown(scored, "symbol", "bar_ts", "target", argmax(F.col("probs")).alias("predicted"), confidence(F.col("probs")).alias("confidence"))
+
+
+@register(f"WITH {B15}, {PROBS} SELECT symbol, {TS}, CAST(CASE WHEN list_max(probs) < 0.6 THEN 2 ELSE {BEST} END AS INTEGER) AS signal, {_r('list_max(probs)', 'confidence')} FROM p")
+def gate_signal(spark, sf):
+    return shown(samples.signals_for_bars(bars(spark, sf), probabilities(spark, sf)))
+
+
+@register(f"WITH {B15}, x AS (SELECT symbol, bar_ts, [open - 104, high - 104, low - 104] AS v FROM b) SELECT symbol, {TS}, {_r('exp(v[1]) / (exp(v[1]) + exp(v[2]) + exp(v[3]))', 'p0')}, {_r('exp(v[2]) / (exp(v[1]) + exp(v[2]) + exp(v[3]))', 'p1')}, CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS best FROM x")
+def softmax_argmax(spark, sf):
+    logits = F.array(*[F.col(c) - 104 for c in ("open", "high", "low")])
+    return shown(bars(spark, sf).withColumn("_l", logits), "symbol", "bar_ts", softmax(F.col("_l"))[0].alias("p0"), softmax(F.col("_l"))[1].alias("p1"), argmax(F.col("_l")).alias("best"))
+
+
+@register(f"WITH {B15}, {TRUTH} SELECT round(avg(0.9 * -ln(probs[y + 1]) + 0.1 / 5 * list_sum([-ln(x) FOR x IN probs])), 6) AS cross_entropy FROM t")
+def cross_entropy(spark, sf):
+    return shown(samples.cross_entropy(truth_and_probs(spark, sf), F.col("probs"), F.col("y")))
+
+
+@register(f"WITH {B15}, {PROBS} SELECT symbol, {TS}, {_r('close', 'close')}, CAST({BEST} AS INTEGER) AS signal FROM p WHERE list_max(probs) >= 0.6")
+def signals_to_bars(spark, sf):
+    p = probabilities(spark, sf).filter(confidence(F.col("probs")) >= 0.6).select("symbol", "bar_ts", argmax(F.col("probs")).alias("signal"))
+    return shown(samples.signals_to_bars(bars(spark, sf), p), "symbol", "bar_ts", "close", "signal")
+
+
+# -- classification metrics
+
+
+@register(f"WITH {B15}, {TRUTH} SELECT round(avg(CAST(y = p AS DOUBLE)), 6) AS accuracy FROM t")
+def accuracy(spark, sf):
+    return shown(metrics.accuracy(truth_and_probs(spark, sf)))
+
+
+@register(f"WITH {B15}, {TRUTH}, {COUNTS} SELECT CAST(y AS INTEGER) AS y, CAST(p AS INTEGER) AS p, n, round(coalesce(n / nullif(sum(n) OVER (PARTITION BY y), 0), 0), 6) AS share FROM m")
+def confusion_matrix(spark, sf):
+    return shown(metrics.normalize_confusion(metrics.confusion_matrix(truth_and_probs(spark, sf), metrics.CLASSES)))
+
+
+_BINARY = "t AS (SELECT quality AS y, toxic AS p FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), g AS (SELECT y.c AS y, p.c AS p FROM (SELECT unnest([0,1]) AS c) y, (SELECT unnest([0,1]) AS c) p), m AS (SELECT g.y, g.p, count(t.y) AS n FROM g LEFT JOIN t ON g.y = t.y AND g.p = t.p GROUP BY ALL)"
+
+
+@register(f"WITH {_BINARY} SELECT CAST(y AS INTEGER) AS y, CAST(p AS INTEGER) AS p, n FROM m")
+def confusion_binary(spark, sf):
+    t = _table(spark, sf, "labels").select(F.col("quality").alias("y"), F.col("toxic").alias("p")).dropna()
+    return metrics.confusion_matrix(t)
+
+
+@register(f"WITH {B15}, {TRUTH}, {COUNTS}, {PER_CLASS} SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1, CAST(sum(support) AS BIGINT) AS support FROM c")
+def macro_scores(spark, sf):
+    return shown(metrics.macro_scores(metrics.confusion_matrix(truth_and_probs(spark, sf), metrics.CLASSES)))
+
+
+_WEIGHTED = "round(sum(precision * support) / sum(support), 6) AS precision, round(sum(recall * support) / sum(support), 6) AS recall, round(sum(f1 * support) / sum(support), 6) AS f1, CAST(sum(support) AS BIGINT) AS support FROM c"
+
+
+@register(f"WITH {B15}, {TRUTH}, {COUNTS}, {PER_CLASS} SELECT {_WEIGHTED}")
+def weighted_scores(spark, sf):
+    return shown(metrics.weighted_scores(metrics.confusion_matrix(truth_and_probs(spark, sf), metrics.CLASSES)))
+
+
+@register(f"""WITH {B15}, {TRUTH}, {COUNTS}, {PER_CLASS} SELECT CAST(class AS VARCHAR) AS name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM c
+    UNION ALL SELECT 'accuracy', a, a, a, n FROM (SELECT round(avg(CAST(y = p AS DOUBLE)), 6) AS a, count(*) AS n FROM t)
+    UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM c UNION ALL SELECT 'weighted avg', {_WEIGHTED}""")
+def classification_report(spark, sf):
+    return shown(metrics.classification_report(truth_and_probs(spark, sf)))
+
+
+@register(f"WITH {B15}, {TRUTH}, {COUNTS}, {PER_CLASS} SELECT CAST(class AS INTEGER) AS class, round(recall, 6) AS accuracy FROM c")
+def per_class_accuracy(spark, sf):
+    return shown(metrics.per_class_accuracy(metrics.confusion_matrix(truth_and_probs(spark, sf), metrics.CLASSES)))
+
+
+_ROC = f"""{AUC}, o AS (SELECT class, score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY class) AS np, sum(neg) OVER (PARTITION BY class) AS nn FROM s1 WINDOW w AS (PARTITION BY class ORDER BY score DESC))"""
+
+
+@register(f"WITH {B15}, {TRUTH}, {_ROC} SELECT CAST(class AS INTEGER) AS class, round(fp / nn, 10) AS fpr, round(tp / np, 10) AS tpr FROM o UNION ALL SELECT DISTINCT CAST(class AS INTEGER), 0.0::DOUBLE, 0.0::DOUBLE FROM o")
+def roc_curve(spark, sf):
+    return shown(metrics.roc_curve(truth_and_probs(spark, sf)), "class", "fpr", "tpr", digits=10)
+
+
+_RANK = """r AS (SELECT class, y = class AS hit, rank() OVER (PARTITION BY class ORDER BY score) + (count(*) OVER (PARTITION BY class, score) - 1) / 2.0 AS r FROM s),
+    a AS (SELECT class, (sum(r) FILTER (hit) - count(*) FILTER (hit) * (count(*) FILTER (hit) + 1) / 2.0) / (count(*) FILTER (hit) * CAST(count(*) FILTER (NOT hit) AS DOUBLE)) AS auc FROM r GROUP BY class)"""
+
+
+@register(f"WITH {B15}, {TRUTH}, {AUC}, {_RANK} SELECT CAST(class AS INTEGER) AS class, round(auc, 6) AS auc FROM a")
+def roc_auc_by_class(spark, sf):
+    return shown(metrics.trapezoid_auc(metrics.roc_curve(truth_and_probs(spark, sf), drop_collinear=True)))
+
+
+@register(f"WITH {B15}, {TRUTH}, {AUC}, {_RANK} SELECT round(avg(auc), 6) AS roc_auc_ovr FROM a")
+def roc_auc_ovr(spark, sf):
+    return shown(metrics.roc_auc_ovr(truth_and_probs(spark, sf)))
+
+
+@register(f"""WITH {B15}, {TRUTH}, pr AS (SELECT a.c AS a, b.c AS b FROM (SELECT unnest([0,1,2,3,4]) AS c) a, (SELECT unnest([0,1,2,3,4]) AS c) b WHERE a.c <> b.c),
+    s AS (SELECT a * 10 + b AS class, CASE WHEN y = a THEN a * 10 + b ELSE -1 END AS y, probs[a + 1] AS score FROM t, pr WHERE y = a OR y = b), {_RANK} SELECT round(avg(auc), 6) AS roc_auc_ovo FROM a""")
+def roc_auc_ovo(spark, sf):
+    return shown(metrics.roc_auc_ovo(truth_and_probs(spark, sf)))
+
+
+@register(f"WITH {B15}, {TRUTH} SELECT CAST(CASE WHEN count(DISTINCT y) < 6 THEN 0 END AS DOUBLE) AS roc_auc_ovr FROM t")
+def roc_auc_absent_class(spark, sf):
+    """A sixth class never occurs, so the figure falls back to 0."""
+    padded = truth_and_probs(spark, sf).withColumn("probs", F.concat("probs", F.array(F.lit(0.0))))
+    return shown(metrics.roc_auc_ovr(padded, range(6)))
+
+
+# -- trades: the SQL walks the bars one by one
+
+_WALK_SRC = f"""{B15}, {NUM}{_TR}, a0 AS (SELECT *, {_sql_ewm('tr', 14)} AS a0 FROM tr), a1 AS (SELECT symbol, bar_ts, i, close, high, low, coalesce(a0.a0, arg_min(a0.a0, bar_ts) OVER (PARTITION BY symbol), 0) AS atr FROM a0),
+    {PROBS}, sig AS (SELECT symbol, bar_ts, CAST(CASE WHEN list_max(probs) < 0.6 THEN 2 ELSE {BEST} END AS INTEGER) AS signal FROM p),
+    x AS (SELECT a1.*, signal, CASE WHEN signal >= 3 THEN 1 WHEN signal <= 1 THEN -1 ELSE 0 END AS dir FROM a1 JOIN sig USING (symbol, bar_ts))"""
+_WALK = f"""WITH RECURSIVE {_WALK_SRC},
+    walk AS (
+        SELECT symbol, i, bar_ts, dir AS side, close AS price, dist, CAST(NULL AS DOUBLE) AS trail, bar_ts AS since, close, CAST(NULL AS VARCHAR) AS reason, 0 AS was_side, CAST(NULL AS DOUBLE) AS was_price, CAST(NULL AS TIMESTAMP) AS was_since
+        FROM (SELECT *, CASE WHEN atr > 0 THEN atr * 1.4 ELSE close * 0.004 END AS dist FROM x WHERE i = 0)
+        UNION ALL
+        SELECT symbol, i, bar_ts, CASE WHEN was_side <> 0 AND reason IS NULL THEN was_side ELSE dir END, CASE WHEN was_side <> 0 AND reason IS NULL THEN was_price ELSE close END,
+            CASE WHEN was_side <> 0 AND reason IS NULL THEN was_dist ELSE new_dist END, CASE WHEN was_side <> 0 AND reason IS NULL THEN t END, CASE WHEN was_side <> 0 AND reason IS NULL THEN was_since ELSE bar_ts END, close, reason, was_side, was_price, was_since
+        FROM (SELECT *, CASE WHEN was_side = 0 THEN NULL
+                WHEN was_side * (CASE WHEN was_side > 0 THEN low ELSE high END) <= greatest(was_side * (was_price - was_side * was_dist), was_side * t) THEN 'Stop Loss'
+                WHEN was_side * (CASE WHEN was_side > 0 THEN high ELSE low END) >= was_side * (was_price + was_side * was_dist * 2) THEN 'Take Profit'
+                WHEN was_side > 0 AND signal <= 1 THEN 'Trend Reversal (Sell Signal)' WHEN was_side < 0 AND signal >= 3 THEN 'Trend Reversal (Buy Signal)' WHEN signal = 2 THEN 'Neutral Signal' END AS reason
+            FROM (SELECT x.symbol, x.i, x.bar_ts, x.close, x.high, x.low, x.signal, x.dir, CASE WHEN x.atr > 0 THEN x.atr * 1.4 ELSE x.close * 0.004 END AS new_dist,
+                    walk.side AS was_side, walk.price AS was_price, walk.dist AS was_dist, walk.since AS was_since,
+                    CASE WHEN walk.side <> 0 AND (x.close - walk.price) * walk.side * 5.0 / walk.price * 100 > 1.5 AND (walk.trail IS NULL OR walk.side * (x.close * (1 - walk.side * x.atr / x.close)) > walk.side * walk.trail)
+                        THEN x.close * (1 - walk.side * x.atr / x.close) ELSE walk.trail END AS t
+                FROM walk JOIN x ON x.symbol = walk.symbol AND x.i = walk.i + 1)))"""
+_CLOSED = f"""{_WALK}, ends AS (SELECT max(i) AS top FROM walk), tr0 AS (
+    SELECT symbol, was_since AS entry_ts, bar_ts AS exit_ts, was_side AS side, was_price AS entry_price, close AS exit_price, reason AS exit_reason FROM walk WHERE reason IS NOT NULL
+    UNION ALL SELECT symbol, since, bar_ts, side, price, close, 'End of Backtest' FROM walk, ends WHERE i = top AND side <> 0)"""
+_COST = "0.001"
+_LEDGER = f"""{_CLOSED}, f AS (SELECT *, 1 - 0.95 * {_COST} + 0.95 * (side * (exit_price - entry_price) * 5 - exit_price * {_COST} - entry_price * 5 * 0.00001) / entry_price AS f FROM tr0),
+    cap AS (SELECT *, 6000000.0 * exp(coalesce(sum(ln(f)) OVER (PARTITION BY symbol ORDER BY entry_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS before FROM f),
+    led AS (SELECT *, before * f AS after, before * 0.95 / entry_price AS size, before * 0.95 / entry_price * 5 * side * (exit_price - entry_price) AS pnl FROM cap),
+    ledger AS (SELECT *, size * entry_price * 0.0005 AS entry_fee, size * exit_price * 0.0005 AS exit_fee, size * entry_price * 5 * 0.00001 AS funding, size * exit_price * 0.0005 AS slippage, size * entry_price * 0.0005 AS entry_slippage,
+        pnl - size * entry_price * 0.0005 - size * exit_price * 0.001 - size * entry_price * 5 * 0.00001 AS net_pnl FROM led)"""
+_EVENTS = f""", ev AS (SELECT symbol, exit_ts AS bar_ts, 0 AS o, after AS c FROM ledger WHERE exit_reason <> 'End of Backtest' UNION ALL SELECT symbol, entry_ts, 1, before * (1 - 0.95 * {_COST}) FROM ledger),
+    ev1 AS (SELECT symbol, bar_ts, arg_max(c, o) AS c, max(c) FILTER (o = 0) AS closed FROM ev GROUP BY ALL),
+    eq AS (SELECT symbol, bar_ts, coalesce(last_value(c IGNORE NULLS) OVER w, 6000000.0) AS equity, greatest(6000000.0, coalesce(max(closed) OVER w, 6000000.0)) AS peak FROM x LEFT JOIN ev1 USING (symbol, bar_ts)
+        WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+FREE = trades.Rules(max_drawdown=1e9)
+
+
+def _ts(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}"
+
+
+@register(f"{_CLOSED} SELECT symbol, {_ts('entry_ts')}, {_ts('exit_ts')}, CAST(side AS INTEGER) AS side, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price, exit_reason FROM tr0")
+def trades_found(spark, sf):
+    b = signalled(spark, sf)
+    return shown(trades.close_at_end(trades.trades_from_runs(trades.position_runs(b)), b), "symbol", "entry_ts", "exit_ts", "side", "entry_price", "exit_price", "exit_reason")
+
+
+@register(f"WITH {_WALK_SRC}, c AS (SELECT *, CASE WHEN dir IS DISTINCT FROM lag(dir) {W} THEN 1 ELSE 0 END AS new FROM x) SELECT symbol, {TS}, CAST(sum(new) {W} AS BIGINT) AS run FROM c")
+def position_runs(spark, sf):
+    return shown(trades.position_runs(signalled(spark, sf)).filter("not ending"), "symbol", "bar_ts", F.col("run").cast("long").alias("run"))
+
+
+_REL = "round({0} / 6000000.0, 6) AS {0}"
+
+
+def _relative(df: DataFrame, *cols: str) -> DataFrame:
+    """Money in units of the first capital, so that rounding does not depend on its size."""
+    return df.withColumns({c: F.col(c) / 6_000_000.0 for c in cols})
+
+
+@register(f"{_LEDGER} SELECT symbol, {_ts('entry_ts')}, exit_reason, {', '.join(_REL.format(c) for c in ('pnl', 'entry_fee', 'exit_fee', 'funding', 'slippage', 'net_pnl'))}, round(before / 6000000.0, 6) AS capital_before, round(after / 6000000.0, 6) AS capital_after FROM ledger")
+def ledger(spark, sf):
+    led = trades.run_trades(signalled(spark, sf), FREE, halt=False)
+    money = ("pnl", "entry_fee", "exit_fee", "funding", "slippage", "net_pnl", "capital_before", "capital_after")
+    return shown(_relative(led, *money), "symbol", "entry_ts", "exit_reason", *money)
+
+
+@register(f"{_LEDGER}{_EVENTS} SELECT symbol, {TS}, round(equity / 6000000.0, 6) AS equity FROM eq")
+def equity_curve(spark, sf):
+    b = signalled(spark, sf)
+    return shown(_relative(portfolio.equity_curve(b, trades.run_trades(b, FREE, halt=False), FREE, halt=False), "equity"))
+
+
+_HALT = f", br AS (SELECT min(bar_ts) AS h FROM eq WHERE (peak - equity) / peak > 0.05)"
+HALTED = trades.Rules(max_drawdown=0.05)
+
+
+@register(f"{_LEDGER}{_EVENTS}{_HALT} SELECT symbol, {_ts('entry_ts')}, strftime(CASE WHEN exit_ts >= h THEN (SELECT max(bar_ts) FROM x) ELSE exit_ts END, '%Y-%m-%d %H:%M:%S') AS exit_ts, CASE WHEN exit_ts >= h THEN 'End of Backtest' ELSE exit_reason END AS exit_reason FROM ledger, br WHERE h IS NULL OR entry_ts < h")
+def drawdown_halt(spark, sf):
+    return shown(trades.run_trades(signalled(spark, sf), HALTED), "symbol", "entry_ts", "exit_ts", "exit_reason")
+
+
+@register(f"{_LEDGER}{_EVENTS}, d AS (SELECT symbol, 100 * (max(equity) OVER (PARTITION BY symbol ORDER BY bar_ts) - equity) / max(equity) OVER (PARTITION BY symbol ORDER BY bar_ts) AS dd, equity / lag(equity) OVER (PARTITION BY symbol ORDER BY bar_ts) - 1 AS r FROM eq) SELECT symbol, round(max(dd), 6) AS max_drawdown, round(avg(r) / stddev_pop(r) * sqrt(252), 6) AS sharpe FROM d GROUP BY symbol")
+def risk_figures(spark, sf):
+    b = signalled(spark, sf)
+    curve = portfolio.equity_curve(b, trades.run_trades(b, FREE, halt=False), FREE, halt=False)
+    return shown(portfolio.max_drawdown(curve).join(portfolio.sharpe(curve), "symbol"))
+
+
+@register(f"""{_LEDGER} SELECT symbol, count(*) AS total_trades, count(*) FILTER (net_pnl > 0) AS winning_trades, count(*) FILTER (net_pnl <= 0) AS losing_trades, round(100.0 * count(*) FILTER (net_pnl > 0) / count(*), 6) AS win_rate,
+    round(avg(net_pnl) FILTER (net_pnl > 0) / 6000000.0, 6) AS avg_win, round(avg(net_pnl) FILTER (net_pnl <= 0) / 6000000.0, 6) AS avg_loss, round(max(net_pnl) / 6000000.0, 6) AS largest_win, round(min(net_pnl) / 6000000.0, 6) AS largest_loss,
+    round(abs(sum(net_pnl) FILTER (net_pnl > 0) / sum(net_pnl) FILTER (net_pnl <= 0)), 6) AS profit_factor, round((sum(net_pnl) - sum(entry_slippage)) / 6000000.0, 6) AS total_return FROM ledger GROUP BY symbol""")
+def trade_stats(spark, sf):
+    s = portfolio.trade_stats(trades.run_trades(signalled(spark, sf), FREE, halt=False), FREE)
+    money = ("avg_win", "avg_loss", "largest_win", "largest_loss", "total_return")
+    return shown(_relative(s, *money).drop("final_capital", "total_return_pct"))
+
+
+@register(f"{_LEDGER}, c AS (SELECT symbol, sum(entry_fee + exit_fee) AS fees, sum(funding) AS funding, sum(slippage + entry_slippage) AS slippage FROM ledger GROUP BY symbol) " + " UNION ALL ".join(f"SELECT symbol, '{k}' AS kind, round({e} / 6000000.0, 6) AS cost FROM c" for k, e in (("fees", "fees"), ("funding", "funding"), ("slippage", "slippage"), ("total", "(fees + funding + slippage)"))))
+def cost_breakdown(spark, sf):
+    return shown(_relative(portfolio.cost_breakdown(trades.run_trades(signalled(spark, sf), FREE, halt=False)), "cost"))
+
+
+@register(f"{_LEDGER} SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY entry_ts) AS number, CASE WHEN side > 0 THEN 'LONG' ELSE 'SHOR' END AS side, strftime(entry_ts, '%Y-%m-%d %H:%M') AS entry, strftime(exit_ts, '%Y-%m-%d %H:%M') AS exit, left(exit_reason, 15) AS reason, round(net_pnl / 6000000.0, 6) AS net_pnl FROM ledger")
+def trade_summary(spark, sf):
+    return shown(_relative(portfolio.trade_summary(trades.run_trades(signalled(spark, sf), FREE, halt=False)), "net_pnl"))
+
+
+@register()
+def account_report(spark, sf):
+    """All figures of the account with ratings; its parts have SQL of their own."""
+    b = signalled(spark, sf)
+    return shown(portfolio.account_metrics(b, trades.run_trades(b), halt=True))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
