@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from candela.operators.scan import frame_window, framed, indexed, running
 from candela.operators.trades import Rules, start_of_bar
+from candela.sources.scratch import materialized
 
 
 def equity_curve(bars: DataFrame, ledger: DataFrame, rules: Rules = Rules(), halt: bool = True) -> DataFrame:
@@ -82,5 +83,6 @@ def rating_bands(metrics: DataFrame) -> DataFrame:
 
 def account_metrics(bars: DataFrame, ledger: DataFrame, rules: Rules = Rules(), halt: bool = True) -> DataFrame:
     """trade_stats, cost totals, max_drawdown and sharpe of every symbol, rated."""
-    curve = equity_curve(bars, ledger, rules, halt)
+    ledger = materialized(ledger, "ledger")
+    curve = materialized(equity_curve(bars, ledger, rules, halt), "curve")
     return rating_bands(trade_stats(ledger, rules).join(max_drawdown(curve), "symbol").join(sharpe(curve), "symbol"))

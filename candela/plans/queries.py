@@ -15,24 +15,31 @@ from candela.functions.columns import argmax, confidence, cyclical_time, dist_fr
 from candela.operators import align, indicators, labels, metrics, portfolio, samples, scan, trades
 from candela.operators.bars import bars_from_ticks, drop_empty_bars, multi_timeframe, resample_ohlcv
 from candela.plans import dataset
+from candela.sources.scratch import materialized
 from candela.sources.tables import date_range, rounded
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
-QTY = F.get_json_object("props", "$.k").cast("double")
-PRICE = F.lit(100.0) + F.col("value") / 50
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def qty() -> Column:
+    return F.get_json_object("props", "$.k").cast("double")
+
+
+def price() -> Column:
+    return F.lit(100.0) + F.col("value") / 50
+
+
 def bars(spark: SparkSession, sf: str, every: str = "15 minutes") -> DataFrame:
-    return bars_from_ticks(_table(spark, sf, "events"), PRICE, QTY, every, tie=["event_id"])
+    return bars_from_ticks(_table(spark, sf, "events"), price(), qty(), every, tie=["event_id"])
 
 
 def bars_by_type(spark: SparkSession, sf: str, every: str = "1 hour") -> DataFrame:
-    return bars_from_ticks(_table(spark, sf, "events"), PRICE, QTY, every, symbol=F.col("event_type"), tie=["event_id"])
+    return bars_from_ticks(_table(spark, sf, "events"), price(), qty(), every, symbol=F.col("event_type"), tie=["event_id"])
 
 
 def probabilities(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,7 +170,7 @@ def bars_4h(spark, sf):
 
 @register(f"WITH b AS ({_sql_bars('1 day')}) SELECT {_BAR_COLS} FROM b")
 def bars_1d(spark, sf):
-    ticks = _table(spark, sf, "events").select(F.lit("ALL").alias("symbol"), F.col("ts").alias("bar_ts"), *[PRICE.alias(c) for c in ("open", "high", "low", "close")], QTY.alias("volume"))
+    ticks = _table(spark, sf, "events").select(F.lit("ALL").alias("symbol"), F.col("ts").alias("bar_ts"), *[price().alias(c) for c in ("open", "high", "low", "close")], qty().alias("volume"))
     return shown(multi_timeframe(ticks, dataset.SIZES)["daily"])
 
 
@@ -184,8 +191,8 @@ def bars_with_ties(spark, sf):
     FROM lineitem GROUP BY l_returnflag, l_shipdate""")
 def bars_daily_large(spark, sf):
     items = _table(spark, sf, "lineitem").withColumn("ts", F.col("l_shipdate").cast("timestamp_ntz"))
-    price, qty = F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double"), F.col("l_quantity").cast("double")
-    return shown(bars_from_ticks(items, price, qty, "1 day", symbol=F.col("l_returnflag"), tie=["l_orderkey", "l_linenumber"]), "symbol", "bar_ts", "high", "low", "volume", digits=9)
+    quantity = F.col("l_quantity").cast("double")
+    return shown(bars_from_ticks(items, F.col("l_extendedprice").cast("double") / quantity, quantity, "1 day", symbol=F.col("l_returnflag"), tie=["l_orderkey", "l_linenumber"]), "symbol", "bar_ts", "high", "low", "volume", digits=9)
 
 
 @register(f"WITH {B15} SELECT {_BAR_COLS} FROM b WHERE bar_ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'")
@@ -353,7 +360,7 @@ def apply_minmax(spark, sf):
 @register()
 def build_dataset(spark, sf):
     """The whole chain with a volatility window of 60 hours, as there are few bars."""
-    ticks = _table(spark, sf, "events").select(F.lit("ALL").alias("symbol"), F.col("ts").alias("bar_ts"), *[PRICE.alias(c) for c in ("open", "high", "low", "close")], QTY.alias("volume"))
+    ticks = _table(spark, sf, "events").select(F.lit("ALL").alias("symbol"), F.col("ts").alias("bar_ts"), *[price().alias(c) for c in ("open", "high", "low", "close")], qty().alias("volume"))
     out, _ = dataset.build_dataset(multi_timeframe(ticks, dataset.SIZES), dataset.Settings(volatility_window=60), must_exist=False)
     return shown(out)
 
@@ -589,7 +596,7 @@ def drawdown_halt(spark, sf):
 @register(f"{_LEDGER}{_EVENTS}, d AS (SELECT symbol, 100 * (max(equity) OVER (PARTITION BY symbol ORDER BY bar_ts) - equity) / max(equity) OVER (PARTITION BY symbol ORDER BY bar_ts) AS dd, equity / lag(equity) OVER (PARTITION BY symbol ORDER BY bar_ts) - 1 AS r FROM eq) SELECT symbol, round(max(dd), 6) AS max_drawdown, round(avg(r) / stddev_pop(r) * sqrt(252), 6) AS sharpe FROM d GROUP BY symbol")
 def risk_figures(spark, sf):
     b = signalled(spark, sf)
-    curve = portfolio.equity_curve(b, trades.run_trades(b, FREE, halt=False), FREE, halt=False)
+    curve = materialized(portfolio.equity_curve(b, trades.run_trades(b, FREE, halt=False), FREE, halt=False), "curve")
     return shown(portfolio.max_drawdown(curve).join(portfolio.sharpe(curve), "symbol"))
 
 
