@@ -85,7 +85,7 @@ class Block:
         change = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(change, start, 1)
         np.add.at(change, end, -1)
-        gone = np.cumsum(change[:-1]) > 0
+        gone = np.cumsum(change[:-1], dtype=np.int32) > 0
         out = []
         at = 0
         for i, text in enumerate(self.texts):
@@ -280,9 +280,7 @@ class Runs:
     def __init__(self, b: Block):
         first, last, key, doc = [], [], [], []
         n, size = len(b.data), 1 << PIECE_BITS
-        valid = np.zeros(n, np.int32)
-        long = b.end - b.start >= LENGTH
-        text = np.repeat(np.arange(len(b.start)), b.end - b.start)
+        text = np.repeat(np.arange(len(b.start), dtype=np.int32), b.end - b.start)
         for lo in range(0, n - LENGTH + 1, size - LENGTH):
             part = b.data[lo : min(n, lo + size)]
             if len(part) < LENGTH:
@@ -411,6 +409,27 @@ def refine(data: np.ndarray, end: np.ndarray) -> np.ndarray:
     return pointer
 
 
+REFINE_BYTES = 1 << 18  # of segments that are refined at once, but for a single key's
+
+
+def _key_batches(of_key: np.ndarray, mixed: np.ndarray, size: np.ndarray, kind: np.ndarray, entries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Kinds of segments and entries of those kinds, whole keys together, about REFINE_BYTES of kinds at a time."""
+    kinds = np.flatnonzero(mixed)
+    if not len(kinds):
+        return
+    kinds = kinds[np.argsort(of_key[kinds], kind="stable")]
+    first = np.append(True, np.diff(of_key[kinds]) > 0)
+    before = (np.cumsum(size[kinds]) - size[kinds])[first]  # bytes before each key
+    batch = np.repeat(before // REFINE_BYTES, np.diff(np.append(np.flatnonzero(first), len(kinds))))
+    batch_of = np.full(len(mixed), -1)
+    batch_of[kinds] = batch
+    entries = entries[np.argsort(batch_of[kind[entries]], kind="stable")]
+    theirs = batch_of[kind[entries]]
+    for b in np.unique(batch):
+        lo, hi = np.searchsorted(theirs, [b, b + 1])
+        yield kinds[np.searchsorted(batch, b) : np.searchsorted(batch, b + 1)], entries[lo:hi]
+
+
 def answer_segments(f: pd.DataFrame) -> pd.DataFrame:
     """To each block, by its segments' numbers, the byte spans of those strings that a smaller doc_id has."""
     size = np.frombuffer(joined(f["size"]), "<i4").astype(np.int64)
@@ -427,14 +446,14 @@ def answer_segments(f: pd.DataFrame) -> pd.DataFrame:
     np.minimum.at(least, kind, owner)
     example = np.zeros(n, np.int64)
     example[kind] = np.arange(len(kind))
-    kinds = np.bincount(np.unique(key[example], return_inverse=True)[1]) if n else np.zeros(0, np.int64)
     of_key = np.unique(key[example], return_inverse=True)[1] if n else np.zeros(0, np.int64)
-    mixed = kinds[of_key] > 1 if n else np.zeros(0, bool)
+    mixed = np.bincount(of_key)[of_key] > 1 if n else np.zeros(0, bool)
     # A gram with one kind of segment: its least document decides for all strings at once.
     whole = ~mixed[kind] & (least[kind] < owner)
     out_entry, out_from, out_to = [np.flatnonzero(whole)], [np.zeros(whole.sum(), np.int64)], [size[whole]]
-    many = np.flatnonzero(mixed)
-    if len(many):
+    # The others are refined, some keys at a time; strings of different keys are never equal.
+    entries = np.flatnonzero(mixed[kind])
+    for many, mine in _key_batches(of_key, mixed, size[example], kind, entries):
         e = example[many]
         data = np.frombuffer(raw, np.uint8)[ranges(begin[e], size[e])]
         end = np.cumsum(size[e])
@@ -442,25 +461,23 @@ def answer_segments(f: pd.DataFrame) -> pd.DataFrame:
         pointer = refine(data, np.repeat(end, size[e]))
         strings = size[e] - LENGTH + 1
         p = ranges(start, strings)
-        which = np.repeat(np.arange(len(e)), strings)
         best = np.full(int(pointer.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(best, pointer[p], least[many][which])
-        # Every entry of a mixed kind, string by string.
+        np.minimum.at(best, pointer[p], np.repeat(least[many], strings))
         place = np.full(n, -1)
         place[many] = np.arange(len(many))
-        entry = np.flatnonzero(mixed[kind])
-        k = place[kind[entry]]
-        p = ranges(start[k], strings[k])
-        row = np.repeat(np.arange(len(entry)), strings[k])
-        gone = best[pointer[p]] < owner[entry][row]
-        p, row = p[gone], row[gone]
-        if len(p):
-            new = np.append(True, (np.diff(p) != 1) | (np.diff(row) != 0))
-            head = np.flatnonzero(new)
-            tail = np.append(head[1:], len(p)) - 1
-            out_entry.append(entry[row[head]])
-            out_from.append(p[head] - start[k[row[head]]])
-            out_to.append(p[tail] - start[k[row[tail]]] + LENGTH)
+        for at in range(0, len(mine), 1 << 14):  # every entry, string by string
+            entry = mine[at : at + (1 << 14)]
+            k = place[kind[entry]]
+            p = ranges(start[k], strings[k])
+            row = np.repeat(np.arange(len(entry)), strings[k])
+            gone = best[pointer[p]] < owner[entry][row]
+            p, row = p[gone], row[gone]
+            if len(p):
+                head = np.flatnonzero(np.append(True, (np.diff(p) != 1) | (np.diff(row) != 0)))
+                tail = np.append(head[1:], len(p)) - 1
+                out_entry.append(entry[row[head]])
+                out_from.append(p[head] - start[k[row[head]]])
+                out_to.append(p[tail] - start[k[row[tail]]] + LENGTH)
     entry, lo, hi = np.concatenate(out_entry), np.concatenate(out_from), np.concatenate(out_to)
     order = np.argsort(block[entry], kind="stable")
     rows = []
