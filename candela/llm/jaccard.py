@@ -278,6 +278,6 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def without_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns: of each class the one with the smallest doc_id."""
-    kept = jaccard_join(docs, threshold).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    with_id = docs.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    kept = jaccard_join(docs, threshold).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+    with_id = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept_id"), "left_semi")
     return with_id.unionByName(docs.filter(F.col("doc_id").isNull()))

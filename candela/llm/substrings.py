@@ -539,12 +539,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     ones among them, stay as they are."""
     schema, names = docs.schema, docs.columns
     carry = [c for c in names if c not in ("doc_id", "text")]
-    marked = docs.withColumn("text_is_null", F.col("text").isNull())
+    marked = docs.withColumn("__text_is_null", F.col("text").isNull())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b, r, rows in strings_cut(frames):
             carried = [r["carried"][i] for i in b.order]
-            texts = [x[5].decode(errors="ignore") if x[2] else None if c["text_is_null"] else x[5].decode() for x, c in zip(rows, carried, strict=True)]
+            texts = [x[5].decode(errors="ignore") if x[2] else None if c["__text_is_null"] else x[5].decode() for x, c in zip(rows, carried, strict=True)]
             out = {"doc_id": pd.array([x[0] for x in rows], "Int64"), "text": texts}
             for c in carry:
                 values = [v[c] for v in carried]
@@ -553,4 +553,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 out[c] = values
             yield pd.DataFrame({c: out[c] for c in names})
 
-    return _with_spans(marked, [*carry, "text_is_null"]).mapInPandas(run, schema)
+    return _with_spans(marked, [*carry, "__text_is_null"]).mapInPandas(run, schema)
