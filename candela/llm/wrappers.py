@@ -210,7 +210,7 @@ def slots(wrapper: list, path: str = "") -> Iterator[str]:
 
 def as_expression(wrapper: list) -> str:
     """The wrapper written as a regular expression over tags and #text."""
-    inner = " ".join((x if x == "#" else as_expression(x)) + f for f, x in wrapper[1:])
+    inner = " ".join(("#text" if x == "#" else as_expression(x)) + f for f, x in wrapper[1:])
     return f"({inner})" if wrapper[0] == "" else f"<{wrapper[0]}> {inner} </>".replace("  ", " ")
 
 
