@@ -15,8 +15,8 @@ from candela.functions.columns import argmax, confidence, cyclical_time, dist_fr
 from candela.operators import align, indicators, labels, metrics, portfolio, samples, scan, trades
 from candela.operators.bars import bars_from_ticks, drop_empty_bars, multi_timeframe, resample_ohlcv
 from candela.plans import dataset
-from candela.sources.scratch import materialized
-from candela.sources.tables import date_range, rounded
+from candela.sources.scratch import materialized, scratch_path
+from candela.sources.tables import OHLCV, date_range, read_dataset, read_ohlcv, read_scaler, rounded, write_dataset, write_scaler
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
@@ -626,6 +626,100 @@ def account_report(spark, sf):
     return shown(portfolio.account_metrics(b, trades.run_trades(b), halt=True))
 
 
+# -- sources again, and pieces of larger queries
+
+
+@register(f"WITH {B15} SELECT symbol, {TS}, {_r('round(open, 6)', 'open')}, {_r('round(close, 6)', 'close')}, {_r('volume', 'volume')} FROM b")
+def ohlcv_from_csv(spark, sf):
+    """Bars written as CSV with epoch milliseconds and a header in capitals, and read again."""
+    path = scratch_path(spark, "csv")
+    b = bars(spark, sf).withColumn("TIMESTAMP", F.unix_millis(F.col("bar_ts").cast("timestamp")))
+    b.select("TIMESTAMP", *[F.round(c, DIGITS).alias(c.upper()) for c in OHLCV]).write.option("header", True).csv(path)
+    return shown(read_ohlcv(spark, path), "symbol", "bar_ts", "open", "close", "volume")
+
+
+@register(f"WITH {B15} SELECT symbol, {TS}, round_even(close, 5) AS close, {_r('volume', 'volume')} FROM b")
+def dataset_round_trip(spark, sf):
+    path = scratch_path(spark, "dataset")
+    write_dataset(bars(spark, sf).select("symbol", "bar_ts", "close", "volume"), path)
+    return shown(read_dataset(spark, f"{path}/parquet"))
+
+
+@register(f"WITH {B15}, s AS ({_MINMAX}) SELECT feature, {_r('lo', 'min')}, {_r('hi', 'max')} FROM s")
+def scaler_round_trip(spark, sf):
+    path = scratch_path(spark, "scaler")
+    write_scaler(labels.fit_minmax(bars(spark, sf), ["close", "volume"]), path)
+    return shown(read_scaler(spark, path))
+
+
+def _by_symbol(f: Callable[[DataFrame], DataFrame], name: str) -> Query:
+    return lambda spark, sf: shown(f(scan.indexed(bars_by_type(spark, sf))), "symbol", "bar_ts", name)
+
+
+_B5 = f"b AS ({_sql_bars('1 hour', 'event_type')})"
+_queries["rsi_by_symbol"] = _by_symbol(lambda b: indicators.rsi(b, 14, "rsi"), "rsi")
+_sql["rsi_by_symbol"] = f"WITH {_B5}, {NUM}" + _ind_select(_UPDOWN, {"rsi": "100 * u / nullif(u + v, 0)"}, "ud")
+_queries["ema_by_symbol"] = _by_symbol(lambda b: indicators.ema(b, "close", 10, "ema"), "ema")
+_sql["ema_by_symbol"] = f"WITH {_B5}, {NUM}" + _ind_select("", {"ema": _sql_ema("close", 10)})
+_queries["obv_by_symbol"] = _by_symbol(lambda b: indicators.obv(b, "obv"), "obv")
+_sql["obv_by_symbol"] = f"WITH {_B5}, {NUM}" + _ind_select(_DELTA, {"obv": f"sum(coalesce(sign(d), 1) * volume) {W}"}, "d")
+
+
+@register(f"WITH {B15}, {_H1}, {_FILLED} SELECT symbol, {TS}, {_r('coalesce(v, 0.003)', 'h1_close')} FROM f")
+def fill_const(spark, sf):
+    b = bars(spark, sf).select("symbol", "bar_ts").join(_hours(spark, sf), ["symbol", "bar_ts"], "left")
+    return shown(align.fill_const(align.ffill(b, ["h1_close"]), "h1_close", 0.003), "symbol", "bar_ts", "h1_close")
+
+
+@register(f"WITH {B15}, {NUM}{_TR}, a AS (SELECT *, {_sql_ewm('tr', 14)} AS atr FROM tr) SELECT symbol, {TS}, {_r('coalesce(atr, arg_min(atr, bar_ts) OVER (PARTITION BY symbol), 0.003) / close * 1.4', 'stop_distance')} FROM a")
+def stop_distance(spark, sf):
+    return shown(labels.stop_distance(scan.indexed(bars(spark, sf))), "symbol", "bar_ts", "stop_distance")
+
+
+@register(f"""WITH {B15}, {_sql_label()}, {_SAMPLE}, k AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM q WHERE sample >= 0), e AS (SELECT *, floor(n * CAST(0.7 AS DOUBLE)) AS a, floor(n * (CAST(0.7 AS DOUBLE) + CAST(0.15 AS DOUBLE))) AS z FROM k)
+    SELECT symbol, {TS}, sample, CASE WHEN sample < a THEN 'train' WHEN sample < z THEN 'validation' ELSE 'test' END AS split FROM e WHERE NOT (sample >= a AND sample < a + 63) AND NOT (sample >= z AND sample < z + 63)""")
+def chrono_split_purged(spark, sf):
+    """Without the samples whose windows reach over a boundary."""
+    return shown(samples.chrono_split(_samples(spark, sf).drop("window"), index="sample", purge=63), "symbol", "bar_ts", "sample", "split")
+
+
+@register(f"""WITH {_WALK_SRC} SELECT symbol, {TS}, CAST(dir AS INTEGER) AS side, round(CASE WHEN dir <> 0 THEN close - dir * CASE WHEN atr > 0 THEN atr * 1.4 ELSE close * 0.004 END END, 6) AS stop,
+    round(CASE WHEN dir <> 0 THEN close + dir * 2 * CASE WHEN atr > 0 THEN atr * 1.4 ELSE close * 0.004 END END, 6) AS target FROM x""")
+def entry_levels(spark, sf):
+    b = signalled(spark, sf).withColumn("side", trades.signal_to_side(F.col("signal")))
+    stop, target = trades.entry_levels(F.col("close"), F.col("atr"), F.col("side").cast("double"))
+    there = F.col("side") != 0
+    return shown(b, "symbol", "bar_ts", "side", F.when(there, stop).alias("stop"), F.when(there, target).alias("target"))
+
+
+@register(f"{_LEDGER} SELECT symbol, {_ts('entry_ts')}, round((entry_fee + exit_fee + funding + slippage) / 6000000.0, 6) AS total_fees, round(100 * pnl / (size * entry_price), 6) AS pnl_pct, net_pnl > 0 AS is_profitable FROM ledger")
+def trade_costs(spark, sf):
+    led = trades.run_trades(signalled(spark, sf), FREE, halt=False)
+    return shown(_relative(led, "total_fees"), "symbol", "entry_ts", "total_fees", "pnl_pct", "is_profitable")
+
+
+@register(f"{_LEDGER} SELECT row_number() OVER (PARTITION BY symbol ORDER BY entry_ts) AS number, symbol, {_ts('entry_ts')}, {_ts('exit_ts')}, CAST(side AS INTEGER) AS side, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price, 5.0::DOUBLE AS leverage, exit_reason, 1 AS holding_periods, 0 AS pyramid_level FROM ledger")
+def trade_detail(spark, sf):
+    out = portfolio.trade_detail(trades.run_trades(signalled(spark, sf), FREE, halt=False))
+    return shown(out, "number", "symbol", "entry_ts", "exit_ts", "side", "entry_price", "exit_price", "leverage", "exit_reason", "holding_periods", "pyramid_level")
+
+
+@register(f"{_LEDGER}{_EVENTS}{_HALT} SELECT symbol, {TS}, round(equity / 6000000.0, 6) AS equity FROM eq, br WHERE h IS NULL OR bar_ts <= h")
+def equity_curve_halted(spark, sf):
+    b = materialized(signalled(spark, sf), "signals")
+    return shown(_relative(portfolio.equity_curve(b, trades.run_trades(b, HALTED, halt=False), HALTED), "equity"))
+
+
+@register(f"""{_LEDGER}{_EVENTS}, d AS (SELECT symbol, 100 * (max(equity) OVER (PARTITION BY symbol ORDER BY bar_ts) - equity) / max(equity) OVER (PARTITION BY symbol ORDER BY bar_ts) AS dd, equity / lag(equity) OVER (PARTITION BY symbol ORDER BY bar_ts) - 1 AS r FROM eq),
+    a AS (SELECT symbol, max(dd) AS dd, avg(r) / stddev_pop(r) * sqrt(252) AS sharpe FROM d GROUP BY symbol), b1 AS (SELECT symbol, 100.0 * count(*) FILTER (net_pnl > 0) / count(*) AS win, abs(sum(net_pnl) FILTER (net_pnl > 0) / sum(net_pnl) FILTER (net_pnl <= 0)) AS pf FROM ledger GROUP BY symbol)
+    SELECT symbol, CASE WHEN win >= 50 THEN 'good' WHEN win >= 40 THEN 'fair' ELSE 'poor' END AS win_rate_rating, CASE WHEN pf > 1.5 THEN 'good' WHEN pf > 1 THEN 'fair' ELSE 'poor' END AS profit_factor_rating,
+    CASE WHEN sharpe > 1 THEN 'good' WHEN sharpe > 0 THEN 'fair' ELSE 'poor' END AS sharpe_rating, CASE WHEN dd < 10 THEN 'good' WHEN dd < 20 THEN 'fair' ELSE 'poor' END AS max_drawdown_rating FROM a JOIN b1 USING (symbol)""")
+def rating_bands(spark, sf):
+    b = materialized(signalled(spark, sf), "signals")
+    out = portfolio.account_metrics(b, trades.run_trades(b, FREE, halt=False), FREE, halt=False)
+    return out.select("symbol", *[f"{c}_rating" for c in ("win_rate", "profit_factor", "sharpe", "max_drawdown")])
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no spark.checkpoint.dir.
 DEFAULT_SCRATCH = "file:///tmp/checkpoints"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder all executors share."""
+    root = (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SCRATCH).rstrip("/")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def materialized(df: DataFrame, name: str = "table") -> DataFrame:
     """df written as Parquet into the folder all executors share, and read again. Runs the job at once."""
     spark = df.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SCRATCH).rstrip("/")
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
