@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, ranges, text_or_empty
+from .common import PrefixHash, id_text, ids_of, ranges, text_or_empty
 
 # Code points with the Unicode property White_Space.
 WHITE_SPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -461,13 +461,17 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
     names = [c for c in docs.columns if c not in ("token_ids", "token_offsets", "decoded")]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("token_offsets", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator) -> Iterator:
+        import pyarrow as pa
+
         bpe = load(path)
-        for f in frames:
-            ids = bpe.encode([t if isinstance(t, str) else "" for t in f[text]])
-            yield f.assign(token_ids=[x.astype(np.int32) for x in ids], token_offsets=[bpe.offsets(x).astype(np.int32) for x in ids], decoded=[bpe.decode(x).decode() for x in ids])
+        for b in parts:
+            ids = bpe.encode([t or "" for t in b.column(names.index(text)).to_pylist()])
+            lists = pa.list_(pa.int32())
+            more = [pa.array([x.astype(np.int32) for x in ids], lists), pa.array([bpe.offsets(x).astype(np.int32) for x in ids], lists), pa.array([bpe.decode(x).decode() for x in ids], pa.string())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*names, "token_ids", "token_offsets", "decoded"])
 
-    return docs.select(*names).mapInPandas(run, schema)
+    return docs.select(*names).mapInArrow(run, schema)
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -479,13 +483,13 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
         for f in frames:
             ids = bpe.encode(list(f["t"]))
             yield pd.DataFrame({
-                "doc_id": f["doc_id"],
+                "doc_id": ids_of(f["doc_id"]),
                 "n_tokens": np.array([len(x) for x in ids], np.int64),
                 "ids_sha256": [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids],
                 "decoded_sha256": [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids],
             })
 
-    return docs.select("doc_id", text_or_empty().alias("t")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_text("doc_id"), text_or_empty().alias("t")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def crc32_ids(ids: np.ndarray) -> int:

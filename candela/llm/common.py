@@ -6,6 +6,7 @@ import math
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,15 @@ def text_or_empty(c: Column | str = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def id_text(c: str) -> Column:
+    """Ids on their way through pandas, where whole numbers beside nulls would become doubles."""
+    return F.col(c).cast("long").cast("string").alias(c)
+
+
+def ids_of(texts) -> pd.api.extensions.ExtensionArray:
+    return pd.array([pd.NA if t is None else int(t) for t in texts], dtype="Int64")
+
+
 def total_bytes(df: DataFrame, text: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0)
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, n_blocks, text_or_empty, total_bytes
+from .common import PrefixHash, id_text, ids_of, n_blocks, text_or_empty, total_bytes
 
 SIZE = 128  # hashes of a fingerprint
 MOST_PHRASES = 1 << 20  # the dictionary begins anew then, which bounds memory for very long texts
@@ -110,12 +110,12 @@ def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
 
     @F.pandas_udf("array<int>")
     def goes_to(d: pd.Series) -> pd.Series:
-        own = np.where(d.isna(), 0, np.searchsorted(edges, d.fillna(-np.inf).to_numpy(np.float64), "right"))
-        keys = [None if pd.isna(x) else int(x) for x in d]
+        keys = [None if x is None else int(x) for x in d]
+        own = [0 if k is None else int(np.searchsorted(edges, float(k), "right")) for k in keys]
         return pd.Series([[int(b), to[k]] if k in to else [int(b)] for b, k in zip(own, keys, strict=True)])
 
     n = firsts[-1][0] + 1
-    spread = rows.select("doc_id", "t", F.posexplode(goes_to("doc_id")).alias("halo", "bucket"))
+    spread = rows.select("doc_id", "t", F.posexplode(goes_to(id_text("doc_id"))).alias("halo", "bucket"))
     return spread.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "halo", F.col("doc_id").asc_nulls_first(), F.crc32(F.col("t").cast("binary")), "t"), n
 
 
@@ -143,6 +143,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
                     new = signature(edited, parse.feed(text[:k]).ends)
                     out.append((was, len(before), hashlib.sha256(edited.encode()).hexdigest(), written(had), written(new), likeness(had, new), likeness(had, sig)))
                 held = None if halo else (doc, text, half, sig, halo, bucket)
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
+            made = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            yield made.assign(doc_id=ids_of(made["doc_id"]))
 
-    return rows.mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.withColumn("doc_id", id_text("doc_id")).mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import WHITE_SPACE
-from .common import PrefixHash, batches, mix64, n_blocks, ranges, stored, text_or_empty
+from .common import PrefixHash, batches, id_text, ids_of, mix64, n_blocks, ranges, stored, text_or_empty
 from .graph import components, spanning
 
 NGRAM, THRESHOLD = 5, 0.8
@@ -137,10 +137,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 stop = np.cumsum(count)
                 for k, (z, n) in enumerate(zip(stop, count, strict=True)):
                     parts.append((digest(words[z - n : z]) if n else None, sig[k].tobytes() if n else None))
-            yield pd.DataFrame({"doc_id": f["doc_id"], "words": [p[0] for p in parts], "sig": [p[1] for p in parts]})
+            yield pd.DataFrame({"doc_id": ids_of(f["doc_id"]), "words": [p[0] for p in parts], "sig": [p[1] for p in parts]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("t"))
-    return rows.mapInPandas(run, "doc_id long, words binary, sig binary")
+    return docs.select(id_text("doc_id"), text_or_empty().alias("t")).mapInPandas(run, "doc_id long, words binary, sig binary")
 
 
 def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import n_blocks, stored, text_or_empty
+from .common import id_text, ids_of, n_blocks, stored, text_or_empty
 
 WINDOW = 1024
 END_ID = 0
@@ -99,9 +99,10 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
             for doc, ids in zip(f["doc_id"], encoder.encode(list(f["t"])), strict=True):
                 ids = np.append(ids, np.uint32(end_id))
                 rows += [(doc, s, min(window, len(ids) - s), bpe.crc32_ids(ids[s : s + window]), len(ids)) for s in range(0, len(ids), window)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield out.assign(doc_id=ids_of(out["doc_id"]))
 
-    return docs.select("doc_id", text_or_empty().alias("t")).mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(id_text("doc_id"), text_or_empty().alias("t")).mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def place(cut: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, n_blocks, ranges, scratch_path, stored, text_or_empty, total_bytes
+from .common import ids_of, mix64, n_blocks, ranges, scratch_path, stored, text_or_empty, total_bytes
 
 BLOCK_BYTES = 4 << 20
 MOST_BUCKETS = 50_000
@@ -105,6 +105,12 @@ class Block:
         return out
 
 
+def as_frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame([x[1:] for x in rows], columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+    out.insert(0, "doc_id", ids_of([x[0] for x in rows]))
+    return out
+
+
 def each_block(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, Block, dict]]:
     for f in frames:
         names = [c for c in f.columns if c not in ("block", "ids", "keys", "texts", "reps")]
@@ -233,7 +239,7 @@ def cut_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chunks = np.bincount(doc, minlength=len(b.rep)) if len(b.rep) else np.zeros(0, np.int64)
         n = np.zeros(len(b.ids), np.int64)
         n[b.rep] = chunks
-        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).assign(n_chunks=n).astype({"doc_id": "Int64"})
+        yield as_frame(rows).assign(n_chunks=n)
 
 
 def chunk_dedup(docs: DataFrame) -> DataFrame:
@@ -507,7 +513,7 @@ def strings_cut(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[Block, dict, l
 
 def cut_strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for _, _, rows in strings_cut(frames):
-        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
+        yield as_frame(rows)
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -545,12 +551,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         for b, r, rows in strings_cut(frames):
             carried = [r["carried"][i] for i in b.order]
             texts = [x[5].decode(errors="ignore") if x[2] else None if c["__text_is_null"] else x[5].decode() for x, c in zip(rows, carried, strict=True)]
-            out = {"doc_id": pd.array([x[0] for x in rows], "Int64"), "text": texts}
+            out = {"doc_id": ids_of([x[0] for x in rows]), "text": texts}
             for c in carry:
                 values = [v[c] for v in carried]
                 if c == "n_chars":
                     values = pd.array([len(t) if x[2] else v for x, t, v in zip(rows, texts, values, strict=True)], "Int64")
-                out[c] = values
+                out[c] = pd.Series(list(values), dtype=object) if c != "n_chars" else values
             yield pd.DataFrame({c: out[c] for c in names})
 
     return _with_spans(marked, [*carry, "__text_is_null"]).mapInPandas(run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import LETTER, PreTokenizer
-from .common import PrefixHash, text_or_empty
+from .common import PrefixHash, id_text, ids_of, text_or_empty
 
 SAMPLE = 8000  # labelled documents that the model is fitted on
 MOST_FEATURES = 1 << 14
@@ -246,10 +246,10 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             s = model.scores(list(f["t"]))
-            held = [not pd.isna(d) and zlib.crc32(str(int(d)).encode()) % FOLDS == 0 for d in f["doc_id"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "held_out": held, "score": s, "predicted": (s >= 0.5).astype(np.int32)})
+            held = [d is not None and zlib.crc32(d.encode()) % FOLDS == 0 for d in f["doc_id"]]
+            yield pd.DataFrame({"doc_id": ids_of(f["doc_id"]), "held_out": held, "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
-    return docs.select("doc_id", text_or_empty().alias("t")).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(id_text("doc_id"), text_or_empty().alias("t")).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import id_text, ids_of, stored
 
 # Elements by their role in HTML, and words of class names and ids that mark what is no main text.
 RAW = "script style noscript template iframe object svg math canvas audio video select textarea button title".split()
@@ -305,10 +305,10 @@ def extract(pages: DataFrame, judged: DataFrame) -> DataFrame:
             kept = [(p, t) for p, t, _ in blocks(page or "")[0] if p in keep]
             inner = [t for p, t in kept if p in main]
             texts.append("\n".join(inner or [t for _, t in kept]))
-        return pd.DataFrame({"page_id": f["page_id"], "url": f["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+        return pd.DataFrame({"page_id": ids_of(f["page_id"]), "url": f["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     wanted = judged.filter("keep").select("host", "path", "main")
-    rows_needed = pages.select("page_id", "url", "html")
+    rows_needed = pages.select(id_text("page_id"), "url", "html")
     few = wanted.limit(MOST_BROADCAST + 1).collect()
     if len(few) <= MOST_BROADCAST:
         sets: dict[str, tuple[set, set]] = {}

@@ -80,6 +80,16 @@ def test_digests_and_general_form(spark, encoding):
     assert bpe.encode_digests(df.limit(0), TIK).count() == 0
 
 
+def test_large_ids_beside_null_ids(spark):
+    from candela.llm import fingerprints, jaccard, substrings, toxicity
+
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(big, "a b c d e f g", "x", "y"), (None, "h", "x", "y")], DOCS).coalesce(1)
+    labels = spark.createDataFrame([(big, 1, 0)], "doc_id long, quality int, toxic int")
+    for out in (bpe.encode_digests(df, TIK), packing.pack(df, HF), fingerprints.edited_fingerprints(df), jaccard.jaccard_join(df), substrings.suffix_dedup(df), substrings.chunk_dedup(df), substrings.without_repeats(df), toxicity.score_documents(df, labels)):
+        assert {r["doc_id"] for r in out.collect()} == {big, None}
+
+
 def test_plan_is_best_fit_decreasing():
     r = random.Random(3)
     for _ in range(20):
