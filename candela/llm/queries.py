@@ -92,5 +92,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+# Links by brute force, classes by reachability.
+_REACH = "r AS (SELECT id AS d, id AS m FROM ids UNION SELECT l.y, r.m FROM r JOIN l ON l.x = r.d), k AS (SELECT x, count(*) AS n FROM l GROUP BY x), c AS (SELECT d, min(m) AS m FROM r GROUP BY d)"
+
+_JACCARD = rf"""WITH RECURSIVE ids AS (SELECT doc_id AS id FROM documents),
+    w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+    n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (SELECT x, y FROM p JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y WHERE k >= 0.8 * (na.c + nb.c - k)), {_REACH}
+    SELECT d AS doc_id, m AS class_id, coalesce(n, 0) AS n_links, m = d AS kept FROM c LEFT JOIN k ON k.x = c.d"""
+
+_COSINE = f"""WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings),
+    v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9), {_REACH}
+    SELECT d AS vec_id, coalesce(n, 0) AS n_links, m AS component_id, m = d AS kept FROM c LEFT JOIN k ON k.x = c.d"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the two whose rows it can express at this cost; the others are tested against brute force."""
+    return {"op5_embedding_dedup": _COSINE, "op6_jaccard_join": _JACCARD}
