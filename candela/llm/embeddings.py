@@ -26,7 +26,7 @@ THRESHOLD = 0.9
 PREFIX, LEAST_SHARED = 10, 2
 VECTORS_PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 64, 16, 8192
 CHUNK = 1024
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 1 << 20
 
 
 def usable(c: str = "embedding"):
