@@ -63,7 +63,7 @@ def truth_and_probs(spark: SparkSession, sf: str) -> DataFrame:
 def signalled(spark: SparkSession, sf: str) -> DataFrame:
     """Bars with signal and atr, as the backtest wants them."""
     b = samples.gate_signal(probabilities(spark, sf)).drop("probs", "confidence")
-    return align.fill_const(align.bfill(indicators.atr(b, 14, "atr"), ["atr"]), "atr", 0.0)
+    return materialized(align.fill_const(align.bfill(indicators.atr(materialized(b, "bars"), 14, "atr"), ["atr"]), "atr", 0.0), "signals")
 
 
 def shown(df: DataFrame, *cols: str | Column, digits: int = DIGITS) -> DataFrame:
@@ -210,7 +210,7 @@ def rounded_close(spark, sf):
 
 
 def _indicator(name: str, f: Callable[[DataFrame], DataFrame], sql: str, cols: str = "", every: str = "15 minutes", src: str = "n") -> None:
-    _queries[name] = lambda spark, sf: shown(f(scan.indexed(bars(spark, sf, every))), "symbol", "bar_ts", *(cols.split() or [name]))
+    _queries[name] = lambda spark, sf: shown(f(materialized(scan.indexed(bars(spark, sf, every)), "bars")), "symbol", "bar_ts", *(cols.split() or [name]))
     _sql[name] = f"WITH b AS ({_sql_bars(every)}), {NUM}{sql}"
 
 
@@ -706,7 +706,7 @@ def trade_detail(spark, sf):
 
 @register(f"{_LEDGER}{_EVENTS}{_HALT} SELECT symbol, {TS}, round(equity / 6000000.0, 6) AS equity FROM eq, br WHERE h IS NULL OR bar_ts <= h")
 def equity_curve_halted(spark, sf):
-    b = materialized(signalled(spark, sf), "signals")
+    b = signalled(spark, sf)
     return shown(_relative(portfolio.equity_curve(b, trades.run_trades(b, HALTED, halt=False), HALTED), "equity"))
 
 
@@ -715,7 +715,7 @@ def equity_curve_halted(spark, sf):
     SELECT symbol, CASE WHEN win >= 50 THEN 'good' WHEN win >= 40 THEN 'fair' ELSE 'poor' END AS win_rate_rating, CASE WHEN pf > 1.5 THEN 'good' WHEN pf > 1 THEN 'fair' ELSE 'poor' END AS profit_factor_rating,
     CASE WHEN sharpe > 1 THEN 'good' WHEN sharpe > 0 THEN 'fair' ELSE 'poor' END AS sharpe_rating, CASE WHEN dd < 10 THEN 'good' WHEN dd < 20 THEN 'fair' ELSE 'poor' END AS max_drawdown_rating FROM a JOIN b1 USING (symbol)""")
 def rating_bands(spark, sf):
-    b = materialized(signalled(spark, sf), "signals")
+    b = signalled(spark, sf)
     out = portfolio.account_metrics(b, trades.run_trades(b, FREE, halt=False), FREE, halt=False)
     return out.select("symbol", *[f"{c}_rating" for c in ("win_rate", "profit_factor", "sharpe", "max_drawdown")])
 
