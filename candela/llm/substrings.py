@@ -124,7 +124,8 @@ def joined(parts) -> bytes:
 
 def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, positions) of keys; a bucket is decided by the key alone."""
-    bucket = (keys >> np.uint64(32)).astype(np.int64) * buckets >> 32
+    # Keys are mixed again: those of least grams are small by their nature.
+    bucket = (mix64(keys ^ np.uint64(0x6A09E667F3BCC909)) >> np.uint64(32)).astype(np.int64) * buckets >> 32
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     for part in np.split(order, cuts) if len(order) else []:
