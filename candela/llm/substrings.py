@@ -134,7 +134,8 @@ def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]
 
 # -- content-defined chunks (1) -------------------------------------------------------------------
 
-LEAST_CHUNK, MOST_CHUNK, CUT_BITS = 32, 256, 5  # bytes; a cut follows one byte in 2**CUT_BITS beyond the least
+REACH, MOST_CHUNK = 24, 256  # bytes; a cut follows a byte whose hash is the largest for REACH bytes on both sides
+GEAR_BYTES = 32  # that a gear hash depends on
 LEAST_REPEAT = 50  # bytes: shorter runs of repeated chunks stay
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
@@ -152,23 +153,34 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
 
 
 def chunk_ends(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of the texts data[start[i] : end[i]], in order."""
-    cuts = []
-    for lo in range(0, len(data), 1 << 18):
-        skip = min(lo, 31)
-        h = gear_hash(data[lo - skip : lo + (1 << 18)])[skip:]
-        cuts.append(np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + lo + 1)
+    """Ends of the chunks of the texts data[start[i] : end[i]], in order.
+
+    A cut depends on GEAR_BYTES + REACH bytes before it and REACH after it and on nothing else, so a passage is cut alike
+    in all texts, from its first bytes on; cuts are more than REACH bytes apart. Without a cut for MOST_CHUNK bytes one is
+    made."""
+    head = ranges(start, np.minimum(end - start, GEAR_BYTES - 1))  # their hashes would depend on the text before
+    cuts, size, side = [], 1 << 18, GEAR_BYTES + REACH
+    for lo in range(0, len(data), size):
+        a, z = max(0, lo - side), min(len(data), lo + size + REACH)
+        h = gear_hash(data[a:z])
+        h[head[np.searchsorted(head, a) : np.searchsorted(head, z)] - a] = 0
+        h = np.concatenate([np.zeros(REACH, np.uint32), h, np.zeros(REACH + 1, np.uint32)])
+        m = h
+        for k in (1, 2, 4, 8):
+            m = np.maximum(m[:-k], m[k:])
+        m = np.maximum(m[:-8], m[8:])  # the largest of REACH values from each place on
+        n = z - a
+        own = h[REACH : REACH + n]
+        top = np.flatnonzero((own > m[:n]) & (own >= m[REACH + 1 : REACH + 1 + n])) + a
+        cuts.append(top[(top >= lo) & (top < lo + size)] + 1)
     cut = np.concatenate(cuts) if cuts else np.zeros(0, np.int64)
-    # Candidates and ends of texts in order; an end comes after a candidate at the same place.
-    place = np.concatenate([cut * 2, end[end > start] * 2 + 1])
-    place.sort()
+    place = np.union1d(cut, end[end > start])
     out, at = [], 0
-    for p in place.tolist():
-        c = p >> 1
+    for c in place.tolist():
         while c - at > MOST_CHUNK:
             at += MOST_CHUNK
             out.append(at)
-        if (p & 1 and c > at) or c - at >= LEAST_CHUNK:
+        if c > at:
             out.append(c)
             at = c
     return np.array(out, np.int64)
@@ -246,7 +258,7 @@ def cut_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def chunk_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary: the bytes that stay), n_chunks, by row of docs.
 
-    Texts are cut where a gear hash of the last 32 bytes says so, hence alike wherever a passage stands; a chunk
+    Texts are cut where a gear hash of the last 32 bytes is largest, hence alike wherever a passage stands; a chunk
     is repeated if a document with a smaller doc_id has a chunk with the same 128-bit digest. Runs of repeated chunks
     of LEAST_REPEAT bytes or more go; copies of a whole text go whole. n_chunks is 0 for copies. Null text counts as empty and keeps its (empty) text; rows
     with the same doc_id never remove each other's chunks; a null doc_id counts as smaller than all others."""
