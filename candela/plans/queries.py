@@ -391,8 +391,9 @@ def dataset_info(spark, sf):
     return samples.dataset_info(_samples(spark, sf))
 
 
-@register()
+@register(f"WITH {B15}, {_sql_label()}, {_SAMPLE}, k AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM q WHERE sample >= 0) SELECT symbol, {TS}, sample, target FROM k WHERE sample < floor(n * CAST(0.7 AS DOUBLE))")
 def shuffled_training_rows(spark, sf):
+    """In an order that the seed decides; the rows are those of the training split."""
     split = samples.chrono_split(_samples(spark, sf).drop("window"), index="sample")
     return shown(samples.shuffle_train(split), "symbol", "bar_ts", "sample", "target")
 
