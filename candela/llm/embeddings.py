@@ -1,6 +1,7 @@
 """Embedding near-dedup (5): a pivot-permutation index.
 
-Pivots are a sample of the vectors. A vector is described by its PREFIX nearest pivots in order and stands in the
+Pivots are a sample of the vectors, thinned so that no two lie close together: a dense group of near copies has few pivots
+of its own, and its members keep common lists however many they are. A vector is described by its PREFIX nearest pivots in order and stands in the
 inverted list of each. Two vectors of a list are compared if they share at least LEAST_SHARED pivots; then their cosine
 is taken in double precision. A pair counts in the list of the smallest pivot they share, so it counts once. Lists are
 compared block by block; blocks return sums of links and spanning forests, never pairs.
@@ -26,6 +27,8 @@ THRESHOLD = 0.9
 PREFIX, LEAST_SHARED = 10, 2
 VECTORS_PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 64, 16, 8192
 CHUNK = 1024
+APART = 0.8  # cosine that no two pivots reach
+DIRECT = 50_000  # pairs of a block whose pivots are compared one by one; beyond, by a matrix product
 GROUP_BYTES = 1 << 20
 
 
@@ -42,13 +45,25 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
+def apart(v: np.ndarray) -> np.ndarray:
+    """Unit rows of v, in order, whose cosine to every row kept before them is under APART."""
+    kept = np.zeros(len(v), bool)
+    for lo in range(0, len(v), 256):
+        part = v[lo : lo + 256]
+        free = ~(part @ v[:lo][kept[:lo]].T >= APART).any(1)
+        among = part @ part.T >= APART
+        for i in np.flatnonzero(free):
+            kept[lo + i] = not (among[i, :i] & kept[lo : lo + i]).any()
+    return v[kept]
+
+
 def pivots_of(classes: DataFrame) -> dict[int, np.ndarray]:
-    """Unit pivots of each dimension, in a fixed order: the first vectors by a hash."""
+    """Unit pivots of each dimension, in a fixed order: the first vectors by a hash, without those close to one before."""
     out = {}
     for r in classes.groupBy("dim").count().collect():  # one row for each length of vector
         n = min(MOST_PIVOTS, max(LEAST_PIVOTS, -(-r["count"] // VECTORS_PER_PIVOT)))
         rows = classes.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64(F.lit(11), "key"), "key").limit(n).select("v").collect()
-        out[r["dim"]] = unit(np.array([x[0] for x in rows], np.float64))
+        out[r["dim"]] = apart(unit(np.array([x[0] for x in rows], np.float64)))
     return out
 
 
@@ -78,6 +93,30 @@ def inverted_lists(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFra
     return classes.mapInPandas(run, "dim int, list int, key long, copies long, prefix binary, v binary")
 
 
+def owned(pa: np.ndarray, pb: np.ndarray, i: np.ndarray, j: np.ndarray, own: int, least: int) -> np.ndarray:
+    """Positions of the pairs (i, j) that share at least `least` pivots, the smallest of them `own`."""
+    if len(i) <= DIRECT:
+        out = []
+        for lo in range(0, len(i), 10_000):
+            x, y = pa[i[lo : lo + 10_000]], pb[j[lo : lo + 10_000]]
+            same = (x[:, :, None] == y[:, None, :]).any(2) & (x >= 0)
+            out.append(lo + np.flatnonzero((same.sum(1) >= least) & (np.where(same, x, np.iinfo(np.int32).max).min(1) == own)))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+    both = np.intersect1d(pa, pb)
+    both = both[both >= 0]
+
+    def held(p: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(both, p), len(both) - 1)
+        row, col = np.nonzero(both[at] == p)
+        out = np.zeros((len(p), len(both)), np.float32)
+        out[row, at[row, col]] = 1
+        return out
+
+    ha, hb, smaller = held(pa), held(pb), int(np.searchsorted(both, own))
+    good = (ha @ hb.T >= least) & (ha[:, :smaller] @ hb[:, :smaller].T == 0)
+    return np.flatnonzero(good[i, j] & (pa == own).any(1)[i] & (pb == own).any(1)[j])
+
+
 def compare(threshold: float):
     def run(f: pd.DataFrame) -> pd.DataFrame:
         links, counts = [], []
@@ -92,23 +131,14 @@ def compare(threshold: float):
             a = at[chunk[at] == sides[0]]
             b = at[chunk[at] == sides[-1]]
             pa, pb = prefix[a], prefix[b]
-            count = np.zeros((len(a), len(b)), np.uint8)
-            for x in range(PREFIX):
-                for y in range(PREFIX):
-                    count += (pa[:, x, None] == pb[None, :, y]) & (pa[:, x, None] >= 0)
             va = unit(np.frombuffer(b"".join(vectors[a])).reshape(len(a), -1))
             vb = va if len(sides) == 1 else unit(np.frombuffer(b"".join(vectors[b])).reshape(len(b), -1))
             least = min(LEAST_SHARED, int((pa[0] >= 0).sum()))
-            i, j = np.nonzero((count >= least) & (va @ vb.T >= threshold))
+            i, j = np.nonzero(va @ vb.T >= threshold)
             if len(sides) == 1:
                 up = i < j
                 i, j = i[up], j[up]
-            kept = []
-            for lo in range(0, len(i), 20_000):  # those whose smallest shared pivot is this list's
-                x, y = pa[i[lo : lo + 20_000]], pb[j[lo : lo + 20_000]]
-                same = (x[:, :, None] == y[:, None, :]).any(2) & (x >= 0)
-                kept.append(lo + np.flatnonzero(np.where(same, x, np.iinfo(np.int32).max).min(1) == own))
-            kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+            kept = owned(pa, pb, i, j, own, least)
             i, j = i[kept], j[kept]
             n_a = np.bincount(i, weights=copies[b[j]], minlength=len(a))
             n_b = np.bincount(j, weights=copies[a[i]], minlength=len(b))

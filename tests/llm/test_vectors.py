@@ -41,6 +41,29 @@ def test_links_and_components(spark):
     assert embeddings.near_embeddings(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_large_groups_of_near_copies_keep_common_lists(spark, monkeypatch):
+    """As dense in pivots as a group of 19,200 distinct near copies is at the standard rate."""
+    monkeypatch.setattr(embeddings, "VECTORS_PER_PIVOT", 2)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(1000, 64))
+    x[:600] = x[0] + 0.1 * r.normal(size=(600, 64))
+    rows = [(i, [float(v) for v in row], 1, "k") for i, row in enumerate(x.astype(np.float32))]
+    got = {g["vec_id"]: g["n_links"] for g in embeddings.near_embeddings(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = brute(rows)
+    there = sum(n for n, _ in want.values())
+    assert there >= 600 * 599 and 0.99 * there <= sum(got.values()) <= there
+
+
+def test_shared_pivots_by_either_way(monkeypatch):
+    r = np.random.default_rng(6)
+    pa, pb = (np.array([r.permutation(40)[:10] for _ in range(50)], np.int32) for _ in range(2))
+    i, j = (x.ravel() for x in np.indices((50, 50)))
+    want = [k for k in range(2500) if len(s := {*pa[i[k]]} & {*pb[j[k]]}) >= 2 and min(s) == 7]
+    assert want and embeddings.owned(pa, pb, i, j, 7, 2).tolist() == want
+    monkeypatch.setattr(embeddings, "DIRECT", 10)
+    assert embeddings.owned(pa, pb, i, j, 7, 2).tolist() == want
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     r = random.Random(7)
