@@ -3,7 +3,7 @@
 A page is a stream of block tags and texts. Pages of one host are aligned one after the other: a repeat of
 neighbouring items becomes a repeated group, an item that only one side has becomes optional, texts become slots. The
 result is the host's wrapper, a regular expression without unions. Its slots are judged once for the host, by the
-elements they stand in and by what the host's pages put into them; a page's main text is what it has in the slots that
+elements they stand in and by what the host's different pages put into them; a page's main text is what it has in the slots that
 are kept.
 
 Equal page structures of a host are counted before they are aligned, in salted groups, so no task sees the pages of a
@@ -227,24 +227,26 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+def hashed(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
 def structures(pages: DataFrame) -> DataFrame:
-    """host, wrapper (of the page alone, as JSON), slots: array of (path, chars, link chars, hash of the texts)."""
+    """host, wrapper (of the page alone, as JSON), whole (hash of all blocks), slots: array of (path, hash of the texts)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for url, page in zip(f["url"], f["html"], strict=True):
                 found, tree = blocks(page or "")
-                by_path: dict[str, list] = {}
-                for path, text, links in found:
-                    s = by_path.setdefault(path, [0, 0, xxhash.xxh64()])
-                    s[0] += len(text)
-                    s[1] += links
-                    s[2].update(text.encode())
-                out.append((host_of(url), json.dumps(wrapper_of(tree)), [(p, s[0], s[1], s[2].intdigest() >> 1) for p, s in by_path.items()]))
-            yield pd.DataFrame(out, columns=["host", "wrapper", "slots"])
+                by_path: dict[str, list[str]] = {}
+                for path, text, _ in found:
+                    by_path.setdefault(path, []).append(text)
+                slots = [(p, hashed("\n".join(t))) for p, t in by_path.items()]
+                out.append((host_of(url), json.dumps(wrapper_of(tree)), hashed(json.dumps([x[:2] for x in found])), slots))
+            yield pd.DataFrame(out, columns=["host", "wrapper", "whole", "slots"])
 
-    return pages.select("url", "html").mapInPandas(run, "host string, wrapper string, slots array<struct<path: string, chars: long, links: long, hash: long>>")
+    return pages.select("url", "html").mapInPandas(run, "host string, wrapper string, whole long, slots array<struct<path: string, hash: long>>")
 
 
 def infer(found: DataFrame) -> DataFrame:
@@ -267,9 +269,12 @@ def infer(found: DataFrame) -> DataFrame:
 def judge(wrappers: DataFrame, found: DataFrame) -> DataFrame:
     """host, path, keep for every slot of every wrapper.
 
-    A slot goes if an element around it is not main text, or if at least five pages of the host have it with (nearly)
-    the same text on all, or if it is almost all links."""
-    stats = found.select("host", F.explode("slots").alias("s")).groupBy("host", "s.path").agg(F.count(F.lit(1)).alias("pages"), F.sum("s.chars").alias("chars"), F.sum("s.links").alias("links"), F.approx_count_distinct("s.hash").alias("texts"))
+    A slot goes if an element around it is not main text, or if at least five different pages of the host have it with
+    (nearly) the same text on all. Equal pages count once. The most frequent text counts neither as a text nor by its
+    pages, so copies of an article whose pages differ elsewhere do not make a slot of articles look like a template."""
+    different = found.dropDuplicates(["host", "whole"]).select("host", F.explode("slots").alias("s"))
+    texts = different.groupBy("host", "s.path", "s.hash").agg(F.count(F.lit(1)).alias("n"))
+    stats = texts.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.max("n").alias("most"), F.count(F.lit(1)).alias("texts"))
 
     def paths(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -279,15 +284,14 @@ def judge(wrappers: DataFrame, found: DataFrame) -> DataFrame:
     listed = wrappers.mapInPandas(paths, "host string, path string")
     inside = F.exists(F.split("path", "/"), lambda k: k.rlike(r"^[^.]*!"))
     main = F.exists(F.split("path", "/"), lambda k: k.rlike(r"^[^.]*\+"))
-    template = (F.col("pages") >= 5) & (F.col("texts") <= F.col("pages") * 0.1) & ~main
-    linked = (F.col("links") > 0.8 * F.col("chars")) & ~main
-    return listed.join(stats, ["host", "path"], "left").select("host", "path", (~(inside | F.coalesce(template | linked, F.lit(False)))).alias("keep"), main.alias("main"))
+    template = (F.col("pages") >= 5) & (F.col("most") > 1) & (F.col("texts") - 1 <= (F.col("pages") - F.col("most")) * 0.1) & ~main
+    return listed.join(stats, ["host", "path"], "left").select("host", "path", (~(inside | F.coalesce(template, F.lit(False)))).alias("keep"), main.alias("main"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, one row for every row of pages.
 
-    Blocks in kept slots, in page order, joined by newlines; if some of them are inside an article (or main) element,
+    Blocks in kept slots, in page order, joined by newlines, without slots that are almost all links on the page; if some of them are inside an article (or main) element,
     those alone. Null html counts as empty, null urls share one host; a page without main text has the empty text.
     Repeated rows are extracted each by itself."""
     found = stored(structures(pages), "wrappers-structures")
@@ -295,6 +299,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     return extract(pages, judged)
 
 
+def without_links(kept: list[tuple[str, str, int]], main: set) -> list[tuple[str, str]]:
+    """(path, text) of the blocks whose slot, outside main elements, is not almost all links on this page."""
+    size: dict[str, list[int]] = {}
+    for p, t, links in kept:
+        s = size.setdefault(p, [0, 0])
+        s[0] += len(t)
+        s[1] += links
+    return [(p, t) for p, t, _ in kept if p in main or size[p][1] <= 0.8 * size[p][0]]
+
+
 def extract(pages: DataFrame, judged: DataFrame) -> DataFrame:
     schema = "page_id long, url string, text string, n_chars long"
 
@@ -302,7 +316,7 @@ def extract(pages: DataFrame, judged: DataFrame) -> DataFrame:
         texts = []
         for url, page, told in zip(f["url"], f["html"], slots_of(f), strict=True):
             keep, main = told
-            kept = [(p, t) for p, t, _ in blocks(page or "")[0] if p in keep]
+            kept = without_links([x for x in blocks(page or "")[0] if x[0] in keep], main)
             inner = [t for p, t in kept if p in main]
             texts.append("\n".join(inner or [t for _, t in kept]))
         return pd.DataFrame({"page_id": ids_of(f["page_id"]), "url": f["url"], "text": texts, "n_chars": [len(t) for t in texts]})

@@ -280,3 +280,24 @@ def test_wrappers_have_groups_and_options():
     assert "<li> #text </>+" in text and "<h2> #text </>?" in text and "<p> #text </>+" in text
     dl = wrappers.wrapper_of(wrappers.blocks("<dl><dt>a</dt><dd>b</dd><dt>c</dt><dd>d</dd><dt>e</dt><dd>f</dd></dl>")[1])
     assert "(<dt> #text </> <dd> #text </>)+" in wrappers.as_expression(dl)
+
+
+def texts_of(spark, rows):
+    return {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_copies_of_a_page_do_not_make_a_template(spark):
+    page = "<body><div><p>%s</p></div><h6>Sold by us %s</h6><h5>Printed here</h5></body>"
+    rows = [(i, "http://a.example/", page % ("one article in many copies", "")) for i in range(300)]  # equal pages
+    rows += [(1000 + i, "http://a.example/", page % (f"article {i} of its own", "")) for i in range(20)]
+    rows += [(2000 + i, "http://b.example/", page % ("one article in many copies", i)) for i in range(300)]  # equal but for a number
+    rows += [(3000 + i, "http://b.example/", page % (f"article {i} of its own", i)) for i in range(20)]
+    got = texts_of(spark, rows)
+    assert got[0] == "one article in many copies" and all(got[1000 + i] == f"article {i} of its own" for i in range(20))
+    assert got[2000] == "one article in many copies\nSold by us 0" and all(got[3000 + i] == f"article {i} of its own\nSold by us {i}" for i in range(20))
+
+
+def test_links_are_judged_on_each_page(spark):
+    rows = [(i, "http://a.example/", f"<body><p><a href=/>{'link ' * 40}{i}</a></p></body>") for i in range(30)] + [(100, "http://a.example/", "<body><p>prose of one page</p></body>")]
+    got = texts_of(spark, rows)
+    assert got[100] == "prose of one page" and all(got[i] == "" for i in range(30))
