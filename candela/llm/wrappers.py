@@ -35,6 +35,8 @@ BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising ad
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 MAIN_TAGS = frozenset(["article", "main"])
 MAIN_WORDS = frozenset("article content main post entry story".split())
+# Words before a boilerplate word of the same class that make it say how a page is laid out or filed.
+MODIFIERS = frozenset("has have with without no not is category cat tag type format layout".split())
 # An opening tag that ends an open element of the same row.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
@@ -49,16 +51,29 @@ _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:\"(
 _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
 
+def marks_boilerplate(token: list[str]) -> bool:
+    """Whether a class, as its words, names what is no main text. "entry-header" does not, as headlines stand there."""
+    at = [k for k, w in enumerate(token) if w in BOILER_WORDS]
+    if not at or MODIFIERS & set(token[: at[0]]):
+        return False
+    return not ({token[k] for k in at} == {"header"} and MAIN_WORDS & set(token))
+
+
 def key_of(tag: str, attrs: str) -> str:
-    """An element's name in wrappers: its tag, a mark (! not main, + main) and its first class or id."""
+    """An element's name in wrappers: its tag, a mark (! not main, + main element, = main by its words) and its first class or id."""
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(attrs)} if attrs.strip() else {}
-    words = set(_PARTS.split(f"{found.get('class', '')} {found.get('id', '')}")) - {""}
+    tokens = [[w for w in _PARTS.split(t) if w] for t in f"{found.get('class', '')} {found.get('id', '')}".split()]
+    against = [t for t in tokens if marks_boilerplate(t)]
+    speaks = any(MAIN_WORDS & set(t) for t in tokens if t not in against)
     roles = set(found.get("role", "").split())
-    main = tag in MAIN_TAGS or bool(roles & {"main", "article"}) or "articlebody" in found.get("itemprop", "") or (tag in ("div", "section") and bool(words & MAIN_WORDS))
+    element = tag in MAIN_TAGS or bool(roles & {"main", "article"}) or "articlebody" in found.get("itemprop", "")
     boiler = tag in BOILER_TAGS or bool(roles & BOILER_ROLES) or "hidden" in found or found.get("aria-hidden") == "true"
-    boiler = boiler or bool(words & BOILER_WORDS) and not (tag in ("html", "body") or (words & BOILER_WORDS == {"header"} and words & MAIN_WORDS))
+    if element:  # words inside a longer class say nothing against it, <article class="comment"> does
+        against = [] if tag == "main" or "main" in roles else [t for t in against if len(t) == 1]
+    boiler = boiler or bool(against) and not speaks and tag not in ("html", "body")
+    main = "+" if element else "=" if speaks and tag in ("div", "section") else ""
     name = (found.get("class") or found.get("id") or "").split()
-    return tag + ("!" if boiler else "+" if main else "") + ("." + re.sub(r"\d+", "", name[0]) if name else "")
+    return tag + ("!" if boiler else main) + ("." + re.sub(r"\d+", "", name[0]) if name else "")
 
 
 def blocks(page: str) -> tuple[list[tuple[str, str, int]], list]:
@@ -283,30 +298,42 @@ def judge(wrappers: DataFrame, found: DataFrame) -> DataFrame:
 
     listed = wrappers.mapInPandas(paths, "host string, path string")
     inside = F.exists(F.split("path", "/"), lambda k: k.rlike(r"^[^.]*!"))
-    main = F.exists(F.split("path", "/"), lambda k: k.rlike(r"^[^.]*\+"))
+    main = F.exists(F.split("path", "/"), lambda k: k.rlike(r"^[^.]*[+=]"))
+    element = F.exists(F.split("path", "/"), lambda k: k.rlike(r"^[^.]*\+"))
     template = (F.col("pages") >= 5) & (F.col("most") > 1) & (F.col("texts") - 1 <= (F.col("pages") - F.col("most")) * 0.1) & ~main
-    return listed.join(stats, ["host", "path"], "left").select("host", "path", (~(inside | F.coalesce(template, F.lit(False)))).alias("keep"), main.alias("main"))
+    return listed.join(stats, ["host", "path"], "left").select("host", "path", (~(inside | F.coalesce(template, F.lit(False)))).alias("keep"), F.when(element, 2).when(main, 1).otherwise(0).alias("main"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, one row for every row of pages.
 
-    Blocks in kept slots, in page order, joined by newlines, without slots that are almost all links on the page; if some of them are inside an article (or main) element,
-    those alone. Null html counts as empty, null urls share one host; a page without main text has the empty text.
+    Blocks in kept slots, in page order, joined by newlines, without slots that are almost all links on the page. If
+    those inside article (or main) elements hold most of that text, they alone; else, if with those inside elements named
+    so they do, these. Null html counts as empty, null urls share one host; a page without main text has the empty text.
     Repeated rows are extracted each by itself."""
     found = stored(structures(pages), "wrappers-structures")
     judged = stored(judge(infer(found), found), "wrappers-slots")
     return extract(pages, judged)
 
 
-def without_links(kept: list[tuple[str, str, int]], main: set) -> list[tuple[str, str]]:
+def without_links(kept: list[tuple[str, str, int]], main: dict[str, int]) -> list[tuple[str, str]]:
     """(path, text) of the blocks whose slot, outside main elements, is not almost all links on this page."""
     size: dict[str, list[int]] = {}
     for p, t, links in kept:
         s = size.setdefault(p, [0, 0])
         s[0] += len(t)
         s[1] += links
-    return [(p, t) for p, t, _ in kept if p in main or size[p][1] <= 0.8 * size[p][0]]
+    return [(p, t) for p, t, _ in kept if main[p] or size[p][1] <= 0.8 * size[p][0]]
+
+
+def narrowed(kept: list[tuple[int, str]]) -> list[str]:
+    """Texts of (2 in a main element, 1 in one named so, or 0; text): the narrowest kinds that hold most characters."""
+    half = sum(len(t) for _, t in kept) / 2
+    for least in (2, 1):
+        inner = [t for m, t in kept if m >= least]
+        if sum(map(len, inner)) > half:
+            return inner
+    return [t for _, t in kept]
 
 
 def extract(pages: DataFrame, judged: DataFrame) -> DataFrame:
@@ -314,29 +341,22 @@ def extract(pages: DataFrame, judged: DataFrame) -> DataFrame:
 
     def rows(f: pd.DataFrame, slots_of) -> pd.DataFrame:
         texts = []
-        for url, page, told in zip(f["url"], f["html"], slots_of(f), strict=True):
-            keep, main = told
-            kept = without_links([x for x in blocks(page or "")[0] if x[0] in keep], main)
-            inner = [t for p, t in kept if p in main]
-            texts.append("\n".join(inner or [t for _, t in kept]))
+        for page, main in zip(f["html"], slots_of(f), strict=True):
+            kept = without_links([x for x in blocks(page or "")[0] if x[0] in main], main)
+            texts.append("\n".join(narrowed([(main[p], t) for p, t in kept])))
         return pd.DataFrame({"page_id": ids_of(f["page_id"]), "url": f["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     wanted = judged.filter("keep").select("host", "path", "main")
     rows_needed = pages.select(id_text("page_id"), "url", "html")
     few = wanted.limit(MOST_BROADCAST + 1).collect()
     if len(few) <= MOST_BROADCAST:
-        sets: dict[str, tuple[set, set]] = {}
+        sets: dict[str, dict[str, int]] = {}
         for h, p, m in few:
-            keep, main = sets.setdefault(h, (set(), set()))
-            keep.add(p)
-            if m:
-                main.add(p)
+            sets.setdefault(h, {})[p] = m
         shared = pages.sparkSession.sparkContext.broadcast(sets)
-        none: tuple[set, set] = (set(), set())
-
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                yield rows(f, lambda f: [shared.value.get(host_of(u), none) for u in f["url"]])
+                yield rows(f, lambda f: [shared.value.get(host_of(u), {}) for u in f["url"]])
 
         return rows_needed.mapInPandas(run, schema)
 
@@ -348,7 +368,7 @@ def extract(pages: DataFrame, judged: DataFrame) -> DataFrame:
 
     def run_joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            told = [({r["path"] for r in t}, {r["path"] for r in t if r["main"]}) if t is not None else (set(), set()) for t in f["told"]]
+            told = [{r["path"]: r["main"] for r in t} if t is not None else {} for t in f["told"]]
             yield rows(f, lambda f, told=told: told)
 
     return rows_needed.withColumn("host", host("url")).join(by_host, "host", "left").mapInPandas(run_joined, schema)

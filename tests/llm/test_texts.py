@@ -301,3 +301,16 @@ def test_links_are_judged_on_each_page(spark):
     rows = [(i, "http://a.example/", f"<body><p><a href=/>{'link ' * 40}{i}</a></p></body>") for i in range(30)] + [(100, "http://a.example/", "<body><p>prose of one page</p></body>")]
     got = texts_of(spark, rows)
     assert got[100] == "prose of one page" and all(got[i] == "" for i in range(30))
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<div class="content has-sidebar"><article><p>prose</article></div>', "prose"),
+    ('<article class="post category-social"><p>prose</article>', "prose"),
+    ('<section class="main-content with-nav"><p>prose</section>', "prose"),
+    ('<main class="page-sidebar-left"><p>prose</main>', "prose"),
+    ('<div class="post-meta">By X</div><div class="body">a longer article</div>', "By X\na longer article"),
+    ('<div class="post-content">a longer article</div><div class="box">By X</div>', "a longer article"),
+    ('<div class="post-comments">so</div><article class="comment">no</article><div class="main-nav">nav</div><p>prose', "prose"),
+])
+def test_marks_of_elements(spark, page, text):
+    assert texts_of(spark, [(1, "http://a.example/", page)]) == {1: text}
