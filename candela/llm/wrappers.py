@@ -2,8 +2,9 @@
 
 A page is a stream of block tags and texts. Pages of one host are aligned one after the other: a repeat of
 neighbouring items becomes a repeated group, an item that only one side has becomes optional, texts become slots. The
-result is the host's wrapper, a regular expression without unions. Its slots are judged once for the host, by the
-elements they stand in and by what the host's different pages put into them; a page's main text is what it has in the slots that
+result is the host's wrapper, a regular expression without unions. Every page is matched to it, so its texts stand in the
+wrapper's slots; a repeated slot is parted by position among the pages that have it as often. Slots are judged once for the
+host, by the elements they stand in and by what the host's different pages put into them; a page's main text is what it has in the slots that
 are kept.
 
 Equal page structures of a host are counted before they are aligned, in salted groups, so no task sees the pages of a
@@ -76,14 +77,25 @@ def key_of(tag: str, attrs: str) -> str:
     return tag + ("!" if boiler else main) + ("." + re.sub(r"\d+", "", name[0]) if name else "")
 
 
-def blocks(page: str) -> tuple[list[tuple[str, str, int]], list]:
-    """(path, text, characters inside links) of every block in page order, and the page's tree of
+class Text(str):
+    """The "#" of a tree, with the numbers of the texts that it stands for."""
+
+    leaves: list[int]
+
+    def __new__(cls, leaves: list[int]):
+        out = super().__new__(cls, "#")
+        out.leaves = leaves
+        return out
+
+
+def blocks(page: str) -> tuple[list[tuple[str, str, int, int]], list]:
+    """(path, text, characters inside links, number of the "#") of every block in page order, and the page's tree of
     [key, children...] with "#" for texts. Open elements at the end of the page are closed there."""
-    out: list[tuple[str, str, int]] = []
+    out: list[tuple[str, str, int, int]] = []
     root: list = ["/"]
     stack: list[tuple[str, list, str]] = [("/", root, "")]
     words: list[str] = []
-    links = link = at = 0
+    links = link = at = leaves = 0
 
     def add(text: str) -> None:
         nonlocal links
@@ -93,12 +105,13 @@ def blocks(page: str) -> tuple[list[tuple[str, str, int]], list]:
                 links += len(text.strip())
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, leaves
         text = " ".join(html.unescape("".join(words)).split())
         if text:
-            out.append((stack[-1][2], text, links))
             if stack[-1][1][-1] != "#":
-                stack[-1][1].append("#")
+                stack[-1][1].append(Text([leaves]))
+                leaves += 1
+            out.append((stack[-1][2], text, links, stack[-1][1][-1].leaves[0]))
         words.clear()
         links = 0
 
@@ -158,7 +171,7 @@ def _flags(a: str, b: str, optional: bool = False, repeated: bool = False) -> st
 
 def _merge(a, b):
     if isinstance(a, str):
-        return a
+        return Text(sorted(a.leaves + b.leaves)) if isinstance(a, Text) and isinstance(b, Text) else a
     return [a[0], *align(a[1:], b[1:])]
 
 
@@ -212,17 +225,106 @@ def wrapper_of(tree: list) -> list:
     return [tree[0], *fold([["", x if isinstance(x, str) else wrapper_of(x)] for x in tree[1:]])]
 
 
-def slots(wrapper: list, path: str = "") -> Iterator[str]:
-    """Paths of the elements that have text slots."""
+def slots(wrapper: list, path: str = "") -> Iterator[tuple[str, str]]:
+    """(path of the element, "#") of the text slots in order: a slot's number is its place here."""
     for _, x in wrapper[1:]:
         if x == "#":
-            yield path
+            yield path, x
         elif x[0] == "":
             yield from slots(x, path)
         else:
             yield from slots(x, f"{path}/{x[0]}")
 
 
+def _flat(items: list) -> tuple[list[tuple[str, object, bool, bool]], list[tuple[int, int]]]:
+    """(name, node, repeated, optional) of the items outside and inside groups, and first and last of those that repeat."""
+    out: list = []
+    loops: list[tuple[int, int]] = []
+
+    def walk(items: list, repeated: bool, optional: bool) -> None:
+        for f, x in items:
+            first = len(out)
+            r, o = repeated or f in ("+", "*"), optional or f in ("?", "*")
+            if isinstance(x, str) or x[0]:
+                out.append((_name(x), x, r, o))
+            else:
+                walk(x[1:], r, o)
+            if f in ("+", "*"):
+                loops.append((first, len(out) - 1))
+
+    walk(items, False, False)
+    return out, loops
+
+
+def _places(page: list, host: list, loops: list[tuple[int, int]]) -> list[int]:
+    """For every item of a page the item of the wrapper that it is, or -1: as many as can be in the wrapper's order, where
+    repeats may begin again; first those that are repeated in both or neither, and that are not optional."""
+    if [x[0] for x in page] == [x[0] for x in host]:
+        return list(range(len(page)))
+    named: dict[str, list[int]] = {}
+    for q, x in enumerate(host):
+        named.setdefault(x[0], []).append(q)
+    score = {-1: 0.0}  # by the last place taken
+    back: list[dict[int, tuple[int, int]]] = []
+    for name, _, repeated, _ in page:
+        new, came = dict(score), {p: (p, -1) for p in score}
+        order = sorted(score)
+        best, k, top = [], 0, order[0]
+        for q in named.get(name, []):
+            while k < len(order) and order[k] < q:
+                top = order[k] if score[order[k]] > score[top] else top
+                k += 1
+            best.append(top)
+        for q, before in zip(named.get(name, []), best, strict=True):
+            for lo, hi in loops:
+                if lo <= q <= hi:
+                    for p in order:
+                        if q <= p <= hi and score[p] > score[before]:
+                            before = p
+            got = score[before] + 1 + 0.001 * (host[q][2] == repeated) + 0.0001 * (not host[q][3])
+            if got > new.get(q, -1.0):
+                new[q], came[q] = got, (before, q)
+        score = new
+        back.append(came)
+    at = max(sorted(score), key=lambda p: score[p])
+    out = []
+    for came in reversed(back):
+        at, taken = came[at]
+        out.append(taken)
+    return out[::-1]
+
+
+def match(page: list, host: list) -> list[int]:
+    """For every slot of a page's wrapper the slot of the host's wrapper in which its texts stand, or -1."""
+    def label(w: list, n: list[int]) -> list:
+        out = [w[0]]
+        for f, x in w[1:]:
+            if isinstance(x, str):
+                out.append([f, Text([n[0]])])
+                n[0] += 1
+            else:
+                out.append([f, label(x, n)])
+        return out
+
+    total = [0]
+    page, host = label(page, total), label(host, [0])
+    out = [-1] * total[0]
+
+    def walk(a: list, b: list) -> None:
+        mine, (theirs, loops) = _flat(a[1:])[0], _flat(b[1:])
+        for (_, x, *_), q in zip(mine, _places(mine, theirs, loops), strict=True):
+            if q < 0:
+                continue
+            y = theirs[q][1]
+            if isinstance(x, Text):
+                out[x.leaves[0]] = y.leaves[0]
+            else:
+                walk(x, y)
+
+    walk(page, host)
+    return out
+
+
 def as_expression(wrapper: list) -> str:
     """The wrapper written as a regular expression over tags and #text."""
     inner = " ".join(("#text" if x == "#" else as_expression(x)) + f for f, x in wrapper[1:])
@@ -231,8 +333,9 @@ def as_expression(wrapper: list) -> str:
 
 # -- jobs ------------------------------------------------------------------------------------------
 
+POSITIONS = 12  # a slot that a page repeats at most so often is also judged by position
 STRUCTURES = 64  # distinct structures of a host that are aligned in one group
-MOST_BROADCAST = 100_000  # judged slots that are sent to all tasks; beyond, pages are joined by host
+MOST_BROADCAST = 100_000  # judged slots that are sent to all tasks; beyond, pages are joined by host and structure
 
 
 def host_of(url: str | None) -> str:
@@ -246,22 +349,34 @@ def hashed(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
+def structure(tree: list) -> tuple[str, int, dict[int, tuple[int, int, int]]]:
+    """A page's own wrapper as JSON, the wrapper's key, and for the page's "#" (slot, texts in the slot, position)."""
+    own = wrapper_of(tree)
+    text = json.dumps(own)
+    at = {leaf: (k, len(x.leaves), i) for k, (_, x) in enumerate(slots(own)) for i, leaf in enumerate(x.leaves)}
+    return text, hashed(text), at
+
+
 def structures(pages: DataFrame) -> DataFrame:
-    """host, wrapper (of the page alone, as JSON), whole (hash of all blocks), slots: array of (path, hash of the texts)."""
+    """host, wrapper (of the page alone, as JSON), key (of the wrapper), whole (hash of all blocks), slots: array of
+    (slot, n, at, hash of the texts), for whole slots with n and at 0 and for the texts of repeated slots by position."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for url, page in zip(f["url"], f["html"], strict=True):
                 found, tree = blocks(page or "")
-                by_path: dict[str, list[str]] = {}
-                for path, text, _ in found:
-                    by_path.setdefault(path, []).append(text)
-                slots = [(p, hashed("\n".join(t))) for p, t in by_path.items()]
-                out.append((host_of(url), json.dumps(wrapper_of(tree)), hashed(json.dumps([x[:2] for x in found])), slots))
-            yield pd.DataFrame(out, columns=["host", "wrapper", "whole", "slots"])
+                wrapper, key, places = structure(tree)
+                texts: dict[tuple[int, int, int], list[str]] = {}
+                for _, text, _, leaf in found:
+                    k, n, at = places[leaf]
+                    texts.setdefault((k, 0, 0), []).append(text)
+                    if 1 < n <= POSITIONS:
+                        texts.setdefault((k, n, at), []).append(text)
+                out.append((host_of(url), wrapper, key, hashed(json.dumps([x[:2] for x in found])), [(*k, hashed("\n".join(t))) for k, t in texts.items()]))
+            yield pd.DataFrame(out, columns=["host", "wrapper", "key", "whole", "slots"])
 
-    return pages.select("url", "html").mapInPandas(run, "host string, wrapper string, whole long, slots array<struct<path: string, hash: long>>")
+    return pages.select("url", "html").mapInPandas(run, "host string, wrapper string, key long, whole long, slots array<struct<slot: int, n: int, at: int, hash: long>>")
 
 
 def infer(found: DataFrame) -> DataFrame:
@@ -281,27 +396,42 @@ def infer(found: DataFrame) -> DataFrame:
     return first.distinct().groupBy("host").applyInPandas(together, "host string, wrapper string")
 
 
-def judge(wrappers: DataFrame, found: DataFrame) -> DataFrame:
-    """host, path, keep for every slot of every wrapper.
+def matched(wrappers: DataFrame, found: DataFrame) -> DataFrame:
+    """host, key, slot (of a page with this structure), id (of the host's slot), path. Should a slot have no place in the
+    wrapper, its id is a negative hash of its path."""
 
-    A slot goes if an element around it is not main text, or if at least five different pages of the host have it with
-    (nearly) the same text on all. Equal pages count once. The most frequent text counts neither as a text nor by its
-    pages, so copies of an article whose pages differ elsewhere do not make a slot of articles look like a template."""
-    different = found.dropDuplicates(["host", "whole"]).select("host", F.explode("slots").alias("s"))
-    texts = different.groupBy("host", "s.path", "s.hash").agg(F.count(F.lit(1)).alias("n"))
-    stats = texts.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.max("n").alias("most"), F.count(F.lit(1)).alias("texts"))
-
-    def paths(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(h, p) for h, w in zip(f["host"], f["wrapper"], strict=True) for p in sorted(set(slots(json.loads(w))))]
-            yield pd.DataFrame(rows, columns=["host", "path"])
+            rows = []
+            for host, key, own, whole in zip(f["host"], f["key"], f["wrapper"], f["whole"], strict=True):
+                own = json.loads(own)
+                for k, ((path, _), at) in enumerate(zip(slots(own), match(own, json.loads(whole)), strict=True)):
+                    rows.append((host, key, k, at if at >= 0 else -1 - hashed(path), path))
+            yield pd.DataFrame(rows, columns=["host", "key", "slot", "id", "path"])
 
-    listed = wrappers.mapInPandas(paths, "host string, path string")
-    inside = F.exists(F.split("path", "/"), lambda k: k.rlike(r"^[^.]*!"))
-    main = F.exists(F.split("path", "/"), lambda k: k.rlike(r"^[^.]*[+=]"))
-    element = F.exists(F.split("path", "/"), lambda k: k.rlike(r"^[^.]*\+"))
-    template = (F.col("pages") >= 5) & (F.col("most") > 1) & (F.col("texts") - 1 <= (F.col("pages") - F.col("most")) * 0.1) & ~main
-    return listed.join(stats, ["host", "path"], "left").select("host", "path", (~(inside | F.coalesce(template, F.lit(False)))).alias("keep"), F.when(element, 2).when(main, 1).otherwise(0).alias("main"))
+    pairs = found.select("host", "key", "wrapper").distinct().join(wrappers.withColumnRenamed("wrapper", "whole"), "host")
+    return pairs.mapInPandas(run, "host string, key long, slot int, id long, path string")
+
+
+def judge(places: DataFrame, found: DataFrame) -> DataFrame:
+    """host, key, told: array of (slot, n, at, keep, main) for every slot of the pages with this structure: with n = 0 for
+    the whole slot, and for single positions that do not stay.
+
+    A slot goes if an element around it is not main text, or if at least five different pages of the host have it with
+    (nearly) the same text on all; so does a position of a repeated slot, among the pages that repeat it as often. Equal
+    pages count once. The most frequent text counts neither as a text nor by its pages, so copies of an article whose pages
+    differ elsewhere do not make a slot of articles look like a template."""
+    different = found.dropDuplicates(["host", "whole"]).select("host", "key", F.explode("slots").alias("s")).select("host", "key", "s.*")
+    texts = different.join(places.select("host", "key", "slot", "id"), ["host", "key", "slot"]).groupBy("host", "id", "n", "at", "hash").agg(F.count(F.lit(1)).alias("c"))
+    stats = texts.groupBy("host", "id", "n", "at").agg(F.sum("c").alias("pages"), F.max("c").alias("most"), F.count(F.lit(1)).alias("texts"))
+    template = stats.filter((F.col("pages") >= 5) & (F.col("most") > 1) & (F.col("texts") - 1 <= (F.col("pages") - F.col("most")) * 0.1)).select("host", "id", "n", "at")
+    having = lambda marks: F.exists(F.split("path", "/"), lambda k: k.rlike(rf"^[^.]*[{marks}]"))
+    main = F.when(having("+"), 2).when(having("+="), 1).otherwise(0)
+    marked = places.select("host", "key", "slot", "id", main.alias("main"), having("!").alias("inside"))
+    whole = marked.join(template.filter("n = 0").select("host", "id", F.lit(True).alias("same")), ["host", "id"], "left")
+    whole = whole.select("host", "key", "slot", F.lit(0).alias("n"), F.lit(0).alias("at"), (~(F.col("inside") | (F.coalesce("same", F.lit(False)) & (F.col("main") == 0)))).alias("keep"), "main")
+    single = marked.filter("main = 0").join(template.filter("n > 0"), ["host", "id"]).select("host", "key", "slot", "n", "at", F.lit(False).alias("keep"), "main")
+    return whole.union(single).groupBy("host", "key").agg(F.collect_list(F.struct("slot", "n", "at", "keep", "main")).alias("told"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -312,18 +442,23 @@ def main_text(pages: DataFrame) -> DataFrame:
     so they do, these. Null html counts as empty, null urls share one host; a page without main text has the empty text.
     Repeated rows are extracted each by itself."""
     found = stored(structures(pages), "wrappers-structures")
-    judged = stored(judge(infer(found), found), "wrappers-slots")
+    places = stored(matched(infer(found), found), "wrappers-places")
+    judged = stored(judge(places, found), "wrappers-slots")
     return extract(pages, judged)
 
 
-def without_links(kept: list[tuple[str, str, int]], main: dict[str, int]) -> list[tuple[str, str]]:
-    """(path, text) of the blocks whose slot, outside main elements, is not almost all links on this page."""
-    size: dict[str, list[int]] = {}
-    for p, t, links in kept:
-        s = size.setdefault(p, [0, 0])
-        s[0] += len(t)
-        s[1] += links
-    return [(p, t) for p, t, _ in kept if main[p] or size[p][1] <= 0.8 * size[p][0]]
+def kept_blocks(found: list, places: dict[int, tuple[int, int, int]], told: list) -> list[tuple[int, str]]:
+    """(main, text) of the blocks that stay: in kept slots and positions, and in no slot outside main elements that is
+    almost all links on this page."""
+    main = {t["slot"]: t["main"] for t in told if t["keep"]}
+    gone = {(t["slot"], t["n"], t["at"]) for t in told if not t["keep"]}
+    stay = [(places[leaf][0], text, links) for _, text, links, leaf in found if places[leaf][0] in main and places[leaf] not in gone]
+    size: dict[int, list[int]] = {}
+    for k, t, links in stay:
+        n = size.setdefault(k, [0, 0])
+        n[0] += len(t)
+        n[1] += links
+    return [(main[k], t) for k, t, _ in stay if main[k] or size[k][1] <= 0.8 * size[k][0]]
 
 
 def narrowed(kept: list[tuple[int, str]]) -> list[str]:
@@ -339,36 +474,32 @@ def narrowed(kept: list[tuple[int, str]]) -> list[str]:
 def extract(pages: DataFrame, judged: DataFrame) -> DataFrame:
     schema = "page_id long, url string, text string, n_chars long"
 
-    def rows(f: pd.DataFrame, slots_of) -> pd.DataFrame:
+    def rows(f: pd.DataFrame, told_of) -> pd.DataFrame:
         texts = []
-        for page, main in zip(f["html"], slots_of(f), strict=True):
-            kept = without_links([x for x in blocks(page or "")[0] if x[0] in main], main)
-            texts.append("\n".join(narrowed([(main[p], t) for p, t in kept])))
+        for k, (url, page) in enumerate(zip(f["url"], f["html"], strict=True)):
+            found, tree = blocks(page or "")
+            _, key, places = structure(tree)
+            texts.append("\n".join(narrowed(kept_blocks(found, places, told_of(k, url, key)))))
         return pd.DataFrame({"page_id": ids_of(f["page_id"]), "url": f["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    wanted = judged.filter("keep").select("host", "path", "main")
     rows_needed = pages.select(id_text("page_id"), "url", "html")
-    few = wanted.limit(MOST_BROADCAST + 1).collect()
-    if len(few) <= MOST_BROADCAST:
-        sets: dict[str, dict[str, int]] = {}
-        for h, p, m in few:
-            sets.setdefault(h, {})[p] = m
-        shared = pages.sparkSession.sparkContext.broadcast(sets)
+    if (judged.agg(F.sum(F.size("told"))).first()[0] or 0) <= MOST_BROADCAST:
+        told = {(r["host"], r["key"]): [t.asDict() for t in r["told"]] for r in judged.collect()}
+        shared = pages.sparkSession.sparkContext.broadcast(told)
+
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                yield rows(f, lambda f: [shared.value.get(host_of(u), {}) for u in f["url"]])
+                yield rows(f, lambda k, url, key: shared.value.get((host_of(url), key), []))
 
         return rows_needed.mapInPandas(run, schema)
 
-    by_host = wanted.groupBy("host").agg(F.collect_list(F.struct("path", "main")).alias("told"))
-
-    @F.pandas_udf("string")
-    def host(url: pd.Series) -> pd.Series:
-        return url.map(host_of)
+    @F.pandas_udf("host string, key long")
+    def place(url: pd.Series, page: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"host": url.map(host_of), "key": [structure(blocks(x or "")[1])[1] for x in page]})
 
     def run_joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            told = [{r["path"]: r["main"] for r in t} if t is not None else {} for t in f["told"]]
-            yield rows(f, lambda f, told=told: told)
+            yield rows(f, lambda k, url, key, told=f["told"]: told.iat[k] if told.iat[k] is not None else [])
 
-    return rows_needed.withColumn("host", host("url")).join(by_host, "host", "left").mapInPandas(run_joined, schema)
+    placed = rows_needed.withColumn("p", place("url", "html")).select("page_id", "url", "html", "p.host", "p.key")
+    return placed.join(judged, ["host", "key"], "left").mapInPandas(run_joined, schema)

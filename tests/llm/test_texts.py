@@ -314,3 +314,27 @@ def test_links_are_judged_on_each_page(spark):
 ])
 def test_marks_of_elements(spark, page, text):
     assert texts_of(spark, [(1, "http://a.example/", page)]) == {1: text}
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_slots_of_the_wrapper_decide(spark, monkeypatch, most):
+    monkeypatch.setattr(wrappers, "MOST_BROADCAST", most)
+    rows = [(i, "http://a.example/", f"<body><div>Home About</div><div>article {i} of its own</div><div>All rights</div></body>") for i in range(20)]
+    extra = "<h4>Note</h4>"  # an optional heading between: the same path before and after it
+    rows += [(100 + i, "http://b.example/", f"<body><p>Our slogan</p>{extra}<p>article {i} of its own</p></body>") for i in range(20)]
+    rows += [(200 + i, "http://b.example/", f"<body><p>Our slogan</p>{extra}<p>one {i}</p><p>two {i}</p><p>three {i}</p></body>") for i in range(20)]
+    got = texts_of(spark, rows)
+    for i in range(20):
+        assert got[i] == got[100 + i] == f"article {i} of its own" and got[200 + i] == f"one {i}\ntwo {i}\nthree {i}"
+
+
+def test_pages_match_their_wrapper():
+    pages = ["<p>a</p><h4>b</h4><p>c</p>", "<p>a</p><h4>b</h4><p>c</p><p>d</p><ul><li>e</ul>", "<p>a</p><ul><li>e<li>f</ul>", "<dl><dt>a<dd>b</dl>", "<dl><dt>a<dd>b<dt>c<dd>d</dl><p>z"]
+    own = [wrappers.wrapper_of(wrappers.blocks(p)[1]) for p in pages]
+    whole = own[0]
+    for w in own[1:]:
+        whole = wrappers._merge(whole, w)
+    paths = [p for p, _ in wrappers.slots(whole)]
+    for w in own:
+        at = wrappers.match(w, whole)
+        assert -1 not in at and [p for p, _ in wrappers.slots(w)] == [paths[k] for k in at] and len(set(at)) == len(at)
