@@ -7,8 +7,8 @@ wrapper's slots; a repeated slot is parted by position among the pages that have
 host, by the elements they stand in and by what the host's different pages put into them; a page's main text is what it has in the slots that
 are kept.
 
-Equal page structures of a host are counted before they are aligned, in salted groups, so no task sees the pages of a
-large host; slots' statistics are plain aggregates.
+Equal page structures of a host are counted before they are aligned, in rounds of salted groups, so no task sees the pages
+or all the structures of a large host; slots' statistics are plain aggregates.
 """
 
 from __future__ import annotations
@@ -379,8 +379,14 @@ def structures(pages: DataFrame) -> DataFrame:
     return pages.select("url", "html").mapInPandas(run, "host string, wrapper string, key long, whole long, slots array<struct<slot: int, n: int, at: int, hash: long>>")
 
 
+def salted(left: DataFrame) -> DataFrame:
+    """left(host, wrapper) with groups (of the host) and salt: about STRUCTURES wrappers of a host in each."""
+    n = left.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / STRUCTURES).alias("groups"))
+    return left.join(n, "host").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.col("groups")))
+
+
 def infer(found: DataFrame) -> DataFrame:
-    """host, wrapper: structures of each host aligned, first in salted groups, then the groups' wrappers."""
+    """host, wrapper: structures of each host aligned, in rounds of salted groups until one wrapper is left."""
 
     def together(f: pd.DataFrame) -> pd.DataFrame:
         whole = None
@@ -389,11 +395,12 @@ def infer(found: DataFrame) -> DataFrame:
             whole = w if whole is None else _merge(whole, w)
         return pd.DataFrame({"host": [f["host"].iat[0]], "wrapper": [json.dumps(whole)]})
 
-    distinct = found.groupBy("host", "wrapper").count()
-    n = distinct.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / STRUCTURES).alias("groups"))
-    salted = distinct.join(n, "host").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.col("groups")))
-    first = salted.groupBy("host", "salt").applyInPandas(together, "host string, wrapper string")
-    return first.distinct().groupBy("host").applyInPandas(together, "host string, wrapper string")
+    left = found.select("host", "wrapper").distinct()
+    while True:
+        groups = stored(salted(left), "wrappers-groups")
+        left = groups.groupBy("host", "salt").applyInPandas(together, "host string, wrapper string").distinct()
+        if (groups.agg(F.max("groups")).first()[0] or 0) <= 1:
+            return left
 
 
 def matched(wrappers: DataFrame, found: DataFrame) -> DataFrame:

@@ -338,3 +338,17 @@ def test_pages_match_their_wrapper():
     for w in own:
         at = wrappers.match(w, whole)
         assert -1 not in at and [p for p, _ in wrappers.slots(w)] == [paths[k] for k in at] and len(set(at)) == len(at)
+
+
+def test_wrappers_are_merged_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "STRUCTURES", 4)
+    pages = ["<p>a" + "".join(f"<h{k + 1}>b</h{k + 1}>" for k in range(6) if m >> k & 1) + "<ul><li>c</ul>" for m in range(64)]
+    found = wrappers.structures(spark.createDataFrame([(f"http://a.example/{i}", p) for i, p in enumerate(pages)], "url string, html string"))
+    groups = wrappers.salted(found.select("host", "wrapper").distinct())
+    assert groups.groupBy("salt").count().agg({"count": "max"}).first()[0] <= 16
+    sizes = []
+    monkeypatch.setattr(wrappers, "salted", lambda left, salted=wrappers.salted: (sizes.append(left.count()), salted(left))[1])
+    (got,) = wrappers.infer(found).collect()
+    assert sizes[0] == 64 and sizes[1] <= 16 and len(sizes) >= 3 and sizes[-1] <= 4
+    whole = wrappers.json.loads(got["wrapper"])
+    assert all(-1 not in wrappers.match(wrappers.wrapper_of(wrappers.blocks(p)[1]), whole) for p in pages)
