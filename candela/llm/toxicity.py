@@ -209,8 +209,8 @@ def fit(texts: list[str], gold: np.ndarray) -> Model:
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """text, toxic of at most `sample` labelled documents of the learning folds, the first by a hash of doc_id.
-    Labels of one doc_id that differ are averaged; null labels and ids are left out."""
+    """doc_id, text, toxic of at most `sample` labelled documents of the learning folds, the first by a hash of doc_id.
+    Of rows with one doc_id one counts, the first by a hash of its text, so no document outweighs the others. Labels of one doc_id that differ are averaged; null labels and ids are left out."""
     chosen = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0))
         .groupBy("doc_id")
@@ -218,7 +218,9 @@ def learning_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    first = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
+    return first.select("doc_id", "first.text", "toxic")
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:

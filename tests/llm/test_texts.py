@@ -352,3 +352,13 @@ def test_wrappers_are_merged_in_rounds(spark, monkeypatch):
     assert sizes[0] == 64 and sizes[1] <= 16 and len(sizes) >= 3 and sizes[-1] <= 4
     whole = wrappers.json.loads(got["wrapper"])
     assert all(-1 not in wrappers.match(wrappers.wrapper_of(wrappers.blocks(p)[1]), whole) for p in pages)
+
+
+def test_repeated_documents_are_learnt_from_once(spark):
+    docs = [(1, "one text", "en", "k", 1)] * 200 + [(1, f"text {i}", "en", "k", 1) for i in range(200)] + [(i, f"text {i}", "en", "k", 1) for i in range(2, 40)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    got = [r["doc_id"] for r in toxicity.learning_rows(spark.createDataFrame(docs, SCHEMA), labels, 30).collect()]
+    want = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % toxicity.FOLDS]
+    assert 1 in want and len(got) == len(set(got)) == min(30, len(want)) and set(got) <= set(want)
+    all_rows = [r["doc_id"] for r in toxicity.learning_rows(spark.createDataFrame(docs, SCHEMA), labels).collect()]
+    assert sorted(all_rows) == want
