@@ -10,13 +10,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir, as in local tests.
-DEFAULT_SCRATCH = "file:///tmp/checkpoints"
+#: Used only where a local session names no spark.checkpoint.dir, as in tests.
+LOCAL_SCRATCH = "file:///tmp/checkpoints"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, else DEFAULT_SCRATCH."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SCRATCH).rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir of the session. A session on one machine may do without."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = LOCAL_SCRATCH
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -40,6 +46,26 @@ def drop_stored(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+HOT_SHARE = 256  # a key with more than this part of a table's rows is spread over SALTS tasks; there are no more such keys
+SALTS = 64
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """left with the columns of right, whose rows are unique by `on`; null where it has none. left is a written table.
+
+    Rows of left whose key very many have, or whose key is null, are dealt over SALTS tasks, where copies of right's row wait for them."""
+    known = F.lit(True)
+    for c in on:
+        known = known & F.col(c).isNotNull()
+    most = max(SALTS, left.count() // HOT_SHARE)
+    hot = stored(left.filter(known).groupBy(*on).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(*on, F.lit(True).alias("__hot")), "join-hot")
+    row = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")  # the same again, as it is read from files
+    spread = left.join(F.broadcast(hot), on, "left").withColumn("__salt", F.when(F.col("__hot") | ~known, row).otherwise(0)).drop("__hot")
+    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    waiting = right.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    return spread.join(waiting, [*on, "__salt"], "left").drop("__salt")
+
+
 def text_or_empty(c: Column | str = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

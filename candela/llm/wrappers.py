@@ -1,14 +1,16 @@
 """HTML extraction (4): wrappers by union-free regular-expression inference.
 
-A page is a stream of block tags and texts. Pages of one host are aligned one after the other: a repeat of
-neighbouring items becomes a repeated group, an item that only one side has becomes optional, texts become slots. The
-result is the host's wrapper, a regular expression without unions. Every page is matched to it, so its texts stand in the
-wrapper's slots; a repeated slot is parted by position among the pages that have it as often. Slots are judged once for the
-host, by the elements they stand in and by what the host's different pages put into them; a page's main text is what it has in the slots that
-are kept.
-
-Equal page structures of a host are counted before they are aligned, in rounds of salted groups, so no task sees the pages
-or all the structures of a large host; slots' statistics are plain aggregates.
+A page is a stream of block tags and texts. The streams of one host's pages are aligned one after the other: neighbouring
+repeats become a repeated group, what only one side has becomes optional, equal texts stay literal and differing ones
+become slots. Literal texts that both sides have are aligned first, so a template's parts hold their places among
+siblings of the same name. What is left is the host's wrapper, a regular expression without unions, and for every page
+structure the place of each of its texts in it: the alignment itself says so, nothing is matched afterwards.
+
+Places of the wrapper are judged once for the host, from what its different pages put there: how often a text repeats, how much
+of the pages' text stands there, and the elements around. A page's main text is what it has in the places that stay.
+
+Equal structures of a host are counted before they are aligned, in rounds of salted groups, so no task sees the pages
+or all structures of a large host; all statistics are plain aggregates.
 """
 
 from __future__ import annotations
@@ -16,19 +18,19 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, ids_of, stored
+from .common import id_text, ids_of, salted_join, stored
 
 # Elements by their role in HTML, and words of class names and ids that mark what is no main text.
-RAW = "script style noscript template iframe object svg math canvas audio video select textarea button title".split()
+RAW = frozenset("script style noscript template iframe object svg math canvas audio video select textarea button title".split())
 BLOCKS = frozenset("html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table caption tbody td tfoot th thead tr ul".split())
 VOID = frozenset(["hr"])
 BOILER_TAGS = frozenset("head nav footer aside form menu dialog fieldset search".split())
@@ -41,15 +43,16 @@ MODIFIERS = frozenset("has have with without no not is category cat tag type for
 # An opening tag that ends an open element of the same row.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{'|'.join(RAW)})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*|[^>]*)>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+DEPTH = 100  # elements nested deeper become children of the one at this depth, as browsers do at theirs
+
+# No repeat here gives anything back, so a match or a failure takes one pass.
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">]++)*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>")
+_OPENS = re.compile(r"<(?:!--|([!?])|/?([a-zA-Z]))")
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
+_LONG_NUMBER = re.compile(r"&#[0-9]{9,}+;?")
 
 
 def marks_boilerplate(token: list[str]) -> bool:
@@ -60,9 +63,10 @@ def marks_boilerplate(token: list[str]) -> bool:
     return not ({token[k] for k in at} == {"header"} and MAIN_WORDS & set(token))
 
 
-def key_of(tag: str, attrs: str) -> str:
-    """An element's name in wrappers: its tag, a mark (! not main, + main element, = main by its words) and its first class or id."""
-    found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(attrs)} if attrs.strip() else {}
+def key_of(tag: str, attrs: str) -> tuple[str, int, bool]:
+    """An element's name in wrappers (its tag, a mark and its first class or id), how far it is the main one (2: an element for
+    that, 1: by its words), and whether it holds no main text."""
+    found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(attrs)} if attrs and not attrs.isspace() else {}
     tokens = [[w for w in _PARTS.split(t) if w] for t in f"{found.get('class', '')} {found.get('id', '')}".split()]
     against = [t for t in tokens if marks_boilerplate(t)]
     speaks = any(MAIN_WORDS & set(t) for t in tokens if t not in against)
@@ -72,270 +76,308 @@ def key_of(tag: str, attrs: str) -> str:
     if element:  # words inside a longer class say nothing against it, <article class="comment"> does
         against = [] if tag == "main" or "main" in roles else [t for t in against if len(t) == 1]
     boiler = boiler or bool(against) and not speaks and tag not in ("html", "body")
-    main = "+" if element else "=" if speaks and tag in ("div", "section") else ""
+    main = 0 if boiler else 2 if element else 1 if speaks and tag in ("div", "section") else 0
     name = (found.get("class") or found.get("id") or "").split()
-    return tag + ("!" if boiler else main) + ("." + re.sub(r"\d+", "", name[0]) if name else "")
+    return tag + ("!" if boiler else ("", "=", "+")[main]) + ("." + re.sub(r"\d+", "", name[0]) if name else ""), main, boiler
+
+
+class Item:
+    """A part of a wrapper: a text ("#"), a group ("") or an element, optional or repeated or both.
+
+    Texts have a literal (a hash, None once different texts met there) and leaves: numbers of the texts they stand for."""
+
+    __slots__ = ("key", "name", "optional", "repeated", "items", "literal", "leaves")
 
+    def __init__(self, key: str, items: list[Item] | None = None, leaves: list[int] | None = None):
+        self.key, self.items, self.leaves = key, items if items is not None else [], leaves
+        self.name = key or "(" + " ".join(x.name for x in self.items) + ")"
+        self.optional = self.repeated = False
+        self.literal: int | None = None
 
-class Text(str):
-    """The "#" of a tree, with the numbers of the texts that it stands for."""
 
-    leaves: list[int]
+def hashed(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
+def decoded(text: str) -> str:
+    return " ".join(html.unescape(_LONG_NUMBER.sub("�", text)).split())
 
-    def __new__(cls, leaves: list[int]):
-        out = super().__new__(cls, "#")
-        out.leaves = leaves
-        return out
 
+def tags(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text before, "/" of a closing tag, tag, attributes) for all tags in order, and last the text after them with an empty tag.
 
-def blocks(page: str) -> tuple[list[tuple[str, str, int, int]], list]:
-    """(path, text, characters inside links, number of the "#") of every block in page order, and the page's tree of
-    [key, children...] with "#" for texts. Open elements at the end of the page are closed there."""
-    out: list[tuple[str, str, int, int]] = []
-    root: list = ["/"]
-    stack: list[tuple[str, list, str]] = [("/", root, "")]
+    Comments, declarations and elements of RAW are left out. One pass: should the quotes of a tag never close, quotes do not
+    count from there on; a tag without an end takes the rest of the page."""
+    at = begun = 0
+    parts: list[str] = []
+    pattern = _TAG
+    while (lt := page.find("<", at)) >= 0:
+        m = pattern.match(page, lt)
+        if m is None:
+            opens = _OPENS.match(page, lt)
+            if opens is None:  # a sign in a text
+                at = lt + 1
+                continue
+            if opens[2] and pattern is _TAG:
+                pattern, at = _PLAIN_TAG, lt
+                continue
+            parts.append(page[begun:lt])
+            end = -1 if opens[2] else page.find(">", lt) + 1 if opens[1] else page.find("-->", lt + 4) + 3
+            begun = at = len(page) if end < 3 else end
+            continue
+        parts.append(page[begun:lt])
+        at = begun = m.end()
+        tag = m[2].lower()
+        if tag not in RAW:
+            yield "".join(parts), m[1], tag, m[3]
+            parts = []
+        elif not m[1] and not (m[3].endswith("/") and tag in ("svg", "math")):
+            end = _ENDS[tag].search(page, at)
+            close = page.find(">", end.end()) + 1 if end else 0
+            at = begun = close or len(page)
+    yield "".join(parts) + page[begun:], "", "", ""
+
+
+def blocks(page: str) -> tuple[list[tuple[int, str, int, int, bool]], Item]:
+    """(number of the "#", text, characters inside links, main, boiler) of every block in page order, and the page's tree.
+    Open elements at the end of the page are closed there."""
+    out: list[tuple[int, str, int, int, bool]] = []
+    root = Item("/")
+    stack: list[tuple[str, Item, int, bool]] = [("/", root, 0, False)]
+    still_open: Counter[str] = Counter()
     words: list[str] = []
-    links = link = at = leaves = 0
+    links = link = leaves = 0
+
+    def shut(k: int) -> None:
+        for tag, *_ in stack[k:]:
+            still_open[tag] -= 1
+        del stack[k:]
 
-    def add(text: str) -> None:
-        nonlocal links
+    for text, close, tag, attrs in tags(page):
         if text:
             words.append(text)
             if link:
                 links += len(text.strip())
-
-    def flush() -> None:
-        nonlocal links, leaves
-        text = " ".join(html.unescape("".join(words)).split())
-        if text:
-            if stack[-1][1][-1] != "#":
-                stack[-1][1].append(Text([leaves]))
-                leaves += 1
-            out.append((stack[-1][2], text, links, stack[-1][1][-1].leaves[0]))
-        words.clear()
-        links = 0
-
-    for m in _TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag not in BLOCKS:
+        if tag and tag not in BLOCKS:
             if tag == "a":
-                link = 0 if m["close"] else 1
+                link = 0 if close else 1
             elif tag == "br":
                 words.append(" ")
             continue
-        flush()
-        link = 0
-        if m["close"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+        if words and (text := decoded("".join(words))):
+            items = stack[-1][1].items
+            if not items or items[-1].key != "#":
+                items.append(Item("#", leaves=[leaves]))
+                leaves += 1
+            out.append((items[-1].leaves[0], text, links, *stack[-1][2:]))
+        words, links, link = [], 0, 0
+        if close:
+            if still_open[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                shut(k)
             continue
         if tag != "p" and tag in CLOSES:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in CLOSES[tag]:
-                    del stack[k:]
+                    shut(k)
                     break
                 if stack[k][0] not in ("p", "td", "th"):
                     break
         elif stack[-1][0] == "p":
-            stack.pop()
-        if tag in VOID:
+            shut(len(stack) - 1)
+        if tag in VOID or not tag:
             continue
-        key = key_of(tag, m["attrs"])
-        node = [key]
-        stack[-1][1].append(node)
-        stack.append((tag, node, f"{stack[-1][2]}/{key}"))
-    add(page[at:])
-    flush()
+        key, main, boiler = key_of(tag, attrs)
+        item = Item(key)
+        stack[min(len(stack), DEPTH) - 1][1].items.append(item)
+        still_open[tag] += 1
+        stack.append((tag, item, max(main, stack[-1][2]), boiler or stack[-1][3]))
     return out, root
 
 
-# -- wrappers: [key, item...]; an item is [flags, node or "#" or group], flags: "", "?" optional, "+" repeated, "*" both;
-# a group is ["", item...]
+# -- alignment -------------------------------------------------------------------------------------
+
+MOST_CELLS = 1 << 29  # bits of one table of lcs; longer lists are aligned half by half
+
+
+def lcs(a: list, b: list) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence. A row of the table is one integer with a bit for each element of b."""
+    lo, n, m = 0, len(a), len(b)
+    while lo < min(n, m) and a[lo] == b[lo]:
+        lo += 1
+    while n > lo and m > lo and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    out = [(k, k) for k in range(lo)]
+    x, y = a[lo:n], b[lo:m]
+    if len(x) * len(y) > MOST_CELLS:
+        i, j = len(x) // 2, len(y) // 2
+        out += [(p + lo, q + lo) for p, q in lcs(x[:i], y[:j])] + [(p + lo + i, q + lo + j) for p, q in lcs(x[i:], y[j:])]
+    elif x and y:
+        where: dict = {}
+        for k, t in enumerate(y):
+            where[t] = where.get(t, 0) | 1 << k
+        full = (1 << len(y)) - 1
+        v, rows = full, []
+        for t in x:
+            u = v & where.get(t, 0)
+            v = (v + u | v - u) & full
+            rows.append(v)
+        i, j, found = len(x) - 1, len(y) - 1, []
+        while i >= 0 and j >= 0:
+            if rows[i] >> j & 1:
+                j -= 1
+            elif i and not rows[i - 1] >> j & 1:
+                i -= 1
+            else:
+                found.append((i + lo, j + lo))
+                i, j = i - 1, j - 1
+        out += found[::-1]
+    return out + [(n + k, m + k) for k in range(len(a) - n)]
 
 
-def _name(x) -> str:
-    return x if isinstance(x, str) else x[0] or "(" + " ".join(_name(i[1]) for i in x[1:]) + ")"
+def literal_of(x: Item):
+    """What an item says where all of it is literal, else None."""
+    if x.key == "#":
+        return x.literal
+    inner = [literal_of(y) for y in x.items]
+    return hash((x.name, *inner)) if inner and None not in inner else None
 
 
-def _flags(a: str, b: str, optional: bool = False, repeated: bool = False) -> str:
-    o, r = optional or "?" in a + b or "*" in a + b, repeated or "+" in a + b or "*" in a + b
-    return "*" if o and r else "?" if o else "+" if r else ""
+def common(a: list[Item], b: list[Item]) -> list[tuple[int, int]]:
+    """Positions of items of both that are the same: first those alike in names and texts, between them by names."""
+    firm = lcs([(x.name, s) if (s := literal_of(x)) is not None else k for k, x in enumerate(a)], [(x.name, s) if (s := literal_of(x)) is not None else -1 - k for k, x in enumerate(b)])
+    out, i, j = [], 0, 0
+    for p, q in [*firm, (len(a), len(b))]:
+        out += [(i + x, j + y) for x, y in lcs([x.name for x in a[i:p]], [x.name for x in b[j:q]])]
+        if p < len(a):
+            out.append((p, q))
+        i, j = p + 1, q + 1
+    return out
 
 
-def _merge(a, b):
-    if isinstance(a, str):
-        return Text(sorted(a.leaves + b.leaves)) if isinstance(a, Text) and isinstance(b, Text) else a
-    return [a[0], *align(a[1:], b[1:])]
+def merge(a: Item, b: Item) -> None:
+    """b, of the same name, becomes part of a."""
+    a.optional |= b.optional
+    a.repeated |= b.repeated
+    if a.key == "#":
+        a.leaves += b.leaves
+        if a.literal != b.literal:
+            a.literal = None
+    else:
+        a.items = align(a.items, b.items)
+
+
+def align(a: list[Item], b: list[Item]) -> list[Item]:
+    """One list of items for two: what one side lacks is optional."""
+    if [x.name for x in a] == [x.name for x in b]:
+        for x, y in zip(a, b, strict=True):
+            merge(x, y)
+        return a
+    out, i, j = [], 0, 0
+    for p, q in [*common(a, b), (len(a), len(b))]:
+        for x in (*a[i:p], *b[j:q]):
+            x.optional = True
+            out.append(x)
+        if p < len(a):
+            merge(a[p], b[q])
+            out.append(a[p])
+        i, j = p + 1, q + 1
+    return fold(out)
 
 
-def fold(items: list) -> list:
+def fold(items: list[Item]) -> list[Item]:
     """Neighbouring repeats of one to three items become one repeated item or group."""
     for size in (1, 2, 3):
-        out: list = []
-        for item in items:
-            out.append(item)
-            while len(out) >= 2 * size and [_name(x[1]) for x in out[-size:]] == [_name(x[1]) for x in out[-2 * size : -size]]:
-                b, a = out[-size:], out[-2 * size : -size]
-                del out[-2 * size :]
-                both = [[_flags(x[0], y[0]), _merge(x[1], y[1])] for x, y in zip(a, b, strict=True)]
-                out.append([_flags(both[0][0], "", repeated=True), both[0][1]] if size == 1 else ["+", ["", *both]])
-            if size > 1 and len(out) > size and out[-size - 1][1][0] == "" and out[-size - 1][1] != "#":
-                group = out[-size - 1][1]
-                if len(group) == size + 1 and [_name(x[1]) for x in group[1:]] == [_name(x[1]) for x in out[-size:]]:
-                    joined = [[_flags(x[0], y[0]), _merge(x[1], y[1])] for x, y in zip(group[1:], out[-size:], strict=True)]
-                    del out[-size:]
-                    out[-1] = ["+", ["", *joined]]
+        out: list[Item] = []
+        for x in items:
+            out.append(x)
+            if size == 1:
+                if len(out) > 1 and out[-2].name == x.name:
+                    out.pop()
+                    merge(out[-1], x)
+                    out[-1].repeated = True
+                continue
+            tail = [y.name for y in out[-size:]]
+            if len(out) > size and out[-size - 1].key == "" and [y.name for y in out[-size - 1].items] == tail:
+                group = out[-size - 1]
+            elif len(out) >= 2 * size and [y.name for y in out[-2 * size : -size]] == tail:
+                group = Item("", out[-2 * size : -size])
+                out[-2 * size : -size] = [group]
+            else:
+                continue
+            for y, z in zip(group.items, out[-size:], strict=True):
+                merge(y, z)
+            del out[-size:]
+            group.repeated = True
         items = out
     return items
 
 
-def align(a: list, b: list) -> list:
-    """One list of items for two: longest common subsequence of names; what one side lacks is optional."""
-    a, b = fold(a), fold(b)
-    na, nb = [_name(x[1]) for x in a], [_name(x[1]) for x in b]
-    if na == nb:
-        return [[_flags(x[0], y[0]), _merge(x[1], y[1])] for x, y in zip(a, b, strict=True)]
-    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i, j] = best[i + 1, j + 1] + 1 if na[i] == nb[j] else max(best[i + 1, j], best[i, j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and na[i] == nb[j]:
-            out.append([_flags(a[i][0], b[j][0]), _merge(a[i][1], b[j][1])])
-            i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1, j] >= best[i, j + 1]:
-            out.append([_flags(a[i][0], "", optional=True), a[i][1]])
-            i += 1
-        else:
-            out.append([_flags("", b[j][0], optional=True), b[j][1]])
-            j += 1
-    return fold(out)
-
-
-def wrapper_of(tree: list) -> list:
+def shaped(x: Item) -> Item:
     """A page's tree as a wrapper of its own."""
-    return [tree[0], *fold([["", x if isinstance(x, str) else wrapper_of(x)] for x in tree[1:]])]
-
-
-def slots(wrapper: list, path: str = "") -> Iterator[tuple[str, str]]:
-    """(path of the element, "#") of the text slots in order: a slot's number is its place here."""
-    for _, x in wrapper[1:]:
-        if x == "#":
-            yield path, x
-        elif x[0] == "":
-            yield from slots(x, path)
-        else:
-            yield from slots(x, f"{path}/{x[0]}")
-
-
-def _flat(items: list) -> tuple[list[tuple[str, object, bool, bool]], list[tuple[int, int]]]:
-    """(name, node, repeated, optional) of the items outside and inside groups, and first and last of those that repeat."""
-    out: list = []
-    loops: list[tuple[int, int]] = []
-
-    def walk(items: list, repeated: bool, optional: bool) -> None:
-        for f, x in items:
-            first = len(out)
-            r, o = repeated or f in ("+", "*"), optional or f in ("?", "*")
-            if isinstance(x, str) or x[0]:
-                out.append((_name(x), x, r, o))
-            else:
-                walk(x[1:], r, o)
-            if f in ("+", "*"):
-                loops.append((first, len(out) - 1))
-
-    walk(items, False, False)
-    return out, loops
-
-
-def _places(page: list, host: list, loops: list[tuple[int, int]]) -> list[int]:
-    """For every item of a page the item of the wrapper that it is, or -1: as many as can be in the wrapper's order, where
-    repeats may begin again; first those that are repeated in both or neither, and that are not optional."""
-    if [x[0] for x in page] == [x[0] for x in host]:
-        return list(range(len(page)))
-    named: dict[str, list[int]] = {}
-    for q, x in enumerate(host):
-        named.setdefault(x[0], []).append(q)
-    score = {-1: 0.0}  # by the last place taken
-    back: list[dict[int, tuple[int, int]]] = []
-    for name, _, repeated, _ in page:
-        new, came = dict(score), {p: (p, -1) for p in score}
-        order = sorted(score)
-        best, k, top = [], 0, order[0]
-        for q in named.get(name, []):
-            while k < len(order) and order[k] < q:
-                top = order[k] if score[order[k]] > score[top] else top
-                k += 1
-            best.append(top)
-        for q, before in zip(named.get(name, []), best, strict=True):
-            for lo, hi in loops:
-                if lo <= q <= hi:
-                    for p in order:
-                        if q <= p <= hi and score[p] > score[before]:
-                            before = p
-            got = score[before] + 1 + 0.001 * (host[q][2] == repeated) + 0.0001 * (not host[q][3])
-            if got > new.get(q, -1.0):
-                new[q], came[q] = got, (before, q)
-        score = new
-        back.append(came)
-    at = max(sorted(score), key=lambda p: score[p])
-    out = []
-    for came in reversed(back):
-        at, taken = came[at]
-        out.append(taken)
-    return out[::-1]
-
-
-def match(page: list, host: list) -> list[int]:
-    """For every slot of a page's wrapper the slot of the host's wrapper in which its texts stand, or -1."""
-    def label(w: list, n: list[int]) -> list:
-        out = [w[0]]
-        for f, x in w[1:]:
-            if isinstance(x, str):
-                out.append([f, Text([n[0]])])
-                n[0] += 1
-            else:
-                out.append([f, label(x, n)])
-        return out
-
-    total = [0]
-    page, host = label(page, total), label(host, [0])
-    out = [-1] * total[0]
-
-    def walk(a: list, b: list) -> None:
-        mine, (theirs, loops) = _flat(a[1:])[0], _flat(b[1:])
-        for (_, x, *_), q in zip(mine, _places(mine, theirs, loops), strict=True):
-            if q < 0:
-                continue
-            y = theirs[q][1]
-            if isinstance(x, Text):
-                out[x.leaves[0]] = y.leaves[0]
-            else:
-                walk(x, y)
-
-    walk(page, host)
-    return out
-
-
-def as_expression(wrapper: list) -> str:
-    """The wrapper written as a regular expression over tags and #text."""
-    inner = " ".join(("#text" if x == "#" else as_expression(x)) + f for f, x in wrapper[1:])
-    return f"({inner})" if wrapper[0] == "" else f"<{wrapper[0]}> {inner} </>".replace("  ", " ")
+    x.items = fold([shaped(y) for y in x.items])
+    return x
+
+
+def texts_in(x: Item) -> Iterator[Item]:
+    """The texts of a wrapper in order: a slot's number is its place here."""
+    if x.key == "#":
+        yield x
+    for y in x.items:
+        yield from texts_in(y)
+
+
+def as_list(x: Item) -> list:
+    return [x.key, 2 * x.optional + x.repeated, x.literal if x.key == "#" else [as_list(y) for y in x.items]]
+
+
+def from_list(v: list) -> Item:
+    x = Item(v[0], None if v[0] == "#" else [from_list(y) for y in v[2]])
+    x.optional, x.repeated = bool(v[1] & 2), bool(v[1] & 1)
+    if v[0] == "#":
+        x.literal = v[2]
+    return x
+
+
+def as_expression(x: Item) -> str:
+    """The wrapper written as a regular expression over tags and #text (=text where it is literal)."""
+    inner = "".join(" " + as_expression(y) for y in x.items)
+    flags = ("", "+", "?", "*")[2 * x.optional + x.repeated]
+    return (("#text" if x.literal is None else "=text") if x.key == "#" else f"({inner[1:]})" if not x.key else f"<{x.key}>{inner} </>") + flags
+
+
+def joined(wrappers: list[Item]) -> tuple[Item, list[list[int]]]:
+    """One wrapper for all, and for each the places of its slots in it."""
+    offset = 0
+    for w in wrappers:
+        for x in texts_in(w):
+            x.leaves = [offset]
+            offset += 1
+    sizes = [sum(1 for _ in texts_in(w)) for w in wrappers]
+    whole = wrappers[0]
+    for w in wrappers[1:]:
+        merge(whole, w)
+    place = [0] * offset
+    for k, x in enumerate(texts_in(whole)):
+        for leaf in x.leaves:
+            place[leaf] = k
+    out, at = [], 0
+    for n in sizes:
+        out.append(place[at : at + n])
+        at += n
+    return whole, out
 
 
 # -- jobs ------------------------------------------------------------------------------------------
 
-POSITIONS = 12  # a slot that a page repeats at most so often is also judged by position
 STRUCTURES = 64  # distinct structures of a host that are aligned in one group
-MOST_BROADCAST = 100_000  # judged slots that are sent to all tasks; beyond, pages are joined by host and structure
+EDGE = 3  # texts at either end of a repeated slot that are also judged by themselves
+LINKS = 0.8  # share of characters in links above which a slot of a page is no main text
+# Evidence for a place of the wrapper; it stays if the sum is above 0. A text that does not change between k pages counts log2 k
+# against it, LITERAL at most.
+IN_MAIN, IN_NAMED, IN_BOILER, ELSE, SHARE, LITERAL = 2.5, 1.5, -4.0, 0.5, 5.0, 2.4
 
 
 def host_of(url: str | None) -> str:
@@ -345,168 +387,148 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def hashed(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
-
-
-def structure(tree: list) -> tuple[str, int, dict[int, tuple[int, int, int]]]:
-    """A page's own wrapper as JSON, the wrapper's key, and for the page's "#" (slot, texts in the slot, position)."""
-    own = wrapper_of(tree)
-    text = json.dumps(own)
-    at = {leaf: (k, len(x.leaves), i) for k, (_, x) in enumerate(slots(own)) for i, leaf in enumerate(x.leaves)}
-    return text, hashed(text), at
-
+def read(page: str) -> tuple:
+    """structure (JSON), key, whole (hash of structure and texts), total, blocks [(slot, edges, linky, text)] and
+    stats [(slot, edge, hash, chars, main, boiler)] of a page; edge 0 is the whole slot, edges are bits."""
+    found, root = blocks(page)
+    shaped(root)
+    slots = list(texts_in(root))
+    structure = json.dumps(as_list(root))
+    of: dict[int, tuple[int, list[int]]] = {}
+    for k, x in enumerate(slots):
+        n = len(x.leaves)
+        for i, leaf in enumerate(x.leaves):
+            of[leaf] = k, [e for e in (i + 1 if i < EDGE else 0, EDGE + n - i if n - i <= EDGE else 0) if e] if n > 1 else []
+    texts: dict[tuple[int, int], list[str]] = {}
+    seen: dict[int, list[int]] = {}
+    for leaf, text, links, main, boiler in found:
+        k, edges = of[leaf]
+        for e in (0, *edges):
+            texts.setdefault((k, e), []).append(text)
+        s = seen.setdefault(k, [0, 0, 0, 0])
+        seen[k] = [s[0] + len(text), s[1] + links, max(s[2], main), max(s[3], boiler)]
+    out = [(of[leaf][0], sum(1 << e for e in of[leaf][1]), seen[of[leaf][0]][1] > LINKS * seen[of[leaf][0]][0], text) for leaf, text, *_ in found]
+    stats = [(k, e, hashed("\n".join(t)), sum(map(len, t)), seen[k][2], bool(seen[k][3])) for (k, e), t in texts.items()]
+    key = hashed(structure)
+    whole = hashed("\n".join([str(key), *(f"{b[0]} {b[3]}" for b in out)]))
+    return structure, key, whole, sum(len(t) for _, t, _, _, boiler in found if not boiler), out, stats
+
+
+PARSED = (
+    "page_id long, url string, host string, structure string, key long, whole long, total long, "
+    "blocks array<struct<slot: int, edges: int, linky: boolean, text: string>>, stats array<struct<slot: int, edge: int, hash: long, chars: long, main: int, boiler: boolean>>"
+)
 
-def structures(pages: DataFrame) -> DataFrame:
-    """host, wrapper (of the page alone, as JSON), key (of the wrapper), whole (hash of all blocks), slots: array of
-    (slot, n, at, hash of the texts), for whole slots with n and at 0 and for the texts of repeated slots by position."""
 
+def parsed(pages: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for url, page in zip(f["url"], f["html"], strict=True):
-                found, tree = blocks(page or "")
-                wrapper, key, places = structure(tree)
-                texts: dict[tuple[int, int, int], list[str]] = {}
-                for _, text, _, leaf in found:
-                    k, n, at = places[leaf]
-                    texts.setdefault((k, 0, 0), []).append(text)
-                    if 1 < n <= POSITIONS:
-                        texts.setdefault((k, n, at), []).append(text)
-                out.append((host_of(url), wrapper, key, hashed(json.dumps([x[:2] for x in found])), [(*k, hashed("\n".join(t))) for k, t in texts.items()]))
-            yield pd.DataFrame(out, columns=["host", "wrapper", "key", "whole", "slots"])
-
-    return pages.select("url", "html").mapInPandas(run, "host string, wrapper string, key long, whole long, slots array<struct<slot: int, n: int, at: int, hash: long>>")
+            for lo in range(0, len(f), 500):
+                part = f.iloc[lo : lo + 500]
+                rows = [(host_of(u), *read(h or "")) for u, h in zip(part["url"], part["html"], strict=True)]
+                out = pd.DataFrame(rows, columns=["host", "structure", "key", "whole", "total", "blocks", "stats"])
+                out.insert(0, "url", part["url"].to_numpy())
+                out.insert(0, "page_id", ids_of(part["page_id"]))
+                yield out
+
+    return pages.select(id_text("page_id"), "url", "html").mapInPandas(run, PARSED)
 
 
 def salted(left: DataFrame) -> DataFrame:
-    """left(host, wrapper) with groups (of the host) and salt: about STRUCTURES wrappers of a host in each."""
+    """left(host, id, ...) with groups (of the host) and salt: about STRUCTURES wrappers of a host in each."""
     n = left.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / STRUCTURES).alias("groups"))
-    return left.join(n, "host").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.col("groups")))
-
-
-def infer(found: DataFrame) -> DataFrame:
-    """host, wrapper: structures of each host aligned, in rounds of salted groups until one wrapper is left."""
-
-    def together(f: pd.DataFrame) -> pd.DataFrame:
-        whole = None
-        for w in sorted(f["wrapper"]):
-            w = json.loads(w)
-            whole = w if whole is None else _merge(whole, w)
-        return pd.DataFrame({"host": [f["host"].iat[0]], "wrapper": [json.dumps(whole)]})
-
-    left = found.select("host", "wrapper").distinct()
+    return salted_join(left, n, ["host"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("groups")))
+
+
+def together(f: pd.DataFrame) -> pd.DataFrame:
+    """One group of wrappers aligned: a row for each with its places in the new wrapper, and the new wrapper once."""
+    f = f.sort_values("id")
+    wrappers = []
+    for text, literals in zip(f["wrapper"], f["literals"], strict=True):
+        w = from_list(json.loads(text))
+        if literals is not None:
+            for x, s in zip(texts_in(w), literals, strict=True):
+                x.literal = None if s is None or s != s else int(s)
+        wrappers.append(w)
+    whole, places = joined(wrappers)
+    text = json.dumps(as_list(whole))
+    return pd.DataFrame({"host": f["host"], "id": f["id"], "to": hashed(text), "places": places, "wrapper": [text, *[None] * (len(f) - 1)]})
+
+
+def infer(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, wrapper) of every host; (host, key, places): where the slots of each structure stand in it."""
+    literal = (
+        found.select("host", "key", F.explode("stats").alias("s")).filter("s.edge = 0").groupBy("host", "key", "s.slot").agg(F.min("s.hash").alias("a"), F.max("s.hash").alias("z"))
+        .groupBy("host", "key").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", F.when(F.col("a") == F.col("z"), F.col("a").cast("string")).alias("literal")))), lambda x: x["literal"]).alias("literals"))
+    )
+    kinds = found.select("host", "key", "structure").dropDuplicates(["host", "key"]).join(literal, ["host", "key"], "left")
+    kinds = kinds.select("host", "key", "structure", F.coalesce("literals", F.array().cast("array<string>")).alias("literals"))
+    kinds = stored(kinds, "wrappers-structures")
+    left = kinds.select("host", F.col("key").alias("id"), F.col("structure").alias("wrapper"), "literals")
+    at = kinds.select("host", "key", F.col("key").alias("id"), F.expr("transform(literals, (x, i) -> i)").alias("places"))
     while True:
         groups = stored(salted(left), "wrappers-groups")
-        left = groups.groupBy("host", "salt").applyInPandas(together, "host string, wrapper string").distinct()
+        new = stored(groups.groupBy("host", "salt").applyInPandas(together, "host string, id long, to long, places array<int>, wrapper string"), "wrappers-aligned")
+        moved = new.select("host", "id", "to", F.col("places").alias("then"))
+        at = at.join(moved, ["host", "id"]).select("host", "key", F.col("to").alias("id"), F.transform("places", lambda i: F.element_at("then", i + 1)).alias("places"))
+        at = stored(at, "wrappers-places")
+        left = stored(new.filter("wrapper is not null").select("host", F.col("to").alias("id"), "wrapper").dropDuplicates(["host", "id"]).withColumn("literals", F.lit(None).cast("array<string>")), "wrappers-left")
         if (groups.agg(F.max("groups")).first()[0] or 0) <= 1:
-            return left
-
-
-def matched(wrappers: DataFrame, found: DataFrame) -> DataFrame:
-    """host, key, slot (of a page with this structure), id (of the host's slot), path. Should a slot have no place in the
-    wrapper, its id is a negative hash of its path."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for host, key, own, whole in zip(f["host"], f["key"], f["wrapper"], f["whole"], strict=True):
-                own = json.loads(own)
-                for k, ((path, _), at) in enumerate(zip(slots(own), match(own, json.loads(whole)), strict=True)):
-                    rows.append((host, key, k, at if at >= 0 else -1 - hashed(path), path))
-            yield pd.DataFrame(rows, columns=["host", "key", "slot", "id", "path"])
-
-    pairs = found.select("host", "key", "wrapper").distinct().join(wrappers.withColumnRenamed("wrapper", "whole"), "host")
-    return pairs.mapInPandas(run, "host string, key long, slot int, id long, path string")
-
-
-def judge(places: DataFrame, found: DataFrame) -> DataFrame:
-    """host, key, told: array of (slot, n, at, keep, main) for every slot of the pages with this structure: with n = 0 for
-    the whole slot, and for single positions that do not stay.
-
-    A slot goes if an element around it is not main text, or if at least five different pages of the host have it with
-    (nearly) the same text on all; so does a position of a repeated slot, among the pages that repeat it as often. Equal
-    pages count once. The most frequent text counts neither as a text nor by its pages, so copies of an article whose pages
-    differ elsewhere do not make a slot of articles look like a template."""
-    different = found.dropDuplicates(["host", "whole"]).select("host", "key", F.explode("slots").alias("s")).select("host", "key", "s.*")
-    texts = different.join(places.select("host", "key", "slot", "id"), ["host", "key", "slot"]).groupBy("host", "id", "n", "at", "hash").agg(F.count(F.lit(1)).alias("c"))
-    stats = texts.groupBy("host", "id", "n", "at").agg(F.sum("c").alias("pages"), F.max("c").alias("most"), F.count(F.lit(1)).alias("texts"))
-    template = stats.filter((F.col("pages") >= 5) & (F.col("most") > 1) & (F.col("texts") - 1 <= (F.col("pages") - F.col("most")) * 0.1)).select("host", "id", "n", "at")
-    having = lambda marks: F.exists(F.split("path", "/"), lambda k: k.rlike(rf"^[^.]*[{marks}]"))
-    main = F.when(having("+"), 2).when(having("+="), 1).otherwise(0)
-    marked = places.select("host", "key", "slot", "id", main.alias("main"), having("!").alias("inside"))
-    whole = marked.join(template.filter("n = 0").select("host", "id", F.lit(True).alias("same")), ["host", "id"], "left")
-    whole = whole.select("host", "key", "slot", F.lit(0).alias("n"), F.lit(0).alias("at"), (~(F.col("inside") | (F.coalesce("same", F.lit(False)) & (F.col("main") == 0)))).alias("keep"), "main")
-    single = marked.filter("main = 0").join(template.filter("n > 0"), ["host", "id"]).select("host", "key", "slot", "n", "at", F.lit(False).alias("keep"), "main")
-    return whole.union(single).groupBy("host", "key").agg(F.collect_list(F.struct("slot", "n", "at", "keep", "main")).alias("told"))
+            return left.select("host", "wrapper"), at.drop("id")
+
+
+def evidence(main: Column, boiler: Column, share: Column, pages: Column, most: Column, texts: Column) -> Column:
+    """The weight for keeping a place. Of `pages` different pages `most` have the most frequent of the place's `texts` different texts.
+
+    Where texts differ, that text and its pages do not count, so the copies of one article, different elsewhere, do not make
+    a place of articles look like a template."""
+    again = F.when(texts == 1, most).otherwise((1 + pages - most) / texts)
+    role = F.when(boiler, IN_BOILER).when(main == 2, IN_MAIN).when(main == 1, IN_NAMED).otherwise(ELSE)
+    return role + SHARE * share - F.least(F.log2(again.cast("double")), F.lit(LITERAL))
+
+
+def judge(found: DataFrame, at: DataFrame) -> DataFrame:
+    """host, key, main, edges, level: for each slot of a structure -1 if it goes, else how far it is in a main element, and bits of
+    the ends that go; and how far in main elements most of the host's text stands. Equal pages count once."""
+    different = stored(found.select("host", "key", "whole", "total", "stats").dropDuplicates(["host", "whole"]), "wrappers-different")
+    each = salted_join(different, at, ["host", "key"]).select("host", "places", "total", F.explode("stats").alias("s"))
+    each = each.select("host", F.element_at("places", F.col("s.slot") + 1).alias("place"), "total", "s.*")
+    texts = each.groupBy("host", "place", "edge", "hash").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("total").alias("total"), F.max("main").alias("main"), F.max("boiler").alias("boiler"))
+    stats = texts.groupBy("host", "place", "edge").agg(F.sum("n").alias("pages"), F.max("n").alias("most"), F.count(F.lit(1)).alias("texts"), F.sum("chars").alias("chars"), F.sum("total").alias("total"), F.max("main").alias("main"), F.max("boiler").alias("boiler"))
+    share = F.least(F.col("chars") / F.greatest("total", F.lit(1)), F.lit(1.0))
+    scored = stats.withColumn("keep", evidence(F.col("main"), F.col("boiler"), share, F.col("pages"), F.col("most"), F.col("texts")) > 0)
+    places = scored.groupBy("host", "place").agg(
+        F.max(F.when(F.col("edge") == 0, F.when(F.col("keep"), F.col("main")).otherwise(-1))).alias("main"),
+        F.sum(F.when((F.col("edge") > 0) & ~F.col("keep"), F.expr("shiftleft(1, edge)")).otherwise(0)).cast("int").alias("edges"),
+        F.sum(F.when((F.col("edge") == 0) & F.col("keep"), F.col("chars")).otherwise(0)).alias("chars"),
+    )
+    held = lambda least: F.sum(F.when(F.col("main") >= least, F.col("chars")).otherwise(0))
+    hosts = places.groupBy("host").agg(
+        F.sort_array(F.collect_list(F.struct("place", "main", "edges"))).alias("told"),
+        F.when(2 * held(2) > held(0), 2).when(2 * held(1) > held(0), 1).otherwise(0).alias("level"),
+    )
+    of = lambda c: F.transform("places", lambda i: F.element_at("told", i + 1)[c]).alias(c)
+    return salted_join(at, hosts, ["host"]).select("host", "key", of("main"), of("edges"), "level")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, one row for every row of pages.
-
-    Blocks in kept slots, in page order, joined by newlines, without slots that are almost all links on the page. If
-    those inside article (or main) elements hold most of that text, they alone; else, if with those inside elements named
-    so they do, these. Null html counts as empty, null urls share one host; a page without main text has the empty text.
-    Repeated rows are extracted each by itself."""
-    found = stored(structures(pages), "wrappers-structures")
-    places = stored(matched(infer(found), found), "wrappers-places")
-    judged = stored(judge(places, found), "wrappers-slots")
-    return extract(pages, judged)
-
-
-def kept_blocks(found: list, places: dict[int, tuple[int, int, int]], told: list) -> list[tuple[int, str]]:
-    """(main, text) of the blocks that stay: in kept slots and positions, and in no slot outside main elements that is
-    almost all links on this page."""
-    main = {t["slot"]: t["main"] for t in told if t["keep"]}
-    gone = {(t["slot"], t["n"], t["at"]) for t in told if not t["keep"]}
-    stay = [(places[leaf][0], text, links) for _, text, links, leaf in found if places[leaf][0] in main and places[leaf] not in gone]
-    size: dict[int, list[int]] = {}
-    for k, t, links in stay:
-        n = size.setdefault(k, [0, 0])
-        n[0] += len(t)
-        n[1] += links
-    return [(main[k], t) for k, t, _ in stay if main[k] or size[k][1] <= 0.8 * size[k][0]]
-
-
-def narrowed(kept: list[tuple[int, str]]) -> list[str]:
-    """Texts of (2 in a main element, 1 in one named so, or 0; text): the narrowest kinds that hold most characters."""
-    half = sum(len(t) for _, t in kept) / 2
-    for least in (2, 1):
-        inner = [t for m, t in kept if m >= least]
-        if sum(map(len, inner)) > half:
-            return inner
-    return [t for _, t in kept]
-
-
-def extract(pages: DataFrame, judged: DataFrame) -> DataFrame:
-    schema = "page_id long, url string, text string, n_chars long"
-
-    def rows(f: pd.DataFrame, told_of) -> pd.DataFrame:
-        texts = []
-        for k, (url, page) in enumerate(zip(f["url"], f["html"], strict=True)):
-            found, tree = blocks(page or "")
-            _, key, places = structure(tree)
-            texts.append("\n".join(narrowed(kept_blocks(found, places, told_of(k, url, key)))))
-        return pd.DataFrame({"page_id": ids_of(f["page_id"]), "url": f["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-
-    rows_needed = pages.select(id_text("page_id"), "url", "html")
-    if (judged.agg(F.sum(F.size("told"))).first()[0] or 0) <= MOST_BROADCAST:
-        told = {(r["host"], r["key"]): [t.asDict() for t in r["told"]] for r in judged.collect()}
-        shared = pages.sparkSession.sparkContext.broadcast(told)
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                yield rows(f, lambda k, url, key: shared.value.get((host_of(url), key), []))
-
-        return rows_needed.mapInPandas(run, schema)
-
-    @F.pandas_udf("host string, key long")
-    def place(url: pd.Series, page: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"host": url.map(host_of), "key": [structure(blocks(x or "")[1])[1] for x in page]})
-
-    def run_joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield rows(f, lambda k, url, key, told=f["told"]: told.iat[k] if told.iat[k] is not None else [])
-
-    placed = rows_needed.withColumn("p", place("url", "html")).select("page_id", "url", "html", "p.host", "p.key")
-    return placed.join(judged, ["host", "key"], "left").mapInPandas(run_joined, schema)
+    """page_id, url, text, n_chars, one row for every row of pages; other columns are ignored.
+
+    Blocks in places of the host's wrapper that stay, in page order, joined by newlines, without slots outside main elements
+    that are almost all links on the page. If most of the host's kept text stands in article (or main) elements, these alone count
+    where a page has them; else, if most stands in elements named so, these.
+
+    Null html counts as empty, null urls share one host; a page without main text has the empty text. Equal pages of a host get equal
+    texts and count once in its statistics; repeated rows are extracted each by itself; an empty table gives no rows. Pages of any
+    length and nesting take time in proportion to their length, but for alignment: lists of siblings meet in tables of
+    bits, half by half above MOST_CELLS. Unclosed tags, comments and quotes reach to the end of the page."""
+    found = stored(parsed(pages), "wrappers-pages")
+    _, at = infer(found)
+    judged = stored(judge(found, at), "wrappers-judged")
+    told = salted_join(found.select("page_id", "url", "host", "key", "blocks"), judged, ["host", "key"])
+    slot = lambda c, b: F.element_at(c, b["slot"] + 1)
+    stay = F.filter("blocks", lambda b: (slot("main", b) >= 0) & (slot("edges", b).bitwiseAND(b["edges"]) == 0) & ((slot("main", b) > 0) | ~b["linky"]))
+    inner = F.filter("stay", lambda b: slot("main", b) >= F.col("level"))
+    told = told.withColumn("stay", stay).withColumn("inner", inner)
+    text = F.array_join(F.transform(F.when(F.size("inner") > 0, F.col("inner")).otherwise(F.col("stay")), lambda b: b["text"]), "\n")
+    return told.select("page_id", "url", F.coalesce(text, F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
