@@ -46,24 +46,25 @@ def drop_stored(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-HOT_SHARE = 256  # a key with more than this part of a table's rows is spread over SALTS tasks; there are no more such keys
-SALTS = 64
+MOST_HOT = 4096  # a key that holds more than this part of a table's rows is hot, so there are no more hot keys than that
+LEAST_HOT = 16  # rows
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """left with the columns of right, whose rows are unique by `on`; null where it has none. left is a written table.
+def spread_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """left with the columns of right, whose rows are unique by `on`; null where it has none, or the key is null.
 
-    Rows of left whose key very many have, or whose key is null, are dealt over SALTS tasks, where copies of right's row wait for them."""
+    Rows of left with a hot key stay where they are and get their row of right, at most MOST_HOT in all, by a broadcast; so no task
+    gathers the rows of a frequent key. The other rows are shuffled, or what Spark prefers. left is read several times: a stored table."""
     known = F.lit(True)
     for c in on:
         known = known & F.col(c).isNotNull()
-    most = max(SALTS, left.count() // HOT_SHARE)
-    hot = stored(left.filter(known).groupBy(*on).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(*on, F.lit(True).alias("__hot")), "join-hot")
-    row = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")  # the same again, as it is read from files
-    spread = left.join(F.broadcast(hot), on, "left").withColumn("__salt", F.when(F.col("__hot") | ~known, row).otherwise(0)).drop("__hot")
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    waiting = right.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
-    return spread.join(waiting, [*on, "__salt"], "left").drop("__salt")
+    most = max(LEAST_HOT, left.count() // MOST_HOT)
+    hot = stored(left.filter(known).groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most).select(*on), "join-hot")
+    few = right.join(F.broadcast(hot), on, "left_semi")
+    frequent = left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(few), on, "left")
+    others = left.filter(known).join(F.broadcast(hot), on, "left_anti").join(right, on, "left")
+    without = left.filter(~known).withColumns({f.name: F.lit(None).cast(f.dataType) for f in right.schema if f.name not in on})
+    return frequent.unionByName(others).unionByName(without)
 
 
 def text_or_empty(c: Column | str = "text") -> Column:

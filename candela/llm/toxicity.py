@@ -1,8 +1,10 @@
 """Toxicity (8) by weak supervision.
 
-Voters (lexicons, patterns, and word beginnings mined from labelled rows of the learning folds) vote on a bounded
-sample of labelled documents. A generative model estimates each voter's accuracy and the voters' correlations by
-expectation maximisation; the label itself is one more voter, so its noise is estimated too. A linear classifier
+Voters are lexicons, patterns of writing, and word beginnings that stand out; each fires on a text or not. A generative model of
+label and votes, log-linear in all of them, has a weight between the label and each voter (its accuracy) and one between
+every two voters (their correlation), so voters that repeat each other do not count twice. Gold labels set where the
+accuracies begin and hold them there weakly; no text's posterior label sees its own gold label, only its votes. The posterior is
+then used to look for further voters, which gold labels alone may not show, and the model is fitted again. A linear classifier
 is fitted to the posterior labels and scores every document from its text alone.
 
 Bounds: the model is fitted on at most SAMPLE labelled documents, chosen by a hash; it has at most MOST_FEATURES
@@ -25,7 +27,7 @@ from .common import PrefixHash, id_text, ids_of, text_or_empty
 
 SAMPLE = 8000  # labelled documents that the model is fitted on
 MOST_FEATURES = 1 << 14
-MINED_VOTERS = 96
+MINED_VOTERS, STANDS_OUT = 256, 2.0  # at most so many, whose share of label 1 is surely so many times the usual
 FOLDS = 5
 BEGINNINGS = (3, 4, 5, 6)  # letters of a word's beginning that are a feature, besides whole words
 CHUNK = 1 << 19
@@ -103,7 +105,7 @@ class Model:
                 hi += 1
             z[lo:hi] += self._words(texts[lo:hi])
             lo = hi
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return sigmoid(z)
 
     def _words(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts))
@@ -122,70 +124,131 @@ class Model:
         return out
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Posterior of label 1 for each row of votes (fires or not), gold being the noisy label.
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-    Accuracies are P(fires | 1) and P(fires | 0) of each voter. A voter's evidence is divided by one plus the sum of
-    its positive correlations with the others given the label, so voters that repeat each other count as one."""
-    v, g = votes.astype(float), gold.astype(float)
-    q = np.where(g > 0, 0.9, 0.1)
+
+@dataclass
+class LabelModel:
+    """P(y, v) in proportion to exp(c y + alpha v + y theta v + v omega v / 2), votes v being 0 or 1.
+
+    The normalising sum is one for the whole, so the posterior of label 1 is sigmoid(c + theta v) exactly."""
+
+    c: float
+    theta: np.ndarray
+    omega: np.ndarray
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        return sigmoid(votes @ self.theta + self.c)
+
+
+def intercept(z: np.ndarray, count: np.ndarray, gold: np.ndarray) -> float:
+    """The c under which gold labels are likeliest, if they are 1 with one probability where the label is 1 and with another where it
+    is 0. z are theta v of kinds of texts, `count` how many texts are of each, `gold` how many of these have gold label 1."""
+    best, out = -np.inf, 0.0
+    for c in -np.unique(np.quantile(z, np.linspace(0, 1, 41), weights=count, method="inverted_cdf")[:, None] + np.array([-3.0, -1.0, 1.0, 3.0])):
+        s = sigmoid(z + c)
+        one, zero = 0.8, 0.1
+        for _ in range(8):
+            p = np.clip(zero + (one - zero) * s, 1e-6, 1 - 1e-6)
+            mine, other = s * one / p, s * (1 - one) / (1 - p)  # of texts with gold 1 and with gold 0 those that are truly 1
+            t1, t0 = gold @ mine, (count - gold) @ other
+            one = np.clip((t1 + 4) / (t1 + t0 + 5), 0.5, 0.99)
+            zero = np.clip((gold @ (1 - mine) + 0.5) / (count.sum() - t1 - t0 + 5), 0.001, 0.5)
+        p = np.clip(zero + (one - zero) * s, 1e-6, 1 - 1e-6)
+        fit = gold @ np.log(p) + (count - gold) @ np.log(1 - p)
+        if fit > best:
+            best, out = fit, float(c)
+    return out
+
+
+def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 8, steps: int = 10, sparse: float = 0.02, hold: float = 0.02) -> LabelModel:
+    """Weights by expectation maximisation; within a round by steps up the pseudo-likelihood, in which each vote is a
+    logistic regression on the label and all other votes. Correlations have an L1 penalty, so most are 0; accuracies
+    are held to those that gold labels show, with little weight. Texts with the same votes are one kind with a count."""
+    kinds, kind = np.unique(np.packbits(votes.astype(bool), axis=1), axis=0, return_inverse=True)
+    kind = kind.ravel()
+    v = np.unpackbits(kinds, axis=1, count=votes.shape[1]).astype(np.float64)
+    count, g = np.bincount(kind).astype(float), np.bincount(kind, weights=gold)
+    n, m = count.sum(), v.shape[1]
+    fires = v.T @ count
+    a, b = (v.T @ g + 0.5) / (g.sum() + 1), (v.T @ (count - g) + 0.5) / (n - g.sum() + 1)
+    first = np.log(a / (1 - a)) - np.log(b / (1 - b))
+    theta, alpha, omega = first.copy(), np.log(b / (1 - b)), np.zeros((m, m))
+    spread = np.maximum(fires / n * (1 - fires / n), 1e-3)
+    scale = np.sqrt(np.outer(spread, spread))
+    w = (count / n)[:, None]
     for _ in range(rounds):
-        one, zero = q.sum() + 2, (1 - q).sum() + 2
-        prior = np.clip((q.sum() + 1) / (len(q) + 2), 0.01, 0.99)
-        a, b = (q @ v + 1) / one, ((1 - q) @ v + 1) / zero
-        r = v - np.outer(q, a) - np.outer(1 - q, b)
-        r /= np.sqrt((r * r).sum(0)) + 1e-9
-        shared = np.maximum(r.T @ r, 0).sum(0).clip(1)
-        evidence = v @ (np.log(a / b) / shared) + (1 - v) @ (np.log((1 - a) / (1 - b)) / shared)
-        ga, gb = np.clip((q @ g + 9) / (q.sum() + 10), 0.5, 0.99), np.clip(((1 - q) @ g + 1) / ((1 - q).sum() + 10), 0.01, 0.5)
-        evidence += np.where(g > 0, np.log(ga / gb), np.log((1 - ga) / (1 - gb)))
-        q = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + evidence, -12, 12)))
-    return q
+        q = sigmoid(v @ theta + intercept(v @ theta, count, g))[:, None]
+        for _ in range(steps):
+            other = alpha + v @ omega
+            up1, up0 = w * q * (v - sigmoid(other + theta)), w * (1 - q) * (v - sigmoid(other))
+            theta = np.clip(theta + (up1.sum(0) - hold * spread * (theta - first)) / spread, first - 4, first + 4)
+            alpha = alpha + (up1 + up0).sum(0) / spread
+            both = v.T @ (up1 + up0)
+            omega = omega + (both + both.T) / scale / 8
+            omega = np.clip(np.sign(omega) * np.maximum(np.abs(omega) - sparse / 2, 0), -6, 6)
+            np.fill_diagonal(omega, 0)
+    return LabelModel(intercept(v @ theta, count, g), theta, omega)
+
+
+def standing_out(q: np.ndarray, doc: np.ndarray, inverse: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For n features the expected number of documents with label 1 that have it, and a lower bound of their share."""
+    ones = np.bincount(inverse, weights=q[doc], minlength=n)
+    total = np.bincount(inverse, minlength=n)
+    p, z = ones / total, 1.6
+    return ones, (p + z * z / (2 * total) - z * np.sqrt(p * (1 - p) / total + z * z / (4 * total * total))) / (1 + z * z / total)
 
 
 def fit(texts: list[str], gold: np.ndarray) -> Model:
-    """A model of labelled texts. Without both labels the patterns and mined words stay out and the lexicons alone
-    decide."""
-    lexicon = {name: np.array(sorted(Words.word(w) for w in words.split()), np.uint64) for name, words in LEXICONS.items()}
-    every = np.unique(np.concatenate(list(lexicon.values())))
-    n, n1 = len(texts), int(gold.sum())
+    return fit_features([document_features(t) for t in texts], pattern_votes(texts), gold)
+
+
+def document_features(text: str) -> np.ndarray:
+    """Distinct hashes of a text's words and beginnings, some words at a time."""
+    parts, at = [], 0
+    while at < len(text) or not parts:
+        end = at + CHUNK
+        while end < len(text) and not text[end].isspace() and end < at + 2 * CHUNK:
+            end += 1
+        parts.append(np.unique(Words.features([text[at:end]])[1]))
+        at = end
+    return np.unique(np.concatenate(parts))
+
+
+def fit_features(features: list[np.ndarray], patterns: np.ndarray, gold: np.ndarray) -> Model:
+    """A model of labelled texts, given by their features. Without both labels the patterns and mined words stay out and the
+    lexicons alone decide."""
+    lexicon = [np.array(sorted(Words.word(w) for w in words.split()), np.uint64) for words in LEXICONS.values()]
+    every = np.unique(np.concatenate(lexicon))
+    n, n1 = len(features), int(gold.sum())
     if not 0 < n1 < n:
         return Model(every, np.full(len(every), 3.0))
-    docs, hashes = [], []
-    for lo in range(0, n, 200):
-        d, h = Words.features(texts[lo : lo + 200])
-        order = np.lexsort((h, d))
-        d, h = d[order], h[order]
-        new = np.append(True, (d[1:] != d[:-1]) | (h[1:] != h[:-1]))
-        docs.append(d[new] + lo)
-        hashes.append(h[new])
-    doc, h = np.concatenate(docs), np.concatenate(hashes)
+    doc, h = np.repeat(np.arange(n), [len(x) for x in features]), np.concatenate(features)
     ids, inverse = np.unique(h, return_inverse=True)
-    in1 = np.bincount(inverse, weights=gold[doc], minlength=len(ids))
-    total = np.bincount(inverse, minlength=len(ids))
-    # Lower bound of the share of label 1 among documents with the feature, against the share in the sample.
-    p, z = in1 / total, 1.6
-    low = (p + z * z / (2 * total) - z * np.sqrt(p * (1 - p) / total + z * z / (4 * total * total))) / (1 + z * z / total)
-    base = n1 / n
-    good = np.flatnonzero((in1 >= 2) & (low > 1.5 * base) | np.isin(ids, every))
-    good = np.sort(good[np.argsort(-low[good] * np.log1p(in1[good]), kind="stable")][:MOST_FEATURES])
+    by_list = np.zeros((n, len(lexicon)), bool)
+    for k, words in enumerate(lexicon):
+        by_list[doc[np.isin(h, words)], k] = True
+    q, base = gold.astype(float), n1 / n
+    for _ in range(2):  # voters that gold labels show, then those that the posterior shows
+        ones, low = standing_out(q, doc, inverse, len(ids))
+        out = np.flatnonzero((ones >= 2) & (low > STANDS_OUT * base))
+        mined = out[np.argsort(-low[out] * np.sqrt(ones[out]), kind="stable")[:MINED_VOTERS]]
+        voter = np.full(len(ids), -1)
+        voter[mined] = np.arange(len(mined))
+        votes = np.zeros((n, len(mined)), bool)
+        hit = voter[inverse] >= 0
+        votes[doc[hit], voter[inverse[hit]]] = True
+        every_vote = np.hstack([votes, by_list, patterns])
+        q = label_model(every_vote, gold).posterior(every_vote)
+
+    ones, low = standing_out(q, doc, inverse, len(ids))
+    good = np.flatnonzero((ones >= 1.5) & (low > 1.5 * q.mean()) | np.isin(ids, every))
+    good = np.sort(good[np.argsort(-low[good] * np.log1p(ones[good]), kind="stable")][:MOST_FEATURES])
     column = np.full(len(ids), -1)
     column[good] = np.arange(len(good))
     used = column[inverse] >= 0
     row, col = doc[used], column[inverse[used]]
-    patterns = pattern_votes(texts)
-
-    mined = good[np.argsort(-low[good] * np.sqrt(in1[good]), kind="stable")[:MINED_VOTERS]]
-    voter = np.full(len(good), -1)
-    voter[column[mined]] = np.arange(len(mined))
-    votes = np.zeros((n, len(mined)), bool)
-    hit = voter[col] >= 0
-    votes[row[hit], voter[col[hit]]] = True
-    by_list = np.zeros((n, len(lexicon)), bool)
-    for k, words in enumerate(lexicon.values()):
-        inside = np.isin(ids[good][col], words)
-        by_list[row[inside], k] = True
-    q = label_model(np.hstack([votes, by_list, patterns]), gold)
 
     # Logistic regression on the posteriors: accelerated gradient steps with an L1 and an L2 penalty.
     m = len(good)
@@ -197,7 +260,7 @@ def fit(texts: list[str], gold: np.ndarray) -> Model:
     rate_pat, rate_bias = 1.0, 0.5
     for step in range(1500):
         zs = vb + patterns @ vp + np.bincount(row, weights=vw[col], minlength=n)
-        g = (1 / (1 + np.exp(-np.clip(zs, -30, 30))) - q) * balance
+        g = (sigmoid(zs) - q) * balance
         new = vw - rate * (np.bincount(col, weights=g[row], minlength=m) + 1e-4 * vw)
         new = np.sign(new) * np.maximum(np.abs(new) - rate * 5e-6, 0)
         new_pat, new_bias = vp - rate_pat * (g @ patterns + 1e-2 * vp), vb - rate_bias * g.sum()
@@ -224,18 +287,23 @@ def learning_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    rows = learning_rows(docs, labels, sample).repartition(1).sortWithinPartitions("doc_id", "text")
+    def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            patterns = pattern_votes(list(f["text"]))
+            yield pd.DataFrame({"doc_id": f["doc_id"], "features": [document_features(t).tobytes() for t in f["text"]], "patterns": [p.tobytes() for p in patterns], "toxic": f["toxic"]})
 
-    # The bounded sample is fitted in one task, so its texts never come to the driver; the weights do.
+    # The bounded sample is fitted in one task: its features, not its texts, and the weights alone come to the driver.
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts, gold = [], []
+        found, patterns, gold = [], [], []
         for f in frames:
-            texts += list(f["text"])
+            found += [np.frombuffer(x, np.uint64) for x in f["features"]]
+            patterns += [np.frombuffer(x, bool) for x in f["patterns"]]
             gold += list(f["toxic"])
-        m = fit(texts, np.array(gold, float))
+        m = fit_features(found, np.array(patterns, bool).reshape(-1, 4), np.array(gold, float))
         yield pd.DataFrame({"hashes": [m.hashes.tobytes()], "weights": [m.weights.tobytes()], "patterns": [m.patterns.tobytes()], "bias": [m.bias]})
 
-    got = rows.mapInPandas(run, "hashes binary, weights binary, patterns binary, bias double").collect()
+    each = learning_rows(docs, labels, sample).mapInPandas(features, "doc_id long, features binary, patterns binary, toxic int")
+    got = each.repartition(1).sortWithinPartitions("doc_id").mapInPandas(run, "hashes binary, weights binary, patterns binary, bias double").collect()
     if not got:
         return fit([], np.zeros(0))
     r = got[0]
@@ -256,12 +324,13 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Score of every row of docs. Null and empty texts get the score of a text without words; a null doc_id is
-    not held out; repeated rows get equal scores; without usable labels the lexicons alone decide."""
+    not held out; repeated rows get equal scores; without usable labels the lexicons alone decide. Texts of any length are read whole;
+    an empty table gives no rows; columns other than doc_id and text, and doc_id and toxic of labels, are ignored."""
     return with_scores(docs, fit_on(docs, labels, sample))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs, all columns, that are not predicted toxic."""
+    """The rows of docs, all columns, whatever their names, that are not predicted toxic: with score_documents' score under 0.5."""
     model = fit_on(docs, labels, sample)
     schema = docs.schema
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, ids_of, salted_join, stored
+from .common import id_text, ids_of, spread_join, stored
 
 # Elements by their role in HTML, and words of class names and ids that mark what is no main text.
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video select textarea button title".split())
@@ -437,7 +437,7 @@ def parsed(pages: DataFrame) -> DataFrame:
 def salted(left: DataFrame) -> DataFrame:
     """left(host, id, ...) with groups (of the host) and salt: about STRUCTURES wrappers of a host in each."""
     n = left.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / STRUCTURES).alias("groups"))
-    return salted_join(left, n, ["host"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("groups")))
+    return spread_join(left, n, ["host"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("groups")))
 
 
 def together(f: pd.DataFrame) -> pd.DataFrame:
@@ -491,7 +491,7 @@ def judge(found: DataFrame, at: DataFrame) -> DataFrame:
     """host, key, main, edges, level: for each slot of a structure -1 if it goes, else how far it is in a main element, and bits of
     the ends that go; and how far in main elements most of the host's text stands. Equal pages count once."""
     different = stored(found.select("host", "key", "whole", "total", "stats").dropDuplicates(["host", "whole"]), "wrappers-different")
-    each = salted_join(different, at, ["host", "key"]).select("host", "places", "total", F.explode("stats").alias("s"))
+    each = spread_join(different, at, ["host", "key"]).select("host", "places", "total", F.explode("stats").alias("s"))
     each = each.select("host", F.element_at("places", F.col("s.slot") + 1).alias("place"), "total", "s.*")
     texts = each.groupBy("host", "place", "edge", "hash").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("total").alias("total"), F.max("main").alias("main"), F.max("boiler").alias("boiler"))
     stats = texts.groupBy("host", "place", "edge").agg(F.sum("n").alias("pages"), F.max("n").alias("most"), F.count(F.lit(1)).alias("texts"), F.sum("chars").alias("chars"), F.sum("total").alias("total"), F.max("main").alias("main"), F.max("boiler").alias("boiler"))
@@ -508,7 +508,7 @@ def judge(found: DataFrame, at: DataFrame) -> DataFrame:
         F.when(2 * held(2) > held(0), 2).when(2 * held(1) > held(0), 1).otherwise(0).alias("level"),
     )
     of = lambda c: F.transform("places", lambda i: F.element_at("told", i + 1)[c]).alias(c)
-    return salted_join(at, hosts, ["host"]).select("host", "key", of("main"), of("edges"), "level")
+    return spread_join(at, hosts, ["host"]).select("host", "key", of("main"), of("edges"), "level")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -525,7 +525,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     found = stored(parsed(pages), "wrappers-pages")
     _, at = infer(found)
     judged = stored(judge(found, at), "wrappers-judged")
-    told = salted_join(found.select("page_id", "url", "host", "key", "blocks"), judged, ["host", "key"])
+    told = spread_join(found.select("page_id", "url", "host", "key", "blocks"), judged, ["host", "key"])
     slot = lambda c, b: F.element_at(c, b["slot"] + 1)
     stay = F.filter("blocks", lambda b: (slot("main", b) >= 0) & (slot("edges", b).bitwiseAND(b["edges"]) == 0) & ((slot("main", b) > 0) | ~b["linky"]))
     inner = F.filter("stay", lambda b: slot("main", b) >= F.col("level"))

@@ -192,11 +192,20 @@ def test_awkward_pages_and_columns(spark):
     assert sorted((r["page_id"] or 0, r["text"]) for r in got.collect()) == [(0, "no id"), (1, "deep\nafter"), (2, "else\nthere"), (2, "else\nthere"), (4, "a")]
 
 
-def test_hot_structures_are_spread(spark, monkeypatch):
-    monkeypatch.setattr(common, "SALTS", 5)
-    rows = [(i, "http://a.example/", f"<body><h3>Fixed</h3><p>one structure, article {i}</p></body>") for i in range(300)] + [(1000 + i, "http://a.example/", f"<h3>Fixed</h3>{'<hr><b>x</b><h5>y</h5><h6>z</h6>'[: 9 * (i % 3)]}<p>other, article {i}</p>") for i in range(9)]
+def test_frequent_and_rare_structures(spark):
+    rows = [(i, "http://a.example/", f"<body><h3>Fixed</h3><p>one structure, article {i}</p></body>") for i in range(300)]
+    rows += [(1000 + i, "http://a.example/", f"<h3>Fixed</h3>{'<h1>x</h1><h5>y</h5>'[: 10 * (i % 3)]}<p>other, article {i}</p>") for i in range(9)]
     got = texts_of(spark, rows)
     assert len(got) == 309 and all(got[i] == f"one structure, article {i}" for i in range(300))
+    assert all(got[1000 + i].endswith(f"other, article {i}") and "Fixed" not in got[1000 + i] for i in range(9))
+
+
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 2)
+    left = common.stored(spark.createDataFrame([(k, i) for i, k in enumerate([1, 1, 1, 1, 2, 3, None, None, 4, 4, 4])], "k long, i long"), "left")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (9, "z")], "k long, v string")
+    got = sorted(tuple(r) for r in common.spread_join(left, right, ["k"]).select("i", "v").collect())
+    assert got == [(0, "a"), (1, "a"), (2, "a"), (3, "a"), (4, "b"), (5, None), (6, None), (7, None), (8, None), (9, None), (10, None)]
 
 
 def test_wrappers_are_merged_in_rounds(spark, monkeypatch):
