@@ -147,6 +147,8 @@ class PairTable:
     NONE = np.int32(2**31 - 1)
 
     def __init__(self, left, right, rank, merged):
+        if max(map(len, (left, right))) and max(np.max(left), np.max(right)) > 0xFFFF:
+            raise ValueError("ids of merged pairs must be below 65,536")
         key = np.asarray(left, np.uint32) * np.uint32(65536) + np.asarray(right, np.uint32)
         self.bits = max(16, int(4 * max(1, len(key)) - 1).bit_length())
         self.mask = np.uint32((1 << self.bits) - 1)
@@ -476,7 +478,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, SHA-256 of the ids (little-endian unsigned 32 bit) and of the bytes decoded from them.
-    Null text counts as empty; repeated rows are encoded each by itself; no shuffle."""
+    Null text counts as empty; repeated rows are encoded each by itself; no shuffle. Texts of any length are encoded whole, in
+    slices of one array; an empty table gives no rows; other columns are ignored, whatever their names."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(path)

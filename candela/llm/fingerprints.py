@@ -3,12 +3,16 @@
 Each text is parsed into LZ78 phrases over code points: a phrase is the longest one known so far plus a
 character. The fingerprint is the SIZE smallest hashes of the set of phrases, so two fingerprints estimate
 the Jaccard likeness of the phrase sets, which is high where a joint compression would gain much.
+
+The dictionary of a text is kept whole while that text is parsed: about 120 bytes a phrase, 20 MB for a megabyte of prose, and
+phrases grow more slowly than the text.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, id_text, ids_of, n_blocks, text_or_empty, total_bytes
+from .common import PrefixHash, id_text, ids_of, n_blocks, text_or_empty
 
 SIZE = 128  # hashes of a fingerprint
-MOST_PHRASES = 1 << 20  # the dictionary begins anew then, which bounds memory for very long texts
-BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 20_000
+BUCKET_BYTES = 4 << 20
+MOST_BUCKETS = 50_000  # tasks, several for each core of a large cluster; beyond 200 GB they grow with the data
+SAMPLED = 16  # rows for each bucket, from which the bounds of the buckets are taken
 _STEP = 1 << 21  # above all code points: a trie key is node * _STEP + code point
 
 
@@ -47,9 +52,6 @@ class Parse:
                 add(i)
                 new += _STEP
                 node = 0
-                if len(trie) >= MOST_PHRASES:
-                    trie.clear()
-                    new = _STEP
             else:
                 node = got
         self.node, self.next, self.at = node, new, i
@@ -85,38 +87,49 @@ def fingerprint(text: str) -> str:
     return written(signature(text, Parse().feed(text).ends))
 
 
-def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Rows in partitions of consecutive doc_id, sorted; each partition ends with a copy (halo = 1) of the row
-    that follows it, the first row of all after the last one. Only ids and bounded lists reach the driver."""
-    buckets = min(MOST_BUCKETS, n_blocks(total_bytes(docs), BUCKET_BYTES))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("t"))
-    bounds: list[float] = []
+Key = tuple[bool, int, int, int]
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """doc_id, t, halo, bucket: rows in partitions that follow each other in order, sorted; each partition ends with a copy (halo = 1)
+    of the row that follows it, the first row of all after the last one. Only a bounded sample of keys and the buckets'
+    first keys reach the driver.
+
+    The order is by doc_id, null first, the text's CRC-32, and the row's place in the input, so rows without an id and rows
+    of one doc_id, equal ones too, are dealt over as many buckets as they need. docs is read several times: a stored table."""
+    text = text_or_empty()
+    place = F.xxhash64(F.monotonically_increasing_id())
+    rows = docs.select(F.col("doc_id").isNotNull().alias("k0"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k1"), F.crc32(text.cast("binary")).alias("k2"), place.alias("k3"), text.alias("t"))
+    key = ["k0", "k1", "k2", "k3"]
+    n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("t").cast("long"))).first()
+    buckets = min(MOST_BUCKETS, n_blocks(size or 0, BUCKET_BYTES))
+    edges: list[Key] = []
     if buckets > 1:
-        found = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / buckets for i in range(1, buckets)], 0.2 / buckets)
-        bounds = sorted(set(found))
-    edges = np.array(bounds)
+        share = min(1.0, 2 * SAMPLED * buckets / n)
+        picked = F.pmod(F.xxhash64(F.lit(3), *key), F.lit(1 << 30)) < int(share * (1 << 30))
+        sample = sorted(tuple(r) for r in rows.filter(picked).select(*key).collect())  # about 2 * SAMPLED * MOST_BUCKETS keys at most
+        edges = sorted({sample[i * len(sample) // buckets] for i in range(1, buckets)}) if sample else []
+
+    def keys_of(k0, k1, k2, k3) -> Iterator[Key]:
+        return zip(k0.tolist(), k1.tolist(), k2.tolist(), k3.tolist(), strict=True)
 
     @F.pandas_udf("int")
-    def bucket_of(d: pd.Series) -> pd.Series:
-        return pd.Series(np.where(d.isna(), 0, np.searchsorted(edges, d.fillna(-np.inf).to_numpy(np.float64), "right")).astype(np.int32))
+    def bucket_of(k0: pd.Series, k1: pd.Series, k2: pd.Series, k3: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(edges, k) for k in keys_of(k0, k1, k2, k3)], dtype="int32")
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).withColumn("bucket", bucket_of("doc_id"))
-    firsts = sorted((r[0], r[1]) for r in ids.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id"))["doc_id"].alias("f")).collect())
+    found = rows.select(*key).withColumn("bucket", bucket_of(*key)).groupBy("bucket").agg(F.min(F.struct(*key)).alias("f")).collect()
+    firsts = sorted((r["bucket"], tuple(r["f"])) for r in found)
     if not firsts:
-        return rows.withColumns({"bucket": F.lit(0), "halo": F.lit(0)}), 1
-    before = {f: firsts[i - 1][0] for i, (_, f) in enumerate(firsts)}  # i = 0: the last bucket
-    heads, tails = list(before), [before[f] for f in before]
-    to = {h: t for h, t in zip(heads, tails, strict=True)}
+        return rows.select(F.lit(None).cast("long").alias("doc_id"), "t", F.lit(0).alias("halo"), F.lit(0).alias("bucket"))
+    to = {f: firsts[i - 1][0] for i, (_, f) in enumerate(firsts)}  # i = 0: the last bucket
 
     @F.pandas_udf("array<int>")
-    def goes_to(d: pd.Series) -> pd.Series:
-        keys = [None if x is None else int(x) for x in d]
-        own = [0 if k is None else int(np.searchsorted(edges, float(k), "right")) for k in keys]
-        return pd.Series([[int(b), to[k]] if k in to else [int(b)] for b, k in zip(own, keys, strict=True)])
+    def goes_to(k0: pd.Series, k1: pd.Series, k2: pd.Series, k3: pd.Series) -> pd.Series:
+        return pd.Series([[bisect_right(edges, k), to[k]] if k in to else [bisect_right(edges, k)] for k in keys_of(k0, k1, k2, k3)])
 
-    n = firsts[-1][0] + 1
-    spread = rows.select("doc_id", "t", F.posexplode(goes_to(id_text("doc_id"))).alias("halo", "bucket"))
-    return spread.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "halo", F.col("doc_id").asc_nulls_first(), F.crc32(F.col("t").cast("binary")), "t"), n
+    spread = rows.select(*key, "t", F.posexplode(goes_to(*key)).alias("halo", "bucket"))
+    ordered = spread.repartitionById(firsts[-1][0] + 1, F.col("bucket")).sortWithinPartitions("bucket", "halo", *key)
+    return ordered.select(F.when(F.col("k0"), F.col("k1")).alias("doc_id"), "t", "halo", "bucket")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -125,8 +138,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     The next document is the next row by doc_id; rows of one doc_id follow each other by the text's CRC-32, rows
     without an id come first, and after the last row comes the first. Null text counts as empty: its fingerprint
     is the empty string, like only to itself. A table of one row is its own next document; an empty one gives none.
+    Texts of any length are parsed whole (see above for memory). Other columns are ignored, whatever their names.
     """
-    rows, _ = in_order(docs)
+    rows = in_order(docs)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple | None = None

@@ -2,18 +2,20 @@
 
 A record's slot is a hash of its key, one of SLOTS; bytes and rows are summed for each slot, and a
 slot-to-shard map places whole slots. The map is a table of SLOTS rows for each version: its size does not
-depend on the data, so it is folded in one task and broadcast. Rebalancing writes a new version in which a slot
-stays on its shard unless that shard would pass its share of the bytes.
+depend on the data, so it is folded in one task and broadcast. Rebalancing, to the same or another number of shards, writes a
+new version in which a slot stays on its shard unless that shard would pass its share of the bytes or is no more.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path, stored
 
 SLOTS = 8192  # fixed for the life of a data set
+HOT_PART = 4096  # equal rows that are more than this part of a table, by rows or bytes, are spread over slots
 SLACK = 0.0005  # of a shard's share of the bytes that a rebalanced shard may exceed
 
 
@@ -32,9 +34,10 @@ def first_map(n_shards: int, spark, slots: int = SLOTS) -> DataFrame:
 
 
 def rebalance(current: DataFrame, stats: DataFrame, n_shards: int, slack: float = SLACK) -> DataFrame:
-    """The next version of a map. Slots are taken by bytes, largest first. A slot stays where it is if the
-    shard has room for it within its share; otherwise it moves to the shard with the fewest bytes so far.
-    Slots without records stay. Ties go to the lower slot and the lower shard."""
+    """The next version of a map, for shards 0 to n_shards - 1, however many there were. Slots are taken by bytes, largest first. A
+    slot stays where it is if the shard is still there and has room for it within its share; otherwise it moves to the shard
+    with the fewest bytes so far. Slots without records stay, or go to the remainder of their number by n_shards where
+    their shard is no more. Ties go to the lower slot and the lower shard."""
     slots = (
         current.join(stats, "virtual_slot", "left")
         .select("version", F.struct((-F.coalesce("slot_bytes", F.lit(0))).alias("minus"), F.col("virtual_slot").alias("slot"), F.col("shard").alias("was")).alias("s"))
@@ -42,12 +45,14 @@ def rebalance(current: DataFrame, stats: DataFrame, n_shards: int, slack: float
         .agg(F.sort_array(F.collect_list("s")).alias("slots"))
         .withColumn("room", F.expr(f"ceil(-aggregate(slots, 0L, (t, x) -> t + x.minus) / {n_shards}D * {1 + slack}D)"))
     )
-    # load: bytes of each shard so far; to: the shard of each slot so far.
+    # load: bytes of each shard so far; to: the shard of each slot so far. A shard that is no more has no load: null.
+    stays = "coalesce(try_element_at(a.load, x.was + 1) - x.minus <= room, false)"
+    to = f"case when x.minus = 0 then if(x.was < {n_shards}, x.was, pmod(x.slot, {n_shards})) when {stays} then x.was else cast(array_position(a.load, array_min(a.load)) as int) - 1 end"
     fold = f"""aggregate(slots,
         named_struct('load', array_repeat(0L, {n_shards}), 'to', cast(array() as array<int>)),
         (a, x) -> named_struct(
-            'load', transform(a.load, (b, i) -> b - if(i = if(x.minus = 0 or element_at(a.load, x.was + 1) - x.minus <= room, x.was, cast(array_position(a.load, array_min(a.load)) as int) - 1), x.minus, 0L)),
-            'to', concat(a.to, array(if(x.minus = 0 or element_at(a.load, x.was + 1) - x.minus <= room, x.was, cast(array_position(a.load, array_min(a.load)) as int) - 1)))))"""
+            'load', transform(a.load, (b, i) -> b - if(i = {to}, x.minus, 0L)),
+            'to', concat(a.to, array({to}))))"""
     return (
         slots.withColumn("folded", F.expr(fold))
         .select("version", F.explode(F.expr("arrays_zip(slots, folded.to)")).alias("z"))
@@ -68,13 +73,38 @@ def read_map(spark, path: str, version: int | None = None) -> DataFrame:
     return maps.filter(F.col("version") == version).select("virtual_slot", "shard", "version")
 
 
+def has_map(spark, path: str) -> bool:
+    """Whether a map is stored there."""
+    try:
+        return not spark.read.parquet(path).isEmpty()
+    except AnalysisException:
+        return False
+
+
+def with_slots(records: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """records(doc_id, size, text_crc32), a written table, with virtual_slot.
+
+    Equal rows are told apart by their place in the table where they are more than a fraction of it, by rows or bytes: else a group
+    of copies would be one slot. There are no more such groups than 2 * HOT_PART."""
+    total = records.agg(F.count(F.lit(1)), F.sum("size")).first()
+    key = ["doc_id", "size", "text_crc32"]
+    groups = records.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    hot = groups.filter((F.col("n") > (total[0] or 0) // HOT_PART) | (F.col("n") * F.col("size") > (total[1] or 0) // HOT_PART)).select(*[F.col(c).alias(f"hot_{c}") for c in key])
+    same = F.col("doc_id").eqNullSafe(F.col("hot_doc_id")) & (F.col("size") == F.col("hot_size")) & (F.col("text_crc32") == F.col("hot_text_crc32"))
+    place = F.when(F.col("hot_size").isNotNull(), F.monotonically_increasing_id()).otherwise(0)
+    spread = records.join(F.broadcast(hot), same, "left").select(*key, slot_of(F.col("doc_id"), F.col("text_crc32"), place, slots=slots).alias("virtual_slot"))
+    return stored(spread, "sharding-slots")
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 8, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null), virtual_slot, map_version.
 
     Law: the shards' bytes are near equal. The slot hash covers doc_id and the text's CRC-32, so rows without
     an id spread too. `slot` is the row's place in its shard, gapless from 0: rows before its virtual slot (from
-    the map's sums), then its rank in the virtual slot. No window is wider than one virtual slot.
-    Null text: size 1, CRC-32 0. Repeated rows each get a place of their own. An empty table gives no rows.
+    the map's sums), then its rank in the virtual slot. No window is wider than one virtual slot. A map that is already at
+    map_path is edited: its latest version is rebalanced to the data and n_shards, and the result is the next version.
+    Null text: size 1, CRC-32 0. Repeated rows each get a place of their own; ties in a virtual slot are equal rows. Texts of any
+    length count by their bytes. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     text = F.col("text")
@@ -83,11 +113,15 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, slots: int = SLOTS, map_
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
     )
-    rows = stored(rows.withColumn("virtual_slot", slot_of(F.col("doc_id"), F.col("text_crc32"), slots=slots)), "sharding-rows")
+    rows = with_slots(stored(rows, "sharding-rows"), slots)
     stats = stored(slot_stats(rows), "sharding-stats")
     path = map_path or scratch_path(spark, "sharding-map")
-    write_map(first_map(n_shards, spark, slots), path)
-    write_map(rebalance(read_map(spark, path), stats, n_shards), path)
+    if not (map_path and has_map(spark, path)):
+        write_map(first_map(n_shards, spark, slots), path)
+    current = read_map(spark, path)
+    if (found := current.count()) != slots:
+        raise ValueError(f"the map at {path} has {found} slots, not {slots}: slots are fixed for the life of a data set")
+    write_map(rebalance(current, stats, n_shards), path)
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     places = (
         read_map(spark, path)

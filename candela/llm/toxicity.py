@@ -142,10 +142,10 @@ class LabelModel:
         return sigmoid(votes @ self.theta + self.c)
 
 
-def intercept(z: np.ndarray, count: np.ndarray, gold: np.ndarray) -> float:
-    """The c under which gold labels are likeliest, if they are 1 with one probability where the label is 1 and with another where it
+def intercept(z: np.ndarray, count: np.ndarray, gold: np.ndarray) -> tuple[float, float, float]:
+    """The c, and P(gold 1 | label 1) and P(gold 1 | label 0), under which gold labels are likeliest, if they are 1 with one probability where the label is 1 and with another where it
     is 0. z are theta v of kinds of texts, `count` how many texts are of each, `gold` how many of these have gold label 1."""
-    best, out = -np.inf, 0.0
+    best, out = -np.inf, (0.0, 0.8, 0.1)
     for c in -np.unique(np.quantile(z, np.linspace(0, 1, 41), weights=count, method="inverted_cdf")[:, None] + np.array([-3.0, -1.0, 1.0, 3.0])):
         s = sigmoid(z + c)
         one, zero = 0.8, 0.1
@@ -158,14 +158,15 @@ def intercept(z: np.ndarray, count: np.ndarray, gold: np.ndarray) -> float:
         p = np.clip(zero + (one - zero) * s, 1e-6, 1 - 1e-6)
         fit = gold @ np.log(p) + (count - gold) @ np.log(1 - p)
         if fit > best:
-            best, out = fit, float(c)
+            best, out = fit, (float(c), float(one), float(zero))
     return out
 
 
 def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 8, steps: int = 10, sparse: float = 0.02, hold: float = 0.02) -> LabelModel:
     """Weights by expectation maximisation; within a round by steps up the pseudo-likelihood, in which each vote is a
     logistic regression on the label and all other votes. Correlations have an L1 penalty, so most are 0; accuracies
-    are held to those that gold labels show, with little weight. Texts with the same votes are one kind with a count."""
+    are held to those that gold labels show, with little weight. Gold labels, as right as they prove to be, are evidence in
+    these rounds, and none in the posterior. Texts with the same votes are one kind with a count."""
     kinds, kind = np.unique(np.packbits(votes.astype(bool), axis=1), axis=0, return_inverse=True)
     kind = kind.ravel()
     v = np.unpackbits(kinds, axis=1, count=votes.shape[1]).astype(np.float64)
@@ -177,19 +178,21 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 8, steps: int
     theta, alpha, omega = first.copy(), np.log(b / (1 - b)), np.zeros((m, m))
     spread = np.maximum(fires / n * (1 - fires / n), 1e-3)
     scale = np.sqrt(np.outer(spread, spread))
-    w = (count / n)[:, None]
     for _ in range(rounds):
-        q = sigmoid(v @ theta + intercept(v @ theta, count, g))[:, None]
+        z = v @ theta
+        c, one, zero = intercept(z, count, g)
+        is1 = g * sigmoid(z + c + np.log(one / zero)) + (count - g) * sigmoid(z + c + np.log((1 - one) / (1 - zero)))
+        w1, w0 = (is1 / n)[:, None], ((count - is1) / n)[:, None]
         for _ in range(steps):
             other = alpha + v @ omega
-            up1, up0 = w * q * (v - sigmoid(other + theta)), w * (1 - q) * (v - sigmoid(other))
-            theta = np.clip(theta + (up1.sum(0) - hold * spread * (theta - first)) / spread, first - 4, first + 4)
-            alpha = alpha + (up1 + up0).sum(0) / spread
+            up1, up0 = w1 * (v - sigmoid(other + theta)), w0 * (v - sigmoid(other))
+            theta = np.clip(theta + 0.3 * (up1.sum(0) - hold * spread * (theta - first)) / spread, first - 4, first + 4)
+            alpha = alpha + 0.3 * (up1 + up0).sum(0) / spread
             both = v.T @ (up1 + up0)
-            omega = omega + (both + both.T) / scale / 8
-            omega = np.clip(np.sign(omega) * np.maximum(np.abs(omega) - sparse / 2, 0), -6, 6)
+            omega = omega + (both + both.T) / scale / 4
+            omega = np.clip(np.sign(omega) * np.maximum(np.abs(omega) - sparse, 0), -6, 6)
             np.fill_diagonal(omega, 0)
-    return LabelModel(intercept(v @ theta, count, g), theta, omega)
+    return LabelModel(intercept(v @ theta, count, g)[0], theta, omega)
 
 
 def standing_out(q: np.ndarray, doc: np.ndarray, inverse: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

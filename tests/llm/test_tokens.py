@@ -148,6 +148,55 @@ def test_shards(spark):
     assert sharding.shard_documents(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def fold(was, size, n_shards, slack=sharding.SLACK):
+    """Slots, largest first, stay where there is room, or go to the shard with the fewest bytes."""
+    room = -(-sum(size.values()) * (1 + slack) // n_shards)
+    load, to = [0] * n_shards, {}
+    for slot in sorted(was, key=lambda s: (-size.get(s, 0), s)):
+        n = size.get(slot, 0)
+        if n == 0:
+            to[slot] = was[slot] if was[slot] < n_shards else slot % n_shards
+            continue
+        to[slot] = was[slot] if was[slot] < n_shards and load[was[slot]] + n <= room else load.index(min(load))
+        load[to[slot]] += n
+    return to
+
+
+def as_map(df):
+    return {r["virtual_slot"]: r["shard"] for r in df.collect()}
+
+
+def test_shards_by_an_independent_fold(spark, tmp_path):
+    """Eight, nine and then four shards on one stored map; rows, sizes and places are checked each time."""
+    r = random.Random(2)
+    rows = [(i, "y" * r.randint(0, 900), "l", "s") for i in range(1500)]
+    df, path = spark.createDataFrame(rows, DOCS), f"file://{tmp_path}/map"
+    was = {s: s % 8 for s in range(256)}
+    for version, n in ((2, 8), (3, 9), (4, 4)):
+        got = sharding.shard_documents(df, n, 256, path).toPandas()
+        want = fold(was, got.groupby("virtual_slot")["size"].sum().to_dict(), n)
+        assert as_map(sharding.read_map(spark, path)) == want and set(got["map_version"]) == {version}
+        assert all(want[v] == s for v, s in zip(got["virtual_slot"], got["shard"], strict=True)) and set(want.values()) == set(range(n))
+        for _, g in got.groupby("shard"):
+            assert sorted(g["slot"]) == list(range(len(g)))
+        size = got.groupby("shard")["size"].sum()
+        assert size.max() - size.min() < 0.02 * size.mean()
+        assert sum(want[s] != was[s] for s in was) < 256 * (0.3 if n > 4 else 0.7)
+        was = want
+    assert sharding.read_map(spark, path, 1).count() == sharding.read_map(spark, path, 2).count() == 256
+    with pytest.raises(ValueError, match="slots"):
+        sharding.shard_documents(df, 4, 128, path)
+
+
+def test_groups_of_equal_rows_are_split(spark):
+    rows = [(None, "z" * 50, "l", "s")] * 2000 + [(5, None, None, None)] * 900 + [(i, "x" * (i % 97), "l", "s") for i in range(3000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, DOCS)).toPandas()
+    assert len(got) == len(rows) and got.groupby("virtual_slot").size().max() < 20
+    size = got.groupby("shard")["size"].sum()
+    assert len(size) == 8 and size.max() - size.min() < 0.01 * size.mean()
+    assert (got["doc_id"].isna().sum(), (got["doc_id"] == 5).sum()) == (2000, 901)
+
+
 def test_rebalancing_moves_little(spark, tmp_path):
     path = f"file://{tmp_path}/map"
     sharding.write_map(sharding.first_map(4, spark, 64), path)
@@ -157,6 +206,7 @@ def test_rebalancing_moves_little(spark, tmp_path):
     moved = sharding.read_map(spark, path).alias("b").join(sharding.read_map(spark, path, 1).alias("a"), "virtual_slot").filter("a.shard <> b.shard").count()
     assert moved == 0 and sharding.read_map(spark, path).first()["version"] == 2
     heavy = even.selectExpr("virtual_slot", "slot_rows", "if(virtual_slot % 4 = 0, 300L, 100L) slot_bytes")
+    assert {r["shard"] for r in sharding.rebalance(sharding.read_map(spark, path), even.filter("virtual_slot < 10"), 3).collect()} == {0, 1, 2}
     third = sharding.rebalance(sharding.read_map(spark, path), heavy, 4).join(heavy, "virtual_slot").groupBy("shard").sum("slot_bytes").collect()
     assert max(r[1] for r in third) - min(r[1] for r in third) <= 300
 
@@ -165,3 +215,8 @@ def test_main_path_of_sharding_is_native(spark):
     plan = sharding.shard_documents(spark.createDataFrame([(1, "a", "b", "c")], DOCS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
     assert queries.queries()["op2_sharding"]
+
+
+def test_large_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="65,536"):
+        bpe.PairTable(np.array([70_000]), np.array([1]), np.array([0]), np.array([2]))
