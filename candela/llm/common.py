@@ -25,25 +25,54 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: dict[str, list[str]] = {"paths": [], "tables": []}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made["paths"].append(path)
+    return path
+
 
+def scratch_table(name: str) -> str:
+    """The name of a table whose files stand at a scratch_path."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    _made["tables"].append(table)
+    return table
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut and any executor may be lost."""
+
+def stored(df: DataFrame, name: str, *used_up: DataFrame) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage is cut and any executor may be lost. Tables of stored() that
+    nothing needs any more can be named: they are deleted."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
+    for table in used_up:
+        drop_stored(table)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete a table of stored() that nothing lazy refers to any more."""
     if path := getattr(df, "_scratch", None):
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+        _made["paths"].remove(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables that this process has made. Results that are not written or collected yet need theirs."""
+    for table in _made["tables"]:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    for path in _made["paths"]:
+        _delete(spark, path)
+    _made["tables"].clear()
+    _made["paths"].clear()
 
 
 MOST_HOT = 4096  # a key that holds more than this part of a table's rows is hot, so there are no more hot keys than that

@@ -4,10 +4,11 @@ Pivots are a sample of the vectors, thinned so that no two lie close together: a
 of its own, and its members keep common lists however many they are. A vector is described by its PREFIX nearest pivots in order and stands in the
 inverted list of each. Two vectors of a list are compared if they share at least LEAST_SHARED pivots; then their cosine
 is taken in double precision. A pair counts in the list of the smallest pivot they share, so it counts once. Lists are
-compared block by block; blocks return sums of links and spanning forests, never pairs.
+compared block by block; blocks return sums of links and paths through what they connect, never pairs.
 
 Equal vectors are one class with a count. The number of pivots grows with the table, so lists keep their length; their
-number is bounded (MOST_PIVOTS), beyond which lists grow and are cut into more chunks.
+number is bounded (MOST_PIVOTS for all lengths of vectors together, in proportion), beyond which lists grow and are cut into more
+chunks. Vectors of a length so rare that it gets no pivots are one list, in which all are compared.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_blocks, stored
-from .graph import components, spanning
+from .common import n_blocks, spread_join, stored
+from .graph import components, paths
 from .jaccard import meet_in_chunks
 
 THRESHOLD = 0.9
@@ -39,6 +40,11 @@ def usable(c: str = "embedding"):
     return F.coalesce(F.col(c).isNotNull() & finite & F.exists(c, lambda x: x != 0), F.lit(False))
 
 
+def key_of() -> Column:
+    """128 bits of the vector."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), "embedding")), 16, "0") for k in (1, 2)]))
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1, by their largest component first, so nothing over- or underflows."""
     v = v / np.abs(v).max(1, keepdims=True)
@@ -58,10 +64,13 @@ def apart(v: np.ndarray) -> np.ndarray:
 
 
 def pivots_of(classes: DataFrame) -> dict[int, np.ndarray]:
-    """Unit pivots of each dimension, in a fixed order: the first vectors by a hash, without those close to one before."""
+    """Unit pivots by length of vectors, in a fixed order: the first vectors by a hash, without those close to one before. In all at
+    most MOST_PIVOTS; lengths whose share of these is below LEAST_PIVOTS, of which there may be any number, get none."""
+    counts = classes.groupBy("dim").count()
+    total = classes.count()
     out = {}
-    for r in classes.groupBy("dim").count().collect():  # one row for each length of vector
-        n = min(MOST_PIVOTS, max(LEAST_PIVOTS, -(-r["count"] // VECTORS_PER_PIVOT)))
+    for r in counts.filter(F.col("count") * MOST_PIVOTS >= LEAST_PIVOTS * total).collect():  # at most MOST_PIVOTS / LEAST_PIVOTS rows
+        n = min(MOST_PIVOTS * r["count"] // total, max(LEAST_PIVOTS, -(-r["count"] // VECTORS_PER_PIVOT)))
         rows = classes.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64(F.lit(11), "key"), "key").limit(n).select("v").collect()
         out[r["dim"]] = apart(unit(np.array([x[0] for x in rows], np.float64)))
     return out
@@ -69,12 +78,16 @@ def pivots_of(classes: DataFrame) -> dict[int, np.ndarray]:
 
 def inverted_lists(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     """dim, list (pivot), key, copies, prefix (int32 pivots), v (float64 bytes): PREFIX rows for each class."""
-    shared = classes.sparkSession.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS vectors of each dimension
+    shared = classes.sparkSession.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS vectors
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for dim, g in f.groupby("dim"):
-                p = shared.value[dim]
+                p = shared.value.get(dim)
+                if p is None:
+                    v = [np.array(x, np.float64).tobytes() for x in g["v"]]
+                    yield pd.DataFrame({"dim": dim, "list": np.zeros(len(g), np.int32), "key": g["key"], "copies": g["copies"], "prefix": np.array([0] + [-1] * (PREFIX - 1), np.int32).tobytes(), "v": v})
+                    continue
                 k = min(PREFIX, len(p))
                 for lo in range(0, len(g), 1000):
                     part = g.iloc[lo : lo + 1000]
@@ -90,7 +103,7 @@ def inverted_lists(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFra
                         "prefix": [x for w in wide for x in [w.tobytes()] * k], "v": [x for w in v for x in [w.tobytes()] * k],
                     })
 
-    return classes.mapInPandas(run, "dim int, list int, key long, copies long, prefix binary, v binary")
+    return classes.mapInPandas(run, "dim int, list int, key binary, copies long, prefix binary, v binary")
 
 
 def owned(pa: np.ndarray, pb: np.ndarray, i: np.ndarray, j: np.ndarray, own: int, least: int) -> np.ndarray:
@@ -120,6 +133,7 @@ def owned(pa: np.ndarray, pb: np.ndarray, i: np.ndarray, j: np.ndarray, own: int
 def compare(threshold: float):
     def run(f: pd.DataFrame) -> pd.DataFrame:
         links, counts = [], []
+        f = f.sort_values("key", kind="stable").reset_index(drop=True)
         key, copies, chunk = f["key"].to_numpy(), f["copies"].to_numpy(), f["chunk"].to_numpy()
         prefix = np.frombuffer(b"".join(f["prefix"]), np.int32).reshape(-1, PREFIX)
         vectors = f["v"].to_numpy()
@@ -142,13 +156,14 @@ def compare(threshold: float):
             i, j = i[kept], j[kept]
             n_a = np.bincount(i, weights=copies[b[j]], minlength=len(a))
             n_b = np.bincount(j, weights=copies[a[i]], minlength=len(b))
-            counts += [np.stack([key[a], n_a.astype(np.int64)], 1)[n_a > 0], np.stack([key[b], n_b.astype(np.int64)], 1)[n_b > 0]]
+            for side, n in ((a, n_a), (b, n_b)):
+                some = np.flatnonzero(n)
+                counts += zip(key[side[some]], n[some].astype(np.int64).tolist(), strict=True)
             shift = 0 if len(sides) == 1 else len(a)
-            tree = spanning(len(a) + shift + len(b), i.tolist(), (j + shift).tolist())
-            links.append(np.stack([key[a[i[tree]]], key[b[j[tree]]]], 1))
-        e = np.concatenate(links) if links else np.zeros((0, 2), np.int64)
-        c = np.concatenate(counts) if counts else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"u": np.concatenate([e[:, 0], c[:, 0]]), "v": pd.array([*e[:, 1].tolist(), *[None] * len(c)], "Int64"), "n": np.concatenate([np.zeros(len(e), np.int64), c[:, 1]])})
+            every = a if len(sides) == 1 else np.concatenate([a, b])
+            left, right = paths(len(every), i.tolist(), (j + shift).tolist(), chunk[every].tolist())
+            links += zip(key[every[left]], key[every[right]], strict=True)
+        return pd.DataFrame({"u": [x[0] for x in (*links, *counts)], "v": [*(x[1] for x in links), *[None] * len(counts)], "n": [*[0] * len(links), *(x[1] for x in counts)]})
 
     return run
 
@@ -159,25 +174,26 @@ def near_embeddings(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     Rows link whose cosine, in double precision, is at least the threshold and which the index finds; equal vectors
     always do. Null or empty vectors, zero vectors and those with null or non-finite components link with nothing; nor
     do vectors of different lengths. Repeated rows are rows like any others. A null vec_id gets a null component_id and
-    kept true. Other columns are ignored."""
+    kept true. Ties between equally near pivots go to the pivot that comes first. An empty table gives no rows. Other columns are ignored,
+    whatever their names."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") + 0.0).alias("embedding"))
     good = rows.filter(usable())
     classes = good.groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    classes = classes.select(F.xxhash64("embedding").alias("key"), "first", "copies", F.size("embedding").alias("dim"), F.col("embedding").alias("v"))
+    classes = classes.select(key_of().alias("key"), "first", "copies", F.size("embedding").alias("dim"), F.col("embedding").alias("v"))
     classes = stored(classes, "embeddings-classes")
     lists = stored(inverted_lists(classes, pivots_of(classes)).withColumn("place", F.struct("dim", "list")), "embeddings-lists")
     sizes = lists.groupBy("place").agg(F.count(F.lit(1)).alias("size"), F.sum(F.octet_length("v") + 64).alias("bytes"))
     groups = n_blocks(int(sizes.agg(F.sum("bytes")).first()[0] or 0), GROUP_BYTES)
-    met = meet_in_chunks(lists.join(sizes.select("place", "size"), "place"), "place", "size", "key", groups, CHUNK)
+    met = meet_in_chunks(spread_join(lists, sizes.select("place", "size"), ["place"]), "place", "size", "key", groups, CHUNK)
     met = met.withColumn("place", F.xxhash64("place"))
-    links = stored(met.groupBy("task").applyInPandas(compare(threshold), "u long, v long, n long"), "embeddings-links")
+    links = stored(met.groupBy("task").applyInPandas(compare(threshold), "u binary, v binary, n long"), "embeddings-links")
     counted = links.groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("n"))
     linked = components(links.filter(F.col("v").isNotNull()).select("u", "v"))
-    named = linked.join(classes.select("key", "first"), F.col("node") == F.col("key")).select("key", "component", "first")
-    named = named.join(named.groupBy("component").agg(F.min("first").alias("least")), "component").select("key", "least")
+    named = stored(linked.join(classes.select("key", "first"), F.col("node") == F.col("key")).select("key", "component", "first"), "embeddings-named")
+    named = spread_join(named, named.groupBy("component").agg(F.min("first").alias("least")), ["component"]).select("key", "least")
     known = classes.select("key", "first", "copies").join(counted, "key", "left").join(named, "key", "left")
-    known = known.select(F.col("key").alias("k"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("n"), F.coalesce("least", "first").alias("least"))
-    keyed = rows.select("vec_id", F.when(usable(), F.xxhash64("embedding")).alias("key"))
-    out = keyed.join(known, F.col("key") == F.col("k"), "left")
+    known = known.select("key", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("n"), F.coalesce("least", "first").alias("least"))
+    keyed = stored(rows.select("vec_id", F.when(usable(), key_of()).alias("key")), "embeddings-keyed")
+    out = spread_join(keyed, stored(known, "embeddings-known"), ["key"])
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("least", "vec_id"))
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

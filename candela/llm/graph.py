@@ -9,7 +9,7 @@ from .common import drop_stored, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of edges(u, v), component being the smallest node reachable. Both columns are long.
+    """(node, component) of edges(u, v), component being the smallest node reachable. u and v are of one type that has an order.
 
     In each round every node joins the neighbour (or itself) that comes first in a fresh pseudo-random order, and the
     graph is contracted; a constant share of the nodes goes each time, whatever the shape. A node's neighbours are only
@@ -43,11 +43,11 @@ def components(edges: DataFrame) -> DataFrame:
     return at.join(least, "root").select("node", "component")
 
 
-def spanning(n: int, i, j) -> list[int]:
-    """Positions of pairs (i, j) that connect what the pairs before them have not: at most n - 1."""
+def paths(n: int, i, j, group) -> tuple[list[int], list[int]]:
+    """Pairs that connect what the pairs (i, j) of 0 .. n - 1 connect: a path through each component, one group after the other, in
+    order. No node has more than two of them, and a group that is connected has the same ones whatever it is seen with."""
     parent = list(range(n))
-    keep = []
-    for k, (a, b) in enumerate(zip(i, j, strict=True)):
+    for a, b in zip(i, j, strict=True):
         while parent[a] != a:
             parent[a] = parent[parent[a]]
             a = parent[a]
@@ -56,7 +56,14 @@ def spanning(n: int, i, j) -> list[int]:
             b = parent[b]
         if a != b:
             parent[max(a, b)] = min(a, b)
-            keep.append(k)
-            if len(keep) == n - 1:
-                break
-    return keep
+    last: dict[int, int] = {}
+    left, right = [], []
+    for k in sorted(range(n), key=lambda k: (group[k], k)):
+        root = k
+        while parent[root] != root:
+            root = parent[root]
+        if root in last:
+            left.append(last[root])
+            right.append(k)
+        last[root] = k
+    return left, right

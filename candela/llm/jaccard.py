@@ -2,11 +2,12 @@
 
 Texts with equal words form a class with one representative. Bands of MinHash values put representatives into
 buckets; inside a bucket pairs compare their values STEP at a time, and a pair is dropped as soon as the posterior
-probability that its Jaccard similarity reaches the threshold is below TOLERANCE. Candidates that remain are joined to
-groups by a spanning forest only, so no pair is ever a row. In each group all pairs are then verified exactly on their
-word n-grams by blocked matrix products; what leaves a block are counts of links and, again, a spanning forest.
+probability that its Jaccard similarity reaches the threshold is below TOLERANCE. A pair that remains belongs to the bucket of the first
+band that it shares, so it is looked into once. Members of such pairs, and no others, bring their word n-grams to
+that bucket, where the candidate pairs are verified exactly; what leaves a bucket are counts of links and paths through what
+they connect. So no pair is ever a row, and nothing but candidate pairs is compared.
 
-Large buckets and groups are cut into chunks and every two chunks meet in a group of their own.
+Large buckets are cut into chunks and every two chunks meet in a group of their own.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import WHITE_SPACE
-from .common import PrefixHash, batches, id_text, ids_of, mix64, n_blocks, ranges, stored, text_or_empty
-from .graph import components, spanning
+from .common import PrefixHash, batches, id_text, ids_of, mix64, n_blocks, ranges, spread_join, stored, text_or_empty
+from .graph import components, paths
 
 NGRAM, THRESHOLD = 5, 0.8
 VALUES, BAND, BANDS = 128, 5, 25  # a pair at the threshold misses all bands once in 20,000
@@ -142,41 +143,60 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(id_text("doc_id"), text_or_empty().alias("t")).mapInPandas(run, "doc_id long, words binary, sig binary")
 
 
-def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
-    """(u, v): a spanning forest of the candidate pairs among reps(key, sig)."""
+def band_values(sig: np.ndarray) -> np.ndarray:
+    return sig[:, : BAND * BANDS].reshape(-1, BANDS, BAND)
+
+
+def own_candidates(sig: np.ndarray, i: np.ndarray, j: np.ndarray, mask: int, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) that are not dropped and whose first band in common is one of the bucket's own (bits of mask)."""
+    live = candidates(sig, i, j, least)
+    i, j = i[live], j[live]
+    bands, out = band_values(sig), []
+    for lo in range(0, len(i), 1 << 14):
+        same = (bands[i[lo : lo + (1 << 14)]] == bands[j[lo : lo + (1 << 14)]]).all(2)
+        out.append(lo + np.flatnonzero(same.any(1) & (mask >> same.argmax(1) & 1).astype(bool)))
+    at = np.concatenate(out) if out else np.zeros(0, np.int64)
+    return i[at], j[at]
+
+
+def buckets(reps: DataFrame) -> DataFrame:
+    """band (bucket), mask (bits of the bands it stands for), m (members), key: buckets of two members or more of reps(key, sig)."""
 
     def bands(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            s = np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(-1, VALUES)[:, : BAND * BANDS].reshape(-1, BANDS, BAND).astype(np.uint64)
+            s = band_values(np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(-1, VALUES)).astype(np.uint64)
             h = np.full(s.shape[:2], 1, np.uint64) * np.arange(1, BANDS + 1, dtype=np.uint64)
             for k in range(BAND):
                 h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + s[:, :, k])
-            yield pd.DataFrame({"band": h.view(np.int64).ravel(), "key": np.repeat(f["key"].to_numpy(), BANDS)})
+            yield pd.DataFrame({"band": h.view(np.int64).ravel(), "b": np.tile(np.arange(BANDS, dtype=np.int32), len(f)), "key": np.repeat(f["key"].to_numpy(), BANDS)})
+
+    in_band = stored(reps.mapInPandas(bands, "band long, b int, key binary"), "jaccard-bands")
+    mixed = [F.sum(F.xxhash64(F.lit(k), "key").cast("decimal(38,0)")).alias(f"members{k}") for k in (1, 2)]
+    several = in_band.groupBy("band", "b").agg(F.count(F.lit(1)).alias("m"), *mixed).filter("m > 1")
+    # Buckets with the same members tell the same: one of them stands for all.
+    several = several.groupBy("m", "members1", "members2").agg(F.min(F.struct("band", "b")).alias("one"), F.sum(F.expr("shiftleft(1, b)")).alias("mask"))
+    several = stored(several.select("one.band", "one.b", "mask", "m"), "jaccard-several")
+    return stored(spread_join(in_band, several, ["band", "b"]).filter("m is not null").select("band", "mask", "m", "key"), "jaccard-buckets", in_band)
+
 
-    in_band = stored(reps.mapInPandas(bands, "band long, key long"), "jaccard-bands")
-    several = in_band.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("members")).filter("m > 1")
-    # Buckets with the same members tell the same: one of them is enough.
-    several = several.groupBy("m", "members").agg(F.min("band").alias("band")).select("band", "m")
-    members = stored(in_band.join(several, "band"), "jaccard-buckets")
+def candidate_members(reps: DataFrame, threshold: float) -> DataFrame:
+    """band, mask, ca, cb, chunk, key: of every two chunks of a bucket those members that have a candidate pair there."""
+    members = buckets(reps)
     groups = n_blocks(members.count() * VALUES * 5, GROUP_BYTES)
     met = meet_in_chunks(members, "band", "m", "key", groups).join(reps.select("key", "sig"), "key")
     least = least_matches(threshold)
 
     def prune(f: pd.DataFrame) -> pd.DataFrame:
         out = []
-        sig, key, chunk = np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(-1, VALUES), f["key"].to_numpy(), f["chunk"].to_numpy()
-        for at in f.groupby(["band", "ca", "cb"], sort=False).indices.values():
+        sig, chunk = np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(-1, VALUES), f["chunk"].to_numpy()
+        for at in f.groupby(["band", "mask", "ca", "cb"], sort=False).indices.values():
             if f["ca"].iat[at[0]] != f["cb"].iat[at[0]] and len(np.unique(chunk[at])) == 1:
                 continue
-            i, j = _pairs(chunk[at])
-            s = sig[at]
-            live = candidates(s, i, j, least)
-            keep = live[spanning(len(at), i[live].tolist(), j[live].tolist())]
-            out.append(np.stack([key[at[i[keep]]], key[at[j[keep]]]], 1))
-        e = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"u": e[:, 0], "v": e[:, 1]})
+            i, j = own_candidates(sig[at], *_pairs(chunk[at]), int(f["mask"].iat[at[0]]), least)
+            out.append(at[np.union1d(i, j).astype(np.int64)])
+        return f.iloc[np.concatenate(out) if out else []][["band", "mask", "ca", "cb", "chunk", "key"]]
 
-    return met.groupBy("task").applyInPandas(prune, "u long, v long").distinct()
+    return met.groupBy("task").applyInPandas(prune, "band long, mask long, ca int, cb int, chunk int, key binary")
 
 
 def overlap(sets: list[np.ndarray]) -> np.ndarray:
@@ -198,8 +218,15 @@ def overlap(sets: list[np.ndarray]) -> np.ndarray:
     return both
 
 
-def verified(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """(u, v, n): for members(key, doc, component, size, copies) a spanning forest (u, v) of the true links, and rows
+def shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the pairs (i, j): each by itself if they are few, else by products of all."""
+    if len(i) <= 2 * len(sets):
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.float64)
+    return overlap(sets)[i, j]
+
+
+def verified(members: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, n): for the candidate members of buckets edges (u, v) that connect what true links connect, and rows
     (u, null, n) whose n add up to u's links, every linked class counted with its copies."""
 
     def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,38 +236,38 @@ def verified(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame
                 h, count, words, n_words = shingles(texts[lo:hi])
                 sets += [np.unique(h[z - n : z]).tobytes() for z, n in zip(np.cumsum(count), count, strict=True)]
                 same += [digest(words[z - n : z]) for z, n in zip(np.cumsum(n_words), n_words, strict=True)]
-            ok = np.array([a == bytes(b) for a, b in zip(same, f["wanted"], strict=True)], bool)  # rows may share a doc_id
-            yield f.drop(columns=["t", "wanted"]).assign(grams=sets)[ok]
+            ok = np.array([a == bytes(b) for a, b in zip(same, f["key"], strict=True)], bool)  # rows may share a doc_id
+            yield f.drop(columns=["t"]).assign(grams=sets)[ok]
 
+    wanted = members.select("key").distinct().join(classes.select("key", "doc", "copies", "sig"), "key")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("t"))
-    joined = texts.join(members, "doc").select("key", "component", "size", "copies", "wanted", "t")
-    sets = stored(joined.mapInPandas(grams, "key long, component long, size long, copies long, grams binary"), "jaccard-sets")
-    groups = n_blocks(int(sets.agg(F.sum(F.octet_length("grams"))).first()[0] or 0), GROUP_BYTES)
-    met = meet_in_chunks(sets, "component", "size", "key", groups)
+    found = texts.join(wanted, "doc").select("key", "copies", "sig", "t").mapInPandas(grams, "key binary, copies long, sig binary, grams binary")
+    sets = stored(found.dropDuplicates(["key"]), "jaccard-sets")
+    met = members.join(sets, "key")
+    groups = n_blocks(int(met.agg(F.sum(F.octet_length("grams"))).first()[0] or 0), GROUP_BYTES)
+    met = met.withColumn("task", F.pmod(F.xxhash64("band", "mask", "ca", "cb"), F.lit(groups)))
+    least = least_matches(threshold)
 
     def verify(f: pd.DataFrame) -> pd.DataFrame:
         links, counts = [], []
-        key, copies, chunk = f["key"].to_numpy(), f["copies"].to_numpy(), f["chunk"].to_numpy()
-        grams = f["grams"].to_numpy()
-        for at in f.groupby(["component", "ca", "cb"], sort=False).indices.values():
-            if f["ca"].iat[at[0]] != f["cb"].iat[at[0]] and len(np.unique(chunk[at])) == 1:
-                continue
-            at = at[np.sort(np.unique(key[at], return_index=True)[1])]  # repeated rows
+        f = f.sort_values("key", kind="stable").reset_index(drop=True)
+        key, copies, chunk, grams = (f[c].to_numpy() for c in ("key", "copies", "chunk", "grams"))
+        sig = np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(-1, VALUES)
+        for at in f.groupby(["band", "mask", "ca", "cb"], sort=False).indices.values():
+            i, j = own_candidates(sig[at], *_pairs(chunk[at]), int(f["mask"].iat[at[0]]), least)
             s = [np.frombuffer(grams[k], np.uint64) for k in at]
-            both = overlap(s)
             size = np.array([len(x) for x in s])
-            i, j = _pairs(chunk[at])
-            true = both[i, j] >= threshold * (size[i] + size[j] - both[i, j]) - 1e-9
+            both = shared(s, i, j)
+            true = both >= threshold * (size[i] + size[j] - both) - 1e-9
             i, j = i[true], j[true]
-            keep = spanning(len(at), i.tolist(), j.tolist())
-            links.append(np.stack([key[at[i[keep]]], key[at[j[keep]]]], 1))
+            u, v = paths(len(at), i.tolist(), j.tolist(), chunk[at].tolist())
+            links += zip(key[at[u]], key[at[v]], strict=True)
             n = np.bincount(i, weights=copies[at[j]], minlength=len(at)) + np.bincount(j, weights=copies[at[i]], minlength=len(at))
-            counts.append(np.stack([key[at], n.astype(np.int64)], 1)[n > 0])
-        e = np.concatenate(links) if links else np.zeros((0, 2), np.int64)
-        c = np.concatenate(counts) if counts else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"u": np.concatenate([e[:, 0], c[:, 0]]), "v": pd.array([*e[:, 1].tolist(), *[None] * len(c)], "Int64"), "n": np.concatenate([np.zeros(len(e), np.int64), c[:, 1]])})
+            some = np.flatnonzero(n)
+            counts += zip(key[at[some]], n[some].astype(np.int64).tolist(), strict=True)
+        return pd.DataFrame({"u": [x[0] for x in (*links, *counts)], "v": [*(x[1] for x in links), *[None] * len(counts)], "n": [*[0] * len(links), *(x[1] for x in counts)]})
 
-    return met.groupBy("task").applyInPandas(verify, "u long, v long, n long")
+    return met.groupBy("task").applyInPandas(verify, "u binary, v binary, n long")
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -250,33 +277,30 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     equal words are. n_links counts the other rows linked directly, class_id is the smallest doc_id reachable by links,
     kept marks one row of each class, the first. Texts without words, null among them, link with nothing and are kept.
     Repeated rows are rows like any others; those of a kept doc_id are kept. A null doc_id links with nothing: its
-    class_id is null, and it is kept."""
+    class_id is null, and it is kept. Texts of any length are taken whole; an empty table gives no rows; other columns are
+    ignored, whatever their names. Ties: of equal doc_ids all rows are kept. docs is read twice: a stored table."""
     rows = stored(signatures(docs), "jaccard-rows")
     there = rows.filter(F.col("words").isNotNull() & F.col("doc_id").isNotNull())
-    classes = there.groupBy("words").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies")).withColumn("key", F.xxhash64("words"))
+    classes = there.groupBy(F.col("words").alias("key")).agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
     classes = stored(classes, "jaccard-classes")
-    reps = there.alias("r").join(classes.select(F.col("words").alias("w"), "doc", "key"), (F.col("words") == F.col("w")) & (F.col("doc_id") == F.col("doc"))).select("key", "sig").dropDuplicates(["key"])
-    reps = stored(reps, "jaccard-reps")
-    found = stored(components(candidate_edges(reps, threshold)), "jaccard-candidates")
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = found.join(sizes, "component").join(classes, F.col("node") == F.col("key")).select("key", "doc", "component", "size", "copies", F.col("words").alias("wanted"))
-    links = stored(verified(members, docs, threshold), "jaccard-links")
+    members = stored(candidate_members(classes.select("key", "sig"), threshold), "jaccard-candidates")
+    links = stored(verified(members, classes, docs, threshold), "jaccard-links")
     of_class = links.groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("n"))
     linked = components(links.filter(F.col("v").isNotNull()).select("u", "v"))
     # The smallest doc_id of a component, not the smallest key.
-    named = linked.join(classes.select("key", "doc"), F.col("node") == F.col("key")).select("key", "component", "doc")
-    named = named.join(named.groupBy("component").agg(F.min("doc").alias("first")), "component").select("key", "first")
-    known = classes.join(of_class, "key", "left").join(named, "key", "left").select("words", "copies", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("first", "doc").alias("first"), "doc")
-    return rows.join(known, "words", "left").select(
+    named = stored(linked.join(classes.select("key", "doc"), F.col("node") == F.col("key")).select("key", "component", "doc"), "jaccard-named")
+    named = spread_join(named, named.groupBy("component").agg(F.min("doc").alias("least")), ["component"]).select("key", "least")
+    known = classes.join(of_class, "key", "left").join(named, "key", "left").select(F.col("key").alias("words"), "copies", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("least", "doc").alias("least"))
+    return spread_join(rows.select("doc_id", "words"), stored(known, "jaccard-known"), ["words"]).select(
         "doc_id",
-        F.coalesce("first", "doc_id").alias("class_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("class_id"),
         F.when(F.col("doc_id").isNull() | F.col("words").isNull(), 0).otherwise(F.col("copies") - 1 + F.col("n")).cast("long").alias("n_links"),
-        (F.coalesce("first", "doc_id") == F.col("doc_id")).alias("k"),
-    ).select("doc_id", "class_id", "n_links", F.coalesce("k", F.lit(True)).alias("kept"))
+        F.coalesce(F.coalesce("least", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+    )
 
 
 def without_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns: of each class the one with the smallest doc_id."""
-    kept = jaccard_join(docs, threshold).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    with_id = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept_id"), "left_semi")
+    """The rows of docs, all columns, whatever their names: of each class the one with the smallest doc_id, and those without an id."""
+    kept = jaccard_join(docs, threshold).filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct().alias("kept")
+    with_id = docs.alias("all").join(kept, F.col("all.doc_id").cast("long") == F.col("kept.kept_id"), "left_semi")
     return with_id.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -93,7 +93,7 @@ def with_slots(records: DataFrame, slots: int = SLOTS) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("hot_doc_id")) & (F.col("size") == F.col("hot_size")) & (F.col("text_crc32") == F.col("hot_text_crc32"))
     place = F.when(F.col("hot_size").isNotNull(), F.monotonically_increasing_id()).otherwise(0)
     spread = records.join(F.broadcast(hot), same, "left").select(*key, slot_of(F.col("doc_id"), F.col("text_crc32"), place, slots=slots).alias("virtual_slot"))
-    return stored(spread, "sharding-slots")
+    return stored(spread, "sharding-slots", records)
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:

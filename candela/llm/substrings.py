@@ -1,8 +1,8 @@
 """Repeated passages: content-defined chunks (1) and suffixes by bucket-pointer refinement (10).
 
-Both work on blocks of documents: about BLOCK_BYTES of text by a hash of the document make one row of a table
-bucketed by block, so texts are shuffled once and every later pass finds its documents together. What blocks must
-learn from each other travels as packed arrays of keys. A block sends each key once, however many of its documents
+Both work on blocks of documents: some MB of text make one row of a table
+bucketed by block, so texts are shuffled once and every later pass finds its documents together. Rows are dealt to blocks by a hash of the
+document and its place in the input, so repeated rows spread. What blocks must learn from each other travels as packed arrays of keys. A block sends each key once, however many of its documents
 have it, so a passage in a third of all documents costs one entry a block. Of documents with equal texts only the
 one with the smallest doc_id is looked into.
 """
@@ -10,7 +10,6 @@ one with the smallest doc_id is looked into.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,10 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_of, mix64, n_blocks, ranges, scratch_path, stored, text_or_empty, total_bytes
+from .common import ids_of, mix64, n_blocks, ranges, scratch_path, scratch_table, stored, text_or_empty, total_bytes
 
-BLOCK_BYTES = 4 << 20
-MOST_BUCKETS = 50_000
+BLOCK_BYTES, LARGEST_BLOCK = 4 << 20, 64 << 20  # of text; a task needs about 20 times as much memory for its block
+FEW_BLOCKS = 50_000  # blocks grow once there are so many, as an exchange has a row for every block and bucket
+MOST_BUCKETS = 400_000
 NO_ID = -(1 << 63)  # stands for a null doc_id: smaller than all others
 
 SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -37,23 +37,25 @@ def blocks_of(docs: DataFrame, name: str, carry: list[str] | None = None) -> tup
     an array of structs named carried."""
     others = F.struct(*carry) if carry else F.lit(None).cast("int")
     spark = docs.sparkSession
-    n = n_blocks(total_bytes(docs), BLOCK_BYTES)
+    size = total_bytes(docs)
+    n = n_blocks(size, min(max(BLOCK_BYTES, size // FEW_BLOCKS), LARGEST_BLOCK))
     buckets = min(n, MOST_BUCKETS)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty().cast("binary").alias("t"), others.alias("o"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty().cast("binary").alias("t"), others.alias("o"), F.monotonically_increasing_id().alias("place"))
     rows = rows.withColumn("digest", F.md5("t"))
     key = F.xxhash64("doc_id", "digest")
     packed = (
-        rows.select(key.alias("key"), "doc_id", "t", "o")
-        .withColumn("block", F.pmod("key", F.lit(n)))
+        rows.select(key.alias("key"), "doc_id", "t", "o", "place")
+        .withColumn("block", F.pmod(F.xxhash64("key", "place"), F.lit(n)))
         .repartition(buckets, "block")
         .groupBy("block")
         .agg(F.collect_list(F.struct("doc_id", "key", "t", "o") if carry else F.struct("doc_id", "key", "t")).alias("d"))
         .select("block", F.col("d.doc_id").alias("ids"), F.col("d.key").alias("keys"), F.col("d.t").alias("texts"), *([F.col("d.o").alias("carried")] if carry else []))
     )
-    table = f"{name}_{uuid.uuid4().hex}"
+    table = scratch_table(name)
     packed.write.format("parquet").option("path", scratch_path(spark, name)).option("compression", "zstd").bucketBy(buckets, "block").sortBy("block").saveAsTable(table)
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select(key.alias("key")).withColumn("block", F.pmod("key", F.lit(n)))
-    return told(spark.table(table), first.groupBy("block").agg(F.collect_list("key").alias("reps"))), buckets
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select(key.alias("key"))
+    where = spark.table(table).select("block", F.explode("keys").alias("key")).distinct()  # repeated rows stand in several blocks
+    return told(spark.table(table), where.join(first, "key").groupBy("block").agg(F.collect_list("key").alias("reps"))), buckets
 
 
 def told(blocks: DataFrame, replies: DataFrame) -> DataFrame:
@@ -155,9 +157,9 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
 def chunk_ends(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Ends of the chunks of the texts data[start[i] : end[i]], in order.
 
-    A cut depends on GEAR_BYTES + REACH bytes before it and REACH after it and on nothing else, so a passage is cut alike
-    in all texts, from its first bytes on; cuts are more than REACH bytes apart. Without a cut for MOST_CHUNK bytes one is
-    made."""
+    Such a cut depends on GEAR_BYTES + REACH bytes before it and REACH after it and on nothing else, so a passage is cut alike
+    in all texts, from its first bytes on; these cuts are more than REACH bytes apart. Where there is none for MOST_CHUNK bytes one is
+    forced, so many bytes after the cut before it: forced cuts also depend on that one."""
     head = ranges(start, np.minimum(end - start, GEAR_BYTES - 1))  # their hashes would depend on the text before
     cuts, size, side = [], 1 << 18, GEAR_BYTES + REACH
     for lo in range(0, len(data), size):
@@ -261,7 +263,8 @@ def chunk_dedup(docs: DataFrame) -> DataFrame:
     Texts are cut where a gear hash of the last 32 bytes is largest, hence alike wherever a passage stands; a chunk
     is repeated if a document with a smaller doc_id has a chunk with the same 128-bit digest. Runs of repeated chunks
     of LEAST_REPEAT bytes or more go; copies of a whole text go whole. n_chunks is 0 for copies. Null text counts as empty and keeps its (empty) text; rows
-    with the same doc_id never remove each other's chunks; a null doc_id counts as smaller than all others."""
+    with the same doc_id never remove each other's chunks; a null doc_id counts as smaller than all others. A text of any length is in
+    one block, whole; an empty table gives no rows; other columns are ignored, whatever their names."""
     blocks, buckets = blocks_of(docs, "chunks")
     sent = blocks.mapInPandas(send_chunks(buckets), "bucket int, block long, words binary, owners binary")
     replies = sent.groupBy("bucket").applyInPandas(answer_chunks, "block long, words binary, owners binary")
@@ -536,7 +539,9 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     Strings are put into initial buckets by their least GRAM-byte gram; buckets of one block or one segment are settled
     at once, the others are refined by bucket pointers at later offsets until LENGTH bytes are told apart, all on the
     bytes themselves. Rows with the same doc_id never remove each other's bytes; a null doc_id counts as smaller than
-    all others; null text counts as empty; texts shorter than LENGTH bytes lose nothing."""
+    all others; null text counts as empty; texts shorter than LENGTH bytes lose nothing. Of equal texts all but that with the smallest
+    doc_id go; rows repeated with it stay like it. A text of any length is in one block, whole; an empty table gives no rows; other columns
+    are ignored, whatever their names."""
     return _with_spans(docs).mapInPandas(cut_strings, f"{SPANS}, kept binary")
 
 
@@ -553,23 +558,24 @@ def _with_spans(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs, all columns and rows, with the repeated bytes of suffix_dedup taken out of text. Where that leaves part
-    of a character, the part goes too. n_chars, if there, is counted anew for texts that changed; other texts, null
+    """docs, all columns, whatever their names, and rows, with the repeated bytes of suffix_dedup taken out of text. Where that leaves
+    part of a character, the part goes too. n_chars, if there, is counted anew for texts that changed; other texts, null
     ones among them, stay as they are."""
     schema, names = docs.schema, docs.columns
-    carry = [c for c in names if c not in ("doc_id", "text")]
-    marked = docs.withColumn("__text_is_null", F.col("text").isNull())
+    others = [c for c in names if c not in ("doc_id", "text")]
+    place = {c: f"c{k}" for k, c in enumerate(others)}  # names that clash with nothing
+    plain = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(place[c]) for c in others], F.col("text").isNull().alias("is_null"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b, r, rows in strings_cut(frames):
             carried = [r["carried"][i] for i in b.order]
-            texts = [x[5].decode(errors="ignore") if x[2] else None if c["__text_is_null"] else x[5].decode() for x, c in zip(rows, carried, strict=True)]
+            texts = [x[5].decode(errors="ignore") if x[2] else None if c["is_null"] else x[5].decode() for x, c in zip(rows, carried, strict=True)]
             out = {"doc_id": ids_of([x[0] for x in rows]), "text": texts}
-            for c in carry:
-                values = [v[c] for v in carried]
+            for c in others:
+                values = [v[place[c]] for v in carried]
                 if c == "n_chars":
                     values = pd.array([len(t) if x[2] else v for x, t, v in zip(rows, texts, values, strict=True)], "Int64")
                 out[c] = pd.Series(list(values), dtype=object) if c != "n_chars" else values
             yield pd.DataFrame({c: out[c] for c in names})
 
-    return _with_spans(marked, [*carry, "__text_is_null"]).mapInPandas(run, schema)
+    return _with_spans(plain, [*place.values(), "is_null"]).mapInPandas(run, schema)

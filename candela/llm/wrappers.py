@@ -468,12 +468,13 @@ def infer(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = kinds.select("host", "key", F.col("key").alias("id"), F.expr("transform(literals, (x, i) -> i)").alias("places"))
     while True:
         groups = stored(salted(left), "wrappers-groups")
+        last = (groups.agg(F.max("groups")).first()[0] or 0) <= 1
         new = stored(groups.groupBy("host", "salt").applyInPandas(together, "host string, id long, to long, places array<int>, wrapper string"), "wrappers-aligned")
         moved = new.select("host", "id", "to", F.col("places").alias("then"))
         at = at.join(moved, ["host", "id"]).select("host", "key", F.col("to").alias("id"), F.transform("places", lambda i: F.element_at("then", i + 1)).alias("places"))
-        at = stored(at, "wrappers-places")
+        at = stored(at, "wrappers-places", groups)
         left = stored(new.filter("wrapper is not null").select("host", F.col("to").alias("id"), "wrapper").dropDuplicates(["host", "id"]).withColumn("literals", F.lit(None).cast("array<string>")), "wrappers-left")
-        if (groups.agg(F.max("groups")).first()[0] or 0) <= 1:
+        if last:
             return left.select("host", "wrapper"), at.drop("id")
 
 

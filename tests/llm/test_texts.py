@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from candela.llm import fingerprints, jaccard, substrings, toxicity
-from candela.llm.graph import components
+from candela.llm.graph import components, paths
 
 SCHEMA = "doc_id long, text string, lang string, key string, n_chars long"
 
@@ -183,6 +183,58 @@ def test_blocks_of_large_groups(spark):
     assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 599)}
 
 
+def test_chained_candidates(spark):
+    """A chain in which each text links with the few next to it: one class, and no more than neighbours are compared."""
+    w = words(random.Random(8), 2400).split()
+    rows = [(i, " ".join(w[i * 6 : i * 6 + 150]), "en", "k", 1) for i in range(370)]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t, *_ in rows]
+    want = {i: sum(j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(370)) for i in range(370)}
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == want and {r["class_id"] for r in got} == {0} and 1 < want[100] < 8
+
+
+def test_paths():
+    r = random.Random(4)
+    for _ in range(100):
+        n = r.randint(1, 12)
+        pairs = [(r.randrange(n), r.randrange(n)) for _ in range(r.randint(0, 12))]
+        group = [r.randrange(2) for _ in range(n)]
+        u, v = paths(n, [a for a, _ in pairs], [b for _, b in pairs], group)
+
+        def classes(edges, n=n):
+            at = list(range(n))
+            for _ in range(n):
+                for a, b in edges:
+                    at[a] = at[b] = min(at[a], at[b])
+            return at
+
+        assert classes(pairs) == classes(list(zip(u, v, strict=True))) and len(u) == n - len(set(classes(pairs)))
+        assert all((u + v).count(k) <= 2 for k in range(n))
+
+
+def test_a_pair_belongs_to_one_bucket():
+    """Masks of bands part the candidate pairs: each is found under one of them."""
+    r = np.random.default_rng(3)
+    a = r.integers(0, 1 << 32, (200, 128), dtype=np.uint32)
+    b = a.copy()
+    b[r.random(a.shape) > 0.85] = 0
+    sig, least = np.concatenate([a, b]), jaccard.least_matches(0.8)
+    i = np.arange(200)
+    shared = [k for k in range(200) if (jaccard.band_values(a)[k] == jaccard.band_values(b)[k]).all(1).any()]
+    live = set(jaccard.candidates(sig, i, i + 200, least).tolist()) & set(shared)
+    found = [set(jaccard.own_candidates(sig, i, i + 200, m, least)[0].tolist()) for m in (0b1010101, 0x1FFFFFF ^ 0b1010101)]
+    assert found[0] | found[1] == live and not found[0] & found[1] and all(found)
+
+
+@pytest.mark.parametrize("few", [2, 0])
+def test_shared_grams_by_either_way(few):
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 50))).astype(np.uint64) for _ in range(20)]
+    i, j = np.triu_indices(20, 1)
+    i, j = (i[:30], j[:30]) if few else (i, j)
+    assert jaccard.shared(sets, i, j).tolist() == [len({*sets[a]} & {*sets[b]}) for a, b in zip(i, j, strict=True)]
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 200)] + [(r.randint(1000, 1040), r.randint(1000, 1040)) for _ in range(30)] + [(9, 9)]

@@ -54,6 +54,29 @@ def test_large_groups_of_near_copies_keep_common_lists(spark, monkeypatch):
     assert there >= 600 * 599 and 0.99 * there <= sum(got.values()) <= there
 
 
+def test_rare_lengths_and_common_vectors(spark, monkeypatch):
+    """Lengths without pivots are compared in one list; a vector that a third of the rows have, and null ones, are no hot group."""
+    monkeypatch.setattr(embeddings, "MOST_PIVOTS", 40)
+    monkeypatch.setattr(embeddings, "CHUNK", 8)
+    r = np.random.default_rng(8)
+    x = r.normal(size=(400, 16)).astype(np.float32)
+    rows = [(i, [float(v) for v in row], 1, "k") for i, row in enumerate(x)] + [(1000 + i, [1.0] * 16, 1, "k") for i in range(300)] + [(2000 + i, None, 1, "k") for i in range(200)]
+    short = r.normal(size=(30, 5))
+    short[10:20] = short[3] + 0.05 * r.normal(size=(10, 5))
+    few = [(3000 + i, [float(v) for v in row], 1, "k") for i, row in enumerate(short.astype(np.float32))]
+    got = {g["vec_id"]: (g["n_links"], g["component_id"]) for g in embeddings.near_embeddings(spark.createDataFrame(rows + few, SCHEMA)).collect()}
+    assert {d: got[d] for d, *_ in few} == brute(few)
+    assert all(got[1000 + i] == (299, 1000) for i in range(300)) and all(got[2000 + i] == (0, 2000 + i) for i in range(200))
+
+
+def test_equally_near_pivots(spark):
+    """Vectors along and between the axes: many pivots are equally near, and the same links are found again and again."""
+    axes = [[float(k == i) for k in range(8)] for i in range(8)]
+    rows = [(i, [a + 0.05 * (i % 3) * b for a, b in zip(axes[i % 8], axes[(i + 1) % 8], strict=True)], 1, "k") for i in range(96)]
+    first, again = ({g["vec_id"]: (g["n_links"], g["component_id"]) for g in embeddings.near_embeddings(spark.createDataFrame(x, SCHEMA)).collect()} for x in (rows, rows[::-1]))
+    assert first == again == brute(rows)
+
+
 def test_shared_pivots_by_either_way(monkeypatch):
     r = np.random.default_rng(6)
     pa, pb = (np.array([r.permutation(40)[:10] for _ in range(50)], np.int32) for _ in range(2))
