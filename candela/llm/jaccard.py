@@ -2,12 +2,12 @@
 
 Texts with equal words form a class with one representative. Bands of MinHash values put representatives into
 buckets; inside a bucket pairs compare their values STEP at a time, and a pair is dropped as soon as the posterior
-probability that its Jaccard similarity reaches the threshold is below TOLERANCE. A pair that remains belongs to the bucket of the first
-band that it shares, so it is looked into once. Members of such pairs, and no others, bring their word n-grams to
-that bucket, where the candidate pairs are verified exactly; what leaves a bucket are counts of links and paths through what
-they connect. So no pair is ever a row, and nothing but candidate pairs is compared.
+probability that its Jaccard similarity reaches the threshold is below TOLERANCE. What remains connects representatives into groups. In a
+group the candidate pairs, those that share a band and are not dropped, are verified exactly on their word n-grams; what leaves it are counts
+of links and paths through what they connect, so no pair is ever a row.
 
-Large buckets are cut into chunks and every two chunks meet in a group of their own.
+Large buckets and groups are cut into chunks. Of two chunks of a group those members meet that have a candidate pair there, which the
+buckets tell; so in a long chain of texts neighbours meet, not all with all.
 """
 
 from __future__ import annotations
@@ -147,20 +147,17 @@ def band_values(sig: np.ndarray) -> np.ndarray:
     return sig[:, : BAND * BANDS].reshape(-1, BANDS, BAND)
 
 
-def own_candidates(sig: np.ndarray, i: np.ndarray, j: np.ndarray, mask: int, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (i, j) that are not dropped and whose first band in common is one of the bucket's own (bits of mask)."""
-    live = candidates(sig, i, j, least)
-    i, j = i[live], j[live]
+def in_band(sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) that share a band."""
     bands, out = band_values(sig), []
     for lo in range(0, len(i), 1 << 14):
-        same = (bands[i[lo : lo + (1 << 14)]] == bands[j[lo : lo + (1 << 14)]]).all(2)
-        out.append(lo + np.flatnonzero(same.any(1) & (mask >> same.argmax(1) & 1).astype(bool)))
+        out.append(lo + np.flatnonzero((bands[i[lo : lo + (1 << 14)]] == bands[j[lo : lo + (1 << 14)]]).all(2).any(1)))
     at = np.concatenate(out) if out else np.zeros(0, np.int64)
     return i[at], j[at]
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """band (bucket), mask (bits of the bands it stands for), m (members), key: buckets of two members or more of reps(key, sig)."""
+    """band (bucket), m (members), key: buckets of two members or more of reps(key, sig)."""
 
     def bands(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -168,35 +165,67 @@ def buckets(reps: DataFrame) -> DataFrame:
             h = np.full(s.shape[:2], 1, np.uint64) * np.arange(1, BANDS + 1, dtype=np.uint64)
             for k in range(BAND):
                 h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + s[:, :, k])
-            yield pd.DataFrame({"band": h.view(np.int64).ravel(), "b": np.tile(np.arange(BANDS, dtype=np.int32), len(f)), "key": np.repeat(f["key"].to_numpy(), BANDS)})
+            yield pd.DataFrame({"band": h.view(np.int64).ravel(), "key": np.repeat(f["key"].to_numpy(), BANDS)})
 
-    in_band = stored(reps.mapInPandas(bands, "band long, b int, key binary"), "jaccard-bands")
+    every = stored(reps.mapInPandas(bands, "band long, key binary"), "jaccard-bands")
     mixed = [F.sum(F.xxhash64(F.lit(k), "key").cast("decimal(38,0)")).alias(f"members{k}") for k in (1, 2)]
-    several = in_band.groupBy("band", "b").agg(F.count(F.lit(1)).alias("m"), *mixed).filter("m > 1")
+    several = every.groupBy("band").agg(F.count(F.lit(1)).alias("m"), *mixed).filter("m > 1")
     # Buckets with the same members tell the same: one of them stands for all.
-    several = several.groupBy("m", "members1", "members2").agg(F.min(F.struct("band", "b")).alias("one"), F.sum(F.expr("shiftleft(1, b)")).alias("mask"))
-    several = stored(several.select("one.band", "one.b", "mask", "m"), "jaccard-several")
-    return stored(spread_join(in_band, several, ["band", "b"]).filter("m is not null").select("band", "mask", "m", "key"), "jaccard-buckets", in_band)
+    several = stored(several.groupBy("m", "members1", "members2").agg(F.min("band").alias("band")).select("band", "m"), "jaccard-several")
+    return stored(spread_join(every, several, ["band"]).filter("m is not null").select("band", "m", "key"), "jaccard-buckets", every)
 
 
-def candidate_members(reps: DataFrame, threshold: float) -> DataFrame:
-    """band, mask, ca, cb, chunk, key: of every two chunks of a bucket those members that have a candidate pair there."""
-    members = buckets(reps)
-    groups = n_blocks(members.count() * VALUES * 5, GROUP_BYTES)
-    met = meet_in_chunks(members, "band", "m", "key", groups).join(reps.select("key", "sig"), "key")
+def survivors(met: DataFrame, threshold: float, tell, schema: str) -> DataFrame:
+    """What tell(f, at, i, j) says of every two chunks of a bucket: rows `at` of f meet, pairs (i, j) of them are not dropped."""
     least = least_matches(threshold)
 
     def prune(f: pd.DataFrame) -> pd.DataFrame:
         out = []
+        f = f.sort_values("key", kind="stable").reset_index(drop=True)
         sig, chunk = np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(-1, VALUES), f["chunk"].to_numpy()
-        for at in f.groupby(["band", "mask", "ca", "cb"], sort=False).indices.values():
+        for at in f.groupby(["band", "ca", "cb"], sort=False).indices.values():
             if f["ca"].iat[at[0]] != f["cb"].iat[at[0]] and len(np.unique(chunk[at])) == 1:
                 continue
-            i, j = own_candidates(sig[at], *_pairs(chunk[at]), int(f["mask"].iat[at[0]]), least)
-            out.append(at[np.union1d(i, j).astype(np.int64)])
-        return f.iloc[np.concatenate(out) if out else []][["band", "mask", "ca", "cb", "chunk", "key"]]
+            s = sig[at]
+            i, j = _pairs(chunk[at])
+            live = candidates(s, i, j, least)
+            out.append(tell(f, at, *in_band(s, i[live], j[live])))
+        return pd.concat(out) if out else tell(f, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    return met.groupBy("task").applyInPandas(prune, schema)
+
+
+def connecting(f: pd.DataFrame, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    key = f["key"].to_numpy()
+    u, v = paths(len(at), i.tolist(), j.tolist(), f["chunk"].to_numpy()[at].tolist())
+    return pd.DataFrame({"u": key[at[u]], "v": key[at[v]]})
 
-    return met.groupBy("task").applyInPandas(prune, "band long, mask long, ca int, cb int, chunk int, key binary")
+
+def meeting(f: pd.DataFrame, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    """Which members have a candidate pair in which two chunks of their group."""
+    part = f["part"].to_numpy()[at]
+    a, b = np.minimum(part[i], part[j]), np.maximum(part[i], part[j])
+    place = np.unique(np.stack([np.concatenate([i, j]), np.concatenate([a, a]), np.concatenate([b, b])], 1), axis=0)
+    row = at[place[:, 0]]
+    return pd.DataFrame({"component": f["component"].to_numpy()[row], "ca": place[:, 1], "cb": place[:, 2], "chunk": part[place[:, 0]], "key": f["key"].to_numpy()[row]})
+
+
+def candidate_members(reps: DataFrame, threshold: float) -> DataFrame:
+    """component, ca, cb, chunk, key: the members of small groups, and of every two chunks of a large one those members that have a
+    candidate pair there."""
+    members = buckets(reps)
+    groups = n_blocks(members.count() * VALUES * 5, GROUP_BYTES)
+    met = meet_in_chunks(members, "band", "m", "key", groups).join(reps.select("key", "sig"), "key")
+    found = stored(components(survivors(met, threshold, connecting, "u binary, v binary").distinct()), "jaccard-components")
+    sizes = stored(found.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "jaccard-sizes")
+    of_group = stored(spread_join(found, sizes, ["component"]).select(F.col("node").alias("key"), "component", "size"), "jaccard-groups", found)
+    zero = F.lit(0)
+    small = of_group.filter(F.col("size") <= CHUNK).select("component", zero.alias("ca"), zero.alias("cb"), zero.alias("chunk"), "key")
+    part = F.pmod(F.xxhash64(F.lit(7), "key"), F.ceil(F.col("size") / CHUNK)).cast("int")
+    large = of_group.filter(F.col("size") > CHUNK).select("key", "component", part.alias("part"))
+    again = met.join(large, "key")
+    told = survivors(again, threshold, meeting, "component binary, ca int, cb int, chunk int, key binary").distinct()
+    return small.unionByName(told)
 
 
 def overlap(sets: list[np.ndarray]) -> np.ndarray:
@@ -226,7 +255,7 @@ def shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def verified(members: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """(u, v, n): for the candidate members of buckets edges (u, v) that connect what true links connect, and rows
+    """(u, v, n): for the candidate members of groups edges (u, v) that connect what true links connect, and rows
     (u, null, n) whose n add up to u's links, every linked class counted with its copies."""
 
     def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,7 +274,7 @@ def verified(members: DataFrame, classes: DataFrame, docs: DataFrame, threshold:
     sets = stored(found.dropDuplicates(["key"]), "jaccard-sets")
     met = members.join(sets, "key")
     groups = n_blocks(int(met.agg(F.sum(F.octet_length("grams"))).first()[0] or 0), GROUP_BYTES)
-    met = met.withColumn("task", F.pmod(F.xxhash64("band", "mask", "ca", "cb"), F.lit(groups)))
+    met = met.withColumn("task", F.pmod(F.xxhash64("component", "ca", "cb"), F.lit(groups)))
     least = least_matches(threshold)
 
     def verify(f: pd.DataFrame) -> pd.DataFrame:
@@ -253,8 +282,10 @@ def verified(members: DataFrame, classes: DataFrame, docs: DataFrame, threshold:
         f = f.sort_values("key", kind="stable").reset_index(drop=True)
         key, copies, chunk, grams = (f[c].to_numpy() for c in ("key", "copies", "chunk", "grams"))
         sig = np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(-1, VALUES)
-        for at in f.groupby(["band", "mask", "ca", "cb"], sort=False).indices.values():
-            i, j = own_candidates(sig[at], *_pairs(chunk[at]), int(f["mask"].iat[at[0]]), least)
+        for at in f.groupby(["component", "ca", "cb"], sort=False).indices.values():
+            i, j = _pairs(chunk[at])
+            live = candidates(sig[at], i, j, least)
+            i, j = in_band(sig[at], i[live], j[live])
             s = [np.frombuffer(grams[k], np.uint64) for k in at]
             size = np.array([len(x) for x in s])
             both = shared(s, i, j)

@@ -212,18 +212,14 @@ def test_paths():
         assert all((u + v).count(k) <= 2 for k in range(n))
 
 
-def test_a_pair_belongs_to_one_bucket():
-    """Masks of bands part the candidate pairs: each is found under one of them."""
-    r = np.random.default_rng(3)
-    a = r.integers(0, 1 << 32, (200, 128), dtype=np.uint32)
-    b = a.copy()
-    b[r.random(a.shape) > 0.85] = 0
-    sig, least = np.concatenate([a, b]), jaccard.least_matches(0.8)
-    i = np.arange(200)
-    shared = [k for k in range(200) if (jaccard.band_values(a)[k] == jaccard.band_values(b)[k]).all(1).any()]
-    live = set(jaccard.candidates(sig, i, i + 200, least).tolist()) & set(shared)
-    found = [set(jaccard.own_candidates(sig, i, i + 200, m, least)[0].tolist()) for m in (0b1010101, 0x1FFFFFF ^ 0b1010101)]
-    assert found[0] | found[1] == live and not found[0] & found[1] and all(found)
+def test_chunks_of_groups_meet_where_they_have_candidates():
+    """Members come to those two chunks of their group in which they have a candidate pair."""
+    import pandas as pd
+
+    f = pd.DataFrame({"key": [b"a", b"b", b"c", b"d"], "component": [b"x"] * 4, "part": [1, 0, 1, 2]})
+    got = jaccard.meeting(f, np.arange(4), np.array([0, 0, 2]), np.array([1, 2, 3]))
+    assert sorted(got.itertuples(index=False, name=None)) == [(b"x", 0, 1, 0, b"b"), (b"x", 0, 1, 1, b"a"), (b"x", 1, 1, 1, b"a"), (b"x", 1, 1, 1, b"c"), (b"x", 1, 2, 1, b"c"), (b"x", 1, 2, 2, b"d")]
+    assert not len(jaccard.meeting(f, *[np.zeros(0, np.int64)] * 3))
 
 
 @pytest.mark.parametrize("few", [2, 0])
