@@ -46,10 +46,14 @@ def rsi(df: DataFrame, n: int, out: str, close: str = "close", seed: str = "ewm"
     return smooth(moved, rsi_parts("_d", n, seed)).withColumn(out, rsi_of_parts()).drop("_d", "_up", "_down")
 
 
+def _range() -> Column:
+    c1 = F.lag("close").over(frame_window())
+    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - c1), F.abs(F.col("low") - c1))
+
+
 def true_range(df: DataFrame, out: str = "tr") -> DataFrame:
     """max(high - low, |high - close before|, |low - close before|); high - low on the first bar."""
-    c1 = F.lag("close").over(frame_window())
-    return lagged(df, {out: F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - c1), F.abs(F.col("low") - c1))})
+    return lagged(df, {out: _range()})
 
 
 def atr(df: DataFrame, n: int, out: str, seed: str = "ewm") -> DataFrame:
@@ -60,7 +64,7 @@ def adx(df: DataFrame, n: int, out: str, seed: str = "ewm") -> DataFrame:
     """Wilder mean of |+DI - -DI| / (+DI + -DI) in percent; a quotient of 0 by 0 counts as 0."""
     w = frame_window()
     up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
-    moved = lagged(true_range(df, "_tr"), {"_pdm": F.when(up.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)), "_mdm": F.when(up.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0))})
+    moved = lagged(df, {"_tr": _range(), "_pdm": F.when(up.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)), "_mdm": F.when(up.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0))})
     s = smooth(moved, [wilder_of("_atr", F.when(F.col("_pdm").isNotNull(), F.col("_tr")), n, seed, 1), wilder_of("_p", F.col("_pdm"), n, seed, 1), wilder_of("_m", F.col("_mdm"), n, seed, 1)])
     p, m = ratio(100 * F.col("_p"), F.col("_atr")), ratio(100 * F.col("_m"), F.col("_atr"))
     dx = F.when(F.col("_p").isNotNull(), F.coalesce(100 * ratio(F.abs(p - m), p + m), F.lit(0.0)))
@@ -141,5 +145,3 @@ def ewma_volatility(df: DataFrame, ret: str, out: str, decay: float = 0.94) -> D
         raise ValueError("decay must be between 0 and 1")
     s = smooth(_numbered(df), [Smooth("_v", F.col(ret) * F.col(ret), 1, decay, "ewm", 1)])
     return s.withColumn(out, F.sqrt("_v")).drop("_v")
-
-

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candela.sources.scratch import materialized
+
 CLASSES = (0, 1, 2, 3, 4)
 
 
@@ -60,16 +62,30 @@ def weighted_scores(matrix: DataFrame) -> DataFrame:
 
 
 def classification_report(df: DataFrame, classes: Sequence[int] = CLASSES) -> DataFrame:
-    """name, precision, recall, f1, support: a row for each class, then accuracy, macro and weighted averages."""
-    by = per_class(confusion_matrix(df, classes))
-    acc = accuracy(df).select("accuracy").crossJoin(by.agg(F.sum("support").alias("support")))  # one row each
-    named = lambda d, name: d.select(F.lit(name).alias("name"), "precision", "recall", "f1", "support")
-    return (
-        by.select(F.col("class").cast("string").alias("name"), "precision", "recall", "f1", "support")
-        .unionByName(acc.select(F.lit("accuracy").alias("name"), *[F.col("accuracy").alias(c) for c in ("precision", "recall", "f1")], "support"))
-        .unionByName(named(_average(by, "macro"), "macro avg"))
-        .unionByName(named(_average(by, "weighted"), "weighted avg"))
-    )
+    """name, precision, recall, f1, support: a row for each class, then accuracy, macro and weighted averages. The data are counted
+    once, into a matrix of the classes; rows of classes that are not named count for accuracy alone."""
+    seen = df.groupBy(F.col("y").cast("int").alias("y"), F.col("p").cast("int").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    m = ["precision", "recall", "f1"]
+    cells = seen.agg(F.collect_list(F.struct("y", "p", "n")).alias("cells"), F.sum(F.when(F.col("y").isNotNull() & F.col("p").isNotNull(), F.col("n"))).alias("total"))  # a row for each pair of classes seen
+    count = lambda test: F.aggregate(F.filter("cells", test), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    named = F.array(*[F.lit(int(c)) for c in classes])
+    inside = lambda x: F.array_contains(named, x["y"]) & F.array_contains(named, x["p"])
+
+    def one(c: Column) -> Column:
+        right = count(lambda x: (x["y"] == c) & (x["p"] == c))
+        support, predicted = count(lambda x: (x["y"] == c) & inside(x)), count(lambda x: (x["p"] == c) & inside(x))
+        return F.struct(c.cast("string").alias("name"), _or_zero(right, predicted).alias("precision"), _or_zero(right, support).alias("recall"), _or_zero(2 * right, predicted + support).alias("f1"), support.alias("support"))
+
+    by = cells.withColumn("each", F.array(*[one(F.lit(int(c))) for c in classes]))
+    every = lambda f: F.aggregate("each", F.lit(0.0), lambda a, x: a + f(x))
+    support = F.aggregate("each", F.lit(0).cast("long"), lambda a, x: a + x["support"])
+    row = lambda name, values: F.struct(F.lit(name).alias("name"), *[v.alias(c) for c, v in zip(m, values, strict=True)], support.alias("support"))
+    right = _or_zero(count(lambda x: x["y"] == x["p"]), F.col("total"))
+    means = [
+        row("accuracy", [right] * 3), row("macro avg", [every(lambda x, c=c: x[c]) / len(classes) for c in m]),
+        row("weighted avg", [_or_zero(every(lambda x, c=c: x[c] * x["support"]), support) for c in m]),
+    ]
+    return by.select(F.inline(F.concat("each", F.array(*means))))
 
 
 def per_class_accuracy(matrix: DataFrame) -> DataFrame:
@@ -77,7 +93,31 @@ def per_class_accuracy(matrix: DataFrame) -> DataFrame:
     return per_class(matrix).select("class", F.col("recall").alias("accuracy"))
 
 
-# -- ranking metrics: distinct scores are counted first, so what is ordered is at most one row a score
+# -- ranking metrics: distinct scores are counted first, so what is ordered is at most one row a score. A class is cut into ranges
+# of scores by its quantiles; windows run inside (class, range), and one summary row of each range is scanned in an array.
+
+RANGES = 256
+
+
+def ranged(rows: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
+    """rows with _b, the range of its class that a score falls into, from 0 for the highest scores on."""
+    cuts = F.percentile_approx(score, [k / RANGES for k in range(1, RANGES)], 10 * RANGES)
+    bounds = rows.groupBy(*keys).agg(F.array_distinct(cuts).alias("_bounds"))
+    # A row for each class, or pair of classes.
+    return rows.join(F.broadcast(bounds), list(keys)).withColumn("_b", F.size(F.filter("_bounds", lambda x: x > F.col(score)))).drop("_bounds")
+
+
+def carried(parts: DataFrame, keys: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """keys, _b and for each column of parts what the ranges before it hold: their sum or their maximum, as columns says."""
+    names = list(columns)
+    whole = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", *names))).alias("_parts"))  # at most RANGES
+
+    def before(n: str, i: Column) -> Column:
+        past = F.transform(F.slice("_parts", F.lit(1), i), lambda x: x[n])
+        return (F.aggregate(past, F.lit(0).cast("double"), lambda a, x: a + x) if columns[n] == "sum" else F.coalesce(F.array_max(past), F.lit(0.0))).alias(f"_before_{n}")
+
+    each = F.transform("_parts", lambda x, i: F.struct(x["_b"].alias("_b"), *[before(n, i) for n in names]))
+    return whole.select(*keys, F.inline(each))
 
 
 def _score_counts(df: DataFrame, classes: Sequence[int]) -> DataFrame:
@@ -92,28 +132,54 @@ def roc_curve(df: DataFrame, classes: Sequence[int] = CLASSES, drop_collinear: b
 
 
 def _curve(counts: DataFrame, keys: list[str], drop_collinear: bool = False) -> DataFrame:
+    counts = materialized(counts, "scores")
     start = counts.select(*keys).distinct().select(*keys, F.lit(float("inf")).alias("score"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"))
-    points = counts.select(*keys, "score", "pos", "neg").unionByName(start)
-    down = Window.partitionBy(*keys).orderBy(F.col("score").desc())
+    points = ranged(counts.select(*keys, "score", "pos", "neg").unionByName(start), keys, "score")
+    parts = points.groupBy(*keys, "_b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max_by("pos", "score").alias("_p1"), F.max_by("neg", "score").alias("_n1"))
+    before = carried(parts, keys, {"pos": "sum", "neg": "sum"})
+    whole = counts.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    # A row for each range of a class, and one for each class.
+    out = points.join(F.broadcast(before), [*keys, "_b"]).join(F.broadcast(whole), keys)
+    down = Window.partitionBy(*keys, "_b").orderBy(F.col("score").desc())
     so_far = down.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    out = points.withColumns({"tp": F.sum("pos").over(so_far), "fp": F.sum("neg").over(so_far), "_p": F.sum("pos").over(whole), "_n": F.sum("neg").over(whole)})
+    out = out.withColumns({"tp": F.sum("pos").over(so_far) + F.col("_before_pos"), "fp": F.sum("neg").over(so_far) + F.col("_before_neg")})
     if drop_collinear:
-        bend = ((F.lead("tp").over(down) - F.col("tp")) * (F.col("fp") - F.lag("fp").over(down))) != ((F.col("tp") - F.lag("tp").over(down)) * (F.lead("fp").over(down) - F.col("fp")))
-        out = out.withColumn("_keep", F.coalesce(bend, F.lit(True))).filter("_keep").drop("_keep")
-    return out.select(*keys, F.col("score").alias("threshold"), F.try_divide(F.col("fp").cast("double"), F.col("_n").cast("double")).alias("fpr"), F.try_divide(F.col("tp").cast("double"), F.col("_p").cast("double")).alias("tpr"))
+        # What comes next: a row of the range, or the first one of the range after it; before the first row of all comes none.
+        after = parts.select(*keys, "_b", "_p1", "_n1").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", "_p1", "_n1"))).alias("_all"))
+        after = after.select(*keys, F.inline(F.transform("_all", lambda x, i: F.struct(x["_b"].alias("_b"), F.get("_all", i + 1)["_p1"].alias("_np"), F.get("_all", i + 1)["_n1"].alias("_nn")))))
+        out = out.join(F.broadcast(after), [*keys, "_b"])
+        up, right = F.coalesce(F.lead("pos").over(down), F.col("_np")), F.coalesce(F.lead("neg").over(down), F.col("_nn"))
+        out = out.withColumn("_keep", F.coalesce((up * F.col("neg")) != (F.col("pos") * right), F.lit(True)) | (F.col("score") == float("inf"))).filter("_keep")
+    return out.select(*keys, F.col("score").alias("threshold"), F.try_divide(F.col("fp"), F.col("_n").cast("double")).alias("fpr"), F.try_divide(F.col("tp"), F.col("_p").cast("double")).alias("tpr"))
 
 
 def trapezoid_auc(curve: DataFrame, keys: Sequence[str] = ("class",)) -> DataFrame:
-    """auc of every curve by the trapezoid rule."""
-    w = Window.partitionBy(*keys).orderBy(F.col("threshold").desc())
-    area = (F.col("fpr") - F.lag("fpr").over(w)) * (F.col("tpr") + F.lag("tpr").over(w)) / 2
-    return curve.withColumn("_a", area).groupBy(*keys).agg(F.sum("_a").alias("auc"))
+    """auc of every curve by the trapezoid rule. Rates do not fall with the threshold, so those before a range are its ranges' highest."""
+    keys = list(keys)
+    rows = ranged(materialized(curve, "curve"), keys, "threshold")
+    parts = rows.groupBy(*keys, "_b").agg(F.max("fpr").alias("fpr"), F.max("tpr").alias("tpr"))
+    rows = rows.join(F.broadcast(carried(parts, keys, {"fpr": "max", "tpr": "max"})), [*keys, "_b"])
+    w = Window.partitionBy(*keys, "_b").orderBy(F.col("threshold").desc())
+    was = lambda c: F.lag(c, 1).over(w)
+    fpr, tpr = F.coalesce(was("fpr"), F.col("_before_fpr")), F.coalesce(was("tpr"), F.col("_before_tpr"))
+    return rows.withColumn("_a", (F.col("fpr") - fpr) * (F.col("tpr") + tpr) / 2).groupBy(*keys).agg(F.sum("_a").alias("auc"))
+
+
+def area(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """auc from counts(pos, neg) by score: the area under the curve through all scores, without its points."""
+    keys = list(keys)
+    rows = ranged(materialized(counts, "scores"), keys, "score")
+    parts = rows.groupBy(*keys, "_b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    before = carried(parts, keys, {"pos": "sum"})
+    so_far = Window.partitionBy(*keys, "_b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumn("_a", F.col("neg") * (F.sum("pos").over(so_far) - F.col("pos") / 2)).groupBy(*keys, "_b").agg(F.sum("_a").alias("_a"))
+    each = inside.join(parts, [*keys, "_b"]).join(before, [*keys, "_b"])
+    return each.groupBy(*keys).agg(F.try_divide(F.sum(F.col("_a") + F.col("neg") * F.col("_before_pos")), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 
 def roc_auc_ovr(df: DataFrame, classes: Sequence[int] = CLASSES) -> DataFrame:
     """roc_auc_ovr: mean of the one-vs-rest areas; 0 if a class is absent."""
-    aucs = trapezoid_auc(roc_curve(df, classes))
+    aucs = area(_score_counts(df, classes), ["class"])
     return aucs.agg(F.when(F.count("auc") < len(classes), 0.0).otherwise(F.avg("auc")).alias("roc_auc_ovr"))
 
 
@@ -123,6 +189,6 @@ def roc_auc_ovo(df: DataFrame, classes: Sequence[int] = CLASSES) -> DataFrame:
     each = df.select(F.col("y").cast("int").alias("y"), "probs").select("y", "probs", F.inline(pairs)).filter((F.col("y") == F.col("a")) | (F.col("y") == F.col("b")))
     scored = each.select("a", "b", F.element_at("probs", F.col("a") + 1).alias("score"), (F.col("y") == F.col("a")).cast("long").alias("is_a"))
     counts = scored.groupBy("a", "b", "score").agg(F.sum("is_a").alias("pos"), F.sum(1 - F.col("is_a")).alias("neg"))
-    aucs = trapezoid_auc(_curve(counts, ["a", "b"]), ("a", "b"))
+    aucs = area(counts, ["a", "b"])
     n = len(classes) * (len(classes) - 1)
     return aucs.agg(F.when(F.count("auc") < n, 0.0).otherwise(F.avg("auc")).alias("roc_auc_ovo"))

@@ -13,7 +13,9 @@ from candela.operators.scan import frame_window, framed, indexed
 
 
 def sliding_windows(df: DataFrame, features: Sequence[str], target: str, length: int = 64) -> DataFrame:
-    """symbol, bar_ts (of the last row), window (array of rows of features), target: one sample a full window."""
+    """symbol, bar_ts (of the last row), window (array of rows of features), target: one sample a full window. Fewer rows than
+    one window are an error."""
+    require_rows(df, length)
     w = frame_window().rowsBetween(-(length - 1), 0)
     src = df if "_i" in df.columns else indexed(df)
     rows = src.select("symbol", "bar_ts", "_i", F.array(*[F.col(c).cast("double") for c in features]).alias("_row"), F.col(target).alias("target"))

@@ -3,6 +3,8 @@
 A window over a whole symbol would put a long series into one task. Here a series is cut into blocks; windows run
 inside (symbol, block), one summary row of each block is scanned, and its result is joined back. Running aggregates use
 blocks of time, recursive smoothing and bounded frames blocks of row numbers, so their size does not depend on gaps.
+
+The blocks of time suit bars. For a table of very many rows a day, block_seconds() measures how long a block may be.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_SECONDS = 4 * 86_400
+BLOCK_ROWS = 1 << 18
 FRAME_ROWS = 1024
 
 
@@ -22,6 +25,13 @@ def _time_block(seconds: int) -> Column:
     return F.floor(F.unix_seconds(F.col("bar_ts").cast("timestamp")) / seconds)
 
 
+def block_seconds(df: DataFrame, rows: int = BLOCK_ROWS) -> int:
+    """Length of blocks of time with at most about `rows` rows of a series each, by its densest hour; at most BLOCK_SECONDS."""
+    hours = df.groupBy("symbol", _time_block(3600).alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
+    most = hours.agg(F.max("_n")).first()[0] or 1
+    return max(1, min(BLOCK_SECONDS, rows * 3600 // most))
+
+
 def _in_block(*order: str):
     return Window.partitionBy("symbol", "_tb").orderBy(*(order or ("bar_ts",)))
 
@@ -111,8 +121,8 @@ def wilder_of(name: str, value: Column, n: int, seed: str = "ewm", skip: int = 0
 
 def smooth(df: DataFrame, specs: Sequence[Smooth]) -> DataFrame:
     """Adds the smoothed columns. df has _i (see indexed). Inside a block of rows decay**k * sum(x decay**-k) is an exact
-    running sum; what earlier blocks leave decays so fast that a few of their end values give it to the last bit. Null
-    values inside a series count as no step at all only at its beginning (skip); later ones count as 0."""
+    running sum; what earlier blocks leave decays so fast that a few of their end values give it to the last bit. A null after
+    the first `skip` rows has no weight, while the others' weights decay as if it had one; the result there is null."""
     specs = list(specs)
     for s in specs:
         if not 0 < s.decay < 1:
@@ -125,32 +135,39 @@ def smooth(df: DataFrame, specs: Sequence[Smooth]) -> DataFrame:
         src = src.join(src.filter(F.col("_i") < first).groupBy("symbol").agg(*heads), "symbol")
     r = F.col("_i") - F.col("_sb") * rows
 
-    def step(s: Smooth) -> Column:
-        x, k = F.coalesce(F.col(f"_x_{s.name}"), F.lit(0.0)), F.col("_i") - s.skip
+    def weight(s: Smooth) -> Column:
+        """Of the row's own value, before it decays."""
+        k, there = F.col("_i") - s.skip, F.col(f"_x_{s.name}").isNotNull()
         if s.seed == "sma":
-            return F.when(k < s.n - 1, 0.0).when(k == s.n - 1, F.col(f"_m_{s.name}")).otherwise((1 - s.decay) * x)
-        return F.when(k < 0, 0.0).otherwise(x)
+            return F.when(k < s.n - 1, 0.0).when(k == s.n - 1, F.col(f"_m_{s.name}").isNotNull().cast("double")).when(there, 1 - s.decay).otherwise(0.0)
+        return F.when((k < 0) | ~there, 0.0).otherwise(1.0)
+
+    def value(s: Smooth) -> Column:
+        x = F.col(f"_x_{s.name}")
+        return F.coalesce(F.when(F.col("_i") - s.skip == s.n - 1, F.col(f"_m_{s.name}")).otherwise(x) if s.seed == "sma" else x, F.lit(0.0))
 
-    scaled = src.withColumns({f"_u_{s.name}": step(s) * F.pow(F.lit(s.decay), -r) for s in specs})
+    scaled = src.withColumns({f"_w_{s.name}": weight(s) * F.pow(F.lit(s.decay), -r) for s in specs})
+    scaled = scaled.withColumns({f"_u_{s.name}": F.col(f"_w_{s.name}") * value(s) for s in specs})
+    both = [(s, c) for s in specs for c in (f"u_{s.name}", f"w_{s.name}")]
     w = Window.partitionBy("symbol", "_sb").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    local = scaled.withColumns({f"_l_{s.name}": F.sum(f"_u_{s.name}").over(w) * F.pow(F.lit(s.decay), r) for s in specs})
-    ends = scaled.groupBy("symbol", "_sb").agg(*[(F.sum(f"_u_{s.name}") * s.decay ** (rows - 1)).alias(f"_e_{s.name}") for s in specs])
+    local = scaled.withColumns({f"_l{c}": F.sum(f"_{c}").over(w) * F.pow(F.lit(s.decay), r) for s, c in both})
+    ends = scaled.groupBy("symbol", "_sb").agg(*[(F.sum(f"_{c}") * s.decay ** (rows - 1)).alias(f"_e{c}") for s, c in both])
+    back = {s.name: math.ceil(40 / -math.log(s.decay**rows)) for s in specs}
+    most = max(back.values())
+    near = with_halo(ends, before=most, rows=64 * most, index="_sb")
 
-    def carry(s: Smooth) -> Column:
+    def carry(s: Smooth, c: str) -> Column:
         whole = s.decay**rows
-        back = math.ceil(40 / -math.log(whole))
-        past = F.collect_list(f"_e_{s.name}").over(Window.partitionBy("symbol").orderBy("_sb").rowsBetween(-back, -1))
-        return F.aggregate(past, F.lit(0.0), lambda a, e: a * whole + e).alias(f"_c_{s.name}")
+        past = F.collect_list(f"_e{c}").over(Window.partitionBy("symbol", "_rb").orderBy("_sb").rowsBetween(-back[s.name], -1))
+        return F.aggregate(past, F.lit(0.0), lambda a, e: a * whole + e).alias(f"_c{c}")
 
-    carried = ends.select("symbol", "_sb", *[carry(s) for s in specs])
+    carried = near.select("symbol", "_sb", "_own", *[carry(s, c) for s, c in both]).filter("_own").drop("_own")
     out = local.join(carried, ["symbol", "_sb"])
 
     def result(s: Smooth) -> Column:
-        k = F.col("_i") - s.skip
-        y = F.col(f"_l_{s.name}") + F.pow(F.lit(s.decay), r + 1) * F.col(f"_c_{s.name}")
-        if s.seed == "ewm":
-            y = y / ((1 - F.pow(F.lit(s.decay), k + 1)) / (1 - s.decay))
-        return F.when((k >= s.n - 1) & F.col(f"_x_{s.name}").isNotNull(), y).alias(s.name)
+        total = lambda c: F.col(f"_l{c}") + F.pow(F.lit(s.decay), r + 1) * F.col(f"_c{c}")
+        y = F.try_divide(total(f"u_{s.name}"), total(f"w_{s.name}"))
+        return F.when((F.col("_i") - s.skip >= s.n - 1) & F.col(f"_x_{s.name}").isNotNull(), y).alias(s.name)
 
     names = {s.name for s in specs}
     return out.select(*[c for c in df.columns if c not in names], *[result(s) for s in specs])

@@ -1,15 +1,21 @@
 """From signals to a trade ledger (O-92 .. O-105, O-116).
 
 The side held after a bar follows from the signals alone as far as a run of them goes, so trades are found in each run
-independently: bars are cut into runs, each run is folded with the bar that ends it, and since size and costs are
+independently: bars are cut into runs, the trades of a run are looked for one after the other, and since size and costs are
 proportional to capital, capital is a running product over the trades.
+
+The exit of a trade is the first bar whose tests hold for its entry's levels and the highest (or lowest) trailing stop so far: a search over
+arrays of bars, batch by batch as Spark hands on the sorted rows, so a run of any length takes little memory and time in
+proportion to its length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +24,7 @@ from candela.operators.align import ffill
 from candela.operators.scan import frame_window, framed, indexed, running
 from candela.sources.scratch import materialized
 
+# The reasons for an exit, as ledgers name them.
 STOP_LOSS, TAKE_PROFIT, NEUTRAL, AT_END = "Stop Loss", "Take Profit", "Neutral Signal", "End of Backtest"
 SELL, BUY = "Trend Reversal (Sell Signal)", "Trend Reversal (Buy Signal)"
 
@@ -43,11 +50,7 @@ class Rules:
     on_neutral: bool = True
     max_drawdown: float = 0.2
     least_order: float = 10.0
-
-
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), f), 1)
+    pyramid_factor: float = 1.5  # of the size of entries above the first level
 
 
 def signal_to_side(signal: Column, allow_long: bool = True, allow_short: bool = True) -> Column:
@@ -62,34 +65,34 @@ def entry_levels(price: Column, atr: Column, side: Column, rules: Rules = Rules(
     return price - side * d, price + side * d * rules.reward
 
 
-def trailing_stop(close: Column, atr: Column, side: Column, entry: Column, before: Column, rules: Rules = Rules()) -> Column:
-    """The stop that follows the price once the leveraged profit at the close is large enough; it only tightens."""
-    if not rules.trailing:
-        return before
-    distance = ratio(atr, close) if rules.use_atr else F.lit(rules.trail_fixed)
-    new = close * (1 - side * distance)
-    gain = (close - entry) * side * rules.leverage / entry * 100
-    return F.when((gain > rules.trail_from) & (before.isNull() | (side * new > side * before)), new).otherwise(before)
-
+def position_size(capital: Column, price: Column, rules: Rules = Rules(), level: Column | int = 0) -> Column:
+    """Units of an entry: a share of capital, at least a least order's worth; more above the first pyramid level."""
+    base = F.greatest(F.least(F.lit(rules.share), F.lit(1.0)) * capital / price, F.lit(rules.least_order) / price)
+    return base * F.when((F.lit(level) if isinstance(level, int) else level) > 0, rules.pyramid_factor).otherwise(1.0)
 
-def stop_hit(low: Column, high: Column, side: Column, stop: Column, trail: Column) -> Column:
-    """Did the worst price of the bar reach the tighter of the two stops?"""
-    worst = F.when(side > 0, low).otherwise(high)
-    return side * worst <= F.greatest(side * stop, side * trail)
 
-
-def target_hit(low: Column, high: Column, side: Column, target: Column) -> Column:
-    best = F.when(side > 0, high).otherwise(low)
-    return side * best >= side * target
+def trailing_stops(side: float, entry: float, before: float, close: np.ndarray, atr: np.ndarray, rules: Rules) -> np.ndarray:
+    """The trailing stop at each of a trade's bars, NaN before the first: it follows the close where the leveraged profit is large
+    enough, and only tightens."""
+    if not rules.trailing:
+        return np.full(len(close), before)
+    new = close * (1 - side * (atr / close if rules.use_atr else rules.trail_fixed))
+    gain = (close - entry) * side * rules.leverage / entry * 100
+    steps = np.where(gain > rules.trail_from, side * new, np.nan)
+    return side * np.fmax.accumulate(np.fmax(steps, side * before))
 
 
-def exit_reason(stopped: Column, reached: Column, side: Column, signal: Column, rules: Rules = Rules()) -> Column:
-    """The first that holds of stop, target, reversal and neutral signal, or null."""
-    out = F.when(stopped, STOP_LOSS).when(reached, TAKE_PROFIT)
-    if rules.on_reversal:
-        out = out.when((side > 0) & signal.isin(0, 1), SELL).when((side < 0) & signal.isin(3, 4), BUY)
+def exits(side: float, stop: float, target: float, trail: np.ndarray, high: np.ndarray, low: np.ndarray, signal: np.ndarray, rules: Rules) -> np.ndarray:
+    """For each bar 0, or the first of these that holds: 1 the worst price reaches the tighter stop, 2 the best price reaches the target, 3 the
+    signal is against the side, 4 it is neutral."""
+    worst, best = (low, high) if side > 0 else (high, low)
+    out = np.zeros(len(high), np.int8)
     if rules.on_neutral:
-        out = out.when(signal == 2, NEUTRAL)
+        out[signal == 2] = 4
+    if rules.on_reversal:
+        out[(signal <= 1) & (signal >= 0) if side > 0 else signal >= 3] = 3
+    out[side * best >= side * target] = 2
+    out[side * worst <= np.fmax(side * stop, side * trail)] = 1
     return out
 
 
@@ -113,47 +116,107 @@ def position_runs(bars: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return own.unionByName(ends).drop("_new", "_side", *([] if "_i" in bars.columns else ["_i"]))
 
 
+@dataclass
+class Held:
+    """A trade that is open."""
+
+    ts: object
+    side: int
+    price: float
+    stop: float
+    target: float
+    trail: float = float("nan")
+
+
+class RunTrades:
+    """The trades of runs whose bars come in order, some at a time."""
+
+    FIRST = 64  # bars that are searched at once, twice as many each time
+
+    def __init__(self, rules: Rules):
+        self.rules, self.held = rules, None
+        self.found: list[tuple] = []
+        self.symbol = None
+
+    def enter(self, f: dict[str, np.ndarray], k: int) -> None:
+        side, price, atr = int(f["go"][k]), float(f["close"][k]), float(f["atr"][k])
+        distance = atr * self.rules.atr_factor if self.rules.use_atr and atr > 0 else price * self.rules.fixed_stop
+        self.held = Held(f["bar_ts"][k], side, price, price - side * distance, price + side * distance * self.rules.reward)
+
+    def bars(self, f: dict[str, np.ndarray]) -> None:
+        i, n = 0, len(f["close"])
+        flat = np.flatnonzero(f["go"])
+        while i < n:
+            if self.held is None:
+                at = np.searchsorted(flat, i)
+                if at == len(flat):
+                    return
+                i = int(flat[at])
+                self.enter(f, i)
+                i += 1
+            i = self.exit(f, i, n)
+
+    def exit(self, f: dict[str, np.ndarray], i: int, n: int) -> int:
+        """The bar after the exit of the trade that is held, or n."""
+        h, size = self.held, self.FIRST
+        while i < n:
+            z = min(n, i + size)
+            trail = trailing_stops(h.side, h.price, h.trail, f["close"][i:z], f["atr"][i:z], self.rules)
+            why = exits(h.side, h.stop, h.target, trail, f["high"][i:z], f["low"][i:z], f["signal"][i:z], self.rules)
+            k = int((why > 0).argmax())
+            if why[k]:
+                reason = (STOP_LOSS, TAKE_PROFIT, SELL if h.side > 0 else BUY, NEUTRAL)[why[k] - 1]
+                self.found.append((self.symbol, h.ts, f["bar_ts"][i + k], h.side, h.price, float(f["close"][i + k]), reason))
+                self.held = None
+                if f["go"][i + k]:  # its signal goes on: in again at the same close
+                    self.enter(f, i + k)
+                return i + k + 1
+            h.trail, i, size = float(trail[-1]), z, 2 * size
+        return n
+
+    def end(self) -> None:
+        if self.held is not None:
+            self.found.append((self.symbol, self.held.ts, None, self.held.side, self.held.price, None, None))
+            self.held = None
+
+
 def trades_from_runs(runs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """symbol, entry_ts, exit_ts, side, entry_price, exit_price, exit_reason; an open trade has null exit columns.
 
     The first exit after an entry counts, tests begin on the next bar, fills are closes, and while its signal goes on a
-    run enters again at the close that ended a trade. runs have close, high, low, atr and signal."""
-    bar = F.struct("bar_ts", F.col("ending"), *[F.col(c).cast("double").alias(c) for c in ("close", "high", "low", "atr")], F.col("signal").cast("int").alias("signal"))
-    grouped = runs.groupBy("symbol", "run").agg(F.sort_array(F.collect_list(bar)).alias("bars"))
-    ts = runs.schema["bar_ts"].dataType.simpleString()
-    trade_type = f"array<struct<entry_ts:{ts},exit_ts:{ts},side:int,entry_price:double,exit_price:double,exit_reason:string>>"
-    nothing = F.lit(None).cast("double")
-    start = F.struct(F.lit(None).cast(ts).alias("ts"), F.lit(0).alias("side"), nothing.alias("price"), nothing.alias("stop"), nothing.alias("target"), nothing.alias("trail"), F.array().cast(trade_type).alias("trades"))
-
-    def entered(s: Column, x: Column) -> Column:
-        """Flat: enter if the signal says so."""
-        side = signal_to_side(x["signal"], rules.allow_long, rules.allow_short)
-        go = ~x["ending"] & (side != 0)
-        stop, target = entry_levels(x["close"], x["atr"], side.cast("double"), rules)
-        new = F.struct(x["bar_ts"].alias("ts"), side.alias("side"), x["close"].alias("price"), stop.alias("stop"), target.alias("target"), nothing.alias("trail"), s["trades"].alias("trades"))
-        flat = F.struct(F.lit(None).cast(ts).alias("ts"), F.lit(0).alias("side"), nothing.alias("price"), nothing.alias("stop"), nothing.alias("target"), nothing.alias("trail"), s["trades"].alias("trades"))
-        return F.when(go, new).otherwise(flat)
-
-    def held(s: Column, x: Column) -> Column:
-        side = s["side"].cast("double")
+    run enters again at the close that ended a trade. runs have close, high, low, atr and signal. A run is read in order by one
+    task, since each of its trades begins where the last one ended; runs are dealt out by their number."""
+    side = signal_to_side(F.col("signal"), rules.allow_long, rules.allow_short)
+    bars = runs.select(
+        "symbol", "run", "bar_ts", *[F.col(c).cast("double").alias(c) for c in ("close", "high", "low", "atr")],
+        F.coalesce(F.col("signal").cast("int"), F.lit(-1)).alias("signal"), F.when(F.col("ending"), 0).otherwise(side).alias("go"),
+    )
+    columns = ["symbol", "entry_ts", "exit_ts", "side", "entry_price", "exit_price", "exit_reason"]
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, at = RunTrades(rules), None
+        for f in frames:
+            new = (f["run"] != f["run"].shift()) | (f["symbol"] != f["symbol"].shift())
+            starts = np.flatnonzero(new.to_numpy() | (np.arange(len(f)) == 0))
+            arrays = {c: f[c].to_numpy() for c in ("bar_ts", "close", "high", "low", "atr", "signal", "go")}
+            for a, z in zip(starts, [*starts[1:], len(f)], strict=True):
+                key = (f["symbol"].iat[a], f["run"].iat[a])
+                if key != at:
+                    state.end()
+                    at, state.symbol = key, key[0]
+                state.bars({c: v[a:z] for c, v in arrays.items()})
+            yield found(state)
+        state.end()
+        yield found(state)
+
+    def found(state: RunTrades) -> pd.DataFrame:
+        out = pd.DataFrame(state.found, columns=columns)
+        state.found = []
+        return out.astype({"entry_price": "float64", "exit_price": "float64", "side": "int32"}).assign(entry_ts=pd.to_datetime(out["entry_ts"]), exit_ts=pd.to_datetime(out["exit_ts"]))
 
-        def tested(t: Column) -> Column:
-            why = exit_reason(stop_hit(x["low"], x["high"], side, s["stop"], t), target_hit(x["low"], x["high"], side, s["target"]), side, x["signal"], rules)
-
-            def closed(reason: Column) -> Column:
-                trade = F.struct(s["ts"].alias("entry_ts"), x["bar_ts"].alias("exit_ts"), s["side"].alias("side"), s["price"].alias("entry_price"), x["close"].alias("exit_price"), reason.alias("exit_reason"))
-                after = F.struct(F.concat(s["trades"], F.array(trade)).cast(trade_type).alias("trades"))
-                stays = F.struct(s["ts"].alias("ts"), s["side"].alias("side"), s["price"].alias("price"), s["stop"].alias("stop"), s["target"].alias("target"), t.alias("trail"), s["trades"].alias("trades"))
-                return F.when(reason.isNull(), stays).otherwise(let(after, lambda a: entered(a, x)))
-
-            return let(why, closed)
-
-        return let(trailing_stop(x["close"], x["atr"], side, s["price"], s["trail"], rules), tested)
-
-    done = grouped.withColumn("s", F.aggregate("bars", start, lambda s, x: F.when(s["ts"].isNull(), entered(s, x)).otherwise(held(s, x))))
-    still = F.struct(F.col("s.ts").alias("entry_ts"), F.lit(None).cast(ts).alias("exit_ts"), F.col("s.side").alias("side"), F.col("s.price").alias("entry_price"), nothing.alias("exit_price"), F.lit(None).cast("string").alias("exit_reason"))
-    every = F.concat(F.col("s.trades"), F.when(F.col("s.ts").isNotNull(), F.array(still)).otherwise(F.array()).cast(trade_type))
-    return done.select("symbol", F.inline(every))
+    ts = runs.schema["bar_ts"].dataType.simpleString()
+    dealt = bars.repartition("symbol", "run").sortWithinPartitions("symbol", "run", "bar_ts", F.col("go") == 0)
+    return dealt.mapInPandas(search, f"symbol string, entry_ts {ts}, exit_ts {ts}, side int, entry_price double, exit_price double, exit_reason string")
 
 
 def close_at_end(trades: DataFrame, bars: DataFrame) -> DataFrame:
@@ -187,12 +250,12 @@ def capital_path(trades: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def priced(trades: DataFrame, rules: Rules = Rules(), holding: Column | None = None) -> DataFrame:
     """The ledger: sizes, profit and costs of trades with capital_before. holding_periods is 1 unless given."""
-    size = F.col("capital_before") * rules.share / F.col("entry_price")
+    size = position_size(F.col("capital_before"), F.col("entry_price"), rules)
     out = trades.withColumns({"size": size, "leverage": F.lit(rules.leverage), "holding_periods": F.lit(1) if holding is None else holding})
     out = out.withColumns({
         "pnl": gross_pnl(), "pnl_pct": pnl_pct(), "entry_fee": F.col("size") * F.col("entry_price") * rules.taker, "exit_fee": F.col("size") * F.col("exit_price") * rules.taker,
         "funding": notional() * rules.funding * F.col("holding_periods"), "slippage": F.col("size") * F.col("exit_price") * rules.slippage,
-        "entry_slippage": F.col("size") * F.col("entry_price") * rules.slippage, "pyramid_level": F.lit(0),
+        "entry_slippage": F.col("size") * F.col("entry_price") * rules.slippage, "pyramid_level": F.lit(0),  # a second entry at one time is never made
     })
     return with_net(out)
 

@@ -16,7 +16,7 @@ from candela.operators import align, indicators, labels, metrics, portfolio, sam
 from candela.operators.bars import bars_from_ticks, drop_empty_bars, multi_timeframe, resample_ohlcv
 from candela.plans import dataset
 from candela.sources.scratch import materialized, scratch_path
-from candela.sources.tables import OHLCV, date_range, read_dataset, read_ohlcv, read_scaler, rounded, write_dataset, write_scaler
+from candela.sources.tables import OHLCV, date_range, read_dataset, read_dataset_csv, read_metrics, read_ohlcv, read_scaler, rounded, write_dataset, write_metrics, write_scaler
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
@@ -249,13 +249,13 @@ _EW = "sum(CASE WHEN i >= 1 THEN ret * ret * pow(0.94, -(i - 1)) ELSE 0 END) {w}
 _indicator("ewma_volatility", lambda b: indicators.ewma_volatility(indicators.log_return(b, "_r"), "_r", "ewma_volatility"), _ind_select(_RET, {"ewma_volatility": f"CASE WHEN i >= 1 THEN sqrt({_EW}) END"}, "r"))
 
 _GRID = ", ".join(f"({a!r}, {b!r})" for a, b in indicators.garch_grid())
-_GARCH = _RET + f""", x AS (SELECT symbol, bar_ts, i, count(ret) OVER f AS k, list(100 * ret) OVER f AS w FROM r WINDOW f AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
-    x1 AS (SELECT *, list_sum(w) / 60 AS mean FROM x WHERE k = 60), x2 AS (SELECT symbol, bar_ts, [(z - mean) * (z - mean) FOR z IN w] AS e FROM x1), x3 AS (SELECT *, list_sum(e) / 60 AS s2 FROM x2),
+_GARCH = _RET + f""", x AS (SELECT symbol, bar_ts, i, count(ret) OVER f AS k, list(100 * ret) OVER f AS w FROM r WINDOW f AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 239 PRECEDING AND CURRENT ROW)),
+    x1 AS (SELECT *, list_sum(w) / 240 AS mean FROM x WHERE k = 240), x2 AS (SELECT symbol, bar_ts, [(z - mean) * (z - mean) FOR z IN w] AS e FROM x1), x3 AS (SELECT *, list_sum(e) / 240 AS s2 FROM x2),
     grid(a, b) AS (VALUES {_GRID}),
     walk AS (SELECT symbol, bar_ts, a, b, s2, list_reduce(list_prepend({{'h': s2, 'll': CAST(0 AS DOUBLE), 'e': CAST(0 AS DOUBLE)}}, [{{'h': CAST(0 AS DOUBLE), 'll': CAST(0 AS DOUBLE), 'e': z}} FOR z IN e]),
         lambda s, x: {{'h': s2 * (1 - a - b) + a * x.e + b * s.h, 'll': s.ll - 0.5 * (ln(s.h) + x.e / s.h), 'e': CAST(0 AS DOUBLE)}}) AS f FROM x3, grid WHERE s2 > 0),
     best AS (SELECT symbol, bar_ts, arg_max(sqrt(f.h), [f.ll, -a, -b]) AS v FROM walk GROUP BY ALL), z AS (SELECT n.symbol, n.bar_ts, v FROM n LEFT JOIN best USING (symbol, bar_ts))"""
-_indicator("conditional_volatility", lambda b: indicators.conditional_volatility(indicators.log_return(b, "_r"), "_r", "conditional_volatility", 60), _ind_select(_GARCH, {"conditional_volatility": "v"}, "z"), every="1 hour")
+_indicator("conditional_volatility", lambda b: indicators.conditional_volatility(indicators.log_return(b, "_r"), "_r", "conditional_volatility"), _ind_select(_GARCH, {"conditional_volatility": "v"}, "z"), every="1 hour")
 
 
 @register(f"WITH {B15} SELECT symbol, {TS}, {_r('sin(2 * pi() * hour(bar_ts) / 24)', 'hour_sin')}, {_r('cos(2 * pi() * hour(bar_ts) / 24)', 'hour_cos')} FROM b")
@@ -309,6 +309,12 @@ def complete_rows(spark, sf):
     return align.completeness(bars(spark, sf).join(_hours(spark, sf), ["symbol", "bar_ts"], "left"), ["h1_close"], "close")
 
 
+@register(f"WITH {B15}, {_H1} SELECT symbol, {TS}, {_r('close', 'close')}, {_r('h1_close', 'h1_close')} FROM b JOIN h USING (symbol, bar_ts) WHERE h1_close IS NOT NULL AND close IS NOT NULL")
+def drop_incomplete(spark, sf):
+    b = bars(spark, sf).select("symbol", "bar_ts", "close").join(_hours(spark, sf), ["symbol", "bar_ts"], "left")
+    return shown(align.drop_incomplete(b, ["h1_close"], "close"))
+
+
 # -- labels and scaling
 
 
@@ -357,11 +363,43 @@ def apply_minmax(spark, sf):
     return shown(labels.apply_minmax(b, labels.fit_minmax(b, ["close", "volume"]), ["close", "volume"]))
 
 
-@register()
+def _part(every: str, sql: str) -> str:
+    return f"(WITH b AS ({_sql_bars(every)}), {NUM}{sql})"
+
+
+def _part_of(parts: str, exprs: dict[str, str], src: str) -> str:
+    return f"{parts} SELECT symbol, bar_ts, {', '.join(f'{e} AS {n}' for n, e in exprs.items())} FROM {src}"
+
+
+_RSI = {"RSI": "100 * u / nullif(u + v, 0)"}
+_PARTS = {
+    "r": _part("15 minutes", _part_of(_UPDOWN, _RSI, "ud")), "a": _part("15 minutes", _part_of(_TR, {"x": f"({_sql_ewm('tr', 5)}) / nullif(close, 0)", "stop": f"({_sql_ewm('tr', 14)})", "close": "close"}, "tr")),
+    "e": _part("15 minutes", _part_of(f", e AS (SELECT *, {_sql_ema('close', 10)} AS e FROM n)", {"x": "(close - e) / nullif(close, 0)", "slope": f"e - lag(e) {W}"}, "e")),
+    "v": _part("15 minutes", _part_of(f", f AS (SELECT *, {_sql_ema('volume', 12)} AS f, {_sql_ema('volume', 26)} AS s FROM n)", {"x": "100 * (f - s) / nullif(s, 0)"}, "f")),
+    "o": _part("15 minutes", _part_of(_DELTA, {"x": f"sum(coalesce(sign(d), 1) * volume) {W}"}, "d")),
+    "h1r": _part("1 hour", _part_of(_UPDOWN, _RSI, "ud")), "h1a": _part("1 hour", _part_of(_TR + _DM, {"x": _sql_ewm("dx", 14, 14)}, "dx")), "h1g": _part("1 hour", _part_of(_GARCH, {"x": "v"}, "z")),
+    "h4": _part("4 hours", _part_of(f", e AS (SELECT *, {_sql_ema('close', 21)} AS e FROM n)", {"x": "(close - e) / nullif(close, 0)"}, "e")),
+}
+_SEEN = "OVER (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_HOURLY = ("RSI_14_H1", "ADX_14_H1", "EMA_diff_21_H4pct", "garch_volatility")
+_DATASET = f"""WITH {B15}, h0 AS (SELECT h.symbol, h.bar_ts, h.RSI AS RSI_14_H1, a.x AS ADX_14_H1, q.x AS EMA_diff_21_H4pct, g.x AS garch_volatility FROM {_PARTS['h1r']} h JOIN {_PARTS['h1a']} a USING (symbol, bar_ts) JOIN {_PARTS['h1g']} g USING (symbol, bar_ts) LEFT JOIN {_PARTS['h4']} q USING (symbol, bar_ts)),
+    h1 AS (SELECT symbol, bar_ts, {', '.join(f'last_value({c} IGNORE NULLS) {_SEEN} AS {c}' for c in _HOURLY)} FROM h0),
+    w0 AS (SELECT b.symbol, b.bar_ts, {', '.join(_HOURLY)} FROM b LEFT JOIN h1 USING (symbol, bar_ts)),
+    w1 AS (SELECT symbol, bar_ts, {', '.join(f'coalesce(last_value({c} IGNORE NULLS) {_SEEN}, arg_min({c}, bar_ts) OVER (PARTITION BY symbol)) AS {c}' for c in _HOURLY)} FROM w0),
+    st AS (SELECT symbol, bar_ts, coalesce(stop, arg_min(stop, bar_ts) OVER (PARTITION BY symbol), 0.003) / close * 1.4 AS stop FROM {_PARTS['a']}), b1 AS (SELECT b.*, st.stop FROM b JOIN st USING (symbol, bar_ts)),
+    {_sql_label('stop').replace('FROM b)', 'FROM b1)')},
+    full0 AS (SELECT l.symbol, l.bar_ts, r.RSI AS RSI_14_M15, a.x AS ATR_5_pct_M15, e.x AS dist_from_ema_10_M15, e.slope AS ema10_slope_M15, v.x AS volume_oscillator_M15, o.x AS obv_M15, sin(2 * pi() * hour(l.bar_ts) / 24) AS hour_sin, cos(2 * pi() * hour(l.bar_ts) / 24) AS hour_cos,
+        RSI_14_H1, ADX_14_H1, EMA_diff_21_H4pct, r.RSI * CAST(hour(l.bar_ts) BETWEEN 13 AND 17 AS INTEGER) AS RSI_15_x_NYHours, garch_volatility, l.label AS target
+        FROM l JOIN {_PARTS['r']} r USING (symbol, bar_ts) JOIN {_PARTS['a']} a USING (symbol, bar_ts) JOIN {_PARTS['e']} e USING (symbol, bar_ts) JOIN {_PARTS['v']} v USING (symbol, bar_ts) JOIN {_PARTS['o']} o USING (symbol, bar_ts) JOIN w1 USING (symbol, bar_ts)),
+    full1 AS (SELECT * FROM full0 WHERE {' AND '.join(f'{c} IS NOT NULL' for c in dataset.FEATURES)})
+    SELECT symbol, {TS}, {', '.join(_r(f'coalesce(({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0), 0) * 2 - 1', c) for c in dataset.FEATURES)}, target FROM full1"""
+
+
+@register(_DATASET)
 def build_dataset(spark, sf):
-    """The whole chain with a volatility window of 60 hours, as there are few bars."""
+    """The whole chain with its default settings."""
     ticks = _table(spark, sf, "events").select(F.lit("ALL").alias("symbol"), F.col("ts").alias("bar_ts"), *[price().alias(c) for c in ("open", "high", "low", "close")], qty().alias("volume"))
-    out, _ = dataset.build_dataset(multi_timeframe(ticks, dataset.SIZES), dataset.Settings(volatility_window=60), must_exist=False)
+    out, _ = dataset.build_dataset(multi_timeframe(ticks, dataset.SIZES), must_exist=False)
     return shown(out)
 
 
@@ -374,10 +412,10 @@ def _samples(spark, sf, features=("close", "volume")):
     return samples.sliding_windows(labelled(spark, sf), list(features), "label")
 
 
-@register(f"WITH {B15}, {_sql_label()}, {_SAMPLE} SELECT symbol, {TS}, sample, target, len(w) AS window_length, {_r('w[1]', 'first_close')}, {_r('list_sum(w)', 'sum_close')} FROM q WHERE sample >= 0")
+@register(f"WITH {B15}, {_sql_label()}, {_SAMPLE} SELECT symbol, {TS}, sample, target, len(w) AS window_length, [round(x, 6) FOR x IN w] AS closes FROM q WHERE sample >= 0")
 def sliding_windows(spark, sf):
     closes = F.transform("window", lambda r: r[0])
-    return shown(_samples(spark, sf), "symbol", "bar_ts", "sample", "target", F.size("window").cast("long").alias("window_length"), F.element_at(closes, 1).alias("first_close"), F.aggregate(closes, F.lit(0.0), lambda a, x: a + x).alias("sum_close"))
+    return shown(_samples(spark, sf), "symbol", "bar_ts", "sample", "target", F.size("window").cast("long").alias("window_length"), F.transform(closes, lambda x: F.round(x, DIGITS)).alias("closes"))
 
 
 @register(f"""WITH {B15}, {_sql_label()}, {_SAMPLE}, k AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM q WHERE sample >= 0)
@@ -403,7 +441,7 @@ def trend_classifier(spark, sf):
     """Fitted on the training samples, scored on the test samples."""
     data = labels.apply_minmax(labelled(spark, sf), labels.fit_minmax(labelled(spark, sf), ["close", "volume"]), ["close", "volume"])
     split = samples.chrono_split(samples.sliding_windows(data, ["close", "volume"], "label"), index="sample")
-    model = samples.fit_trend_classifier(split.filter("split = 'train'"), max_iter=5)
+    model = samples.fit_trend_classifier(split.filter("split = 'train'"))
     scored = samples.score_windows(split.filter("split = 'test'"), model)
     return shown(scored, "symbol", "bar_ts", "target", argmax(F.col("probs")).alias("predicted"), confidence(F.col("probs")).alias("confidence"))
 
@@ -603,11 +641,10 @@ def risk_figures(spark, sf):
 
 @register(f"""{_LEDGER} SELECT symbol, count(*) AS total_trades, count(*) FILTER (net_pnl > 0) AS winning_trades, count(*) FILTER (net_pnl <= 0) AS losing_trades, round(100.0 * count(*) FILTER (net_pnl > 0) / count(*), 6) AS win_rate,
     round(avg(net_pnl) FILTER (net_pnl > 0) / 6000000.0, 6) AS avg_win, round(avg(net_pnl) FILTER (net_pnl <= 0) / 6000000.0, 6) AS avg_loss, round(max(net_pnl) / 6000000.0, 6) AS largest_win, round(min(net_pnl) / 6000000.0, 6) AS largest_loss,
-    round(abs(sum(net_pnl) FILTER (net_pnl > 0) / sum(net_pnl) FILTER (net_pnl <= 0)), 6) AS profit_factor, round((sum(net_pnl) - sum(entry_slippage)) / 6000000.0, 6) AS total_return FROM ledger GROUP BY symbol""")
+    round(abs(sum(net_pnl) FILTER (net_pnl > 0) / sum(net_pnl) FILTER (net_pnl <= 0)), 6) AS profit_factor, round(1 + (sum(net_pnl) - sum(entry_slippage)) / 6000000.0, 6) AS final_capital, round((sum(net_pnl) - sum(entry_slippage)) / 6000000.0, 6) AS total_return, round(100 * (sum(net_pnl) - sum(entry_slippage)) / 6000000.0, 6) AS total_return_pct FROM ledger GROUP BY symbol""")
 def trade_stats(spark, sf):
     s = portfolio.trade_stats(trades.run_trades(signalled(spark, sf), FREE, halt=False), FREE)
-    money = ("avg_win", "avg_loss", "largest_win", "largest_loss", "total_return")
-    return shown(_relative(s, *money).drop("final_capital", "total_return_pct"))
+    return shown(_relative(s, "avg_win", "avg_loss", "largest_win", "largest_loss", "final_capital", "total_return"))
 
 
 @register(f"{_LEDGER}, c AS (SELECT symbol, sum(entry_fee + exit_fee) AS fees, sum(funding) AS funding, sum(slippage + entry_slippage) AS slippage FROM ledger GROUP BY symbol) " + " UNION ALL ".join(f"SELECT symbol, '{k}' AS kind, round({e} / 6000000.0, 6) AS cost FROM c" for k, e in (("fees", "fees"), ("funding", "funding"), ("slippage", "slippage"), ("total", "(fees + funding + slippage)"))))
@@ -646,6 +683,31 @@ def dataset_round_trip(spark, sf):
     return shown(read_dataset(spark, f"{path}/parquet"))
 
 
+@register(f"WITH {B15} SELECT symbol, {TS}, round_even(close, 5) AS close, {_r('volume', 'volume')} FROM b")
+def dataset_csv_round_trip(spark, sf):
+    path, b = scratch_path(spark, "dataset"), bars(spark, sf).select("symbol", "bar_ts", "close", "volume")
+    write_dataset(b, path)
+    return shown(read_dataset_csv(spark, path, b.schema))
+
+
+@register(f"WITH {B15} SELECT symbol, {TS}, {_r('round(close, 6)', 'close')} FROM b")
+def ohlcv_from_csv_seconds(spark, sf):
+    path = scratch_path(spark, "csv")
+    b = bars(spark, sf).withColumn("timestamp", F.unix_seconds(F.col("bar_ts").cast("timestamp")))
+    b.select("timestamp", *[F.round(c, DIGITS).alias(c) for c in OHLCV]).write.option("header", True).csv(path)
+    return shown(read_ohlcv(spark, path), "symbol", "bar_ts", "close")
+
+
+@register(f"WITH {B15}, {TRUTH}, {COUNTS}, {PER_CLASS} SELECT CAST(class AS INTEGER) AS class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM c")
+def metrics_round_trip(spark, sf):
+    """Saved with the figures of an evaluation, and read again."""
+    path = scratch_path(spark, "metrics")
+    t = materialized(truth_and_probs(spark, sf), "truth")
+    matrix = metrics.confusion_matrix(t, metrics.CLASSES)
+    write_metrics({"scalars": metrics.accuracy(t), "classes": metrics.per_class(matrix), "matrix": matrix}, path)
+    return shown(read_metrics(spark, path, "classes"), F.col("class").cast("int").alias("class"), "precision", "recall", "f1", "support")
+
+
 @register(f"WITH {B15}, s AS ({_MINMAX}) SELECT feature, {_r('lo', 'min')}, {_r('hi', 'max')} FROM s")
 def scaler_round_trip(spark, sf):
     path = scratch_path(spark, "scaler")
@@ -699,10 +761,13 @@ def trade_costs(spark, sf):
     return shown(_relative(led, "total_fees"), "symbol", "entry_ts", "total_fees", "pnl_pct", "is_profitable")
 
 
-@register(f"{_LEDGER} SELECT row_number() OVER (PARTITION BY symbol ORDER BY entry_ts) AS number, symbol, {_ts('entry_ts')}, {_ts('exit_ts')}, CAST(side AS INTEGER) AS side, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price, 5.0::DOUBLE AS leverage, exit_reason, 1 AS holding_periods, 0 AS pyramid_level FROM ledger")
+_MONEY = {"pnl": "pnl", "entry_fee": "entry_fee", "exit_fee": "exit_fee", "funding": "funding", "slippage": "slippage", "entry_slippage": "entry_slippage", "total_fees": "(entry_fee + exit_fee + funding + slippage)", "net_pnl": "net_pnl", "capital_before": "before", "capital_after": "after"}
+
+
+@register(f"""{_LEDGER} SELECT row_number() OVER (PARTITION BY symbol ORDER BY entry_ts) AS number, symbol, {_ts('entry_ts')}, {_ts('exit_ts')}, CAST(side AS INTEGER) AS side, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price,
+    round(size / 6000000.0, 6) AS size, 5.0::DOUBLE AS leverage, round(100 * pnl / (size * entry_price), 6) AS pnl_pct, {', '.join(f'round({e} / 6000000.0, 6) AS {c}' for c, e in _MONEY.items())}, exit_reason, 1 AS holding_periods, 0 AS pyramid_level, net_pnl > 0 AS is_profitable, after < 10 / 0.95 AS ruined FROM ledger""")
 def trade_detail(spark, sf):
-    out = portfolio.trade_detail(trades.run_trades(signalled(spark, sf), FREE, halt=False))
-    return shown(out, "number", "symbol", "entry_ts", "exit_ts", "side", "entry_price", "exit_price", "leverage", "exit_reason", "holding_periods", "pyramid_level")
+    return shown(_relative(portfolio.trade_detail(trades.run_trades(signalled(spark, sf), FREE, halt=False)), *_MONEY, "size"))
 
 
 @register(f"{_LEDGER}{_EVENTS}{_HALT} SELECT symbol, {TS}, round(equity / 6000000.0, 6) AS equity FROM eq, br WHERE h IS NULL OR bar_ts <= h")

@@ -74,3 +74,13 @@ def write_metrics(tables: dict[str, DataFrame], path: str) -> None:
     """Each table (scalars, per-class, report, matrix) as JSON lines under its name."""
     for name, df in tables.items():
         df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def read_metrics(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One table of write_metrics()."""
+    return spark.read.json(f"{path}/{name}")
+
+
+def read_dataset_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The CSV side of write_dataset(), whose columns have the types of schema."""
+    return spark.read.option("header", True).schema(schema).csv(f"{path}/csv")

@@ -217,6 +217,128 @@ def test_trades_equal_a_sequential_loop(spark, flags):
         assert len(eq) == len(path) and np.allclose(eq, path, rtol=1e-9)
 
 
+def test_long_runs_take_time_in_proportion():
+    """One run of 400,000 bars, in batches and at once: the same trades, without a list of its bars."""
+    import time
+
+    n = 400_000
+    rows = np.random.default_rng(3)
+    close = 100 * np.exp(np.cumsum(rows.normal(0, 0.002, n)))
+    f = {"bar_ts": np.arange(n), "close": close, "high": close * 1.001, "low": close * 0.999, "atr": np.full(n, 0.8), "signal": np.full(n, 3), "go": np.ones(n, int)}
+    found = []
+    for size in (n, 10_000, 777):
+        state, begun = trades.RunTrades(trades.Rules()), time.process_time()
+        for a in range(0, n, size):
+            state.bars({c: v[a : a + size] for c, v in f.items()})
+        state.end()
+        assert time.process_time() - begun < 30
+        found.append(state.found)
+    assert found[0] == found[1] == found[2] and len(found[0]) > 1000
+
+
+def test_position_size(spark):
+    one = lambda c, p, k: spark.range(1).select(trades.position_size(F.lit(c), F.lit(p), level=k)).first()[0]
+    assert one(1000.0, 10.0, 0) == 95.0 and one(1000.0, 10.0, 2) == 142.5 and one(5.0, 10.0, 0) == 1.0
+
+
+def test_ruin_ends_the_account(spark):
+    at = lambda k: T0 + timedelta(hours=k)
+    rows = [("A", at(0), at(1), 1, 100.0, 101.0, "x"), ("A", at(1), at(2), 1, 100.0, 70.0, "x"), ("A", at(2), at(3), 1, 100.0, 150.0, "x")]
+    t = spark.createDataFrame(rows, "symbol string, entry_ts timestamp_ntz, exit_ts timestamp_ntz, side int, entry_price double, exit_price double, exit_reason string")
+    got = trades.capital_path(t).orderBy("entry_ts").collect()
+    assert [r["ruined"] for r in got] == [False, True] and got[1]["capital_after"] < 0
+
+
+def test_nulls_inside_a_smoothed_series(spark):
+    """As pandas means with nulls: no weight for a null, while the others' weights go on decaying."""
+    r = np.random.default_rng(5)
+    rows = [("A", T0 + timedelta(minutes=i), None if i % 7 == 5 and i > 10 else float(r.normal())) for i in range(300)]
+    df = spark.createDataFrame(rows, "symbol string, bar_ts timestamp_ntz, x double")
+    got = pdf(indicators.ema(indicators.wilder(scan.indexed(df), "x", 9, "w"), "x", 9, "e"), "w", "e", "x")["A"]
+    want = got["x"].ewm(alpha=1 / 9, adjust=True).mean().where(got["x"].notna() & (got.index >= 8))
+    assert np.allclose(got["w"], want, rtol=1e-11, equal_nan=True)
+    num, den, d = 0.0, 0.0, 1 - 2 / 10
+    for i, x in enumerate(got["x"]):  # the seed weighs 1, later values 2 / 10
+        v, w = (got["x"][:9].mean(), 1.0) if i == 8 else (x, 0.2 * (i > 8 and not np.isnan(x)))
+        num, den = num * d + (v * w if w else 0.0), den * d + w
+        assert np.isnan(got["e"][i]) if i < 8 or np.isnan(x) else abs(got["e"][i] - num / den) < 1e-11
+
+
+def test_ranges_of_scores_do_not_change_curves(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    y = r.integers(0, 2, 500)
+    df = spark.createDataFrame([(int(a), [float(v), float(1 - v)]) for a, v in zip(y, np.round(r.random(500) * 0.8 + 0.2 * (y == 0), 2), strict=True)], "y int, probs array<double>")
+    out = []
+    for n in (256, 7, 1):
+        monkeypatch.setattr(metrics, "RANGES", n + 1)
+        curves = [sorted(map(tuple, metrics.roc_curve(df, (0, 1), k).collect()), key=lambda x: (x[0], -x[1])) for k in (False, True)]
+        areas = [{x["class"]: round(x["auc"], 12) for x in metrics.trapezoid_auc(metrics.roc_curve(df, (0, 1), k)).collect()} for k in (False, True)]
+        assert areas[0] == areas[1] and round(metrics.roc_auc_ovr(df, (0, 1)).first()[0], 12) == round(sum(areas[0].values()) / 2, 12)
+        out.append((curves, areas))
+    assert out[0] == out[1] == out[2] and len(out[0][0][1]) < len(out[0][0][0])
+    plan = metrics.roc_auc_ovr(df, (0, 1))._jdf.queryExecution().toString()
+    assert "windowspecdefinition(class#" not in plan or "_b#" in plan
+
+
+def test_absent_classes_of_pairs(spark):
+    df = spark.createDataFrame([(0, [0.6, 0.3, 0.1]), (1, [0.2, 0.7, 0.1])], "y int, probs array<double>")
+    assert metrics.roc_auc_ovo(df, range(3)).first()[0] == 0.0 and metrics.roc_auc_ovo(df, range(2)).first()[0] == 1.0
+
+
+def test_metrics_and_data_sets_on_disk(spark, tmp_path):
+    report = spark.createDataFrame([("0", 0.5, 3), ("macro avg", 0.25, 4)], "name string, f1 double, support long")
+    tables.write_metrics({"scalars": spark.createDataFrame([(0.5,)], "accuracy double"), "report": report}, f"file://{tmp_path}/m")
+    assert tables.read_metrics(spark, f"file://{tmp_path}/m", "scalars").first()["accuracy"] == 0.5
+    assert sorted(map(tuple, tables.read_metrics(spark, f"file://{tmp_path}/m", "report").select("name", "f1", "support").collect())) == [("0", 0.5, 3), ("macro avg", 0.25, 4)]
+    df = spark.createDataFrame([("A", T0, 0.1234567, 2), ("B", T0, None, None)], "symbol string, bar_ts timestamp_ntz, x double, target int")
+    tables.write_dataset(df, f"file://{tmp_path}/d")
+    want = sorted(map(tuple, tables.rounded(df).collect()))
+    assert sorted(map(tuple, tables.read_dataset_csv(spark, f"file://{tmp_path}/d", df.schema).collect())) == want
+    (tmp_path / "s.csv").write_text("timestamp,open,high,low,close,volume\n1704067200,1,2,0.5,1.5,10\n1704067260.5,1,2,0.5,1.5,10\n")
+    assert [r["bar_ts"] for r in tables.read_ohlcv(spark, f"file://{tmp_path}/s.csv").orderBy("bar_ts").collect()] == [T0, T0 + timedelta(seconds=60.5)]
+
+
+def test_incomplete_rows_go(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 1), (None, 2.0, 1), (1.0, None, 1), (1.0, 2.0, None), (3.0, 4.0, 0)], "a double, b double, y int")
+    assert sorted(map(tuple, align.drop_incomplete(df, ["a", "b"], "y").collect())) == [(1.0, 2.0, 1), (3.0, 4.0, 0)]
+    assert tuple(align.completeness(df, ["a", "b"], "y").first()) == (5, 2)
+    with pytest.raises(ValueError):
+        align.drop_incomplete(df.filter("a is null"), ["a", "b"], "y")
+
+
+def test_classifier_on_separable_data(spark):
+    """Five classes told apart by the last row of the window; a model of one's own goes through the same door."""
+    r = np.random.default_rng(7)
+    rows = []
+    for i in range(600):
+        y = int(r.integers(0, 5))
+        rows.append(("A", T0 + timedelta(minutes=i), [float(v) for v in np.eye(5)[y] * 3 + r.normal(0, 0.1, 5)], y))
+    df = spark.createDataFrame(rows, "symbol string, bar_ts timestamp_ntz, f array<double>, y int").select("symbol", "bar_ts", "y", *[F.col("f")[k].alias(f"f{k}") for k in range(5)])
+    s = samples.sliding_windows(df, [f"f{k}" for k in range(5)], "y", 3)
+    split = samples.chrono_split(s, index="sample")
+    model = samples.fit_trend_classifier(split.filter("split = 'train'"))
+    got = samples.score_windows(split.filter("split = 'test'"), model).select("target", "probs").collect()
+    assert len(got) > 80 and all(abs(sum(x["probs"]) - 1) < 1e-9 for x in got) and np.mean([np.argmax(x["probs"]) == x["target"] for x in got]) > 0.98
+    own = samples.score_with(split.filter("split = 'test'"), lambda x: np.exp(x[:, -1]) / np.exp(x[:, -1]).sum(1, keepdims=True)).collect()
+    assert len(own) == len(got) and all(np.argmax(x["probs"]) == x["target"] for x in own) and len(own[0]["window"]) == 3
+
+
+def test_signals_need_their_bars(spark, bars):
+    some = bars.select("symbol", "bar_ts", F.lit(1).alias("signal")).limit(3)
+    assert samples.signals_to_bars(bars, some).count() == 3
+    with pytest.raises(ValueError):
+        samples.signals_to_bars(bars, some.withColumn("bar_ts", F.col("bar_ts") + F.expr("INTERVAL 1 SECOND")))
+    with pytest.raises(ValueError):
+        samples.sliding_windows(bars.limit(10).withColumn("y", F.lit(1)), ["close"], "y", 64)
+
+
+def test_block_length_follows_the_densest_hour(spark):
+    rows = [("A", T0 + timedelta(seconds=i)) for i in range(3600)] + [("A", T0 + timedelta(days=9 + i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "symbol string, bar_ts timestamp_ntz")
+    assert scan.block_seconds(df, 60) == 60 and scan.block_seconds(df.filter("bar_ts > '2024-01-05'")) == scan.BLOCK_SECONDS
+    assert scan.indexed(df, block=60).agg(F.max("_i"), F.countDistinct("_i")).first() == (3604, 3605)
+
+
 def test_trades_need_an_exit_rule(spark):
     with pytest.raises(ValueError):
         trades.position_runs(spark.createDataFrame([], SCHEMA + ", signal int"), trades.Rules(on_neutral=False, on_reversal=False))
