@@ -216,3 +216,40 @@ def test_wrappers_are_merged_in_rounds(spark, monkeypatch):
     got = texts_of(spark, rows)
     assert sizes[0] == 63 and sizes[1] < 30 and len(sizes) >= 3 and sizes[-1] <= 4
     assert sum(got[i] == want[i - 1] for i in range(1, 64)) >= 58
+
+
+def site(r, name, marked):
+    """Pages of one host by a random template, and the texts they must give."""
+    word = lambda: "".join(r.choices("abcdeéfgh", k=r.randint(2, 8)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    classes = [word() + "x" for _ in range(4)]
+    menu = "".join(f"<li><a href=/{k}>{say(2)}</a></li>" for k in range(r.randint(3, 8)))
+    slogan, legal, side = say(4), say(9), say(3)
+    main = "<article>%s</article>" if marked else f"<div class={classes[0]}>%s</div>"
+    pages, want = [], []
+    for k in range(r.randint(12, 20)):
+        blocks, parts = [], []
+        for _ in range(r.randint(2, 9)):
+            text = say(r.randint(8, 40))
+            kind = r.choice(["<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<blockquote><p>{}</p></blockquote>", "<ul><li>{}</li></ul>", "<p>{} <b>&lt;{}&gt;</b> &amp; more</p>"])
+            parts.append(kind.format(text, "t"))
+            blocks.append(f"{text} <t> & more" if "&lt;" in kind else text)
+        title = say(5)
+        top = f"<nav><ul>{menu}</ul></nav>" if marked else f"<div class={classes[1]}><ul>{menu}</ul></div>"
+        box = f"<div class={classes[2]}><h4>{side}</h4></div>" * r.randint(0, 1)
+        page = f"<html><head><title>{title}</title><style>p{{}}</style></head><body><div class={classes[3]}>{slogan}</div>{top}{main % (f'<h1>{title}</h1>' + ''.join(parts))}{box}<script>x('<p>no')</script><p>{legal}</p><!-- {say(3)} --></body></html>"
+        pages.append((f"http://{name}.example/{k}", page))
+        want.append("\n".join([title, *blocks]))
+    return pages, want
+
+
+def test_random_sites(spark):
+    r = random.Random(21)
+    rows, want = [], {}
+    for h in range(10):
+        pages, texts = site(r, f"h{h}", h % 2 == 0)
+        for p, t in zip(pages, texts, strict=True):
+            want[len(rows)] = t
+            rows.append((len(rows), *p))
+    got = texts_of(spark, rows)
+    assert sum(got[i] != want[i] for i in want) <= 0.01 * len(want)

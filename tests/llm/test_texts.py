@@ -129,6 +129,80 @@ def test_chunks(docs, rows):
     assert b"".join(sorted(cut(a), key=a.index)) == a
 
 
+def plain_chunks(data):
+    """Chunks by a loop over the bytes."""
+    gear, h, hashes = [int(x) for x in substrings.GEAR], 0, []
+    for i, c in enumerate(data):
+        h = (2 * h + gear[c]) % (1 << 32)
+        hashes.append(h if i >= substrings.GEAR_BYTES - 1 else 0)
+    out, at, n = [], 0, substrings.REACH
+    for i, h in enumerate(hashes):
+        if i + 1 == len(data) or h > max(hashes[max(0, i - n) : i], default=0) and h >= max(hashes[i + 1 : i + 1 + n], default=0):
+            while i + 1 - at > substrings.MOST_CHUNK:
+                out.append(data[at : at + substrings.MOST_CHUNK])
+                at += substrings.MOST_CHUNK
+            out.append(data[at : i + 1])
+            at = i + 1
+    return out
+
+
+def brute_chunks(rows):
+    seen, texts = {}, {}
+    for d, t, *_ in sorted(rows, key=lambda x: x[0]):
+        texts.setdefault((t or "").encode(), d)
+        for c in plain_chunks((t or "").encode()):
+            seen.setdefault(c, d)
+    out = []
+    for d, t, *_ in rows:
+        b = (t or "").encode()
+        if b and texts[b] < d:
+            out.append((d, len(b), len(b), 1, hashlib.sha256(b"").hexdigest()))
+            continue
+        runs, kept = [], b""
+        for c in plain_chunks(b):
+            again = seen[c] < d
+            if not runs or runs[-1][0] != again:
+                runs.append([again, b""])
+            runs[-1][1] += c
+        gone = [x for again, x in runs if again and len(x) >= 50]
+        kept = b"".join(x for again, x in runs if not again or len(x) < 50)
+        out.append((d, len(b), sum(map(len, gone)), len(gone), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def test_chunk_dedup_against_a_plain_chunker(spark, docs, rows, monkeypatch):
+    cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    want = brute_chunks(rows)
+    assert sum(x[2] > 0 for x in want) > 60
+    assert sorted(tuple(x) for x in substrings.chunk_dedup(docs).select(cols).collect()) == want
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 4000)  # in many blocks
+    assert sorted(tuple(x) for x in substrings.chunk_dedup(docs).select(cols).collect()) == want
+
+
+def test_repeated_rows_are_spread_over_blocks(spark, monkeypatch):
+    """A third of the rows are one row: they stand in many blocks and are all cut alike."""
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 2000)
+    r = random.Random(12)
+    text = words(r, 60)
+    rows = [(None, text, "en", "k", 1)] * 40 + [(3, text + " " + words(r, 20), "en", "k", 1)] * 40 + [(10 + i, words(r, 60), "en", "k", 1) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    blocks, _ = substrings.blocks_of(df, "test")
+    assert max(len(x["ids"]) for x in blocks.select("ids").collect()) < 15
+    got = substrings.suffix_dedup(df).collect()
+    assert {x["n_removed"] for x in got if x["doc_id"] is None} == {0} and {x["n_removed"] for x in got if x["doc_id"] == 3} == {len(text.encode())} and len(got) == len(rows)
+
+
+def test_columns_that_clash(spark):
+    rows = [(1, words(random.Random(1), 60), 1, "a", 2), (2, words(random.Random(1), 60), None, None, 3), (3, None, 4, "b", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __text_is_null int, `is null` string, __kept_id long").withColumnRenamed("is null", "c0")
+    got = {r["doc_id"]: r for r in substrings.without_repeats(df).collect()}
+    assert got[1].asDict() == df.filter("doc_id = 1").first().asDict() and got[2]["text"] == "" and got[3]["text"] is None and got[3]["c0"] == "b"
+    kept = jaccard.without_near_copies(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    more = df.withColumns({"key": df["doc_id"], "band": df["c0"], "block": df["c0"], "words": df["c0"], "t": df["c0"]})
+    assert substrings.chunk_dedup(more).count() == substrings.suffix_dedup(more).count() == jaccard.jaccard_join(more).count() == 3
+
+
 @pytest.mark.parametrize("op", [substrings.suffix_dedup, substrings.chunk_dedup, jaccard.jaccard_join, fingerprints.edited_fingerprints, substrings.without_repeats, jaccard.without_near_copies])
 def test_empty_tables(spark, op):
     assert op(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -1,9 +1,6 @@
-"""The pivot index against brute force, and the pipeline on a small corpus."""
-
-import random
+"""The pivot index against brute force."""
 
 import numpy as np
-import pytest
 
 from candela.llm import embeddings
 
@@ -85,23 +82,3 @@ def test_shared_pivots_by_either_way(monkeypatch):
     assert want and embeddings.owned(pa, pb, i, j, 7, 2).tolist() == want
     monkeypatch.setattr(embeddings, "DIRECT", 10)
     assert embeddings.owned(pa, pb, i, j, 7, 2).tolist() == want
-
-
-def test_pipeline(spark, tmp_path):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    r = random.Random(7)
-    text = lambda n: " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(n))
-    docs = [(i, text(80), "en", "s", 1) for i in range(60)]
-    docs += [(100 + i, docs[i][1] + " changed", "en", "s", 1) for i in range(10)]
-    passage = text(60)
-    docs += [(200 + i, f"{text(60)} {passage} {text(60)}", "en", "s", 1) for i in range(5)]
-    docs += [(300 + i, text(30) + " idiot moron scum", "en", "s", 1) for i in range(10)] + [(400, None, None, None, None)]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
-    spark.createDataFrame([(d, 1, int(300 <= d < 400)) for d, *_ in docs], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "suffix_array_dedup", "packing"]
-    got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
-    ids = {x["doc_id"] for x in got}
-    assert ids == {*range(60), *range(200, 205), 400}
-    now = spark.read.parquet(f"file://{tmp_path}/documents.parquet").filter("doc_id between 200 and 204")
-    cut = {x["doc_id"]: x["text"] for x in corpus_pipeline.cut_repeats(spark, now, "").collect()}
-    assert passage[20:-20] in cut[200] and all(passage[20:-20] not in cut[d] for d in range(201, 205))
