@@ -1,6 +1,11 @@
 """A corpus from raw documents to packed sequences, in four stages.
 
 Each stage takes all that its predecessor kept, written as Parquet in the shared folder and read again.
+
+In every stage null texts count as empty ones: they are not toxic, copies of nothing, and packed as one piece of one token. So are
+texts without words in the second stage. Rows without a doc_id are kept throughout; repeated rows are treated alike, and of near copies
+those with the smallest doc_id stay. Texts of any length are taken whole. An empty table gives no rows. Other columns,
+whatever their names, come along unchanged up to the last stage, but for n_chars, which is counted anew where a text was cut.
 """
 
 from __future__ import annotations
@@ -39,6 +44,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the last stage, from the documents and labels of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
