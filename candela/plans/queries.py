@@ -639,12 +639,16 @@ def risk_figures(spark, sf):
     return shown(portfolio.max_drawdown(curve).join(portfolio.sharpe(curve), "symbol"))
 
 
-@register(f"""{_LEDGER} SELECT symbol, count(*) AS total_trades, count(*) FILTER (net_pnl > 0) AS winning_trades, count(*) FILTER (net_pnl <= 0) AS losing_trades, round(100.0 * count(*) FILTER (net_pnl > 0) / count(*), 6) AS win_rate,
+_STATS = """count(*) AS total_trades, count(*) FILTER (net_pnl > 0) AS winning_trades, count(*) FILTER (net_pnl <= 0) AS losing_trades, round(100.0 * count(*) FILTER (net_pnl > 0) / count(*), 6) AS win_rate,
     round(avg(net_pnl) FILTER (net_pnl > 0) / 6000000.0, 6) AS avg_win, round(avg(net_pnl) FILTER (net_pnl <= 0) / 6000000.0, 6) AS avg_loss, round(max(net_pnl) / 6000000.0, 6) AS largest_win, round(min(net_pnl) / 6000000.0, 6) AS largest_loss,
-    round(abs(sum(net_pnl) FILTER (net_pnl > 0) / sum(net_pnl) FILTER (net_pnl <= 0)), 6) AS profit_factor, round(1 + (sum(net_pnl) - sum(entry_slippage)) / 6000000.0, 6) AS final_capital, round((sum(net_pnl) - sum(entry_slippage)) / 6000000.0, 6) AS total_return, round(100 * (sum(net_pnl) - sum(entry_slippage)) / 6000000.0, 6) AS total_return_pct FROM ledger GROUP BY symbol""")
+    round(abs(sum(net_pnl) FILTER (net_pnl > 0) / sum(net_pnl) FILTER (net_pnl <= 0)), 6) AS profit_factor, round(1 + (sum(net_pnl) - sum(entry_slippage)) / 6000000.0, 6) AS final_capital, round((sum(net_pnl) - sum(entry_slippage)) / 6000000.0, 6) AS total_return, round(100 * (sum(net_pnl) - sum(entry_slippage)) / 6000000.0, 6) AS total_return_pct"""
+_STATS_MONEY = ("avg_win", "avg_loss", "largest_win", "largest_loss", "final_capital", "total_return")
+
+
+@register(f"{_LEDGER} SELECT symbol, {_STATS} FROM ledger GROUP BY symbol")
 def trade_stats(spark, sf):
     s = portfolio.trade_stats(trades.run_trades(signalled(spark, sf), FREE, halt=False), FREE)
-    return shown(_relative(s, "avg_win", "avg_loss", "largest_win", "largest_loss", "final_capital", "total_return"))
+    return shown(_relative(s, *_STATS_MONEY))
 
 
 @register(f"{_LEDGER}, c AS (SELECT symbol, sum(entry_fee + exit_fee) AS fees, sum(funding) AS funding, sum(slippage + entry_slippage) AS slippage FROM ledger GROUP BY symbol) " + " UNION ALL ".join(f"SELECT symbol, '{k}' AS kind, round({e} / 6000000.0, 6) AS cost FROM c" for k, e in (("fees", "fees"), ("funding", "funding"), ("slippage", "slippage"), ("total", "(fees + funding + slippage)"))))
@@ -777,13 +781,13 @@ def equity_curve_halted(spark, sf):
 
 
 @register(f"""{_LEDGER}{_EVENTS}, d AS (SELECT symbol, 100 * (max(equity) OVER (PARTITION BY symbol ORDER BY bar_ts) - equity) / max(equity) OVER (PARTITION BY symbol ORDER BY bar_ts) AS dd, equity / lag(equity) OVER (PARTITION BY symbol ORDER BY bar_ts) - 1 AS r FROM eq),
-    a AS (SELECT symbol, max(dd) AS dd, avg(r) / stddev_pop(r) * sqrt(252) AS sharpe FROM d GROUP BY symbol), b1 AS (SELECT symbol, 100.0 * count(*) FILTER (net_pnl > 0) / count(*) AS win, abs(sum(net_pnl) FILTER (net_pnl > 0) / sum(net_pnl) FILTER (net_pnl <= 0)) AS pf FROM ledger GROUP BY symbol)
-    SELECT symbol, CASE WHEN win >= 50 THEN 'good' WHEN win >= 40 THEN 'fair' ELSE 'poor' END AS win_rate_rating, CASE WHEN pf > 1.5 THEN 'good' WHEN pf > 1 THEN 'fair' ELSE 'poor' END AS profit_factor_rating,
+    a AS (SELECT symbol, max(dd) AS dd, avg(r) / stddev_pop(r) * sqrt(252) AS sharpe FROM d GROUP BY symbol), b1 AS (SELECT symbol, {_STATS} FROM ledger GROUP BY symbol)
+    SELECT b1.*, round(dd, 6) AS max_drawdown, round(sharpe, 6) AS sharpe, CASE WHEN win_rate >= 50 THEN 'good' WHEN win_rate >= 40 THEN 'fair' ELSE 'poor' END AS win_rate_rating, CASE WHEN profit_factor > 1.5 THEN 'good' WHEN profit_factor > 1 THEN 'fair' ELSE 'poor' END AS profit_factor_rating,
     CASE WHEN sharpe > 1 THEN 'good' WHEN sharpe > 0 THEN 'fair' ELSE 'poor' END AS sharpe_rating, CASE WHEN dd < 10 THEN 'good' WHEN dd < 20 THEN 'fair' ELSE 'poor' END AS max_drawdown_rating FROM a JOIN b1 USING (symbol)""")
 def rating_bands(spark, sf):
+    """All figures of an account that is never halted."""
     b = signalled(spark, sf)
-    out = portfolio.account_metrics(b, trades.run_trades(b, FREE, halt=False), FREE, halt=False)
-    return out.select("symbol", *[f"{c}_rating" for c in ("win_rate", "profit_factor", "sharpe", "max_drawdown")])
+    return shown(_relative(portfolio.account_metrics(b, trades.run_trades(b, FREE, halt=False), FREE, halt=False), *_STATS_MONEY))
 
 
 def queries() -> dict[str, Query]:
