@@ -79,16 +79,23 @@ MOST_HOT = 4096  # a key that holds more than this part of a table's rows is hot
 LEAST_HOT = 16  # rows
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+def most_rows(rows: int) -> int:
+    """How many of so many rows a key may have that is not hot."""
+    return max(LEAST_HOT, rows // MOST_HOT)
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None = None) -> DataFrame:
     """left with the columns of right, whose rows are unique by `on`; null where it has none, or the key is null.
 
     Rows of left with a hot key stay where they are and get their row of right, at most MOST_HOT in all, by a broadcast; so no task
-    gathers the rows of a frequent key. The other rows are shuffled, or what Spark prefers. left is read several times: a stored table."""
+    gathers the rows of a frequent key. The other rows are shuffled, or what Spark prefers. left is read several times: a stored table. hot are the keys
+with more than most_rows() of them, where the caller knows them already."""
     known = F.lit(True)
     for c in on:
         known = known & F.col(c).isNotNull()
-    most = max(LEAST_HOT, left.count() // MOST_HOT)
-    hot = stored(left.filter(known).groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most).select(*on), "join-hot")
+    if hot is None:
+        counts = left.filter(known).groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+        hot = stored(counts.filter(F.col("__n") > most_rows(left.count())).select(*on), "join-hot")
     few = right.join(F.broadcast(hot), on, "left_semi")
     frequent = left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(few), on, "left")
     others = left.filter(known).join(F.broadcast(hot), on, "left_anti").join(right, on, "left")

@@ -105,9 +105,9 @@ def in_order(docs: DataFrame) -> DataFrame:
     buckets = min(MOST_BUCKETS, n_blocks(size or 0, BUCKET_BYTES))
     edges: list[Key] = []
     if buckets > 1:
-        share = min(1.0, 2 * SAMPLED * buckets / n)
+        share = min(1.0, SAMPLED * buckets / n)
         picked = F.pmod(F.xxhash64(F.lit(3), *key), F.lit(1 << 30)) < int(share * (1 << 30))
-        sample = sorted(tuple(r) for r in rows.filter(picked).select(*key).collect())  # about 2 * SAMPLED * MOST_BUCKETS keys at most
+        sample = sorted(tuple(r) for r in rows.filter(picked).select(*key).collect())  # about SAMPLED * MOST_BUCKETS keys at most
         edges = sorted({sample[i * len(sample) // buckets] for i in range(1, buckets)}) if sample else []
 
     def keys_of(k0, k1, k2, k3) -> Iterator[Key]:

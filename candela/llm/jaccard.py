@@ -6,8 +6,8 @@ probability that its Jaccard similarity reaches the threshold is below TOLERANCE
 group the candidate pairs, those that share a band and are not dropped, are verified exactly on their word n-grams; what leaves it are counts
 of links and paths through what they connect, so no pair is ever a row.
 
-Large buckets and groups are cut into chunks. Of two chunks of a group those members meet that have a candidate pair there, which the
-buckets tell; so in a long chain of texts neighbours meet, not all with all.
+Large buckets and groups are cut into chunks, every two of which meet. In a large group with few candidate pairs only those members come to two
+chunks that have such a pair there, which the buckets tell; so in a long chain of texts neighbours meet, not all with all.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import WHITE_SPACE
-from .common import PrefixHash, batches, id_text, ids_of, mix64, n_blocks, ranges, spread_join, stored, text_or_empty
+from .common import PrefixHash, batches, id_text, ids_of, mix64, most_rows, n_blocks, ranges, spread_join, stored, text_or_empty
 from .graph import components, paths
 
 NGRAM, THRESHOLD = 5, 0.8
@@ -127,7 +127,7 @@ def digest(words: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, key, words (digest of the words; null without any), sig, by row of docs."""
+    """doc_id, hash (of the text), words (digest of the words; null without any), sig, by row of docs."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -138,9 +138,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 stop = np.cumsum(count)
                 for k, (z, n) in enumerate(zip(stop, count, strict=True)):
                     parts.append((digest(words[z - n : z]) if n else None, sig[k].tobytes() if n else None))
-            yield pd.DataFrame({"doc_id": ids_of(f["doc_id"]), "words": [p[0] for p in parts], "sig": [p[1] for p in parts]})
+            yield pd.DataFrame({"doc_id": ids_of(f["doc_id"]), "hash": f["hash"], "words": [p[0] for p in parts], "sig": [p[1] for p in parts]})
 
-    return docs.select(id_text("doc_id"), text_or_empty().alias("t")).mapInPandas(run, "doc_id long, words binary, sig binary")
+    text = text_or_empty()
+    return docs.select(id_text("doc_id"), F.xxhash64(text).alias("hash"), text.alias("t")).mapInPandas(run, "doc_id long, hash long, words binary, sig binary")
 
 
 def band_values(sig: np.ndarray) -> np.ndarray:
@@ -168,11 +169,12 @@ def buckets(reps: DataFrame) -> DataFrame:
             yield pd.DataFrame({"band": h.view(np.int64).ravel(), "key": np.repeat(f["key"].to_numpy(), BANDS)})
 
     every = stored(reps.mapInPandas(bands, "band long, key binary"), "jaccard-bands")
-    mixed = [F.sum(F.xxhash64(F.lit(k), "key").cast("decimal(38,0)")).alias(f"members{k}") for k in (1, 2)]
-    several = every.groupBy("band").agg(F.count(F.lit(1)).alias("m"), *mixed).filter("m > 1")
+    mixed = [F.bit_xor(F.xxhash64(F.lit(k), "key")).alias(f"members{k}") for k in (1, 2)]
+    counted = stored(every.groupBy("band").agg(F.count(F.lit(1)).alias("m"), *mixed).filter("m > 1"), "jaccard-counted")
+    hot = counted.filter(F.col("m") > most_rows(every.count())).select("band")
     # Buckets with the same members tell the same: one of them stands for all.
-    several = stored(several.groupBy("m", "members1", "members2").agg(F.min("band").alias("band")).select("band", "m"), "jaccard-several")
-    return stored(spread_join(every, several, ["band"]).filter("m is not null").select("band", "m", "key"), "jaccard-buckets", every)
+    several = counted.groupBy("m", "members1", "members2").agg(F.min("band").alias("band")).select("band", "m")
+    return stored(spread_join(every, several, ["band"], hot).filter("m is not null").select("band", "m", "key"), "jaccard-buckets", every)
 
 
 def survivors(met: DataFrame, threshold: float, tell, schema: str) -> DataFrame:
@@ -196,9 +198,11 @@ def survivors(met: DataFrame, threshold: float, tell, schema: str) -> DataFrame:
 
 
 def connecting(f: pd.DataFrame, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    """Edges (u, v), and for one member u the number n of pairs."""
     key = f["key"].to_numpy()
     u, v = paths(len(at), i.tolist(), j.tolist(), f["chunk"].to_numpy()[at].tolist())
-    return pd.DataFrame({"u": key[at[u]], "v": key[at[v]]})
+    one = [key[at[i[0]]]] if len(i) else []
+    return pd.DataFrame({"u": [*key[at[u]], *one], "v": [*key[at[v]], *[None for _ in one]], "n": [*[0] * len(u), *[len(i) for _ in one]]})
 
 
 def meeting(f: pd.DataFrame, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
@@ -211,21 +215,25 @@ def meeting(f: pd.DataFrame, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd
 
 
 def candidate_members(reps: DataFrame, threshold: float) -> DataFrame:
-    """component, ca, cb, chunk, key: the members of small groups, and of every two chunks of a large one those members that have a
-    candidate pair there."""
+    """component, ca, cb, chunk, key: the members of groups for every two chunks, but in a large group with few candidate pairs only those members
+    that have such a pair in these chunks."""
     members = buckets(reps)
     groups = n_blocks(members.count() * VALUES * 5, GROUP_BYTES)
-    met = meet_in_chunks(members, "band", "m", "key", groups).join(reps.select("key", "sig"), "key")
-    found = stored(components(survivors(met, threshold, connecting, "u binary, v binary").distinct()), "jaccard-components")
-    sizes = stored(found.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "jaccard-sizes")
-    of_group = stored(spread_join(found, sizes, ["component"]).select(F.col("node").alias("key"), "component", "size"), "jaccard-groups", found)
-    zero = F.lit(0)
-    small = of_group.filter(F.col("size") <= CHUNK).select("component", zero.alias("ca"), zero.alias("cb"), zero.alias("chunk"), "key")
-    part = F.pmod(F.xxhash64(F.lit(7), "key"), F.ceil(F.col("size") / CHUNK)).cast("int")
-    large = of_group.filter(F.col("size") > CHUNK).select("key", "component", part.alias("part"))
-    again = met.join(large, "key")
+    met = meet_in_chunks(members, "band", "m", "key", groups, CHUNK).join(reps.select("key", "sig"), "key")
+    pairs = stored(survivors(met, threshold, connecting, "u binary, v binary, n long"), "jaccard-pairs")
+    found = stored(components(pairs.filter("v is not null").select("u", "v")), "jaccard-components")
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    counted = pairs.filter("v is null").select(F.col("u").alias("node"), "n").join(found, "node").groupBy("component").agg(F.sum("n").alias("pairs"))
+    # Sparse are those in which fewer members come to their pairs than would come to all meetings of two chunks.
+    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    sizes = stored(sizes.join(counted, "component").select("component", "size", (2 * F.col("pairs") < F.col("size") * chunks).alias("sparse")), "jaccard-sizes")
+    of_group = stored(spread_join(found, sizes, ["component"]).select(F.col("node").alias("key"), "component", "size", "sparse"), "jaccard-groups", found)
+    dense = meet_in_chunks(of_group.filter((F.col("size") <= CHUNK) | ~F.col("sparse")), "component", "size", "key", 1, CHUNK).select("component", "ca", "cb", "chunk", "key")
+    part = F.pmod(F.xxhash64(F.lit(7), "key"), chunks).cast("int")
+    sparse = of_group.filter((F.col("size") > CHUNK) & F.col("sparse")).select("key", "component", part.alias("part"))
+    again = meet_in_chunks(members.join(sparse, "key"), "band", "m", "key", groups, CHUNK).join(reps.select("key", "sig"), "key")
     told = survivors(again, threshold, meeting, "component binary, ca int, cb int, chunk int, key binary").distinct()
-    return small.unionByName(told)
+    return dense.unionByName(told)
 
 
 def overlap(sets: list[np.ndarray]) -> np.ndarray:
@@ -265,12 +273,12 @@ def verified(members: DataFrame, classes: DataFrame, docs: DataFrame, threshold:
                 h, count, words, n_words = shingles(texts[lo:hi])
                 sets += [np.unique(h[z - n : z]).tobytes() for z, n in zip(np.cumsum(count), count, strict=True)]
                 same += [digest(words[z - n : z]) for z, n in zip(np.cumsum(n_words), n_words, strict=True)]
-            ok = np.array([a == bytes(b) for a, b in zip(same, f["key"], strict=True)], bool)  # rows may share a doc_id
+            ok = np.array([a == bytes(b) for a, b in zip(same, f["key"], strict=True)], bool)
             yield f.drop(columns=["t"]).assign(grams=sets)[ok]
 
-    wanted = members.select("key").distinct().join(classes.select("key", "doc", "copies", "sig"), "key")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("t"))
-    found = texts.join(wanted, "doc").select("key", "copies", "sig", "t").mapInPandas(grams, "key binary, copies long, sig binary, grams binary")
+    wanted = members.select("key").distinct().join(classes.select("key", "doc", "hash", "copies", "sig"), "key")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text_or_empty()).alias("hash"), text_or_empty().alias("t"))
+    found = texts.join(wanted, ["doc", "hash"]).select("key", "copies", "sig", "t").mapInPandas(grams, "key binary, copies long, sig binary, grams binary")
     sets = stored(found.dropDuplicates(["key"]), "jaccard-sets")
     met = members.join(sets, "key")
     groups = n_blocks(int(met.agg(F.sum(F.octet_length("grams"))).first()[0] or 0), GROUP_BYTES)
@@ -312,8 +320,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ignored, whatever their names. Ties: of equal doc_ids all rows are kept. docs is read twice: a stored table."""
     rows = stored(signatures(docs), "jaccard-rows")
     there = rows.filter(F.col("words").isNotNull() & F.col("doc_id").isNotNull())
-    classes = there.groupBy(F.col("words").alias("key")).agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
-    classes = stored(classes, "jaccard-classes")
+    classes = there.groupBy(F.col("words").alias("key")).agg(F.min(F.struct("doc_id", "hash")).alias("one"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    classes = stored(classes.select("key", F.col("one.doc_id").alias("doc"), F.col("one.hash").alias("hash"), "copies", "sig"), "jaccard-classes")
     members = stored(candidate_members(classes.select("key", "sig"), threshold), "jaccard-candidates")
     links = stored(verified(members, classes, docs, threshold), "jaccard-links")
     of_class = links.groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("n"))

@@ -134,7 +134,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are one piece of one token, the end id. Rows with the same doc_id are packed each by
-    itself; equal rows take places in any order. Extra columns of docs are ignored; an empty table gives no rows.
+    itself; equal rows take places in any order, as do pieces of one length. A text of any length is encoded whole and cut into full
+    windows. Extra columns of docs are ignored, whatever their names; an empty table gives no rows.
     """
     cut = stored(pieces(docs, path, window), "packing-pieces")
     return place(cut, window).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -257,14 +257,28 @@ def test_blocks_of_large_groups(spark):
     assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 599)}
 
 
-def test_chained_candidates(spark):
-    """A chain in which each text links with the few next to it: one class, and no more than neighbours are compared."""
+@pytest.mark.parametrize("chunk", [256, 4])
+def test_chained_candidates(spark, monkeypatch, chunk):
+    """A chain in which each text links with the few next to it: one class; with many chunks, only neighbours meet."""
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
     w = words(random.Random(8), 2400).split()
     rows = [(i, " ".join(w[i * 6 : i * 6 + 150]), "en", "k", 1) for i in range(370)]
     sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t, *_ in rows]
     want = {i: sum(j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(370)) for i in range(370)}
+    met = []
+    monkeypatch.setattr(jaccard, "verified", lambda members, *x, real=jaccard.verified: (met.append(members.count()), real(members, *x))[1])
     got = jaccard.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r["doc_id"]: r["n_links"] for r in got} == want and {r["class_id"] for r in got} == {0} and 1 < want[100] < 8
+    assert met[0] == 740 if chunk == 256 else met[0] < 370 * 40
+
+
+def test_one_doc_id_for_many_texts(spark):
+    """A third of the rows share a doc_id and differ in their texts."""
+    r = random.Random(13)
+    texts = [words(r, 40) for _ in range(40)]
+    rows = [(5, t, "en", "k", 1) for t in texts] + [(5, t + " end", "en", "k", 1) for t in texts[:10]] + [(10 + i, words(r, 40), "en", "k", 1) for i in range(60)]
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == len(rows) and sorted(x["n_links"] for x in got if x["doc_id"] == 5) == [0] * 30 + [1] * 20
 
 
 def test_paths():
