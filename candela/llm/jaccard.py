@@ -168,7 +168,7 @@ def buckets(reps: DataFrame) -> DataFrame:
                 h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + s[:, :, k])
             yield pd.DataFrame({"band": h.view(np.int64).ravel(), "key": np.repeat(f["key"].to_numpy(), BANDS)})
 
-    every = stored(reps.mapInPandas(bands, "band long, key binary"), "jaccard-bands")
+    every = stored(reps.mapInPandas(bands, "band long, key long"), "jaccard-bands")
     mixed = [F.bit_xor(F.xxhash64(F.lit(k), "key")).alias(f"members{k}") for k in (1, 2)]
     counted = stored(every.groupBy("band").agg(F.count(F.lit(1)).alias("m"), *mixed).filter("m > 1"), "jaccard-counted")
     hot = counted.filter(F.col("m") > most_rows(every.count())).select("band")
@@ -202,7 +202,7 @@ def connecting(f: pd.DataFrame, at: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     key = f["key"].to_numpy()
     u, v = paths(len(at), i.tolist(), j.tolist(), f["chunk"].to_numpy()[at].tolist())
     one = [key[at[i[0]]]] if len(i) else []
-    return pd.DataFrame({"u": [*key[at[u]], *one], "v": [*key[at[v]], *[None for _ in one]], "n": [*[0] * len(u), *[len(i) for _ in one]]})
+    return pd.DataFrame({"u": [*key[at[u]], *one], "v": pd.array([*key[at[v]], *[None for _ in one]], "Int64"), "n": [*[0] * len(u), *[len(i) for _ in one]]})
 
 
 def meeting(f: pd.DataFrame, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
@@ -220,7 +220,7 @@ def candidate_members(reps: DataFrame, threshold: float) -> DataFrame:
     members = buckets(reps)
     groups = n_blocks(members.count() * VALUES * 5, GROUP_BYTES)
     met = meet_in_chunks(members, "band", "m", "key", groups, CHUNK).join(reps.select("key", "sig"), "key")
-    pairs = stored(survivors(met, threshold, connecting, "u binary, v binary, n long"), "jaccard-pairs")
+    pairs = stored(survivors(met, threshold, connecting, "u long, v long, n long"), "jaccard-pairs")
     found = stored(components(pairs.filter("v is not null").select("u", "v")), "jaccard-components")
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     counted = pairs.filter("v is null").select(F.col("u").alias("node"), "n").join(found, "node").groupBy("component").agg(F.sum("n").alias("pairs"))
@@ -231,8 +231,10 @@ def candidate_members(reps: DataFrame, threshold: float) -> DataFrame:
     dense = meet_in_chunks(of_group.filter((F.col("size") <= CHUNK) | ~F.col("sparse")), "component", "size", "key", 1, CHUNK).select("component", "ca", "cb", "chunk", "key")
     part = F.pmod(F.xxhash64(F.lit(7), "key"), chunks).cast("int")
     sparse = of_group.filter((F.col("size") > CHUNK) & F.col("sparse")).select("key", "component", part.alias("part"))
+    if sparse.isEmpty():
+        return dense
     again = meet_in_chunks(members.join(sparse, "key"), "band", "m", "key", groups, CHUNK).join(reps.select("key", "sig"), "key")
-    told = survivors(again, threshold, meeting, "component binary, ca int, cb int, chunk int, key binary").distinct()
+    told = survivors(again, threshold, meeting, "component long, ca int, cb int, chunk int, key long").distinct()
     return dense.unionByName(told)
 
 
@@ -273,16 +275,15 @@ def verified(members: DataFrame, classes: DataFrame, docs: DataFrame, threshold:
                 h, count, words, n_words = shingles(texts[lo:hi])
                 sets += [np.unique(h[z - n : z]).tobytes() for z, n in zip(np.cumsum(count), count, strict=True)]
                 same += [digest(words[z - n : z]) for z, n in zip(np.cumsum(n_words), n_words, strict=True)]
-            ok = np.array([a == bytes(b) for a, b in zip(same, f["key"], strict=True)], bool)
-            yield f.drop(columns=["t"]).assign(grams=sets)[ok]
+            ok = np.array([a == bytes(b) for a, b in zip(same, f["words"], strict=True)], bool)
+            yield f.drop(columns=["t", "words"]).assign(grams=sets)[ok]
 
-    wanted = members.select("key").distinct().join(classes.select("key", "doc", "hash", "copies", "sig"), "key")
+    wanted = members.select("key").distinct().join(classes.select("key", "words", "doc", "hash", "copies", "sig"), "key")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text_or_empty()).alias("hash"), text_or_empty().alias("t"))
-    found = texts.join(wanted, ["doc", "hash"]).select("key", "copies", "sig", "t").mapInPandas(grams, "key binary, copies long, sig binary, grams binary")
+    found = texts.join(wanted, ["doc", "hash"]).select("key", "words", "copies", "sig", "t").mapInPandas(grams, "key long, copies long, sig binary, grams binary")
     sets = stored(found.dropDuplicates(["key"]), "jaccard-sets")
-    met = members.join(sets, "key")
-    groups = n_blocks(int(met.agg(F.sum(F.octet_length("grams"))).first()[0] or 0), GROUP_BYTES)
-    met = met.withColumn("task", F.pmod(F.xxhash64("component", "ca", "cb"), F.lit(groups)))
+    groups = n_blocks(int(members.count() * (sets.agg(F.avg(F.octet_length("grams"))).first()[0] or 0)), GROUP_BYTES)
+    met = members.join(sets, "key").withColumn("task", F.pmod(F.xxhash64("component", "ca", "cb"), F.lit(groups)))
     least = least_matches(threshold)
 
     def verify(f: pd.DataFrame) -> pd.DataFrame:
@@ -291,6 +292,8 @@ def verified(members: DataFrame, classes: DataFrame, docs: DataFrame, threshold:
         key, copies, chunk, grams = (f[c].to_numpy() for c in ("key", "copies", "chunk", "grams"))
         sig = np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(-1, VALUES)
         for at in f.groupby(["component", "ca", "cb"], sort=False).indices.values():
+            if f["ca"].iat[at[0]] != f["cb"].iat[at[0]] and len(np.unique(chunk[at])) == 1:
+                continue
             i, j = _pairs(chunk[at])
             live = candidates(sig[at], i, j, least)
             i, j = in_band(sig[at], i[live], j[live])
@@ -304,9 +307,9 @@ def verified(members: DataFrame, classes: DataFrame, docs: DataFrame, threshold:
             n = np.bincount(i, weights=copies[at[j]], minlength=len(at)) + np.bincount(j, weights=copies[at[i]], minlength=len(at))
             some = np.flatnonzero(n)
             counts += zip(key[at[some]], n[some].astype(np.int64).tolist(), strict=True)
-        return pd.DataFrame({"u": [x[0] for x in (*links, *counts)], "v": [*(x[1] for x in links), *[None] * len(counts)], "n": [*[0] * len(links), *(x[1] for x in counts)]})
+        return pd.DataFrame({"u": [x[0] for x in (*links, *counts)], "v": pd.array([*(x[1] for x in links), *[None] * len(counts)], "Int64"), "n": [*[0] * len(links), *(x[1] for x in counts)]})
 
-    return met.groupBy("task").applyInPandas(verify, "u binary, v binary, n long")
+    return met.groupBy("task").applyInPandas(verify, "u long, v long, n long")
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -320,8 +323,9 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ignored, whatever their names. Ties: of equal doc_ids all rows are kept. docs is read twice: a stored table."""
     rows = stored(signatures(docs), "jaccard-rows")
     there = rows.filter(F.col("words").isNotNull() & F.col("doc_id").isNotNull())
-    classes = there.groupBy(F.col("words").alias("key")).agg(F.min(F.struct("doc_id", "hash")).alias("one"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
-    classes = stored(classes.select("key", F.col("one.doc_id").alias("doc"), F.col("one.hash").alias("hash"), "copies", "sig"), "jaccard-classes")
+    classes = there.groupBy("words").agg(F.min(F.struct("doc_id", "hash")).alias("one"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    # A class has a number of its own, given when it is written.
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("key"), "words", F.col("one.doc_id").alias("doc"), F.col("one.hash").alias("hash"), "copies", "sig"), "jaccard-classes")
     members = stored(candidate_members(classes.select("key", "sig"), threshold), "jaccard-candidates")
     links = stored(verified(members, classes, docs, threshold), "jaccard-links")
     of_class = links.groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("n"))
@@ -329,7 +333,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # The smallest doc_id of a component, not the smallest key.
     named = stored(linked.join(classes.select("key", "doc"), F.col("node") == F.col("key")).select("key", "component", "doc"), "jaccard-named")
     named = spread_join(named, named.groupBy("component").agg(F.min("doc").alias("least")), ["component"]).select("key", "least")
-    known = classes.join(of_class, "key", "left").join(named, "key", "left").select(F.col("key").alias("words"), "copies", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("least", "doc").alias("least"))
+    known = classes.join(of_class, "key", "left").join(named, "key", "left").select("words", "copies", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("least", "doc").alias("least"))
     return spread_join(rows.select("doc_id", "words"), stored(known, "jaccard-known"), ["words"]).select(
         "doc_id",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("class_id"),

@@ -257,6 +257,14 @@ def test_blocks_of_large_groups(spark):
     assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 599)}
 
 
+def test_small_chunks_some_of_them_empty(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 1)
+    base = [words(random.Random(20 + k), 120) for k in range(6)]
+    rows = [(10 * k + i, f"{b} end{i}", "en", "k", 1) for k, b in enumerate(base) for i in range(6)]
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["doc_id"] - r["doc_id"] % 10 == r["class_id"], r["n_links"]) for r in got} == {(True, 5)}
+
+
 @pytest.mark.parametrize("chunk", [256, 4])
 def test_chained_candidates(spark, monkeypatch, chunk):
     """A chain in which each text links with the few next to it: one class; with many chunks, only neighbours meet."""
