@@ -77,6 +77,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import manifest
+
+    return manifest.tamper_evidence(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chunk_dedup": op1_chunk_dedup,
@@ -89,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -110,5 +117,7 @@ _COSINE = f"""WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings),
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for the two whose rows it can express at this cost; the others are tested against brute force."""
-    return {"op5_embedding_dedup": _COSINE, "op6_jaccard_join": _JACCARD}
+    """SQL for those whose rows it can express at this cost; the others are tested against brute force."""
+    from . import manifest
+
+    return {"op5_embedding_dedup": _COSINE, "op6_jaccard_join": _JACCARD, "op13_merkle_manifest": manifest.sql()}
