@@ -77,6 +77,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import maxent
+
+    return maxent.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import whitening
 
@@ -101,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_maxent_lm": op11_maxent_lm,
         "op12_whitening": op12_whitening,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
