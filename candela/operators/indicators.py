@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from candela.functions.columns import log_of_ratio, ratio
 from candela.operators.scan import Smooth, ema_of, frame_window, framed, indexed, running, smooth, wilder_of
+from candela.operators.windows import garch_forecast, rolling_udf
 
 
 def _numbered(df: DataFrame) -> DataFrame:
@@ -115,28 +116,16 @@ def garch_grid(alphas=ALPHAS, betas=BETAS) -> list[tuple[float, float]]:
     return [(a, b) for a in alphas for b in betas if a + b < 0.999]
 
 
-def conditional_volatility(df: DataFrame, ret: str, out: str, size: int = 240, least: int = 50, grid: list[tuple[float, float]] | None = None) -> DataFrame:
+def conditional_volatility(df: DataFrame, ret: str, out: str, size: int = 240, least: int = 50, grid: list[tuple[float, float]] | None = None, levels: int = 0) -> DataFrame:
     """One-step GARCH(1,1) volatility forecast of 100 * ret over trailing windows.
 
-    The likelihood is maximised over a fixed grid of (alpha, beta); omega is the window's variance times
-    1 - alpha - beta. The first of equally likely pairs wins. Null for windows that are short, hold a null or never
-    move. Each window walks the grid inside one row: nothing is multiplied or shuffled."""
+    The likelihood is maximised over a fixed grid of (alpha, beta), then `levels` times around the best pair, nearer where none is better; omega is
+    the window's variance times 1 - alpha - beta. The first of equally likely pairs wins. Null for windows that are short, hold a null or never
+    move. A block's windows walk the grid together, as arrays: nothing is multiplied or shuffled beyond the block's halo."""
     if size < least:
         raise ValueError(f"a window needs {least} returns")
-    scaled = rolling_window(df.withColumn("_r100", 100 * F.col(ret)), "_r100", size, "_w")
-    total = F.aggregate("_w", F.lit(0.0), lambda s, x: s + x)
-    scaled = scaled.withColumn("_mean", total / size).withColumn("_e2", F.transform("_w", lambda x: (x - F.col("_mean")) * (x - F.col("_mean"))))
-    scaled = scaled.withColumn("_s2", F.aggregate("_e2", F.lit(0.0), lambda s, x: s + x) / size)
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (grid or garch_grid())])
-
-    def fit(p: Column) -> Column:
-        start = F.struct(F.col("_s2").alias("h"), F.lit(0.0).alias("ll"))
-        step = lambda s, e: F.struct((F.col("_s2") * (1 - p["a"] - p["b"]) + p["a"] * e + p["b"] * s["h"]).alias("h"), (s["ll"] - 0.5 * (F.ln(s["h"]) + e / s["h"])).alias("ll"))
-        done = F.aggregate("_e2", start, step)
-        return F.struct(done["ll"].alias("ll"), (-p["a"]).alias("na"), (-p["b"]).alias("nb"), done["h"].alias("h"))
-
-    best = F.array_max(F.transform(pairs, fit))
-    return scaled.withColumn(out, F.when(F.col("_s2") > 0, F.sqrt(best["h"]))).drop("_r100", "_w", "_mean", "_e2", "_s2")
+    made = rolling_udf(df.withColumn("_r100", 100 * F.col(ret)), "_r100", size, garch_forecast(grid or garch_grid(), levels), out)
+    return made.drop("_r100")
 
 
 def ewma_volatility(df: DataFrame, ret: str, out: str, decay: float = 0.94) -> DataFrame:

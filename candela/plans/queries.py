@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candela.functions.columns import argmax, confidence, cyclical_time, dist_from_ema, interaction, pct_of_close, session_mask, softmax
-from candela.operators import align, indicators, labels, metrics, portfolio, samples, scan, trades
+from candela.operators import align, asof, indicators, labels, metrics, portfolio, rolling, samples, scan, trades, windows
 from candela.operators.bars import bars_from_ticks, drop_empty_bars, multi_timeframe, resample_ohlcv
 from candela.plans import dataset
 from candela.sources.scratch import materialized, scratch_path
@@ -257,6 +258,25 @@ _GARCH = _RET + f""", x AS (SELECT symbol, bar_ts, i, count(ret) OVER f AS k, li
     best AS (SELECT symbol, bar_ts, arg_max(sqrt(f.h), [f.ll, -a, -b]) AS v FROM walk GROUP BY ALL), z AS (SELECT n.symbol, n.bar_ts, v FROM n LEFT JOIN best USING (symbol, bar_ts))"""
 _indicator("conditional_volatility", lambda b: indicators.conditional_volatility(indicators.log_return(b, "_r"), "_r", "conditional_volatility"), _ind_select(_GARCH, {"conditional_volatility": "v"}, "z"), every="1 hour")
 
+_ROLL10 = ", q AS (SELECT *, count(*) OVER f AS k, max(volume) OVER f - min(volume) OVER f AS v FROM n WINDOW f AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))"
+_indicator("rolling_range_10", lambda b: rolling.rolling_range(b, "volume", 10, "rolling_range_10"), _ind_select(_ROLL10, {"rolling_range_10": "CASE WHEN k = 10 THEN v END"}, "q"))
+_MEDIAN = ", q AS (SELECT *, count(*) OVER f AS k, median(high - low) OVER f AS v FROM n WINDOW f AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 239 PRECEDING AND CURRENT ROW))"
+_indicator("rolling_median_range", lambda b: windows.rolling_udf(b.withColumn("_d", F.col("high") - F.col("low")), "_d", 240, lambda w: np.median(w, axis=1), "rolling_median_range"), _ind_select(_MEDIAN, {"rolling_median_range": "CASE WHEN k = 240 THEN v END"}, "q"))
+_queries["conditional_volatility_fine"] = lambda spark, sf: shown(indicators.conditional_volatility(indicators.log_return(materialized(scan.indexed(bars(spark, sf, "1 hour")), "bars"), "_r"), "_r", "volatility", levels=12), "symbol", "bar_ts", "volatility")
+
+_LONG = "FROM n WINDOW f AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 9999 PRECEDING AND CURRENT ROW), g AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 1 FOLLOWING AND 2000 FOLLOWING)"
+
+
+@register(f"""WITH b AS (SELECT 'ALL' AS symbol, make_timestamp(o_orderkey * 1000000) AS bar_ts, CAST(o_totalprice AS DOUBLE) AS x FROM orders), {NUM}
+    SELECT symbol, {TS}, {_r('CASE WHEN i >= 9999 THEN max(x) OVER f END', 'high')}, {_r('CASE WHEN i >= 9999 THEN min(x) OVER f END', 'low')}, {_r('CASE WHEN i >= 9999 THEN avg(x) OVER f END', 'mean')},
+    {_r('max(x) OVER g', 'high_ahead')}, {_r('min(x) OVER g', 'low_ahead')}, CAST(count(x) OVER g AS BIGINT) AS rows_ahead {_LONG}""")
+def rolling_long_frames(spark, sf):
+    """Extremes and mean of the last 10,000 orders, extremes of the next 2,000 (fewer at the end)."""
+    o = _table(spark, sf, "orders").select(F.lit("ALL").alias("symbol"), F.timestamp_seconds("o_orderkey").cast("timestamp_ntz").alias("bar_ts"), F.col("o_totalprice").cast("double").alias("x"))
+    back = rolling.rolling(scan.indexed(o), {"high": ("x", "max"), "low": ("x", "min"), "mean": ("x", "avg")}, -9999, 0)
+    ahead = rolling.rolling(materialized(back, "rolling"), {"high_ahead": ("x", "max"), "low_ahead": ("x", "min"), "rows_ahead": ("x", "count")}, 1, 2000, partial=True)
+    return shown(ahead, "symbol", "bar_ts", "high", "low", "mean", "high_ahead", "low_ahead", "rows_ahead")
+
 
 @register(f"WITH {B15} SELECT symbol, {TS}, {_r('sin(2 * pi() * hour(bar_ts) / 24)', 'hour_sin')}, {_r('cos(2 * pi() * hour(bar_ts) / 24)', 'hour_cos')} FROM b")
 def cyclical_hours(spark, sf):
@@ -296,6 +316,28 @@ def align_hours_point_in_time(spark, sf):
     return shown(align.align_point_in_time(bars(spark, sf).select("symbol", "bar_ts"), _hours(spark, sf), ["h1_close"], "1 HOUR"), "symbol", "bar_ts", "h1_close")
 
 
+@register(f"""WITH b AS ({_sql_bars('15 minutes', 'event_type')}), h AS (SELECT symbol, bar_ts + INTERVAL 1 HOUR AS seen, close, CASE WHEN volume > 100 THEN volume END AS volume FROM ({_sql_bars('1 hour', 'event_type')}))
+    SELECT b.symbol, strftime(b.bar_ts, '%Y-%m-%d %H:%M:%S') AS bar_ts, {_r('CASE WHEN b.bar_ts - seen <= INTERVAL 90 MINUTE THEN h.close END', 'h1_close')}, {_r('CASE WHEN b.bar_ts - seen <= INTERVAL 90 MINUTE THEN h.volume END', 'h1_volume')}
+    FROM b ASOF LEFT JOIN h ON b.symbol = h.symbol AND b.bar_ts >= h.seen""")
+def align_as_of(spark, sf):
+    """Bars with gaps; an hour is seen from its end on, for at most 90 minutes."""
+    hours = bars_by_type(spark, sf).select("symbol", "bar_ts", F.col("close").alias("h1_close"), F.when(F.col("volume") > 100, F.col("volume")).alias("h1_volume"))
+    return shown(asof.align_as_of(bars_by_type(spark, sf, "15 minutes").select("symbol", "bar_ts"), hours, ["h1_close", "h1_volume"], "1 HOUR", "90 MINUTES"))
+
+
+@register("""WITH t AS (SELECT event_type AS symbol, ts, event_id, value FROM events)
+    SELECT a.event_id, coalesce(b.event_id, -1) AS before_id, round(b.value, 6) AS before_value, coalesce(c.event_id, -1) AS after_id FROM t a
+    ASOF LEFT JOIN (SELECT * FROM t WHERE value > 50) b ON a.symbol = b.symbol AND a.ts > b.ts
+    LEFT JOIN (SELECT a.event_id AS id, arg_min(c.event_id, c.ts) AS event_id FROM t a JOIN t c ON c.symbol = a.symbol AND c.value > 50 AND c.ts >= a.ts AND c.ts <= a.ts + INTERVAL 1 HOUR GROUP BY ALL) c ON c.id = a.event_id""")
+def ticks_as_of(spark, sf):
+    """For every tick the last large tick of its type strictly before it, and the next within an hour, itself included."""
+    ticks = _table(spark, sf, "events").select(F.col("event_type").alias("symbol"), F.col("ts").alias("bar_ts"), "event_id", "value")
+    large = ticks.filter("value > 50").select("symbol", "bar_ts", F.col("event_id").alias("before_id"), F.col("value").alias("before_value"))
+    back = asof.as_of(ticks.select("symbol", "bar_ts", "event_id"), large, ["before_id", "before_value"], exact=False)
+    ahead = asof.as_of(materialized(back, "as-of"), large.select("symbol", "bar_ts", F.col("before_id").alias("after_id")), ["after_id"], direction="forward", tolerance="1 HOUR")
+    return shown(ahead, "event_id", F.coalesce("before_id", F.lit(-1)).alias("before_id"), "before_value", F.coalesce("after_id", F.lit(-1)).alias("after_id"))
+
+
 @register(f"""WITH h AS ({_sql_bars('1 hour')}), d AS ({_sql_bars('1 day')}), q AS ({_sql_bars('4 hours')}),
     j AS (SELECT h.symbol, h.bar_ts, h.close, q.close AS h4, d.close AS day FROM h LEFT JOIN q USING (symbol, bar_ts) LEFT JOIN d USING (symbol, bar_ts))
     SELECT symbol, {TS}, {_r('close', 'close')}, {_r("last_value(h4 IGNORE NULLS) OVER w", "h4_close")}, {_r("last_value(day IGNORE NULLS) OVER w", "day_close")} FROM j WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
