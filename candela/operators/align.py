@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candela.operators.scan import BLOCK_SECONDS, running
+from candela.operators.scan import BLOCK_SECONDS, running, with_facts
 
 
 def ffill(df: DataFrame, cols: Sequence[str], block: int = BLOCK_SECONDS) -> DataFrame:
@@ -18,7 +18,7 @@ def ffill(df: DataFrame, cols: Sequence[str], block: int = BLOCK_SECONDS) -> Dat
 def bfill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Leading nulls of each symbol take its first non-null value (after ffill there are no others)."""
     first = df.groupBy("symbol").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("bar_ts"))).alias(f"_f_{c}") for c in cols])
-    return df.join(first, "symbol").select([F.coalesce(c, f"_f_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
+    return with_facts(df, first).select([F.coalesce(c, f"_f_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def fill_const(df: DataFrame, col: str, value: float) -> DataFrame:

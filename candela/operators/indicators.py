@@ -34,7 +34,7 @@ def wilder(df: DataFrame, x: str, n: int, out: str, seed: str = "ewm", skip: int
 def rsi_parts(d: str, n: int, seed: str = "ewm") -> list[Smooth]:
     """Smoothed gains _up and losses _down of the moves in column d, whose first value is null."""
     gain, loss = F.greatest(F.col(d), F.lit(0.0)), F.greatest(-F.col(d), F.lit(0.0))
-    return [wilder_of("_up", F.when(F.col(d).isNotNull(), gain), n, seed, 1), wilder_of("_down", F.when(F.col(d).isNotNull(), loss), n, seed, 1)]
+    return [wilder_of("_up", F.when(F.col(d).isNotNull(), gain), n, seed, 1, d), wilder_of("_down", F.when(F.col(d).isNotNull(), loss), n, seed, 1, d)]
 
 
 def rsi_of_parts() -> Column:
@@ -66,7 +66,7 @@ def adx(df: DataFrame, n: int, out: str, seed: str = "ewm") -> DataFrame:
     w = frame_window()
     up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
     moved = lagged(df, {"_tr": _range(), "_pdm": F.when(up.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)), "_mdm": F.when(up.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0))})
-    s = smooth(moved, [wilder_of("_atr", F.when(F.col("_pdm").isNotNull(), F.col("_tr")), n, seed, 1), wilder_of("_p", F.col("_pdm"), n, seed, 1), wilder_of("_m", F.col("_mdm"), n, seed, 1)])
+    s = smooth(moved, [wilder_of("_atr", F.when(F.col("_pdm").isNotNull(), F.col("_tr")), n, seed, 1, "_dm"), wilder_of("_p", F.col("_pdm"), n, seed, 1, "_dm"), wilder_of("_m", F.col("_mdm"), n, seed, 1, "_dm")])
     p, m = ratio(100 * F.col("_p"), F.col("_atr")), ratio(100 * F.col("_m"), F.col("_atr"))
     dx = F.when(F.col("_p").isNotNull(), F.coalesce(100 * ratio(F.abs(p - m), p + m), F.lit(0.0)))
     s = smooth(s.withColumn("_dx", dx), [wilder_of(out, F.col("_dx"), n, seed, n)])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candela.functions.columns import argmax, confidence
-from candela.operators.scan import frame_window, framed, indexed
+from candela.operators.scan import frame_window, framed, indexed, with_facts
 
 
 def sliding_windows(df: DataFrame, features: Sequence[str], target: str, length: int = 64) -> DataFrame:
@@ -37,7 +37,7 @@ def chrono_split(df: DataFrame, train: float = 0.7, validation: float = 0.15, te
         raise ValueError("ratios must sum to 1")
     src = df if index else indexed(df, "_split_i")
     i = F.col(index or "_split_i")
-    out = src.join(src.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")), "symbol")
+    out = with_facts(src, src.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")))
     a, b = F.floor(F.col("_n") * F.lit(train)), F.floor(F.col("_n") * F.lit(train + validation))
     out = out.withColumn("split", F.when(i < a, "train").when(i < b, "validation").otherwise("test"))
     if purge:

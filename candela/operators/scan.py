@@ -10,12 +10,15 @@ The blocks of time suit bars. For a table of very many rows a day, block_seconds
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candela.sources.scratch import materialized
+
 BLOCK_SECONDS = 4 * 86_400
 BLOCK_ROWS = 1 << 18
 FRAME_ROWS = 1024
@@ -92,6 +95,28 @@ def framed(df: DataFrame, specs: dict[str, Column], before: int = 0, after: int
     return out if "_i" in df.columns else out.drop("_i")
 
 
+MOST_FACTS = 1 << 20  # symbols whose facts are broadcast together
+MOST_HOT = 4096  # a symbol with more than this part of all rows is hot, so there are no more hot symbols than that
+
+
+def with_facts(df: DataFrame, facts: DataFrame) -> DataFrame:
+    """df with one row of facts for each symbol, of which there is one for every symbol of df; df is never shuffled by symbol alone
+    where a symbol could be a large part of it.
+
+    The facts are written and counted: up to MOST_FACTS of them are broadcast. Beyond, those of hot symbols are, and only rows of the others
+    meet theirs by a shuffle."""
+    known = materialized(facts, "facts")
+    n = known.count()
+    if n <= MOST_FACTS:
+        return df.join(F.broadcast(known), "symbol")
+    sizes = materialized(df.groupBy("symbol").count(), "sizes")
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    hot = known.join(sizes.filter(F.col("count") > total // MOST_HOT).select("symbol"), "symbol", "left_semi")
+    frequent = df.join(F.broadcast(hot), "symbol")
+    others = df.join(F.broadcast(hot.select("symbol")), "symbol", "left_anti").join(known, "symbol")
+    return frequent.unionByName(others)
+
+
 def frame_window():
     return Window.partitionBy("symbol", "_rb").orderBy("_i")
 
@@ -101,7 +126,7 @@ class Smooth:
     """y = decay y' + weight x over the rows of a series, after `skip` leading nulls of x.
 
     seed "ewm": the adjusted exponential mean (weights add up to one); "sma": begins with the mean of the first n values.
-    Null for the first n - 1 values."""
+    Null for the first n - 1 values. Specs with the same `alike` are null in the same rows, so that those of one decay share their weights."""
 
     name: str
     value: Column
@@ -109,14 +134,19 @@ class Smooth:
     decay: float
     seed: str = "ewm"
     skip: int = 0
+    alike: str = ""
+
+    @property
+    def weights(self) -> str:
+        return re.sub(r"\W", "_", f"{self.alike}_{self.n}_{self.decay}_{self.seed}_{self.skip}") if self.alike else self.name
 
 
 def ema_of(name: str, value: Column, n: int, seed: str = "sma", skip: int = 0) -> Smooth:
     return Smooth(name, value, n, 1 - 2 / (n + 1), seed, skip)
 
 
-def wilder_of(name: str, value: Column, n: int, seed: str = "ewm", skip: int = 0) -> Smooth:
-    return Smooth(name, value, n, 1 - 1 / n, seed, skip)
+def wilder_of(name: str, value: Column, n: int, seed: str = "ewm", skip: int = 0, alike: str = "") -> Smooth:
+    return Smooth(name, value, n, 1 - 1 / n, seed, skip, alike)
 
 
 def smooth(df: DataFrame, specs: Sequence[Smooth]) -> DataFrame:
@@ -129,10 +159,13 @@ def smooth(df: DataFrame, specs: Sequence[Smooth]) -> DataFrame:
             raise ValueError(f"{s.name}: length must be above 1")
     rows = max(4, min(256, math.floor(27 / max(-math.log(s.decay) for s in specs))))
     src = df.withColumns({f"_x_{s.name}": s.value.cast("double") for s in specs}).withColumn("_sb", F.floor(F.col("_i") / rows))
-    heads = [F.avg(F.when((F.col("_i") >= s.skip) & (F.col("_i") < s.skip + s.n), F.col(f"_x_{s.name}"))).alias(f"_m_{s.name}") for s in specs if s.seed == "sma"]
-    if heads:
-        first = max(s.skip + s.n for s in specs)
-        src = src.join(src.filter(F.col("_i") < first).groupBy("symbol").agg(*heads), "symbol")
+    w = Window.partitionBy("symbol", "_sb").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    heads = {f"_m_{s.name}": F.avg(F.when((F.col("_i") >= s.skip) & (F.col("_i") < s.skip + s.n), F.col(f"_x_{s.name}"))) for s in specs if s.seed == "sma"}
+    first = max(s.skip + s.n for s in specs)
+    if heads and first <= rows:  # they lie in the first block, and only the last row of each is asked for its mean
+        src = src.withColumns({n: m.over(w) for n, m in heads.items()})
+    elif heads:
+        src = with_facts(src, src.filter(F.col("_i") < first).groupBy("symbol").agg(*[m.alias(n) for n, m in heads.items()]))
     r = F.col("_i") - F.col("_sb") * rows
 
     def weight(s: Smooth) -> Column:
@@ -146,10 +179,9 @@ def smooth(df: DataFrame, specs: Sequence[Smooth]) -> DataFrame:
         x = F.col(f"_x_{s.name}")
         return F.coalesce(F.when(F.col("_i") - s.skip == s.n - 1, F.col(f"_m_{s.name}")).otherwise(x) if s.seed == "sma" else x, F.lit(0.0))
 
-    scaled = src.withColumns({f"_w_{s.name}": weight(s) * F.pow(F.lit(s.decay), -r) for s in specs})
-    scaled = scaled.withColumns({f"_u_{s.name}": F.col(f"_w_{s.name}") * value(s) for s in specs})
-    both = [(s, c) for s in specs for c in (f"u_{s.name}", f"w_{s.name}")]
-    w = Window.partitionBy("symbol", "_sb").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    scaled = src.withColumns({f"_w_{s.weights}": weight(s) * F.pow(F.lit(s.decay), -r) for s in specs})
+    scaled = scaled.withColumns({f"_u_{s.name}": F.col(f"_w_{s.weights}") * value(s) for s in specs})
+    both = [(s, f"u_{s.name}") for s in specs] + [(s, f"w_{k}") for k, s in {s.weights: s for s in specs}.items()]
     local = scaled.withColumns({f"_l{c}": F.sum(f"_{c}").over(w) * F.pow(F.lit(s.decay), r) for s, c in both})
     ends = scaled.groupBy("symbol", "_sb").agg(*[(F.sum(f"_{c}") * s.decay ** (rows - 1)).alias(f"_e{c}") for s, c in both])
     back = {s.name: math.ceil(40 / -math.log(s.decay**rows)) for s in specs}
@@ -166,7 +198,7 @@ def smooth(df: DataFrame, specs: Sequence[Smooth]) -> DataFrame:
 
     def result(s: Smooth) -> Column:
         total = lambda c: F.col(f"_l{c}") + F.pow(F.lit(s.decay), r + 1) * F.col(f"_c{c}")
-        y = F.try_divide(total(f"u_{s.name}"), total(f"w_{s.name}"))
+        y = F.try_divide(total(f"u_{s.name}"), total(f"w_{s.weights}"))
         return F.when((F.col("_i") - s.skip >= s.n - 1) & F.col(f"_x_{s.name}").isNotNull(), y).alias(s.name)
 
     names = {s.name for s in specs}

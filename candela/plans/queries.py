@@ -16,6 +16,7 @@ from candela.functions.columns import argmax, confidence, cyclical_time, dist_fr
 from candela.operators import align, asof, indicators, labels, metrics, portfolio, rolling, samples, scan, trades, windows
 from candela.operators.bars import bars_from_ticks, drop_empty_bars, multi_timeframe, resample_ohlcv
 from candela.plans import dataset
+from candela.sources import bar_store
 from candela.sources.scratch import materialized, scratch_path
 from candela.sources.tables import OHLCV, date_range, read_dataset, read_dataset_csv, read_metrics, read_ohlcv, read_scaler, rounded, write_dataset, write_metrics, write_scaler
 
@@ -196,6 +197,18 @@ def bars_daily_large(spark, sf):
     return shown(bars_from_ticks(items, F.col("l_extendedprice").cast("double") / quantity, quantity, "1 day", symbol=F.col("l_returnflag"), tie=["l_orderkey", "l_linenumber"]), "symbol", "bar_ts", "high", "low", "volume", digits=9)
 
 
+@register(f"WITH {B15} SELECT {_BAR_COLS} FROM b")
+def bars_kept_up_to_date(spark, sf):
+    """A store of bars from two thirds of the ticks, into which the other third comes late, in two parts."""
+    path = scratch_path(spark, "bar-store")
+    ticks = bar_store.states(_table(spark, sf, "events").filter(F.pmod("event_id", F.lit(3)) != 0), price(), qty(), "15 minutes", tie=["event_id"])
+    late = _table(spark, sf, "events").filter(F.pmod("event_id", F.lit(3)) == 0)
+    bar_store.add_ticks(ticks, path)
+    for part in (F.dayofmonth("ts") < 16, F.dayofmonth("ts") >= 16):
+        bar_store.add_ticks(bar_store.states(late.filter(part), price(), qty(), "15 minutes", tie=["event_id"]), path)
+    return shown(bar_store.read_bars(spark, path))
+
+
 @register(f"WITH {B15} SELECT {_BAR_COLS} FROM b WHERE bar_ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'")
 def date_range_bars(spark, sf):
     return shown(date_range(bars(spark, sf), "2024-01-05", "2024-01-12"))
@@ -264,6 +277,28 @@ _MEDIAN = ", q AS (SELECT *, count(*) OVER f AS k, median(high - low) OVER f AS
 _indicator("rolling_median_range", lambda b: windows.rolling_udf(b.withColumn("_d", F.col("high") - F.col("low")), "_d", 240, lambda w: np.median(w, axis=1), "rolling_median_range"), _ind_select(_MEDIAN, {"rolling_median_range": "CASE WHEN k = 240 THEN v END"}, "q"))
 _queries["conditional_volatility_fine"] = lambda spark, sf: shown(indicators.conditional_volatility(indicators.log_return(materialized(scan.indexed(bars(spark, sf, "1 hour")), "bars"), "_r"), "_r", "volatility", levels=12), "symbol", "bar_ts", "volatility")
 
+
+
+@register(f"""WITH b AS ({_sql_bars('1 hour')}), {NUM}{_UPDOWN} SELECT symbol, {TS}, {_r('close', 'close')}, {_r('volume', 'volume')}, {_r(_sql_ema('close', 10), 'ema')}, {_r('CASE WHEN i >= 14 THEN 100 * u / nullif(u + v, 0) END', 'rsi')},
+    {_r(f"sum(coalesce(sign(d), 1) * volume) {W}", 'obv')} FROM ud QUALIFY bar_ts < max(bar_ts) OVER () - INTERVAL 1 HOUR""")
+def stream_of_indicators(spark, sf):
+    """Hourly bars as a stream, in batches of files; the bars of the last hour wait for the watermark."""
+    from candela.streaming.indicators import stream_indicators
+
+    b = bars(spark, sf, "1 hour").select("symbol", F.col("bar_ts").cast("timestamp").alias("bar_ts"), "close", "volume")
+    source, sink, state = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "state"))
+    b.repartitionByRange(4, "bar_ts").write.parquet(source)
+    key, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        out = stream_indicators(spark.readStream.schema(b.schema).parquet(source))
+        out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(sink).awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return shown(spark.read.schema(out.schema).parquet(sink), "symbol", "bar_ts", "close", "volume", "ema", "rsi", "obv")
+
+
 _LONG = "FROM n WINDOW f AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 9999 PRECEDING AND CURRENT ROW), g AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 1 FOLLOWING AND 2000 FOLLOWING)"
 
 
