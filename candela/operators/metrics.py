@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -93,31 +94,22 @@ def per_class_accuracy(matrix: DataFrame) -> DataFrame:
     return per_class(matrix).select("class", F.col("recall").alias("accuracy"))
 
 
-# -- ranking metrics: distinct scores are counted first, so what is ordered is at most one row a score. A class is cut into ranges
-# of scores by its quantiles; windows run inside (class, range), and one summary row of each range is scanned in an array.
+# -- ranking metrics: distinct scores are counted first, so what is ordered is at most one row a score. These rows are dealt out by range of
+# class and score, as many ranges as RANGE_ROWS asks for; windows run inside (class, range), and one summary row of each range is scanned.
 
-RANGES = 256
+RANGE_ROWS = 1 << 18
 
 
-def ranged(rows: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
-    """rows with _b, the range of its class that a score falls into, from 0 for the highest scores on."""
-    cuts = F.percentile_approx(score, [k / RANGES for k in range(1, RANGES)], 10 * RANGES)
-    bounds = rows.groupBy(*keys).agg(F.array_distinct(cuts).alias("_bounds"))
-    # A row for each class, or pair of classes.
-    return rows.join(F.broadcast(bounds), list(keys)).withColumn("_b", F.size(F.filter("_bounds", lambda x: x > F.col(score)))).drop("_bounds")
+def ranged(rows: DataFrame, keys: Sequence[str], score: str, each: int | None = None) -> DataFrame:
+    """rows, a written table with one row a key and score, written again in ranges of about `each` rows, from the highest scores of a key on; _b is the range."""
+    parts = max(1, math.ceil(rows.count() / (each or RANGE_ROWS)))
+    return materialized(rows.repartitionByRange(parts, *keys, F.col(score).desc()).withColumn("_b", F.spark_partition_id()), "ranges")
 
 
 def carried(parts: DataFrame, keys: Sequence[str], columns: dict[str, str]) -> DataFrame:
-    """keys, _b and for each column of parts what the ranges before it hold: their sum or their maximum, as columns says."""
-    names = list(columns)
-    whole = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", *names))).alias("_parts"))  # at most RANGES
-
-    def before(n: str, i: Column) -> Column:
-        past = F.transform(F.slice("_parts", F.lit(1), i), lambda x: x[n])
-        return (F.aggregate(past, F.lit(0).cast("double"), lambda a, x: a + x) if columns[n] == "sum" else F.coalesce(F.array_max(past), F.lit(0.0))).alias(f"_before_{n}")
-
-    each = F.transform("_parts", lambda x, i: F.struct(x["_b"].alias("_b"), *[before(n, i) for n in names]))
-    return whole.select(*keys, F.inline(each))
+    """parts, a row for each key and range, with what the ranges of the key before it hold of each column: the sum or the maximum, as columns says."""
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumns({f"_before_{c}": F.coalesce({"sum": F.sum, "max": F.max}[k](c).over(before), F.lit(0)) for c, k in columns.items()})
 
 
 def _score_counts(df: DataFrame, classes: Sequence[int]) -> DataFrame:
@@ -134,20 +126,18 @@ def roc_curve(df: DataFrame, classes: Sequence[int] = CLASSES, drop_collinear: b
 def _curve(counts: DataFrame, keys: list[str], drop_collinear: bool = False) -> DataFrame:
     counts = materialized(counts, "scores")
     start = counts.select(*keys).distinct().select(*keys, F.lit(float("inf")).alias("score"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"))
-    points = ranged(counts.select(*keys, "score", "pos", "neg").unionByName(start), keys, "score")
+    points = ranged(materialized(counts.select(*keys, "score", "pos", "neg").unionByName(start), "scores"), keys, "score")
     parts = points.groupBy(*keys, "_b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max_by("pos", "score").alias("_p1"), F.max_by("neg", "score").alias("_n1"))
-    before = carried(parts, keys, {"pos": "sum", "neg": "sum"})
+    before = carried(parts, keys, {"pos": "sum", "neg": "sum"}).drop("pos", "neg", "_p1", "_n1")
     whole = counts.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    # A row for each range of a class, and one for each class.
-    out = points.join(F.broadcast(before), [*keys, "_b"]).join(F.broadcast(whole), keys)
+    out = points.join(before, [*keys, "_b"]).join(F.broadcast(whole), keys)  # one row for each class
     down = Window.partitionBy(*keys, "_b").orderBy(F.col("score").desc())
     so_far = down.rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumns({"tp": F.sum("pos").over(so_far) + F.col("_before_pos"), "fp": F.sum("neg").over(so_far) + F.col("_before_neg")})
     if drop_collinear:
         # What comes next: a row of the range, or the first one of the range after it; before the first row of all comes none.
-        after = parts.select(*keys, "_b", "_p1", "_n1").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", "_p1", "_n1"))).alias("_all"))
-        after = after.select(*keys, F.inline(F.transform("_all", lambda x, i: F.struct(x["_b"].alias("_b"), F.get("_all", i + 1)["_p1"].alias("_np"), F.get("_all", i + 1)["_n1"].alias("_nn")))))
-        out = out.join(F.broadcast(after), [*keys, "_b"])
+        by = Window.partitionBy(*keys).orderBy("_b")
+        out = out.join(parts.select(*keys, "_b", F.lead("_p1").over(by).alias("_np"), F.lead("_n1").over(by).alias("_nn")), [*keys, "_b"])
         up, right = F.coalesce(F.lead("pos").over(down), F.col("_np")), F.coalesce(F.lead("neg").over(down), F.col("_nn"))
         out = out.withColumn("_keep", F.coalesce((up * F.col("neg")) != (F.col("pos") * right), F.lit(True)) | (F.col("score") == float("inf"))).filter("_keep")
     return out.select(*keys, F.col("score").alias("threshold"), F.try_divide(F.col("fp"), F.col("_n").cast("double")).alias("fpr"), F.try_divide(F.col("tp"), F.col("_p").cast("double")).alias("tpr"))
@@ -158,7 +148,7 @@ def trapezoid_auc(curve: DataFrame, keys: Sequence[str] = ("class",)) -> DataFra
     keys = list(keys)
     rows = ranged(materialized(curve, "curve"), keys, "threshold")
     parts = rows.groupBy(*keys, "_b").agg(F.max("fpr").alias("fpr"), F.max("tpr").alias("tpr"))
-    rows = rows.join(F.broadcast(carried(parts, keys, {"fpr": "max", "tpr": "max"})), [*keys, "_b"])
+    rows = rows.join(carried(parts, keys, {"fpr": "max", "tpr": "max"}).drop("fpr", "tpr"), [*keys, "_b"])
     w = Window.partitionBy(*keys, "_b").orderBy(F.col("threshold").desc())
     was = lambda c: F.lag(c, 1).over(w)
     fpr, tpr = F.coalesce(was("fpr"), F.col("_before_fpr")), F.coalesce(was("tpr"), F.col("_before_tpr"))
@@ -170,10 +160,9 @@ def area(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     rows = ranged(materialized(counts, "scores"), keys, "score")
     parts = rows.groupBy(*keys, "_b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    before = carried(parts, keys, {"pos": "sum"})
     so_far = Window.partitionBy(*keys, "_b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     inside = rows.withColumn("_a", F.col("neg") * (F.sum("pos").over(so_far) - F.col("pos") / 2)).groupBy(*keys, "_b").agg(F.sum("_a").alias("_a"))
-    each = inside.join(parts, [*keys, "_b"]).join(before, [*keys, "_b"])
+    each = inside.join(carried(parts, keys, {"pos": "sum"}), [*keys, "_b"])
     return each.groupBy(*keys).agg(F.try_divide(F.sum(F.col("_a") + F.col("neg") * F.col("_before_pos")), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 

@@ -269,13 +269,16 @@ def test_ranges_of_scores_do_not_change_curves(spark, monkeypatch):
     y = r.integers(0, 2, 500)
     df = spark.createDataFrame([(int(a), [float(v), float(1 - v)]) for a, v in zip(y, np.round(r.random(500) * 0.8 + 0.2 * (y == 0), 2), strict=True)], "y int, probs array<double>")
     out = []
-    for n in (256, 7, 1):
-        monkeypatch.setattr(metrics, "RANGES", n + 1)
+    for n in (1 << 18, 40, 3):
+        monkeypatch.setattr(metrics, "RANGE_ROWS", n)
         curves = [sorted(map(tuple, metrics.roc_curve(df, (0, 1), k).collect()), key=lambda x: (x[0], -x[1])) for k in (False, True)]
         areas = [{x["class"]: round(x["auc"], 12) for x in metrics.trapezoid_auc(metrics.roc_curve(df, (0, 1), k)).collect()} for k in (False, True)]
         assert areas[0] == areas[1] and round(metrics.roc_auc_ovr(df, (0, 1)).first()[0], 12) == round(sum(areas[0].values()) / 2, 12)
         out.append((curves, areas))
     assert out[0] == out[1] == out[2] and len(out[0][0][1]) < len(out[0][0][0])
+    scores = metrics.ranged(metrics.materialized(metrics._score_counts(df, (0, 1)), "scores"), ["class"], "score", 20)
+    sizes = [x["count"] for x in scores.groupBy("_b").count().collect()]
+    assert len(sizes) > 5 and max(sizes) <= 60
     plan = metrics.roc_auc_ovr(df, (0, 1))._jdf.queryExecution().toString()
     assert "windowspecdefinition(class#" not in plan or "_b#" in plan
 
