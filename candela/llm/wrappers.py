@@ -376,8 +376,8 @@ STRUCTURES = 64  # distinct structures of a host that are aligned in one group
 EDGE = 3  # texts at either end of a repeated slot that are also judged by themselves
 LINKS = 0.8  # share of characters in links above which a slot of a page is no main text
 # Evidence for a place of the wrapper; it stays if the sum is above 0. A text that does not change between k pages counts log2 k
-# against it, LITERAL at most.
-IN_MAIN, IN_NAMED, IN_BOILER, ELSE, SHARE, LITERAL = 2.5, 1.5, -4.0, 0.5, 5.0, 2.4
+# against it: no element and no share of the pages' text outweighs that on every host.
+IN_MAIN, IN_NAMED, IN_BOILER, ELSE, SHARE = 2.5, 1.5, -4.0, 0.5, 5.0
 
 
 def host_of(url: str | None) -> str:
@@ -485,7 +485,7 @@ def evidence(main: Column, boiler: Column, share: Column, pages: Column, most: C
     a place of articles look like a template."""
     again = F.when(texts == 1, most).otherwise((1 + pages - most) / texts)
     role = F.when(boiler, IN_BOILER).when(main == 2, IN_MAIN).when(main == 1, IN_NAMED).otherwise(ELSE)
-    return role + SHARE * share - F.least(F.log2(again.cast("double")), F.lit(LITERAL))
+    return role + SHARE * share - F.log2(again.cast("double"))
 
 
 def judge(found: DataFrame, at: DataFrame) -> DataFrame:
@@ -519,6 +519,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     that are almost all links on the page. If most of the host's kept text stands in article (or main) elements, these alone count
     where a page has them; else, if most stands in elements named so, these.
 
+    What does not change goes by how many pages of its host show it: a notice inside an article that three pages repeat stays, one that forty
+    repeat goes, so the same page can be read differently on a larger host.
+
     Null html counts as empty, null urls share one host; a page without main text has the empty text. Equal pages of a host get equal
     texts and count once in its statistics; repeated rows are extracted each by itself; an empty table gives no rows. Pages of any
     length and nesting take time in proportion to their length, but for alignment: lists of siblings meet in tables of

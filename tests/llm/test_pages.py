@@ -253,3 +253,18 @@ def test_random_sites(spark):
             rows.append((len(rows), *p))
     got = texts_of(spark, rows)
     assert sum(got[i] != want[i] for i in want) <= 0.01 * len(want)
+
+
+def test_constants_inside_articles_and_long_ones_go(spark):
+    """What a wrapper shows to be the template goes, whatever element it is in and however long it is; a plain reader of article elements keeps it."""
+    r = random.Random(5)
+    story = [" ".join("".join(r.choices("abcdefg", k=5)) for _ in range(30)) for _ in range(300)]
+    rows = [(i, f"http://in.example/{i}", f"<article><div>Subscribe to our letter today</div><p>{story[i]}</p><div>Share this story</div></article>") for i in range(40)]
+    terms = "By reading on you accept what follows. " * 8
+    rows += [(100 + i, f"http://long.example/{i}", f"<div><p>{terms}</p><p>{story[i]}</p></div>") for i in range(200)]
+    rows += [(1000 + i, f"http://few.example/{i}", f"<article><p>Kept on three pages</p><p>{story[i]}</p></article>") for i in range(3)]
+    got = texts_of(spark, rows)
+    assert all(got[i] == story[i] for i in range(40)) and all(got[100 + i] == story[i] for i in range(200))
+    assert all(got[1000 + i] == f"Kept on three pages\n{story[i]}" for i in range(3))
+    plain = {i: "\n".join(t for _, t, _, main, boiler in wrappers.blocks(html)[0] if main == 2 and not boiler) for i, _, html in rows[:40]}
+    assert all("Subscribe" in plain[i] for i in plain)
