@@ -4,7 +4,8 @@ Documents longer than a window are cut into full windows first; what is left of
 Best-fit decreasing needs only how many pieces there are of each length, so the exact global packing is planned
 on a histogram of at most WINDOW rows, whatever the data's size: a segment tree over remaining capacities finds
 the tightest open windows, and all pieces of a length that go to windows alike are placed in one step. The plan
-says which ranks of which length go to which sequences; ranks are made by Spark, in small salted groups.
+says which ranks of which length go to which sequences; ranks are made by Spark, in groups of about GROUP_ROWS pieces of a length that a hash of
+their place in the stored table makes, so equal rows are spread like others.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from .common import id_text, ids_of, n_blocks, stored, text_or_empty
 WINDOW = 1024
 END_ID = 0
 GROUP_ROWS = 4000  # pieces for each salt of a length
+SALTS_TOGETHER = 4096  # whose sizes are added up in one group
 
 
 class CapacityTree:
@@ -106,18 +108,20 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
 
 
 def place(cut: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Adds sequence_id and offset to a stored table with column length (1 .. window)."""
+    """Adds sequence_id and offset to a stored table with columns length (1 .. window) and deal, a number of its own for each row."""
     spark = cut.sparkSession
     counts = {int(r[0]): int(r[1]) for r in cut.groupBy("length").count().collect()}  # at most `window` rows
     planned = plan(counts, window)
     steps = spark.createDataFrame(planned, "length long, r0 long, r1 long, first_sequence long, each long, first_offset long")
-    salts = n_blocks(sum(counts.values()), GROUP_ROWS)
-    key = [c for c in ("doc_id", "start", "ids_crc32") if c in cut.columns]
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(salts)))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = salted.groupBy("length", "salt").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    salts = F.array(*[F.lit(n_blocks(counts.get(k, 0), GROUP_ROWS)) for k in range(window + 1)])
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("deal"), F.get(salts, F.col("length").cast("int"))))
+    sizes = salted.groupBy("length", "salt").count().withColumn("high", F.floor(F.col("salt") / SALTS_TOGETHER))
+    lower = Window.partitionBy("length", "high").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    upper = Window.partitionBy("length").orderBy("high").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sizes.groupBy("length", "high").agg(F.sum("count").alias("sum")).select("length", "high", F.coalesce(F.sum("sum").over(upper), F.lit(0)).alias("below"))
+    base = sizes.withColumn("base", F.coalesce(F.sum("count").over(lower), F.lit(0))).join(sums, ["length", "high"]).select("length", "salt", (F.col("base") + F.col("below")).alias("base"))
     ranked = (
-        salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*key)) - 1)
+        salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("deal")) - 1)
         .join(base, ["length", "salt"])
         .withColumn("rank", F.col("rank") + F.col("base"))
     )
@@ -137,5 +141,5 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     itself; equal rows take places in any order, as do pieces of one length. A text of any length is encoded whole and cut into full
     windows. Extra columns of docs are ignored, whatever their names; an empty table gives no rows.
     """
-    cut = stored(pieces(docs, path, window), "packing-pieces")
+    cut = stored(pieces(docs, path, window).withColumn("deal", F.monotonically_increasing_id()), "packing-pieces")
     return place(cut, window).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

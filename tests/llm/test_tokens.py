@@ -13,7 +13,9 @@ from hypothesis import strategies as st
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from candela.llm import bpe, packing, queries, sharding  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from candela.llm import bpe, common, packing, queries, sharding  # noqa: E402
 
 TIK, HF = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", " ", "  ", "a", "\n\n a", "a  \n", "it's 'tis 's's 'll'reab 'r ''s a''s \t\x1c\x85 　x", "don't  we'd\n'vex 123abc!!'s '", "aaaa" * 50, " " * 70 + "b", "日本語 𝒳𝒴 ½²³ é́ ", "%%%***'t x", "\r\n\r\n", "'", "'l", "﻿a​b"]
@@ -133,6 +135,33 @@ def test_pack(spark, tokenizer):
     assert packing.pack(spark.createDataFrame([], DOCS), HF).count() == 0
 
 
+def test_equal_rows_are_packed_in_small_groups(spark, monkeypatch):
+    """Half the rows equal, columns of clashing names, pieces that tie in doc_id, start and digest: no group is more than twice its size, all places are filled once."""
+    monkeypatch.setattr(packing, "GROUP_ROWS", 50)
+    monkeypatch.setattr(packing, "SALTS_TOGETHER", 3)
+    rows = [(None, None, "len", 1, 2, 3)] * 900 + [(7, "alpha", "len", 1, 2, 3)] * 500 + [(i, "beta " * (i % 40), "len", 1, 2, 3) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, length string, salt int, deal int, rank int")
+    cut = common.stored(packing.pieces(df, HF).withColumn("deal", F.monotonically_increasing_id()), "cut")
+    counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
+    assert counts[1] >= 900
+    for n, total in counts.items():
+        salts = common.n_blocks(total, 50)
+        sizes = [r["count"] for r in cut.filter(F.col("length") == n).groupBy(F.pmod(F.xxhash64("deal"), F.lit(salts))).count().collect()]
+        assert max(sizes) <= 100
+    got = packing.pack(df, HF).collect()
+    assert len(got) == 2000
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert set(by) == set(range(len(by)))
+    for parts in by.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 1024
+
+
 def test_shards(spark):
     r = random.Random(1)
     rows = [(i, "x" * r.randint(0, 400) + "é", "l", "s") for i in range(3000)] + [(None, None, None, None)] * 40 + [(7, "same", "l", "s")] * 3
