@@ -69,6 +69,31 @@ def fit_trend_classifier(samples: DataFrame, max_iter: int = 20, reg: float = 0.
     return LogisticRegression(family="multinomial", maxIter=max_iter, regParam=reg).fit(data)
 
 
+def class_weights(samples: DataFrame) -> DataFrame:
+    """label, weight: weights that make every class that occurs count alike and add up to the number of samples."""
+    counts = samples.groupBy(F.col("target").cast("double").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("classes")))).select("label", (F.col("all") / (F.col("classes") * F.col("n"))).alias("weight"))
+
+
+def fit_tree_classifier(samples: DataFrame, trees: int = 40, depth: int = 6, balanced: bool = True, seed: int = 42):
+    """Random forest on flattened windows; balanced, each class counts alike however rare it is. Rows without target are left out."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    data = flattened(samples.filter(F.col("target").isNotNull())).select("features", F.col("target").cast("double").alias("label"))
+    weights = class_weights(samples.filter(F.col("target").isNotNull())) if balanced else None
+    data = data.withColumn("weight", F.lit(1.0)) if weights is None else data.join(F.broadcast(weights), "label")  # a row for each class
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="weight", seed=seed).fit(data)
+
+
+def feature_importances(spark, model, features: Sequence[str], length: int) -> DataFrame:
+    """feature, lag (0 is the window's last row), importance: of a tree model's inputs, adding up to 1."""
+    values = model.featureImportances.toArray()
+    if len(values) != length * len(features):
+        raise ValueError(f"the model has {len(values)} inputs, not {length} x {len(features)}")
+    rows = [(features[k % len(features)], length - 1 - k // len(features), float(v)) for k, v in enumerate(values)]
+    return spark.createDataFrame(rows, "feature string, lag int, importance double")
+
+
 def score_windows(samples: DataFrame, model) -> DataFrame:
     """Adds probs: the fitted model's probabilities by class."""
     from pyspark.ml.functions import vector_to_array

@@ -523,6 +523,20 @@ def trend_classifier(spark, sf):
     return shown(scored, "symbol", "bar_ts", "target", argmax(F.col("probs")).alias("predicted"), confidence(F.col("probs")).alias("confidence"))
 
 
+@register()
+def tree_classifier(spark, sf):
+    """As trend_classifier, with a random forest in which classes count alike."""
+    data = labels.apply_minmax(labelled(spark, sf), labels.fit_minmax(labelled(spark, sf), ["close", "volume"]), ["close", "volume"])
+    split = materialized(samples.chrono_split(samples.sliding_windows(data, ["close", "volume"], "label"), index="sample"), "samples")
+    scored = samples.score_windows(split.filter("split = 'test'"), samples.fit_tree_classifier(split.filter("split = 'train'")))
+    return shown(scored, "symbol", "bar_ts", "target", argmax(F.col("probs")).alias("predicted"), confidence(F.col("probs")).alias("confidence"))
+
+
+@register(f"WITH {B15}, {_sql_label()}, k AS (SELECT CAST(label AS DOUBLE) AS label, count(*) AS n FROM l GROUP BY 1) SELECT label, {_r('sum(n) OVER () / (count(*) OVER () * n)', 'weight')} FROM k")
+def class_weights(spark, sf):
+    return shown(samples.class_weights(labelled(spark, sf).withColumnRenamed("label", "target")))
+
+
 @register(f"WITH {B15}, {PROBS} SELECT symbol, {TS}, CAST(CASE WHEN list_max(probs) < 0.6 THEN 2 ELSE {BEST} END AS INTEGER) AS signal, {_r('list_max(probs)', 'confidence')} FROM p")
 def gate_signal(spark, sf):
     return shown(samples.signals_for_bars(bars(spark, sf), probabilities(spark, sf)))
