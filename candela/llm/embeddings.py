@@ -161,7 +161,7 @@ def compare(threshold: float):
                 counts += zip(key[side[some]], n[some].astype(np.int64).tolist(), strict=True)
             shift = 0 if len(sides) == 1 else len(a)
             every = a if len(sides) == 1 else np.concatenate([a, b])
-            left, right = paths(len(every), i.tolist(), (j + shift).tolist(), chunk[every].tolist())
+            left, right = paths(len(every), i, j + shift, chunk[every])
             links += zip(key[every[left]], key[every[right]], strict=True)
         return pd.DataFrame({"u": [x[0] for x in (*links, *counts)], "v": [*(x[1] for x in links), *[None] * len(counts)], "n": [*[0] * len(links), *(x[1] for x in counts)]})
 

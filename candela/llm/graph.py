@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,27 +44,23 @@ def components(edges: DataFrame) -> DataFrame:
     return at.join(least, "root").select("node", "component")
 
 
-def paths(n: int, i, j, group) -> tuple[list[int], list[int]]:
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of 0 .. n - 1 the smallest one that the pairs (i, j) connect it with."""
+    root = np.arange(n)
+    while len(i):
+        a, b = root[i], root[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def paths(n: int, i: np.ndarray, j: np.ndarray, group: np.ndarray) -> tuple[list[int], list[int]]:
     """Pairs that connect what the pairs (i, j) of 0 .. n - 1 connect: a path through each component, one group after the other, in
     order. No node has more than two of them, and a group that is connected has the same ones whatever it is seen with."""
-    parent = list(range(n))
-    for a, b in zip(i, j, strict=True):
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        while parent[b] != b:
-            parent[b] = parent[parent[b]]
-            b = parent[b]
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    last: dict[int, int] = {}
-    left, right = [], []
-    for k in sorted(range(n), key=lambda k: (group[k], k)):
-        root = k
-        while parent[root] != root:
-            root = parent[root]
-        if root in last:
-            left.append(last[root])
-            right.append(k)
-        last[root] = k
-    return left, right
+    root = roots(n, np.asarray(i, np.int64), np.asarray(j, np.int64))
+    order = np.lexsort((np.arange(n), np.asarray(group), root))
+    next_to = root[order[:-1]] == root[order[1:]]
+    return order[:-1][next_to].tolist(), order[1:][next_to].tolist()

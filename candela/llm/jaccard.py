@@ -29,6 +29,7 @@ NGRAM, THRESHOLD = 5, 0.8
 VALUES, BAND, BANDS = 128, 5, 25  # a pair at the threshold misses all bands once in 20,000
 STEP, TOLERANCE = 16, 1e-6
 CHUNK = 256  # members of a bucket or group that one task holds, times two
+CHUNK_BYTES = 32 << 20  # of n-grams of a group's members that one task holds, times two; a member is not cut
 GROUP_BYTES = 1 << 20
 _MUL = (mix64(np.arange(1, VALUES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADD = (mix64(np.arange(1001, VALUES + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -111,10 +112,10 @@ def _pairs(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(a, len(b)), np.tile(b, len(a))
 
 
-def meet_in_chunks(rows: DataFrame, group: str, size: str, member: str, small_groups: int, chunk: int = CHUNK) -> DataFrame:
-    """Adds task, chunk, ca and cb: rows of a group of `size` members meet in tasks, every two chunks in one of theirs
-    and all members of a small group in one; small groups share tasks."""
-    n = F.ceil(F.col(size) / chunk).cast("int")
+def meet_in_chunks(rows: DataFrame, group: str, size: str, member: str, small_groups: int, chunk: int = CHUNK, chunks: str | None = None) -> DataFrame:
+    """Adds task, chunk, ca and cb: rows of a group of `size` members, in as many chunks as they make up or as the column `chunks`
+    says, meet in tasks, every two chunks in one of theirs and all members of a small group in one; small groups share tasks."""
+    n = F.col(chunks) if chunks else F.ceil(F.col(size) / chunk).cast("int")
     with_chunk = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), F.col(member)), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     met = with_chunk.withColumns({"ca": F.least("chunk", "other"), "cb": F.greatest("chunk", "other")}).drop("other")
     # A task's key is dealt out as a whole, so equal ids keep chunk pairs and small groups apart.
@@ -127,7 +128,7 @@ def digest(words: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, hash (of the text), words (digest of the words; null without any), sig, by row of docs."""
+    """doc_id, hash (of the text), words (digest of the words; null without any), n_grams, sig, by row of docs."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -137,11 +138,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sig = minhash(h, grams)
                 stop = np.cumsum(count)
                 for k, (z, n) in enumerate(zip(stop, count, strict=True)):
-                    parts.append((digest(words[z - n : z]) if n else None, sig[k].tobytes() if n else None))
-            yield pd.DataFrame({"doc_id": ids_of(f["doc_id"]), "hash": f["hash"], "words": [p[0] for p in parts], "sig": [p[1] for p in parts]})
+                    parts.append((digest(words[z - n : z]) if n else None, int(grams[k]), sig[k].tobytes() if n else None))
+            yield pd.DataFrame({"doc_id": ids_of(f["doc_id"]), "hash": f["hash"], "words": [p[0] for p in parts], "n_grams": [p[1] for p in parts], "sig": [p[2] for p in parts]})
 
     text = text_or_empty()
-    return docs.select(id_text("doc_id"), F.xxhash64(text).alias("hash"), text.alias("t")).mapInPandas(run, "doc_id long, hash long, words binary, sig binary")
+    return docs.select(id_text("doc_id"), F.xxhash64(text).alias("hash"), text.alias("t")).mapInPandas(run, "doc_id long, hash long, words binary, n_grams long, sig binary")
 
 
 def band_values(sig: np.ndarray) -> np.ndarray:
@@ -200,7 +201,7 @@ def survivors(met: DataFrame, threshold: float, tell, schema: str) -> DataFrame:
 def connecting(f: pd.DataFrame, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
     """Edges (u, v), and for one member u the number n of pairs."""
     key = f["key"].to_numpy()
-    u, v = paths(len(at), i.tolist(), j.tolist(), f["chunk"].to_numpy()[at].tolist())
+    u, v = paths(len(at), i, j, f["chunk"].to_numpy()[at])
     one = [key[at[i[0]]]] if len(i) else []
     return pd.DataFrame({"u": [*key[at[u]], *one], "v": pd.array([*key[at[v]], *[None for _ in one]], "Int64"), "n": [*[0] * len(u), *[len(i) for _ in one]]})
 
@@ -222,15 +223,16 @@ def candidate_members(reps: DataFrame, threshold: float) -> DataFrame:
     met = meet_in_chunks(members, "band", "m", "key", groups, CHUNK).join(reps.select("key", "sig"), "key")
     pairs = stored(survivors(met, threshold, connecting, "u long, v long, n long"), "jaccard-pairs")
     found = stored(components(pairs.filter("v is not null").select("u", "v")), "jaccard-components")
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    of_bytes = F.ceil(F.sum("n_grams") * 8 / CHUNK_BYTES)
+    sizes = found.join(reps.select(F.col("key").alias("node"), "n_grams"), "node").groupBy("component").agg(F.count(F.lit(1)).alias("size"), of_bytes.alias("of_bytes"))
+    sizes = sizes.withColumn("chunks", F.greatest(F.ceil(F.col("size") / CHUNK), "of_bytes").cast("int"))
     counted = pairs.filter("v is null").select(F.col("u").alias("node"), "n").join(found, "node").groupBy("component").agg(F.sum("n").alias("pairs"))
     # Sparse are those in which fewer members come to their pairs than would come to all meetings of two chunks.
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    sizes = stored(sizes.join(counted, "component").select("component", "size", (2 * F.col("pairs") < F.col("size") * chunks).alias("sparse")), "jaccard-sizes")
-    of_group = stored(spread_join(found, sizes, ["component"]).select(F.col("node").alias("key"), "component", "size", "sparse"), "jaccard-groups", found)
-    dense = meet_in_chunks(of_group.filter((F.col("size") <= CHUNK) | ~F.col("sparse")), "component", "size", "key", 1, CHUNK).select("component", "ca", "cb", "chunk", "key")
-    part = F.pmod(F.xxhash64(F.lit(7), "key"), chunks).cast("int")
-    sparse = of_group.filter((F.col("size") > CHUNK) & F.col("sparse")).select("key", "component", part.alias("part"))
+    sizes = stored(sizes.join(counted, "component").select("component", "size", "chunks", (2 * F.col("pairs") < F.col("size") * F.col("chunks")).alias("sparse")), "jaccard-sizes")
+    of_group = stored(spread_join(found, sizes, ["component"]).select(F.col("node").alias("key"), "component", "size", "chunks", "sparse"), "jaccard-groups", found)
+    dense = meet_in_chunks(of_group.filter((F.col("chunks") == 1) | ~F.col("sparse")), "component", "size", "key", 1, chunks="chunks").select("component", "ca", "cb", "chunk", "key")
+    part = F.pmod(F.xxhash64(F.lit(7), "key"), F.col("chunks")).cast("int")
+    sparse = of_group.filter((F.col("chunks") > 1) & F.col("sparse")).select("key", "component", part.alias("part"))
     if sparse.isEmpty():
         return dense
     again = meet_in_chunks(members.join(sparse, "key"), "band", "m", "key", groups, CHUNK).join(reps.select("key", "sig"), "key")
@@ -264,12 +266,14 @@ def shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return overlap(sets)[i, j]
 
 
-def verified(members: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def verified(members: DataFrame, classes: DataFrame, docs: DataFrame, repeated: DataFrame, threshold: float) -> DataFrame:
     """(u, v, n): for the candidate members of groups edges (u, v) that connect what true links connect, and rows
-    (u, null, n) whose n add up to u's links, every linked class counted with its copies."""
+    (u, null, n) whose n add up to u's links, every linked class counted with its copies. repeated(doc, hash) are the texts that many
+    rows of docs hold under one doc_id, at most MOST_HOT."""
 
     def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            f = f.drop_duplicates(["key", "t"])
             texts, sets, same = list(f["t"]), [], []
             for lo, hi in batches(texts, 1 << 19):
                 h, count, words, n_words = shingles(texts[lo:hi])
@@ -280,6 +284,9 @@ def verified(members: DataFrame, classes: DataFrame, docs: DataFrame, threshold:
 
     wanted = members.select("key").distinct().join(classes.select("key", "words", "doc", "hash", "copies", "sig"), "key")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text_or_empty()).alias("hash"), text_or_empty().alias("t"))
+    # Rows of an often repeated (doc_id, text) become one before they are shuffled. Other texts of the same hash stay beside it.
+    again = texts.join(F.broadcast(repeated), ["doc", "hash"], "left_semi").groupBy("doc", "hash", "t").agg(F.count(F.lit(1))).select("doc", "hash", "t")
+    texts = texts.join(F.broadcast(repeated), ["doc", "hash"], "left_anti").unionByName(again)
     found = texts.join(wanted, ["doc", "hash"]).select("key", "words", "copies", "sig", "t").mapInPandas(grams, "key long, copies long, sig binary, grams binary")
     sets = stored(found.dropDuplicates(["key"]), "jaccard-sets")
     groups = n_blocks(int(members.count() * (sets.agg(F.avg(F.octet_length("grams"))).first()[0] or 0)), GROUP_BYTES)
@@ -302,7 +309,7 @@ def verified(members: DataFrame, classes: DataFrame, docs: DataFrame, threshold:
             both = shared(s, i, j)
             true = both >= threshold * (size[i] + size[j] - both) - 1e-9
             i, j = i[true], j[true]
-            u, v = paths(len(at), i.tolist(), j.tolist(), chunk[at].tolist())
+            u, v = paths(len(at), i, j, chunk[at])
             links += zip(key[at[u]], key[at[v]], strict=True)
             n = np.bincount(i, weights=copies[at[j]], minlength=len(at)) + np.bincount(j, weights=copies[at[i]], minlength=len(at))
             some = np.flatnonzero(n)
@@ -323,11 +330,13 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ignored, whatever their names. Ties: of equal doc_ids all rows are kept. docs is read twice: a stored table."""
     rows = stored(signatures(docs), "jaccard-rows")
     there = rows.filter(F.col("words").isNotNull() & F.col("doc_id").isNotNull())
-    classes = there.groupBy("words").agg(F.min(F.struct("doc_id", "hash")).alias("one"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    classes = there.groupBy("words").agg(F.min(F.struct("doc_id", "hash")).alias("one"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"), F.first("sig").alias("sig"))
     # A class has a number of its own, given when it is written.
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("key"), "words", F.col("one.doc_id").alias("doc"), F.col("one.hash").alias("hash"), "copies", "sig"), "jaccard-classes")
-    members = stored(candidate_members(classes.select("key", "sig"), threshold), "jaccard-candidates")
-    links = stored(verified(members, classes, docs, threshold), "jaccard-links")
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("key"), "words", F.col("one.doc_id").alias("doc"), F.col("one.hash").alias("hash"), "copies", "n_grams", "sig"), "jaccard-classes")
+    members = stored(candidate_members(classes.select("key", "n_grams", "sig"), threshold), "jaccard-candidates")
+    often = there.groupBy(F.col("doc_id").alias("doc"), "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_rows(rows.count()))
+    repeated = stored(often.select("doc", "hash"), "jaccard-repeated")
+    links = stored(verified(members, classes, docs, repeated, threshold), "jaccard-links")
     of_class = links.groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("n"))
     linked = components(links.filter(F.col("v").isNotNull()).select("u", "v"))
     # The smallest doc_id of a component, not the smallest key.
@@ -343,7 +352,13 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, whatever their names: of each class the one with the smallest doc_id, and those without an id."""
-    kept = jaccard_join(docs, threshold).filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct().alias("kept")
-    with_id = docs.alias("all").join(kept, F.col("all.doc_id").cast("long") == F.col("kept.kept_id"), "left_semi")
-    return with_id.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """The rows of docs, all columns, whatever their names: of each class the one with the smallest doc_id, and those without an id.
+    Rows of a doc_id that very many rows have stay where they are."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("hot_id")).filter("hot_id is not null")
+    hot = stored(ids.groupBy("hot_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_rows(docs.count())).select("hot_id"), "jaccard-hot-ids")
+    kept = stored(jaccard_join(docs, threshold).filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct(), "jaccard-kept")
+    every, same_id = docs.alias("all"), F.col("all.doc_id").cast("long")
+    few = kept.join(F.broadcast(hot), F.col("kept_id") == F.col("hot_id"), "left_semi").alias("kept")  # at most MOST_HOT
+    frequent = every.join(F.broadcast(few), same_id == F.col("kept.kept_id"), "left_semi")
+    others = every.join(F.broadcast(hot.alias("hot")), same_id == F.col("hot.hot_id"), "left_anti").join(kept.alias("kept"), same_id == F.col("kept.kept_id"), "left_semi")
+    return frequent.unionByName(others).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -257,6 +257,36 @@ def test_blocks_of_large_groups(spark):
     assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 599)}
 
 
+def test_rows_repeated_very_often(spark, monkeypatch):
+    """A third of the rows are one text under one doc_id: they become one before their text is compared, and are kept or dropped together."""
+    r = random.Random(31)
+    base, other = words(r, 120), [words(r, 90) for _ in range(30)]
+    rows = [(7, base, "en", "k", 1)] * 60 + [(8 + i, f"{base} end{i}", "en", "k", 1) for i in range(5)] + [(100 + i, t, "en", "k", 1) for i, t in enumerate(other)]
+    rows += [(5, other[3] + " z", "en", "k", 1)] * 40 + [(None, base, "en", "k", 1)] * 30
+    told = []
+    monkeypatch.setattr(jaccard, "verified", lambda m, c, d, often, *x, real=jaccard.verified: (told.append(often.count()), real(m, c, d, often, *x))[1])
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = jaccard.jaccard_join(df).collect()
+    by = {x["doc_id"]: (x["class_id"], x["n_links"], x["kept"]) for x in got}
+    assert told == [2] and len(got) == len(rows)
+    assert by[7] == (7, 64, True) and all(by[8 + i] == (7, 64, False) for i in range(5))
+    assert by[5] == (5, 40, True) and by[103] == (5, 40, False) and by[None] == (None, 0, True)
+    kept = sorted(x["doc_id"] or 0 for x in jaccard.without_near_copies(df).collect())
+    assert kept == sorted([7] * 60 + [5] * 40 + [0] * 30 + [100 + i for i in range(30) if i != 3])
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_groups_cut_by_bytes(spark, monkeypatch, dense):
+    """Few members with many n-grams are cut into chunks too: near copies of one text, and a chain of texts."""
+    monkeypatch.setattr(jaccard, "CHUNK_BYTES", 8000)
+    w = words(random.Random(9), 1500).split()
+    texts = [" ".join(w[:300]) + f" end{i}" if dense else " ".join(w[i * 10 : i * 10 + 250]) for i in range(40)]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    want = {i: sum(j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(40)) for i in range(40)}
+    got = jaccard.jaccard_join(spark.createDataFrame([(i, t, "en", "k", 1) for i, t in enumerate(texts)], SCHEMA)).collect()
+    assert {x["doc_id"]: x["n_links"] for x in got} == want and {x["class_id"] for x in got} == {0} and max(want.values()) == (39 if dense else 4)
+
+
 def test_small_chunks_some_of_them_empty(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK", 1)
     base = [words(random.Random(20 + k), 120) for k in range(6)]
