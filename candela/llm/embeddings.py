@@ -27,6 +27,7 @@ from .jaccard import meet_in_chunks
 THRESHOLD = 0.9
 PREFIX, LEAST_SHARED = 10, 2
 VECTORS_PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 64, 16, 8192
+PIVOT_BYTES = 64 << 20  # of the pivots of all lengths together; each task holds them
 CHUNK = 1024
 APART = 0.8  # cosine that no two pivots reach
 DIRECT = 50_000  # pairs of a block whose pivots are compared one by one; beyond, by a matrix product
@@ -65,20 +66,23 @@ def apart(v: np.ndarray) -> np.ndarray:
 
 def pivots_of(classes: DataFrame) -> dict[int, np.ndarray]:
     """Unit pivots by length of vectors, in a fixed order: the first vectors by a hash, without those close to one before. In all at
-    most MOST_PIVOTS; lengths whose share of these is below LEAST_PIVOTS, of which there may be any number, get none."""
+    most MOST_PIVOTS, and PIVOT_BYTES; lengths whose share of these is below LEAST_PIVOTS, of which there may be any number, get none."""
     counts = classes.groupBy("dim").count()
     total = classes.count()
     out = {}
     for r in counts.filter(F.col("count") * MOST_PIVOTS >= LEAST_PIVOTS * total).collect():  # at most MOST_PIVOTS / LEAST_PIVOTS rows
         n = min(MOST_PIVOTS * r["count"] // total, max(LEAST_PIVOTS, -(-r["count"] // VECTORS_PER_PIVOT)))
-        rows = classes.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64(F.lit(11), "key"), "key").limit(n).select("v").collect()
-        out[r["dim"]] = apart(unit(np.array([x[0] for x in rows], np.float64)))
+        n = min(n, PIVOT_BYTES * r["count"] // (total * 8 * r["dim"]))
+        if n < LEAST_PIVOTS:
+            continue
+        rows = classes.filter(F.col("dim") == r["dim"]).orderBy(F.xxhash64(F.lit(11), "key"), "key").limit(n).select("v").toArrow()
+        out[r["dim"]] = apart(unit(rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, r["dim"])))
     return out
 
 
 def inverted_lists(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     """dim, list (pivot), key, copies, prefix (int32 pivots), v (float64 bytes): PREFIX rows for each class."""
-    shared = classes.sparkSession.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS vectors
+    shared = classes.sparkSession.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS vectors and PIVOT_BYTES
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

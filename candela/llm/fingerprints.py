@@ -96,7 +96,8 @@ def in_order(docs: DataFrame) -> DataFrame:
     first keys reach the driver.
 
     The order is by doc_id, null first, the text's CRC-32, and the row's place in the input, so rows without an id and rows
-    of one doc_id, equal ones too, are dealt over as many buckets as they need. docs is read several times: a stored table."""
+    of one doc_id, equal ones too, are dealt over as many buckets as they need. docs is read several times: a stored table. Where the reads
+    differ, edited_fingerprints ends with an error."""
     text = text_or_empty()
     place = F.xxhash64(F.monotonically_increasing_id())
     rows = docs.select(F.col("doc_id").isNotNull().alias("k0"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k1"), F.crc32(text.cast("binary")).alias("k2"), place.alias("k3"), text.alias("t"))
@@ -139,8 +140,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     without an id come first, and after the last row comes the first. Null text counts as empty: its fingerprint
     is the empty string, like only to itself. A table of one row is its own next document; an empty one gives none.
     Texts of any length are parsed whole (see above for memory). Other columns are ignored, whatever their names.
+    docs must have the same rows in the same order each time it is read; a row that is left without a next one raises an error.
     """
     rows = in_order(docs)
+    lost = "a row has no next one: docs changed between reads, write it to a table first"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple | None = None
@@ -150,7 +153,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
                 own = Parse().feed(text[: (len(text) + 1) // 2])
                 half = own.copy()
                 sig = signature(text, own.feed(text[(len(text) + 1) // 2 :]).ends)
-                if held is not None and held[5] == bucket:
+                if held is not None:
+                    if held[5] != bucket:
+                        raise ValueError(lost)
                     was, before, parse, had, _, _ = held
                     k = len(before) // 2
                     edited = before[: len(before) - k] + text[:k]
@@ -159,5 +164,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
                 held = None if halo else (doc, text, half, sig, halo, bucket)
             made = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
             yield made.assign(doc_id=ids_of(made["doc_id"]))
+        if held is not None:
+            raise ValueError(lost)
 
     return rows.withColumn("doc_id", id_text("doc_id")).mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -438,6 +438,19 @@ def test_fingerprints_against_a_plain_parse(spark, docs, rows, bucket, monkeypat
         assert len(sizes) > 20 and max(sizes.values()) < len(more) // 5
 
 
+def test_rows_whose_order_changes_between_reads(spark, docs, monkeypatch):
+    """No row is lost without an error."""
+    monkeypatch.setattr(fingerprints, "BUCKET_BYTES", 2000)
+
+    def shuffled(frames):
+        for f in frames:
+            yield f.sample(frac=1)
+
+    moving = docs.select("doc_id", "text").repartition(2).mapInPandas(shuffled, "doc_id double, text string")
+    with pytest.raises(Exception, match="a row has no next one"):
+        fingerprints.edited_fingerprints(moving).collect()
+
+
 def test_likeness_estimates_the_jaccard_likeness(rows):
     texts = [t for _, t, *_ in rows if t and len(t) > 1000][:12]
     for a in texts:

@@ -66,6 +66,23 @@ def test_rare_lengths_and_common_vectors(spark, monkeypatch):
     assert all(got[1000 + i] == (299, 1000) for i in range(300)) and all(got[2000 + i] == (0, 2000 + i) for i in range(200))
 
 
+def test_pivots_are_bounded_by_bytes(spark, monkeypatch):
+    """Pivots that would take too many bytes are fewer; a length that may have too few gets none. Links stay."""
+    r = np.random.default_rng(9)
+    x = r.normal(size=(600, 32)).astype(np.float32)
+    x[100:160] = x[7] + 0.1 * r.normal(size=(60, 32))
+    rows = [(i, [float(v) for v in row], 1, "k") for i, row in enumerate(x)]
+    monkeypatch.setattr(embeddings, "VECTORS_PER_PIVOT", 4)
+    for most, pivots in ((20 * 8 * 32, 20), (15 * 8 * 32, None)):
+        monkeypatch.setattr(embeddings, "PIVOT_BYTES", most)
+        df = spark.createDataFrame(rows, SCHEMA)
+        classes = df.selectExpr("transform(embedding, x -> double(x)) as v", "size(embedding) as dim", "binary(string(vec_id)) as key")
+        got = embeddings.pivots_of(classes)
+        assert set(got) == ({32} if pivots else set()) and all(0 < len(p) <= pivots for p in got.values())
+        links = {g["vec_id"]: (g["n_links"], g["component_id"]) for g in embeddings.near_embeddings(df).collect()}
+        assert links == brute(rows)
+
+
 def test_equally_near_pivots(spark):
     """Vectors along and between the axes: many pivots are equally near, and the same links are found again and again."""
     axes = [[float(k == i) for k in range(8)] for i in range(8)]
