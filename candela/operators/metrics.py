@@ -119,7 +119,8 @@ def _score_counts(df: DataFrame, classes: Sequence[int]) -> DataFrame:
 
 
 def roc_curve(df: DataFrame, classes: Sequence[int] = CLASSES, drop_collinear: bool = False) -> DataFrame:
-    """class, threshold, fpr, tpr at every distinct score, from (0, 0) with threshold infinity."""
+    """class, threshold, fpr, tpr at every distinct score, from (0, 0) with threshold infinity. After that point a rate of no rows is NaN: tpr of a
+    class that is absent, fpr of one that all rows have."""
     return _curve(_score_counts(df, classes), ["class"], drop_collinear)
 
 
@@ -140,11 +141,13 @@ def _curve(counts: DataFrame, keys: list[str], drop_collinear: bool = False) ->
         out = out.join(parts.select(*keys, "_b", F.lead("_p1").over(by).alias("_np"), F.lead("_n1").over(by).alias("_nn")), [*keys, "_b"])
         up, right = F.coalesce(F.lead("pos").over(down), F.col("_np")), F.coalesce(F.lead("neg").over(down), F.col("_nn"))
         out = out.withColumn("_keep", F.coalesce((up * F.col("neg")) != (F.col("pos") * right), F.lit(True)) | (F.col("score") == float("inf"))).filter("_keep")
-    return out.select(*keys, F.col("score").alias("threshold"), F.try_divide(F.col("fp"), F.col("_n").cast("double")).alias("fpr"), F.try_divide(F.col("tp"), F.col("_p").cast("double")).alias("tpr"))
+    rate = lambda x, n: F.when(F.col("tp") + F.col("fp") == 0, 0.0).when(F.col(n) == 0, float("nan")).otherwise(F.try_divide(F.col(x), F.col(n).cast("double")))
+    return out.select(*keys, F.col("score").alias("threshold"), rate("fp", "_n").alias("fpr"), rate("tp", "_p").alias("tpr"))
 
 
 def trapezoid_auc(curve: DataFrame, keys: Sequence[str] = ("class",)) -> DataFrame:
-    """auc of every curve by the trapezoid rule. Rates do not fall with the threshold, so those before a range are its ranges' highest."""
+    """auc of every curve by the trapezoid rule: null where tpr is undefined, NaN where fpr is. Rates do not fall with the threshold, so those before a
+    range are its ranges' highest."""
     keys = list(keys)
     rows = ranged(materialized(curve, "curve"), keys, "threshold")
     parts = rows.groupBy(*keys, "_b").agg(F.max("fpr").alias("fpr"), F.max("tpr").alias("tpr"))
@@ -152,7 +155,7 @@ def trapezoid_auc(curve: DataFrame, keys: Sequence[str] = ("class",)) -> DataFra
     w = Window.partitionBy(*keys, "_b").orderBy(F.col("threshold").desc())
     was = lambda c: F.lag(c, 1).over(w)
     fpr, tpr = F.coalesce(was("fpr"), F.col("_before_fpr")), F.coalesce(was("tpr"), F.col("_before_tpr"))
-    return rows.withColumn("_a", (F.col("fpr") - fpr) * (F.col("tpr") + tpr) / 2).groupBy(*keys).agg(F.sum("_a").alias("auc"))
+    return rows.withColumn("_a", (F.col("fpr") - fpr) * (F.col("tpr") + tpr) / 2).groupBy(*keys).agg(F.when(~F.max(F.isnan("tpr")), F.sum("_a")).alias("auc"))
 
 
 def area(counts: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -358,3 +358,33 @@ def test_stream_gives_the_same_bars(spark, tmp_path):
     got = spark.table("bars_out")
     want = bars_from_ticks(ticks, F.col("p"), F.col("q"), "15 minutes")
     assert got.count() > 10 and got.select(want.columns).exceptAll(want).isEmpty()
+
+
+def _equal_to_sql(spark, folder, names, steps):
+    """Queries over 15-minute bars that close at 100 and then rise by steps have the rows of their SQL, NaN and nulls told apart."""
+    import duckdb
+
+    from candela.plans import queries as plans
+
+    rows = [(i, T0 + timedelta(minutes=15 * i), 1, "view", float(v), '{"k": 1}') for i, v in enumerate(np.cumsum([0.0, *steps]))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    plain = lambda rows: sorted(str(["nan" if x != x else x for x in r]) for r in rows)
+    out = {}
+    for name in names:
+        got, want = plans.queries()[name](spark, str(folder)), con.sql(plans.oracle_sql()[name])
+        assert got.columns == list(want.columns)
+        out[name] = plain(map(tuple, got.collect()))
+        assert out[name] == plain(want.fetchall()), name
+    return out
+
+
+RISING = [0.5 * (i // 30 % 6) for i in range(240)]  # classes 2, 3, 4
+
+
+@pytest.mark.parametrize("steps", [RISING, [0.0] * 60])
+def test_curves_of_absent_classes_are_those_of_sql(spark, tmp_path, steps):
+    got = _equal_to_sql(spark, tmp_path, ["roc_curve", "roc_auc_by_class"], steps)
+    assert "[0, None]" in got["roc_auc_by_class"] and "[0, 0.0, 0.0]" in got["roc_curve"] and "[0, 1.0, 'nan']" in got["roc_curve"]
+    assert ("[2, 'nan']" in got["roc_auc_by_class"]) == (steps != RISING)
