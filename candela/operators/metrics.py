@@ -159,28 +159,35 @@ def trapezoid_auc(curve: DataFrame, keys: Sequence[str] = ("class",)) -> DataFra
 
 
 def area(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """auc from counts(pos, neg) by score: the area under the curve through all scores, without its points."""
+    """auc from counts(pos, neg) by score: the area under the curve through all scores, without its points. Null without positives, NaN without negatives."""
     keys = list(keys)
     rows = ranged(materialized(counts, "scores"), keys, "score")
     parts = rows.groupBy(*keys, "_b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     so_far = Window.partitionBy(*keys, "_b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     inside = rows.withColumn("_a", F.col("neg") * (F.sum("pos").over(so_far) - F.col("pos") / 2)).groupBy(*keys, "_b").agg(F.sum("_a").alias("_a"))
     each = inside.join(carried(parts, keys, {"pos": "sum"}), [*keys, "_b"])
-    return each.groupBy(*keys).agg(F.try_divide(F.sum(F.col("_a") + F.col("neg") * F.col("_before_pos")), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
+    auc = F.try_divide(F.sum(F.col("_a") + F.col("neg") * F.col("_before_pos")), F.sum("pos").cast("double") * F.sum("neg"))
+    return each.groupBy(*keys).agg(F.when((F.sum("pos") > 0) & (F.sum("neg") == 0), float("nan")).otherwise(auc).alias("auc"))
+
+
+def _mean_area(aucs: DataFrame, n: int, name: str, absent: str) -> DataFrame:
+    """The mean of n areas. If one is undefined: 0 with absent="zero"; with absent="skip" the mean of those that are not null, as SQL has it."""
+    mean = F.avg("auc")
+    if absent == "zero":
+        mean = F.when(F.count(F.when(~F.isnan("auc"), F.col("auc"))) < n, 0.0).otherwise(mean)
+    return aucs.agg(mean.alias(name))
 
 
 def roc_auc_ovr(df: DataFrame, classes: Sequence[int] = CLASSES) -> DataFrame:
     """roc_auc_ovr: mean of the one-vs-rest areas; 0 if a class is absent."""
-    aucs = area(_score_counts(df, classes), ["class"])
-    return aucs.agg(F.when(F.count("auc") < len(classes), 0.0).otherwise(F.avg("auc")).alias("roc_auc_ovr"))
+    return _mean_area(area(_score_counts(df, classes), ["class"]), len(classes), "roc_auc_ovr", "zero")
 
 
-def roc_auc_ovo(df: DataFrame, classes: Sequence[int] = CLASSES) -> DataFrame:
-    """roc_auc_ovo: mean over pairs of classes of their two areas; 0 if a class is absent."""
+def roc_auc_ovo(df: DataFrame, classes: Sequence[int] = CLASSES, absent: str = "zero") -> DataFrame:
+    """roc_auc_ovo: mean over pairs of classes of their two areas; if a class is absent 0, or with absent="skip" NaN, as is the area of a pair
+    without rows of its second class."""
     pairs = F.array(*[F.struct(F.lit(int(a)).alias("a"), F.lit(int(b)).alias("b")) for a in classes for b in classes if a != b])
     each = df.select(F.col("y").cast("int").alias("y"), "probs").select("y", "probs", F.inline(pairs)).filter((F.col("y") == F.col("a")) | (F.col("y") == F.col("b")))
     scored = each.select("a", "b", F.element_at("probs", F.col("a") + 1).alias("score"), (F.col("y") == F.col("a")).cast("long").alias("is_a"))
     counts = scored.groupBy("a", "b", "score").agg(F.sum("is_a").alias("pos"), F.sum(1 - F.col("is_a")).alias("neg"))
-    aucs = area(counts, ["a", "b"])
-    n = len(classes) * (len(classes) - 1)
-    return aucs.agg(F.when(F.count("auc") < n, 0.0).otherwise(F.avg("auc")).alias("roc_auc_ovo"))
+    return _mean_area(area(counts, ["a", "b"]), len(classes) * (len(classes) - 1), "roc_auc_ovo", absent)

@@ -388,3 +388,8 @@ def test_curves_of_absent_classes_are_those_of_sql(spark, tmp_path, steps):
     got = _equal_to_sql(spark, tmp_path, ["roc_curve", "roc_auc_by_class"], steps)
     assert "[0, None]" in got["roc_auc_by_class"] and "[0, 0.0, 0.0]" in got["roc_curve"] and "[0, 1.0, 'nan']" in got["roc_curve"]
     assert ("[2, 'nan']" in got["roc_auc_by_class"]) == (steps != RISING)
+
+
+@pytest.mark.parametrize("steps", [RISING, [0.0] * 60])
+def test_mean_area_of_pairs_with_absent_classes_is_that_of_sql(spark, tmp_path, steps):
+    assert _equal_to_sql(spark, tmp_path, ["roc_auc_ovo"], steps) == {"roc_auc_ovo": ["['nan']"]}
