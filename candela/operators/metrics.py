@@ -178,9 +178,9 @@ def _mean_area(aucs: DataFrame, n: int, name: str, absent: str) -> DataFrame:
     return aucs.agg(mean.alias(name))
 
 
-def roc_auc_ovr(df: DataFrame, classes: Sequence[int] = CLASSES) -> DataFrame:
-    """roc_auc_ovr: mean of the one-vs-rest areas; 0 if a class is absent."""
-    return _mean_area(area(_score_counts(df, classes), ["class"]), len(classes), "roc_auc_ovr", "zero")
+def roc_auc_ovr(df: DataFrame, classes: Sequence[int] = CLASSES, absent: str = "zero") -> DataFrame:
+    """roc_auc_ovr: mean of the one-vs-rest areas; if a class is absent 0, or with absent="skip" the mean of the others', NaN if there is but one class."""
+    return _mean_area(area(_score_counts(df, classes), ["class"]), len(classes), "roc_auc_ovr", absent)
 
 
 def roc_auc_ovo(df: DataFrame, classes: Sequence[int] = CLASSES, absent: str = "zero") -> DataFrame:

@@ -393,3 +393,9 @@ def test_curves_of_absent_classes_are_those_of_sql(spark, tmp_path, steps):
 @pytest.mark.parametrize("steps", [RISING, [0.0] * 60])
 def test_mean_area_of_pairs_with_absent_classes_is_that_of_sql(spark, tmp_path, steps):
     assert _equal_to_sql(spark, tmp_path, ["roc_auc_ovo"], steps) == {"roc_auc_ovo": ["['nan']"]}
+
+
+@pytest.mark.parametrize("steps", [RISING, [0.0] * 60])
+def test_mean_area_with_absent_classes_is_that_of_sql(spark, tmp_path, steps):
+    got = _equal_to_sql(spark, tmp_path, ["roc_auc_ovr", "roc_auc_absent_class"], steps)
+    assert got["roc_auc_absent_class"] == ["[0.0]"] and (got["roc_auc_ovr"] == ["['nan']"]) == (steps != RISING) and got["roc_auc_ovr"] != ["[0.0]"]
