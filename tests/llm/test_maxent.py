@@ -132,3 +132,30 @@ def test_nothing_to_learn_from(spark):
     held = [(i, "some words", *CLASH) for i in range(200) if held_out(i)][:3]
     got = maxent.score_documents(spark.createDataFrame(held, SCHEMA)).collect()
     assert [(g["n_tokens"], g["n_known"], g["train_tokens"], g["base_score"], g["score"]) for g in got] == [(3, 0, 0, 0.0, 0.0)] * 3
+
+
+def test_words_that_are_no_heads_are_modelled_too(spark):
+    """Of two words too long to be heads, of one class and equally frequent, each follows words of another class."""
+    j1, j2, p1, p2 = (w * 50 for w in ("j1", "j2", "p1", "p2"))
+    texts = [f"aa {j1} {j1} {j1} the {j1} {p1}", f"bb {j2} {j2} {j2} the {j2} {p2}"] * 150 + [f"the {j1} {p}" for p in (p1, p2)]
+    docs = spark.createDataFrame([(str(i), t, i < 300) for i, t in enumerate(texts)], "doc_id string, t string, learn boolean").repartition(3)
+    fitted = maxent.fit(docs)
+    model, lexicon = fitted.model, fitted.model.lexicon
+    assert all(b > a for a, b in zip(model.likelihood, model.likelihood[1:], strict=False))
+    rest = {}
+    for r in fitted.words.select("words", "counts", "classes").collect():
+        for w, c, k in zip(bytes(r["words"]).split(b"\n"), np.frombuffer(r["counts"], np.int64), r["classes"], strict=True):
+            if w not in lexicon.heads:
+                rest[w.decode()] = k, (c + 1) / lexicon.rest[k]
+    assert set(rest) == {j1, j2, p1, p2} and rest[p1] == rest[p2] and rest[p1][1] == 0.5
+
+    def probability(w, before):
+        k = rest[w][0]
+        power = {v: x * math.exp(sum(float(model.weights["word"][row, before]) for row in maxent.word_rows(maxent.word_codes([v.encode()]))[0])) for v, (kind, x) in rest.items() if kind == k}
+        assert math.exp(model.log_sums[k, before]) == pytest.approx(sum(power.values()))
+        return power[w] / sum(power.values())
+
+    scores = {g["doc_id"]: g["score"] for g in maxent.score_blocks(fitted.units, model).filter("held_out").collect()}
+    after = rest[j1][0]
+    assert probability(p1, after) > 0.9 and probability(p1, after) + probability(p2, after) == pytest.approx(1)
+    assert scores[300] - scores[301] == pytest.approx(math.log10(probability(p1, after) / probability(p2, after)), abs=1e-6)
